@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from . import quality, sharding
 from .simhash import op1_simhash_near_dedup
 
 
 def queries() -> dict:
-    return {"op1_simhash_near_dedup": op1_simhash_near_dedup}
+    return {
+        "op1_simhash_near_dedup": op1_simhash_near_dedup,
+        "op6_sharding": sharding.op6_sharding,
+        "op10_quality_rules": quality.op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op6_sharding": sharding.SQL, "op10_quality_rules": quality.SQL}
