@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from . import quality, sharding
+from . import mixing, quality, sharding
 from .simhash import op1_simhash_near_dedup
 
 
 def queries() -> dict:
     return {
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
+        "op2_mixing": mixing.op2_mixing,
         "op6_sharding": sharding.op6_sharding,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op6_sharding": sharding.SQL, "op10_quality_rules": quality.SQL}
+    return {"op2_mixing": mixing.SQL, "op6_sharding": sharding.SQL, "op10_quality_rules": quality.SQL}
