@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding
+from . import decontaminate, mixing, quality, sharding
 from .simhash import op1_simhash_near_dedup
 
 
@@ -11,9 +11,15 @@ def queries() -> dict:
         "op1_simhash_near_dedup": op1_simhash_near_dedup,
         "op2_mixing": mixing.op2_mixing,
         "op6_sharding": sharding.op6_sharding,
+        "op7_decontamination": decontaminate.op7_decontamination,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op2_mixing": mixing.SQL, "op6_sharding": sharding.SQL, "op10_quality_rules": quality.SQL}
+    return {
+        "op2_mixing": mixing.SQL,
+        "op6_sharding": sharding.SQL,
+        "op7_decontamination": decontaminate.SQL,
+        "op10_quality_rules": quality.SQL,
+    }
