@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, sharding
+from . import decontaminate, factorization, mixing, quality, sharding, warc
 from .simhash import op1_simhash_near_dedup
 
 
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op2_mixing": mixing.op2_mixing,
         "op6_sharding": sharding.op6_sharding,
         "op7_decontamination": decontaminate.op7_decontamination,
+        "op8_quality_classifier": factorization.op8_quality_classifier,
+        "op9_warc": warc.op9_warc,
         "op10_quality_rules": quality.op10_quality_rules,
     }
 
@@ -21,5 +23,8 @@ def oracle_sql() -> dict:
         "op2_mixing": mixing.SQL,
         "op6_sharding": sharding.SQL,
         "op7_decontamination": decontaminate.SQL,
+        "op8_quality_classifier": factorization.op8_quality_classifier,
+        "op9_warc": warc.op9_warc,
+        "op9_warc": warc.SQL,
         "op10_quality_rules": quality.SQL,
     }
