@@ -118,7 +118,10 @@ def measure(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRule
     out = out.withColumn(p + "n_repeat_words", _sum(gaps))
     failed = (c("n_words") < rules.min_words) | (100 * c("n_repeat_words") > rules.repeat_percent * c("n_words"))
     out = out.withColumn(p + "base_failed", failed)
-    out = out.withColumn(p + "kept", ~failed & (c("n_left") >= rules.left * c("n_words")))
+    # An id, which is never below 0, keeps filters above this projection: pushed down, they would evaluate the
+    # arrays above anew inside their own lambdas.
+    here = F.monotonically_increasing_id() >= 0
+    out = out.withColumn(p + "kept", here & ~failed & (c("n_left") >= rules.left * c("n_words")))
     return out.drop(*(p + x for x in ("words", "lines", "seen", "good", "sorted", "twice")))
 
 
