@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .shared import materialize, table, words
 
 MOST_PASSES = 3
-PART_DIGITS = 4  # hexadecimal digits of the draw that part a pattern: 65,536 parts
+PART_DIGITS = 3  # hexadecimal digits of the draw that part a pattern: 4,096 parts
 #: Patterns and sources are metadata; the flow graph is solved on the driver up to this many patterns.
 MOST_PATTERNS = 50_000
 
