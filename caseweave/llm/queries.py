@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, factorization, mixing, pii, quality, sharding, warc
+from . import chat, decontaminate, factorization, licenses, mixing, pii, quality, sharding, warc
 from .simhash import op1_simhash_near_dedup
 
 
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op2_mixing": mixing.op2_mixing,
         "op3_chat_format": chat.op3_chat_format,
         "op4_pii_surrogates": pii.op4_pii_surrogates,
+        "op5_license_scan": licenses.op5_license_scan,
         "op6_sharding": sharding.op6_sharding,
         "op7_decontamination": decontaminate.op7_decontamination,
         "op8_quality_classifier": factorization.op8_quality_classifier,
