@@ -86,14 +86,30 @@ def transaction_strip(txns: DataFrame) -> DataFrame:
     )
 
 
+def count_later(visits: DataFrame, facts: DataFrame, name: str) -> DataFrame:
+    """visits (case_id, user_id, since, ...) with `name`: the facts (case_id, at) of the case strictly later than `since`.
+
+    Days after the visit's are counted by a suffix sum over daily counts; the visit's own day by a running count over
+    that day alone. So neither pairs of visits and facts nor a whole case meet in one task."""
+    us = lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col(c))
+    day = lambda c: F.floor(us(c) / 86_400_000_000).alias("day")
+    rest = visits.columns
+    v = visits.select(F.struct(*rest).alias("v"), "case_id", us("since").alias("t"), day("since"), F.lit(0).alias("fact"))
+    f = facts.where("at IS NOT NULL").select(F.lit(None).cast(v.schema["v"].dataType).alias("v"), "case_id", us("at").alias("t"), day("at"), F.lit(1).alias("fact"))
+    later = Window.partitionBy("case_id", "day").orderBy(-F.col("t")).rangeBetween(Window.unboundedPreceding, -1)
+    own = v.unionByName(f).withColumn("own", F.coalesce(F.sum("fact").over(later), F.lit(0))).where("fact = 0")
+    daily = v.select("case_id", "day", "fact").unionByName(f.select("case_id", "day", "fact")).groupBy("case_id", "day").agg(F.sum("fact").alias("n"))
+    after = Window.partitionBy("case_id").orderBy(F.desc("day")).rowsBetween(Window.unboundedPreceding, -1)
+    daily = daily.withColumn("after", F.coalesce(F.sum("n").over(after), F.lit(0))).select(F.col("case_id").alias("_c"), F.col("day").alias("_d"), "after")
+    out = own.join(daily, F.col("case_id").eqNullSafe(F.col("_c")) & F.col("day").eqNullSafe(F.col("_d")))
+    return out.select("v.*", (F.col("own") + F.col("after")).alias(name))
+
+
 def whats_new(visits: DataFrame, facts: dict[str, DataFrame]) -> DataFrame:
     """Per reader and case: rows of each fact later than the reader's last visit. facts: name -> (case_id, at)."""
-    out = visits
     for name, rows in facts.items():
-        joined = visits.select("case_id", "user_id", "since").join(rows.select(F.col("case_id").alias("_c"), "at"), F.col("case_id") == F.col("_c"), "left")
-        n = joined.groupBy(F.col("case_id").alias("_c"), F.col("user_id").alias("_u")).agg(F.count_if(F.col("at") > F.col("since")).alias(f"new_{name}"))
-        out = out.join(n, (F.col("case_id") == F.col("_c")) & F.col("user_id").eqNullSafe(F.col("_u"))).drop("_c", "_u")
-    return out
+        visits = count_later(visits, rows, f"new_{name}")
+    return visits
 
 
 def provider_timing(runs: DataFrame) -> DataFrame:

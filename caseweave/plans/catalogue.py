@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evidence_queries, standins, temporal_queries  # noqa: F401
+from . import evidence_queries, record_queries, standins, temporal_queries  # noqa: F401
 
 
 def queries() -> dict:

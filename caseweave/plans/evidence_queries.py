@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scores
@@ -41,8 +44,8 @@ def page_relations(spark, sf):
 @query("page_records", "SELECT o_orderkey, o_orderdate, (SELECT count(*) FROM orders) AS total FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50 OFFSET 50")
 def page_records(spark, sf):
     o = s.read(spark, sf, "orders").select("o_orderkey", "o_orderdate")
-    total = o.agg(F.count("*").alias("total"))  # one row
-    return rollups.page(o, [F.desc("o_orderdate"), F.asc("o_orderkey")], 50, 50).crossJoin(F.broadcast(total))
+    rows = rollups.page(o, [F.desc("o_orderdate"), F.asc("o_orderkey")], 50, 50)
+    return rows.withColumn("total", o.agg(F.count("*")).scalar())
 
 
 @query("page_review_queue", """
@@ -352,11 +355,10 @@ def txn_strip(spark, sf):
 
 @query("case_summary_counts", "SELECT * FROM (SELECT count(*) AS events FROM events), (SELECT count(*) AS documents FROM documents), (SELECT count(*) AS orders FROM orders), (SELECT count(*) AS pages FROM pages)")
 def case_summary_counts(spark, sf):
-    out = None
-    for name in ("events", "documents", "orders", "pages"):
-        n = s.read(spark, sf, name).agg(F.count("*").alias(name))  # one row each
-        out = n if out is None else out.crossJoin(n)
-    return out
+    names = ("events", "documents", "orders", "pages")
+    counts = [s.read(spark, sf, t).agg(F.count("*").alias("n")).withColumn("t", F.lit(t)) for t in names]
+    rows = reduce(DataFrame.unionByName, counts)
+    return rows.agg(*(F.max(F.when(F.col("t") == t, F.col("n"))).alias(t) for t in names))
 
 
 @query("whats_new", """
@@ -364,7 +366,6 @@ WITH v AS (SELECT user_id, 0 AS case_id, min(ts) + INTERVAL 15 DAY AS since FROM
 SELECT case_id, user_id, since, (SELECT count(*) FROM events WHERE ts > since AND event_type = 'purchase') AS new_purchases, (SELECT count(*) FROM events WHERE ts > since AND event_type = 'error') AS new_errors FROM v
 """)
 def whats_new(spark, sf):
-    """Readers by last visit; facts are few per case here. The join is an equi-join on the case."""
     e = s.read(spark, sf, "events")
     visits = e.groupBy("user_id").agg(F.min("ts").alias("t")).select(F.lit(0).alias("case_id"), "user_id", (F.col("t") + F.expr("INTERVAL 15 DAYS")).alias("since"))
     at = lambda kind: e.where(F.col("event_type") == kind).select(F.lit(0).alias("case_id"), F.col("ts").alias("at"))
