@@ -3,7 +3,7 @@
 Detected values are listed once each. A value's surrogate is its successor on a keyed cycle through all
 strings of the same shape (separators kept; digits, letters, hexadecimal digits, vowels and consonants of a
 script each among themselves), so different values of a shape never share one. Surrogates are then checked
-against all detected values and walk on along the cycle while they meet one, which keeps them distinct.
+against all detected values and against each other, and drawn again on another cycle where they collide.
 Given names keep their last letter, which marks gender in many languages; titles stay; all tokens of a name
 are replaced one by one, so that a full name and its surname alone still agree.
 """
@@ -117,8 +117,8 @@ def _luhn(digits: str) -> int:
     return -total % 10
 
 
-def successor(kind: str, value: str, key: bytes) -> str:
-    """The next value of the same shape on the key's cycle. Never the value itself, if the shape has others."""
+def successor(kind: str, value: str, key: bytes, turn: int = 0) -> str:
+    """The next value of the same shape on the cycle of the key and turn. Never the value itself, if the shape has others."""
     if kind == "ip":
         sets, x, n = None, 0, 1 << 32
         for part in value.split("."):
@@ -132,7 +132,7 @@ def successor(kind: str, value: str, key: bytes) -> str:
         for s in sets:
             n *= len(s)
         x = _index(value, sets)
-    label = f"{kind}|{'|'.join(sets) if sets else ''}"
+    label = f"{kind}|{turn}|{'|'.join(sets) if sets else ''}"
     x = _walk(key, label, (_walk(key, label, x, n, False) + 1) % n, n, True)
     if kind == "ip":
         return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
@@ -200,34 +200,38 @@ def _detect(batches):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], ["hash", "found"])
 
 
-def _step(key: bytes):
+def _step(key: bytes, turn: int):
     def run(batches):
         for b in batches:
-            kinds, values, at = (c.to_pylist() for c in b.columns)
-            nxt = [successor(k, x, key) for k, x in zip(kinds, at, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(nxt, pa.string())], ["kind", "value", "surrogate"])
+            kinds, values = (c.to_pylist() for c in b.columns)
+            made = [successor(k, v, key, turn) for k, v in zip(kinds, values, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.string())], ["kind", "value", "surrogate"])
 
     return run
 
 
-def surrogates(values: DataFrame, key: bytes, rounds: int = 12) -> DataFrame:
-    """(kind, value, surrogate) for distinct (kind, value). A surrogate that is itself a detected value walks on
-    along its cycle, `rounds` times at most; where nearly all values of a shape occur it may stay one."""
+def surrogates(values: DataFrame, key: bytes, strict_turns: int = 40, turns: int = 80) -> DataFrame:
+    """(kind, value, surrogate) for distinct (kind, value), no surrogate twice within a kind.
+
+    Each turn draws by a cycle of its own. A draw that is itself a detected value, or that another value holds or
+    draws too (then the smallest value keeps it), is drawn again in the next turn. Values whose shape leaves no
+    free strings may after `strict_turns` turns take a detected one; if `turns` don't suffice, an error is raised."""
     schema = "kind string, value string, surrogate string"
-    open_ = values.withColumn("surrogate", F.col("value"))
-    done = None
-    real = values.select(F.col("kind").alias("_k"), F.col("value").alias("_v"))
-    for r in range(rounds):
-        stepped = materialize(open_.select("kind", "value", "surrogate").mapInArrow(_step(key), schema), "surrogates")
-        meets = (F.col("kind") == F.col("_k")) & (F.col("surrogate") == F.col("_v"))
-        free = stepped.join(real, meets, "left_anti")
-        if r == rounds - 1:
-            free = stepped
-        done = free if done is None else done.unionByName(free)
-        open_ = materialize(stepped.join(real, meets, "left_semi"), "met")
+    real = values.select("kind", F.col("value").alias("surrogate"))
+    open_, done = values, None
+    for turn in range(turns):
+        drawn = open_.mapInArrow(_step(key, turn), schema)
+        if turn < strict_turns:
+            drawn = drawn.join(real, ["kind", "surrogate"], "left_anti")
+        if done is not None:
+            drawn = drawn.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
+        won = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value")).select("kind", "value", "surrogate")
+        won = materialize(won, "surrogates")
+        done = won if done is None else done.unionByName(won)
+        open_ = materialize(open_.join(won.select("kind", "value"), ["kind", "value"], "left_anti"), "open")
         if not open_.take(1):
-            break
-    return done
+            return done
+    raise ValueError("a shape of personal data has too few strings for distinct surrogates")
 
 
 def replace(docs: DataFrame, key: str = "caseweave", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:

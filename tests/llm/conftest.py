@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
@@ -6,7 +8,9 @@ WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu x
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     """Nulls in every column, empty and very long texts, repeats, ties, and other columns with the operators' own names."""
-    prose = ". ".join(" ".join(WORDS[i:] + WORDS[:i]).capitalize() for i in range(8)) + "."
+    rng, parts = random.Random(4), [" ".join(WORDS)]
+    parts += [" ".join(rng.sample(WORDS, 20)) for _ in range(5)]
+    prose = ". ".join(parts) + "."
     rows = [
         (1, prose, "src0", 10),
         (1, prose, "src0", 10),

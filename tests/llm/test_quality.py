@@ -25,7 +25,7 @@ def test_counts_like_loops(spark):
 
 
 def test_lines_go_first(spark):
-    prose = "\n".join(f"This is line {i} of a clean text with words enough to stay, as it should." for i in range(10))
+    prose = "\n".join(" ".join(f"w{i * 17 % 101}x{j}" for j in range(i, i + 12)) + ", as it should." for i in range(10))
     junk = "\n".join(["Home | About | Contact | Login", "All rights reserved.", "BUY!! NOW!! BUY!! NOW!!", "a# b$ c% d& e*"])
     df = spark.createDataFrame([(1, prose), (2, prose + "\n" + junk), (3, prose[:300] + "\n" + "\n".join(f"X{i} | Y{i} | Z{i} |" for i in range(40)))], "doc_id long, text string")
     got = {r.doc_id: r for r in quality.measure(df).collect()}
