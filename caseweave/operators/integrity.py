@@ -30,6 +30,26 @@ def verify_chain(entries: DataFrame, keys: list[str], strict: bool = False) -> D
     return out.select(*keys, "entries", "hashed", status.alias("status"), F.col("_f.id").alias("first_break"), F.col("_f._bad").alias("reason"))
 
 
+def append_chain(entries: DataFrame, key: str) -> DataFrame:
+    """Seal the entries of each key (id, at, payload) in order: key, id, at, payload, previous_hash, event_hash. A chain is
+    sequential by nature, so one task takes one key."""
+    import hashlib
+
+    import pandas as pd
+
+    def seal(pdf: pd.DataFrame) -> pd.DataFrame:
+        out, last = [], None
+        for row in pdf.sort_values(["at", "id"]).itertuples(index=False):
+            h = hashlib.sha256(f"{row.payload}|{last or ''}".encode()).hexdigest()
+            out.append((*row, last, h))
+            last = h
+        return pd.DataFrame(out, columns=[*pdf.columns, "previous_hash", "event_hash"])
+
+    rows = entries.select(key, "id", "at", "payload")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", previous_hash string, event_hash string"
+    return rows.groupBy(key).applyInPandas(seal, schema)
+
+
 def ledger_verify(entries: DataFrame, keys: list[str]) -> DataFrame:
     """Per key the entries verified before the first failure; the first entry must have no predecessor."""
     found = verify_chain(entries, keys, strict=True)
