@@ -106,9 +106,10 @@ def tokens(col: Column) -> Column:
     return F.filter(F.split(F.lower(col), r"[^\p{L}\p{N}.+-]+|[.]+(?=\s|$)|[.]+(?=[^\p{L}\p{N}])"), lambda w: w != "")
 
 
-def _grams(words: Column, longest: int = 3) -> Column:
-    """Distinct 1- to 3-grams that hold a word which is not common."""
+def _grams(words: Column, cues: list[str] | None = None, longest: int = 3) -> Column:
+    """Distinct 1- to 3-grams that hold a word which is not common, or one of the cues."""
     common = F.array(*map(F.lit, sorted(set(COMMON))))
+    marks = F.array(*map(F.lit, cues)) if cues else None
     n = F.size(words)
 
     def slices(k: int) -> Column:
@@ -116,7 +117,10 @@ def _grams(words: Column, longest: int = 3) -> Column:
         return F.transform(at, lambda i: F.slice(words, i, k))
 
     parts = [slices(k) for k in range(1, longest + 1)]
-    every = F.filter(F.concat(*parts), lambda g: F.size(F.array_except(g, common)) > 0)
+    if marks is not None:
+        every = F.filter(F.concat(*parts), lambda g: F.arrays_overlap(g, marks))
+    else:
+        every = F.filter(F.concat(*parts), lambda g: F.size(F.array_except(g, common)) > 0)
     return F.array_distinct(F.transform(every, lambda g: F.array_join(g, " ")))
 
 
@@ -130,7 +134,7 @@ class LicenceModel:
     cues: list[str]
 
 
-def _examples(spark: SparkSession, paragraphs: DataFrame | None, most_ordinary: int) -> DataFrame:
+def _examples(spark: SparkSession, docs: DataFrame | None, id_col: str, text_col: str, most_docs: int) -> DataFrame:
     rows = [
         (family, f"{lead}{t}{tail}")
         for family, ts in TEMPLATES.items()
@@ -140,20 +144,23 @@ def _examples(spark: SparkSession, paragraphs: DataFrame | None, most_ordinary:
     ]
     rows += [(UNKNOWN, f"{lead}{t}{tail}") for t in ORDINARY for lead in LEADS for tail in TAILS]
     out = spark.createDataFrame(rows, "family string, text string").select("family", tokens(F.col("text")).alias("words"))
-    if paragraphs is not None:
-        cue = ~F.arrays_overlap("words", F.array(*map(F.lit, ("license", "licensed", "licence", "licensed", "rights", "copyright", "cc", "gpl"))))
-        some = paragraphs.where(cue & (F.size("words") > 0)).select(F.slice("words", 1, 60).alias("words"))
-        some = some.orderBy(F.xxhash64("words")).limit(most_ordinary)
-        out = out.unionByName(some.select(F.lit(UNKNOWN).alias("family"), "words"))
+    if docs is not None:
+        named = F.array(*map(F.lit, ("license", "licensed", "licence", "licenced", "rights", "copyright", "cc", "gpl")))
+        few = docs.select(F.col(id_col).alias("_few")).orderBy(F.xxhash64(F.col("_few").cast("string"))).limit(most_docs)
+        some = docs.join(F.broadcast(few), docs[id_col] == F.col("_few"), "left_semi")  # `most_docs` rows at most
+        some = paragraphs(some, id_col, text_col).where(~F.arrays_overlap("words", named) & (F.size("words") > 0))
+        out = out.unionByName(some.select(F.lit(UNKNOWN).alias("family"), F.slice("words", 1, 60).alias("words")))
     return out.withColumn("grams", _grams(F.col("words"))).withColumn("fold", F.pmod(F.xxhash64("grams"), F.lit(4)))
 
 
-def fit(spark: SparkSession, paragraphs: DataFrame | None = None, most_ordinary: int = 500, vocabulary: int = 6_000) -> LicenceModel:
-    """Train on the notices above and, as the unknown class, on ordinary ones and `most_ordinary` paragraphs (words)
-    of the corpus that hold no licence word. Those training rows alone are cut to 60 words."""
+def fit(
+    spark: SparkSession, docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", most_docs: int = 200, vocabulary: int = 6_000
+) -> LicenceModel:
+    """Train on the notices above and, as the unknown class, on ordinary ones and the paragraphs without a licence word of
+    `most_docs` documents, by a hash of their ids. Those training rows alone are cut to 60 words."""
     families = [UNKNOWN, *TEMPLATES]
     index = F.element_at(F.create_map(*(x for i, f in enumerate(families) for x in (F.lit(f), F.lit(float(i))))), F.col("family"))
-    data = materialize(_examples(spark, paragraphs, most_ordinary).withColumn("label", index), "examples").coalesce(1)
+    data = materialize(_examples(spark, docs, id_col, text_col, most_docs).withColumn("label", index), "examples").coalesce(1)
     known = data.where(F.col("family") != UNKNOWN)
     vectors = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=vocabulary, minDF=2, binary=True).fit(known)
     train = vectors.transform(data).select("label", "features", "fold").cache()
@@ -170,7 +177,8 @@ def fit(spark: SparkSession, paragraphs: DataFrame | None = None, most_ordinary:
     forms = spark.createDataFrame([(f, f"{f} {i}", t) for f, ts in TEMPLATES.items() for i, t in enumerate(ts)], "family string, template string, text string")
     forms = forms.withColumn("grams", _grams(tokens(F.col("text"))))
     forms = forms.select("family", "template", F.size("grams").alias("n_grams"), F.explode("grams").alias("gram"))
-    cues = sorted({w for g, _ in rows for w in g.split() if w not in COMMON})
+    notices = spark.createDataFrame([(t,) for ts in TEMPLATES.values() for t in ts], "t string").select(F.explode(tokens(F.col("t"))).alias("w"))
+    cues = sorted({w for g, _ in rows for w in g.split() if w not in COMMON} | {r.w for r in notices.distinct().collect() if r.w not in COMMON})
     model = LicenceModel(families, intercepts, 1.0, weights, forms, cues)
     held = data.where("fold = 0").select(F.monotonically_increasing_id().alias("p"), "label", "grams")
     logits = materialize(
@@ -221,8 +229,9 @@ def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col:
     cues = F.array(*map(F.lit, model.cues))
     # the id keeps the filter from being evaluated on the text before it is split once
     found = paragraphs(docs, id_col, text_col).withColumn("n", F.monotonically_increasing_id())
-    found = found.where(F.arrays_overlap("words", cues) & (F.col("n") >= 0)).select("p", "words").distinct()
-    found = materialize(found.select("p", _grams(F.col("words")).alias("grams")), "paragraphs")
+    found = found.where(F.arrays_overlap("words", cues) & (F.col("n") >= 0))
+    # an n-gram without a cue has no weight and stands in no template
+    found = materialize(found.select("p", _grams(F.col("words"), model.cues).alias("grams")).distinct(), "paragraphs")
     scored = _sums(found, model).select("p", *_logits(model))
     z = F.array(*(F.col(f"z{f}") / model.temperature for f in range(len(model.families))))
     top = F.array_max("z")
@@ -260,7 +269,7 @@ def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col:
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit(spark, paragraphs(docs, "doc_id", "text"))
+    model = fit(spark, docs)
     found = scan(docs, model).withColumn("family", F.when(F.col("confirmed"), F.col("family")))
     by_doc = found.groupBy("id", "digest").agg(
         F.count("*").alias("n_paragraphs"),
