@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import evidence_queries, record_queries, standins, temporal_queries, view_queries  # noqa: F401
+from . import evidence_queries, more_queries, record_queries, standins, temporal_queries, view_queries  # noqa: F401
 
 
 def queries() -> dict:
