@@ -464,7 +464,9 @@ def bridge_edges(spark, sf):
 
 @query("shortest_path")
 def shortest_path(spark, sf):
-    return graph.shortest_path(_small(spark, sf), "S1", "S2")
+    from ..operators.lineage import shared_checkpoint
+
+    return graph.shortest_path(_small(spark, sf), "S1", "S2", shared_checkpoint(spark))
 
 
 @query("weakly_connected_components", f"""

@@ -71,6 +71,11 @@ def test_graph_kernels(spark):
     p = graph.shortest_path(e, 1, 5).first()
     assert p.path == "1>3>4>5" and p.weakest == 0.5
     assert graph.shortest_path(e, 1, 99).first().reason
+    from caseweave.operators.lineage import shared_checkpoint
+
+    far = graph.shortest_path(e, 1, 5, shared_checkpoint(spark), most_nodes=2).first()
+    assert far == p
+    assert graph.shortest_path(e, 1, 99, shared_checkpoint(spark), most_nodes=2).first() == graph.shortest_path(e, 1, 99).first()
     assert {r.node: r.level for r in graph.bfs_levels(e, 1).collect()} == {1: 0, 2: 1, 3: 1, 4: 2, 5: 3, 6: 3}
     assert graph.ego_subgraph(e, 1, 1).count() == 3
 
