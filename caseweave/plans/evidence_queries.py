@@ -442,31 +442,26 @@ def network_overview(spark, sf):
     return graph.overview(graph.build_edges(s.relations(spark, sf)))
 
 
-def _small(spark, sf):
-    """Edges of large orders' suppliers, so that cases stay below the ceiling of the kernels."""
-    return graph.build_edges(s.relations(spark, sf), min_confidence=0.98)
-
-
 @query("node_measures")
 def node_measures(spark, sf):
-    return graph.node_measures(_small(spark, sf))
+    return graph.node_measures(graph.build_edges(s.relations(spark, sf)))
 
 
 @query("communities")
 def communities(spark, sf):
-    return graph.communities(_small(spark, sf))
+    return graph.communities(graph.build_edges(s.relations(spark, sf)))
 
 
 @query("bridge_edges")
 def bridge_edges(spark, sf):
-    return graph.bridge_edges(_small(spark, sf)).select("case_id", "u", "v", "weight", "n_evidence")
+    return graph.bridge_edges(graph.build_edges(s.relations(spark, sf))).select("case_id", "u", "v", "weight", "n_evidence")
 
 
 @query("shortest_path")
 def shortest_path(spark, sf):
     from ..operators.lineage import shared_checkpoint
 
-    return graph.shortest_path(_small(spark, sf), "S1", "S2", shared_checkpoint(spark))
+    return graph.shortest_path(graph.build_edges(s.relations(spark, sf)), "S1", "S2", shared_checkpoint(spark))
 
 
 @query("weakly_connected_components", f"""
@@ -477,7 +472,7 @@ SELECT case_id, node, min(seen) AS component FROM w GROUP BY 1, 2
 def weakly_connected_components(spark, sf):
     from ..operators.lineage import shared_checkpoint
 
-    return graph.node_components(_small(spark, sf), shared_checkpoint(spark))
+    return graph.node_components(graph.build_edges(s.relations(spark, sf), min_confidence=0.98), shared_checkpoint(spark))
 
 
 @query("set_union_visible", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
