@@ -1,8 +1,9 @@
 """The weighted case graph and what is read off it.
 
 Edges are (case_id, u, v, weight, observations, evidence, types) with u < v. Grouped kernels (betweenness, cut
-nodes, communities, paths) take one case at a time with at most `MOST_NODES` nodes, a ceiling that belongs to
-the measures: larger cases fall back to degree, which is plain SQL.
+nodes, communities, paths) take one case at a time. Given a `checkpoint` function (see lineage), cases of over
+`most_nodes` nodes go by rounds of joins instead (see rounds). The ceiling `MOST_NODES` belongs to betweenness
+alone: larger cases fall back to degree, which is plain SQL.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import rounds as by_joins
+
 MOST_NODES, MIN_WEIGHT = 1_500, 0.01
 
 
@@ -168,35 +171,57 @@ def cuts(adj: dict) -> tuple[set, set]:
     return points, bridges
 
 
-def node_measures(edges: DataFrame) -> DataFrame:
-    """case_id, node, betweenness, is_cut: one case at a time, up to MOST_NODES nodes; betweenness of larger cases is their
-    degree centrality, and their cut nodes are not looked for (null)."""
+def _by_size(edges: DataFrame, most_nodes: int) -> tuple[DataFrame, DataFrame]:
+    """Edges of the cases of up to `most_nodes` nodes, and of the larger ones."""
     sizes = ends(edges).groupBy(F.col("case_id").alias("_c")).agg(F.count_distinct("node").alias("n"))
-    small = edges.join(sizes.where(F.col("n") <= MOST_NODES), F.col("case_id") == F.col("_c"), "left_semi")
-    large = edges.join(sizes.where(F.col("n") > MOST_NODES), F.col("case_id") == F.col("_c"), "left_semi")
-    kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
+    big, same = sizes.where(F.col("n") > most_nodes).select("_c"), F.col("case_id") == F.col("_c")
+    return edges.join(big, same, "left_anti"), edges.join(big, same, "left_semi")
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        adj = _adjacency(pdf)
-        score, (points, _) = _brandes(adj), cuts(adj)
-        return pd.DataFrame({"case_id": pdf.case_id.iloc[0], "node": list(adj), "betweenness": [round(score[x], 6) for x in adj], "is_cut": [x in points for x in adj]})
-
-    schema = f"case_id {kinds['case_id']}, node {kinds['u']}, betweenness double, is_cut boolean"
-    near = small.select("case_id", "u", "v", "distance").groupBy("case_id").applyInPandas(kernel, schema)
-    far = degree_centrality(large).select("case_id", "node", F.col("centrality").alias("betweenness"), F.lit(None).cast("boolean").alias("is_cut"))
-    return near.unionByName(far)
 
+def node_measures(edges: DataFrame, checkpoint=None, most_nodes: int = MOST_NODES) -> DataFrame:
+    """case_id, node, betweenness, is_cut. Betweenness of cases of over `most_nodes` nodes is their degree centrality."""
+    if checkpoint is not None:
+        edges = checkpoint(edges)
+    small, large = _by_size(edges, most_nodes)
+    kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
 
-def bridge_edges(edges: DataFrame) -> DataFrame:
-    """Edges whose removal disconnects their case (up to MOST_NODES nodes a case)."""
-    sizes = ends(edges).groupBy(F.col("case_id").alias("_c")).agg(F.count_distinct("node").alias("n")).where(F.col("n") <= MOST_NODES)
+    def measured(whole: bool):
+        def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+            adj = _adjacency(pdf)
+            score, (points, _) = _brandes(adj) if whole else dict.fromkeys(adj), cuts(adj)
+            worth = pd.Series([None if score[x] is None else round(score[x], 6) for x in adj], dtype="float64")
+            return pd.DataFrame({"case_id": pdf.case_id.iloc[0], "node": list(adj), "betweenness": worth, "is_cut": [x in points for x in adj]})
+
+        schema = f"case_id {kinds['case_id']}, node {kinds['u']}, betweenness double, is_cut boolean"
+        return (small if whole else large).select("case_id", "u", "v", "distance").groupBy("case_id").applyInPandas(kernel, schema)
+
+    degree = degree_centrality(large).select("case_id", "node", F.col("centrality").alias("betweenness"))
+    if checkpoint is None:
+        far = degree.join(measured(False).select("case_id", "node", "is_cut"), ["case_id", "node"])
+    elif not large.take(1):
+        return measured(True)
+    else:
+        points = by_joins.cut_nodes(by_joins.blocks(large, checkpoint)).withColumn("_cut", F.lit(True))
+        far = degree.join(points, ["case_id", "node"], "left").select("case_id", "node", "betweenness", F.coalesce("_cut", F.lit(False)).alias("is_cut"))
+    return measured(True).unionByName(far)
+
+
+def bridge_edges(edges: DataFrame, checkpoint=None, most_nodes: int = MOST_NODES) -> DataFrame:
+    """Edges whose removal disconnects their case."""
+    if checkpoint is not None:
+        edges = checkpoint(edges)
+        small, large = _by_size(edges, most_nodes)
+        near = bridge_edges(small)
+        if not large.take(1):
+            return near
+        return near.unionByName(large.join(by_joins.bridges(by_joins.blocks(large, checkpoint)), ["case_id", "u", "v"], "left_semi").select(*near.columns))
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         _, found = cuts(_adjacency(pdf))
         return pdf[[(u, v) in found for u, v in zip(pdf.u, pdf.v, strict=True)]][["case_id", "u", "v"]]
 
-    rows = edges.join(sizes, F.col("case_id") == F.col("_c"), "left_semi").select("case_id", "u", "v", "distance")
+    rows = edges.select("case_id", "u", "v", "distance")
     found = rows.groupBy("case_id").applyInPandas(kernel, f"case_id {kinds['case_id']}, u {kinds['u']}, v {kinds['v']}")
     return edges.join(found, ["case_id", "u", "v"], "left_semi")
 
@@ -240,9 +265,12 @@ def louvain(weights: dict, seed: int = 7) -> dict:
         graph = {x: dict(ys) for x, ys in merged.items()}
 
 
-def communities(edges: DataFrame) -> DataFrame:
-    """case_id, node, community (its smallest member), per case up to MOST_NODES nodes."""
-    sizes = ends(edges).groupBy(F.col("case_id").alias("_c")).agg(F.count_distinct("node").alias("n")).where(F.col("n") <= MOST_NODES)
+def communities(edges: DataFrame, checkpoint=None, most_nodes: int = MOST_NODES) -> DataFrame:
+    """case_id, node, community (its smallest member)."""
+    if checkpoint is not None:
+        edges = checkpoint(edges)
+        small, large = _by_size(edges, most_nodes)
+        return communities(small).unionByName(by_joins.communities(large, checkpoint)) if large.take(1) else communities(small)
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -254,7 +282,7 @@ def communities(edges: DataFrame) -> DataFrame:
             least[c] = min(least.get(c, x), x)
         return pd.DataFrame({"case_id": pdf.case_id.iloc[0], "node": list(found), "community": [least[c] for c in found.values()]})
 
-    rows = edges.join(sizes, F.col("case_id") == F.col("_c"), "left_semi").select("case_id", "u", "v", F.col("weight").cast("double"))
+    rows = edges.select("case_id", "u", "v", F.col("weight").cast("double"))
     return rows.groupBy("case_id").applyInPandas(kernel, f"case_id {kinds['case_id']}, node {kinds['u']}, community {kinds['u']}")
 
 
@@ -294,10 +322,7 @@ def shortest_path(edges: DataFrame, source, target, checkpoint=None, most_nodes:
     Cases of up to `most_nodes` nodes are solved one at a time; larger ones, given a `checkpoint` function (see lineage),
     by rounds of joins."""
     if checkpoint is not None:
-        sizes = ends(edges).groupBy(F.col("case_id").alias("_c")).agg(F.count_distinct("node").alias("n"))
-        big = sizes.where(F.col("n") > most_nodes).select("_c")
-        same = F.col("case_id") == F.col("_c")
-        small, large = edges.join(big, same, "left_anti"), edges.join(big, same, "left_semi")
+        small, large = _by_size(edges, most_nodes)
         return shortest_path(small, source, target).unionByName(far_path(large, source, target, checkpoint))
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
 
@@ -333,12 +358,15 @@ def shortest_path(edges: DataFrame, source, target, checkpoint=None, most_nodes:
     return rows.groupBy("case_id").applyInPandas(kernel, schema)
 
 
-def eigenvector(edges: DataFrame, rounds: int = 500, close: float = 1e-6) -> DataFrame:
-    """case_id, node, score: weighted power iteration per case up to MOST_NODES nodes, the degree centrality where it does
-    not settle in `rounds`."""
+def eigenvector(edges: DataFrame, rounds: int = 500, close: float = 1e-6, checkpoint=None, most_nodes: int = MOST_NODES) -> DataFrame:
+    """case_id, node, score: weighted power iteration per case, the degree centrality where it does not settle in `rounds`."""
     import numpy as np
 
-    sizes = ends(edges).groupBy(F.col("case_id").alias("_c")).agg(F.count_distinct("node").alias("n")).where(F.col("n") <= MOST_NODES)
+    if checkpoint is not None:
+        edges = checkpoint(edges)
+        small, large = _by_size(edges, most_nodes)
+        near = eigenvector(small, rounds, close)
+        return near.unionByName(by_joins.eigenvector(large, checkpoint, rounds, close)) if large.take(1) else near
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -359,7 +387,7 @@ def eigenvector(edges: DataFrame, rounds: int = 500, close: float = 1e-6) -> Dat
             x = (a > 0).sum(axis=1) / max(1, len(nodes) - 1)
         return pd.DataFrame({"case_id": pdf.case_id.iloc[0], "node": nodes, "score": np.round(x, 6)})
 
-    rows = edges.join(sizes, F.col("case_id") == F.col("_c"), "left_semi").select("case_id", "u", "v", F.col("weight").cast("double"))
+    rows = edges.select("case_id", "u", "v", F.col("weight").cast("double"))
     return rows.groupBy("case_id").applyInPandas(kernel, f"case_id {kinds['case_id']}, node {kinds['u']}, score double")
 
 

@@ -444,17 +444,23 @@ def network_overview(spark, sf):
 
 @query("node_measures")
 def node_measures(spark, sf):
-    return graph.node_measures(graph.build_edges(s.relations(spark, sf)))
+    from ..operators.lineage import shared_checkpoint
+
+    return graph.node_measures(graph.build_edges(s.relations(spark, sf)), shared_checkpoint(spark))
 
 
 @query("communities")
 def communities(spark, sf):
-    return graph.communities(graph.build_edges(s.relations(spark, sf)))
+    from ..operators.lineage import shared_checkpoint
+
+    return graph.communities(graph.build_edges(s.relations(spark, sf)), shared_checkpoint(spark))
 
 
 @query("bridge_edges")
 def bridge_edges(spark, sf):
-    return graph.bridge_edges(graph.build_edges(s.relations(spark, sf))).select("case_id", "u", "v", "weight", "n_evidence")
+    from ..operators.lineage import shared_checkpoint
+
+    return graph.bridge_edges(graph.build_edges(s.relations(spark, sf)), shared_checkpoint(spark)).select("case_id", "u", "v", "weight", "n_evidence")
 
 
 @query("shortest_path")

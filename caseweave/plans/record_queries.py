@@ -77,9 +77,11 @@ def rule_shared_device(spark, sf):
 
 @query("rule_bridge_entity")
 def rule_bridge_entity(spark, sf):
+    from ..operators.lineage import shared_checkpoint
+
     e = graph.build_edges(s.relations(spark, sf))
     evidence = graph.ends(e).groupBy("case_id", "node").agg(F.sum("n_evidence").alias("n_evidence"))
-    return rules.bridge_entity(graph.node_measures(e), evidence)
+    return rules.bridge_entity(graph.node_measures(e, shared_checkpoint(spark)), evidence)
 
 
 @query("evaluate_alerts", f"""

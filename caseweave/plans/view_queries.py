@@ -176,7 +176,9 @@ def focus_graph(spark, sf):
 
 @query("eigenvector_centrality")
 def eigenvector_centrality(spark, sf):
-    return graph.eigenvector(graph.build_edges(s.relations(spark, sf)))
+    from ..operators.lineage import shared_checkpoint
+
+    return graph.eigenvector(graph.build_edges(s.relations(spark, sf)), checkpoint=shared_checkpoint(spark))
 
 
 @query("consecutive_pairs", "SELECT user_id, event_id, nxt FROM (SELECT user_id, event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) WHERE nxt IS NOT NULL")

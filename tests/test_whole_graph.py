@@ -1,8 +1,11 @@
 """Graph queries read every unrejected relation, and cases of any size."""
 
+import random
+
 import pytest
 
 from caseweave.operators import graph
+from caseweave.operators.lineage import shared_checkpoint
 from caseweave.plans import catalogue, standins
 
 
@@ -22,3 +25,59 @@ def test_bridge_query_covers_the_whole_graph(spark, sf_dir):
 def test_path_query_covers_the_whole_graph(spark, sf_dir):
     cases = graph.build_edges(standins.relations(spark, sf_dir)).select("case_id").distinct().count()
     assert catalogue.queries()["shortest_path"](spark, sf_dir).count() == cases
+
+
+@pytest.fixture(scope="module")
+def odd_edges(spark):
+    """A tree, a ring with tails, two triangles that share a node, two parts, and a random graph with and without cut nodes."""
+    rng = random.Random(3)
+    cases = [
+        [(1, 2), (2, 3), (2, 4), (4, 5)],
+        [(1, 2), (2, 3), (3, 4), (1, 4), (4, 5), (5, 6)],
+        [(1, 2), (2, 3), (1, 3), (3, 4), (4, 5), (3, 5)],
+        [(1, 2), (3, 4), (4, 5), (3, 5), (5, 6)],
+        *(sorted({tuple(sorted(rng.sample(range(n), 2))) for _ in range(m)}) for n, m in [(30, 32), (30, 45), (30, 90)]),
+    ]
+    rows = [(c, u, v, w, 1, 1, "X", 1 / w) for c, es in enumerate(cases) for u, v in es for w in [rng.randint(2, 10) / 10]]
+    return spark.createDataFrame(rows, "case_id int, u int, v int, weight double, observations long, n_evidence long, relation_types string, distance double").cache()
+
+
+def test_cuts_and_bridges_by_joins_match_the_kernel(spark, odd_edges):
+    cut = shared_checkpoint(spark)
+    pick = lambda df: sorted((r.case_id, r.node) for r in df.where("is_cut").collect())
+    assert pick(graph.node_measures(odd_edges, cut, most_nodes=2)) == pick(graph.node_measures(odd_edges)) != []
+    pairs = lambda df: sorted((r.case_id, r.u, r.v) for r in df.collect())
+    assert pairs(graph.bridge_edges(odd_edges, cut, most_nodes=2)) == pairs(graph.bridge_edges(odd_edges)) != []
+
+
+def test_eigenvector_by_joins_matches_the_kernel(spark, odd_edges):
+    few = odd_edges.where("case_id IN (1, 3, 6)")
+    got = {(r.case_id, r.node): r.score for r in graph.eigenvector(few, 40, 1e-3, shared_checkpoint(spark), 2).collect()}
+    want = {(r.case_id, r.node): r.score for r in graph.eigenvector(few, 40, 1e-3).collect()}
+    assert got == pytest.approx(want, abs=2e-6)
+
+
+def modularity(pdf, label):
+    total, inner, tot = 2 * pdf.weight.sum(), 0.0, {}
+    for u, v, w in zip(pdf.u, pdf.v, pdf.weight):
+        inner += 2 * w * (label[u] == label[v])
+        for x in (u, v):
+            tot[label[x]] = tot.get(label[x], 0) + w
+    return inner / total - sum(t * t for t in tot.values()) / total**2
+
+
+def test_communities_by_joins_are_as_good_as_the_kernels(spark, odd_edges):
+    few = odd_edges.where("case_id IN (2, 3, 5)")
+    by_joins, kernel = graph.communities(few, shared_checkpoint(spark), 2).toPandas(), graph.communities(few).toPandas()
+    assert len(by_joins) == len(kernel)
+    for case, pdf in few.toPandas().groupby("case_id"):
+        a, b = (dict(x[x.case_id == case][["node", "community"]].values.tolist()) for x in (by_joins, kernel))
+        assert modularity(pdf, a) > 0.9 * modularity(pdf, b)
+        assert all(a[c] == c <= x for x, c in a.items())
+
+
+def test_large_cases_without_checkpoint_are_whole(spark):
+    n = graph.MOST_NODES + 100
+    e = spark.range(1, n).selectExpr("0 AS case_id", "int(id) AS u", "int(id) + 1 AS v", "1.0D AS weight", "1.0D AS distance")
+    assert graph.bridge_edges(e).count() == n - 1 and graph.communities(e).count() == graph.eigenvector(e, 3).count() == n
+    assert graph.node_measures(e).where("is_cut").count() == n - 2
