@@ -13,6 +13,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import sys
+import unicodedata
 from functools import lru_cache
 
 import pyarrow as pa
@@ -42,8 +44,11 @@ PATTERN = re.compile(
     |\b(?i:(?P<title>{_TITLE}))\.?[ \t]+(?P<name>[^\W\d_a-zа-яα-ω][\w'’-]*(?:[ \t]+[^\W\d_a-zа-яα-ω][\w'’-]*){{0,2}})""",
     re.VERBOSE,
 )
-#: Every match holds a digit, an at sign or a title; texts without any are left alone by a Spark filter.
-HINT = r"(?iu)[0-9@]|(^|[^\p{L}])(" + "|".join(map(re.escape, TITLES)) + r")(\.|[ \t])"
+#: The decimal digits of all scripts, which \d takes here, as ranges of ten that Java reads alike.
+_DECIMALS = "".join(f"{chr(i)}-{chr(i + 9)}" for i in range(sys.maxunicode) if unicodedata.decimal(chr(i), None) == 0)
+#: Every match holds a decimal digit, an at sign, a key's prefix and letters or a title; texts without any are left alone by a
+#: Spark filter.
+HINT = rf"(?iu)[@{_DECIMALS}]|akia[a-z]{{16}}|sk-[a-z]{{20}}|gh[pousr]_[a-z]{{30}}|(^|[^\p{{L}}])(" + "|".join(map(re.escape, TITLES)) + r")(\.|[ \t])"
 
 DIGITS, LOWER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
 #: Vowels and consonants by script, for names.
@@ -53,8 +58,33 @@ SCRIPTS = [
 ]
 
 
+@lru_cache(1 << 12)
+def _neighbours(c: str) -> str:
+    """The letters or digits of the script of `c`: its ten decimal digits, or those of its category in its run of 128 code points
+    (256 from the CJK ideographs on)."""
+    if not c.isalnum():
+        return c
+    if c.isdecimal():
+        zero = ord(c) - unicodedata.decimal(c)
+        return "".join(map(chr, range(zero, zero + 10)))
+    width = 256 if ord(c) >= 0x3400 else 128
+    first, sort = ord(c) // width * width, unicodedata.category(c)
+    run = [d for d in map(chr, range(first, first + width)) if d.isalnum() and unicodedata.category(d) == sort]
+    if sort == "Ll":
+        run = [d for d in run if len(d.upper()) == 1 and d.upper().lower() == d]
+    return "".join(run) if c in run and len(run) > 1 else c + LOWER
+
+
 def _alphabets(kind: str, value: str) -> list[str]:
-    """For each character, the characters that may stand in its place; one that stays stands for itself alone."""
+    """For each character, the characters that may stand in its place; one that stays stands for itself alone. What a kind keeps
+    (the end of a given name or an address) gives way if nothing else could change."""
+    out = _shape(kind, value)
+    if all(len(g) == 1 for g in out) and kind.startswith(("given", "email")):
+        out = _shape("surname", value)
+    return out
+
+
+def _shape(kind: str, value: str) -> list[str]:
     out = []
     keep_from = value.rfind(".") if kind == "email" else len(value)
     for i, c in enumerate(value):
@@ -62,15 +92,20 @@ def _alphabets(kind: str, value: str) -> list[str]:
         if kind.startswith("given") and i == len(value) - 1 or i >= keep_from or (kind == "iban" and i < 2):
             group = c
         elif kind.startswith(("given", "surname")):
-            group = next((g for s in SCRIPTS for g in s if low in g), c)
+            group = next((g for s in SCRIPTS for g in s if low in g), None)
         elif kind == "hex" and low in HEX:
             group = HEX
         elif c in DIGITS:
             group = DIGITS
         elif low in LOWER and len(low) == 1 and not (kind == "key" and i < 4):
             group = LOWER
-        else:
+        elif kind == "key" and i < 4:
             group = c
+        else:
+            group = None
+        if group is None:
+            out.append(_neighbours(c))
+            continue
         out.append(group.upper() if c != low and group != c and group != HEX else group)
     return [HEX.upper() if g == HEX and value != value.lower() else g for g in out]
 
@@ -215,12 +250,12 @@ def surrogates(values: DataFrame, key: bytes, strict_turns: int = 40, turns: int
 
     Each turn draws by a cycle of its own. A draw that is itself a detected value, or that another value holds or
     draws too (then the smallest value keeps it), is drawn again in the next turn. Values whose shape leaves no
-    free strings may after `strict_turns` turns take a detected one; if `turns` don't suffice, an error is raised."""
+    free strings may after `strict_turns` turns take a detected one, but never their own; if `turns` don't suffice, an error is raised."""
     schema = "kind string, value string, surrogate string"
     real = values.select("kind", F.col("value").alias("surrogate"))
     open_, done = values, None
     for turn in range(turns):
-        drawn = open_.mapInArrow(_step(key, turn), schema)
+        drawn = open_.mapInArrow(_step(key, turn), schema).where("surrogate <> value")
         if turn < strict_turns:
             drawn = drawn.join(real, ["kind", "surrogate"], "left_anti")
         if done is not None:
@@ -237,7 +272,7 @@ def surrogates(values: DataFrame, key: bytes, strict_turns: int = 40, turns: int
 def replace(docs: DataFrame, key: str = "caseweave", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(docs with replaced texts and, last, _cw_entities: how many values were replaced; the surrogate table).
 
-    Texts without a digit, at sign or title pass unread by Python and unshuffled. Equal texts are searched
+    Texts without a digit, at sign, key prefix or title pass unread by Python and unshuffled. Equal texts are searched
     once. Null and empty texts stay as they are. Rows and other columns stay, repeated ones too; columns
     that begin with _cw_ are reserved. An empty table gives no rows.
     """

@@ -80,3 +80,19 @@ def test_odd_rows(spark, odd_docs, no_docs):
     rows = {r.size: r for r in out.collect()}
     assert rows[3].text is None and rows[4].text == "" and "a@b.example.com" not in rows[8].text and rows[8]._cw_entities == 1
     assert pii.replace(no_docs)[0].count() == 0
+
+
+def test_keys_without_digits_and_other_scripts_are_replaced(spark):
+    texts = [
+        "token AKIA" + "ABCDEFGHIJKLMNOP", "use sk-" + "abcdefghijklmnopqrst", "ghp_" + "a" * 30, "Dr. 王小明 came", "Dr. 王 came", "Dr. משה came", "Mr. محمد came",
+        "call ٥٥٥-٠١٠-٩٩٩٩ now", "王小明@mail.example.com", "Mr. A Łęcki", "_@-.com", "Mrs. Ōno",
+    ]
+    out, table = pii.replace(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    got = {r.doc_id: r for r in out.collect()}
+    for i, text in enumerate(texts):
+        found = pii.entities(text)
+        assert found and got[i]._cw_entities == len(found)
+        assert got[i].text != text and len(got[i].text) == len(text)
+        assert all(text[s:e] != got[i].text[s:e] for s, e, _, _ in found)
+    assert "王" not in got[3].text and "小明" not in got[8].text
+    assert all(r.surrogate != r.value for r in table.collect())
