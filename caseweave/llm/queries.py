@@ -26,8 +26,6 @@ def oracle_sql() -> dict:
         "op2_mixing": mixing.SQL,
         "op6_sharding": sharding.SQL,
         "op7_decontamination": decontaminate.SQL,
-        "op8_quality_classifier": factorization.op8_quality_classifier,
-        "op9_warc": warc.op9_warc,
         "op9_warc": warc.SQL,
         "op10_quality_rules": quality.SQL,
     }

@@ -48,3 +48,9 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert {r.score for r in fm.score(odd_docs, nothing).collect()} == {0.5}
     plain = fm.score(odd_docs.drop("n_chars"), m)
     assert plain.where(F.col("score").isNull()).count() == 0
+
+
+def test_registered_sql_is_text():
+    from caseweave.llm import queries
+
+    assert all(isinstance(sql, str) for sql in queries.oracle_sql().values())
