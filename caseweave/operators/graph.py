@@ -8,7 +8,7 @@ alone: larger cases fall back to degree, which is plain SQL.
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
+from collections import defaultdict
 from heapq import heappop, heappush
 
 import pandas as pd
@@ -79,14 +79,14 @@ def bfs_levels(edges: DataFrame, root: str | int, depth: int = 6) -> DataFrame:
     return seen
 
 
-def node_components(edges: DataFrame, checkpoint, rounds: int = 40) -> DataFrame:
-    """case_id, node, component (its smallest node) by label propagation with pointer jumping.
+def node_components(edges: DataFrame, checkpoint) -> DataFrame:
+    """case_id, node, component (its smallest node) by label propagation with pointer jumping, until no label changes.
 
     checkpoint: a function that cuts lineage, such as DataFrame.checkpoint."""
     both = ends(edges).select("case_id", "node", "other")
     labels = both.groupBy("case_id", "node").agg(F.least("node", F.min("other")).alias("label"))
     labels = checkpoint(labels)
-    for _ in range(rounds):
+    while True:
         of = labels.select("case_id", F.col("node").alias("other"), F.col("label").alias("near"))
         low = both.join(of, ["case_id", "other"]).groupBy("case_id", "node").agg(F.min("near").alias("near"))
         step = labels.join(low, ["case_id", "node"]).select("case_id", "node", F.least("label", "near").alias("label"), F.col("label").alias("was"))
@@ -286,21 +286,22 @@ def communities(edges: DataFrame, checkpoint=None, most_nodes: int = MOST_NODES)
     return rows.groupBy("case_id").applyInPandas(kernel, f"case_id {kinds['case_id']}, node {kinds['u']}, community {kinds['u']}")
 
 
-def far_path(edges: DataFrame, source, target, checkpoint, rounds: int = 64) -> DataFrame:
-    """shortest_path for cases of any size: each round extends the best known paths by one edge, until none improves."""
+def far_path(edges: DataFrame, source, target, checkpoint) -> DataFrame:
+    """shortest_path for cases of any size: each round extends the best known paths by one edge, until none improves.
+    Of equal distances the path that comes first in order wins, as in the kernel."""
     both = ends(edges).select("case_id", "node", "other", "distance", "weight")
     start = both.where(F.col("node") == source).select("case_id", "node").distinct()
     best = start.select("case_id", "node", F.struct(F.lit(0.0).alias("d"), F.array("node").alias("path"), F.lit(1.0).alias("w")).alias("b"))
     best = front = checkpoint(best)
-    for _ in range(rounds):
+    while True:
         goal = best.where(F.col("node") == target).select("case_id", F.col("b.d").alias("goal"))
         step = both.join(front, ["case_id", "node"]).where(~F.array_contains("b.path", F.col("other")))
         step = step.select("case_id", F.col("other").alias("node"), F.struct(
             (F.col("b.d") + F.col("distance")).alias("d"), F.array_append("b.path", F.col("other")).alias("path"), F.least("b.w", F.col("weight").cast("double")).alias("w")).alias("n"))
         step = step.groupBy("case_id", "node").agg(F.min("n").alias("n")).join(goal, "case_id", "left")
-        step = step.where(F.col("goal").isNull() | (F.col("n.d") < F.col("goal"))).drop("goal")
+        step = step.where(F.col("goal").isNull() | (F.col("n.d") <= F.col("goal"))).drop("goal")
         merged = best.join(step, ["case_id", "node"], "full_outer")
-        better = F.coalesce(F.col("n.d") < F.col("b.d"), F.col("b").isNull())
+        better = F.col("n").isNotNull() & (F.col("b").isNull() | (F.col("n") < F.col("b")))
         merged = checkpoint(merged.select("case_id", "node", F.when(better, F.col("n")).otherwise(F.col("b")).alias("b"), better.alias("new")))
         best, front = merged.drop("new"), merged.where("new").drop("new")
         if not front.take(1):
@@ -333,23 +334,21 @@ def shortest_path(edges: DataFrame, source, target, checkpoint=None, most_nodes:
         if source not in adj or target not in adj:
             row["reason"] = "an end has no relations here"
         else:
-            done, heap = {}, [(0.0, source, None)]
+            done, heap = {}, [(0.0, (source,))]
             while heap and target not in done:
-                d, x, frm = heappop(heap)
+                d, path = heappop(heap)
+                x = path[-1]
                 if x in done:
                     continue
-                done[x] = (d, frm)
+                done[x] = (d, path)
                 for y, w in adj[x].items():
                     if y not in done:
-                        heappush(heap, (d + w, y, x))
+                        heappush(heap, (d + w, (*path, y)))
             if target not in done:
                 row["reason"] = "no chain of relations joins them"
             else:
-                path, x = deque([target]), target
-                while done[x][1] is not None:
-                    x = done[x][1]
-                    path.appendleft(x)
-                links = [weight[min(a, b), max(a, b)] for a, b in zip(path, list(path)[1:], strict=False)]
+                path = done[target][1]
+                links = [weight[min(a, b), max(a, b)] for a, b in zip(path, path[1:], strict=False)]
                 row |= dict(found=True, path=">".join(map(str, path)), distance=round(done[target][0], 6), weakest=min(links, default=None))
         return pd.DataFrame([row])
 

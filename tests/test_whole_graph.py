@@ -81,3 +81,17 @@ def test_large_cases_without_checkpoint_are_whole(spark):
     e = spark.range(1, n).selectExpr("0 AS case_id", "int(id) AS u", "int(id) + 1 AS v", "1.0D AS weight", "1.0D AS distance")
     assert graph.bridge_edges(e).count() == n - 1 and graph.communities(e).count() == graph.eigenvector(e, 3).count() == n
     assert graph.node_measures(e).where("is_cut").count() == n - 2
+
+
+def test_far_paths_have_no_round_limit_and_break_ties_like_the_kernel(spark):
+    chain = [(0, i, i + 1, 1.0, 1.0) for i in range(1, 67)]
+    ties = [(1, 1, 9, 1.0, 1.0), (1, 9, 67, 1.0, 2.0), (1, 1, 2, 1.0, 1.0), (1, 2, 3, 1.0, 1.0), (1, 3, 67, 1.0, 1.0), (1, 1, 67, 0.2, 5.0), (1, 1, 3, 1.0, 2.0)]
+    e = spark.createDataFrame(chain + ties, "case_id int, u int, v int, weight double, distance double").cache()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        far = sorted(graph.shortest_path(e, 1, 67, shared_checkpoint(spark), most_nodes=2).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert far == sorted(graph.shortest_path(e, 1, 67).collect())
+    assert far[0].found and far[0].distance == 66 and far[1].path == "1>2>3>67"
