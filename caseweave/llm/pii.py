@@ -1,34 +1,34 @@
 """Surrogates for personal data: keyed, consistent over the corpus, of the same type and format.
 
-Detected values are listed once each. A value's surrogate is its successor on a keyed cycle through all
-strings of the same shape (separators kept; digits, letters, hexadecimal digits, vowels and consonants of a
-script each among themselves), so different values of a shape never share one. Surrogates are then checked
-against all detected values and against each other, and drawn again on another cycle where they collide.
-Given names keep their last letter, which marks gender in many languages; titles stay; all tokens of a name
-are replaced one by one, so that a full name and its surname alone still agree.
+Detected values are listed once each, by what makes two mentions one entity: digits with the country for phones, the
+lower-cased token for names whatever their title, and so on. Numbers, addresses and keys get the successor of their value on
+a keyed cycle through all strings of the same shape (script, separators, country, issuer and check digits kept), so that
+different values of a shape never share one. Names get drawn syllables of their script, with an ending of the gender that
+titles over the whole corpus state. Surrogates are checked against all detected values and each other, and drawn again where
+they collide: names grow longer, shapes without a free string are dealt anew as a whole. No value ever stands for itself.
 """
 
 from __future__ import annotations
 
 import hashlib
-import hmac
 import re
-import sys
+import secrets
 import unicodedata
-from functools import lru_cache
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .shared import materialize, table
+from .shared import free_names, materialize, table
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: Titles before personal names, with the gender they state.
 TITLES = {
-    "mr": "m", "mister": "m", "herr": "m", "monsieur": "m", "señor": "m", "sr": "m", "don": "m", "г-н": "m", "господин": "m", "κύριος": "m",
-    "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "madame": "f", "mme": "f", "señora": "f", "sra": "f", "doña": "f", "г-жа": "f",
-    "госпожа": "f", "κυρία": "f", "dr": "u", "prof": "u", "professor": "u",
+    "mr": "m", "mister": "m", "sir": "m", "herr": "m", "monsieur": "m", "señor": "m", "sr": "m", "don": "m", "signor": "m", "г-н": "m",
+    "господин": "m", "κύριος": "m", "mrs": "f", "ms": "f", "miss": "f", "lady": "f", "frau": "f", "madame": "f", "mme": "f",
+    "señora": "f", "sra": "f", "doña": "f", "signora": "f", "г-жа": "f", "госпожа": "f", "κυρία": "f", "dr": "u", "prof": "u", "professor": "u",
 }
 _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
 PATTERN = re.compile(
@@ -41,24 +41,36 @@ PATTERN = re.compile(
         |(?<![\d+])\+\d{{1,3}}(?:[ .-]?\d{{2,4}}){{2,4}}(?!\d)|(?<![\d.-])\d{{3}}[.-]\d{{3}}[.-]\d{{4}}(?![\d.-]))
     |(?P<ssn>(?<![\d-])\d{{3}}-\d{{2}}-\d{{4}}(?![\d-]))
     |(?P<card>(?<!\d)\d(?:[ -]?\d){{12,18}}(?!\d))
-    |\b(?i:(?P<title>{_TITLE}))\.?[ \t]+(?P<name>[^\W\d_a-zа-яα-ω][\w'’-]*(?:[ \t]+[^\W\d_a-zа-яα-ω][\w'’-]*){{0,2}})""",
+    |(?P<titles>\b(?i:(?:{_TITLE})\.?[ \t]+)+)(?P<name>[^\W\d_a-zа-яα-ω][\w'’-]*(?:[ \t]+[^\W\d_a-zа-яα-ω][\w'’-]*){{0,2}})""",
     re.VERBOSE,
 )
-#: The decimal digits of all scripts, which \d takes here, as ranges of ten that Java reads alike.
-_DECIMALS = "".join(f"{chr(i)}-{chr(i + 9)}" for i in range(sys.maxunicode) if unicodedata.decimal(chr(i), None) == 0)
-#: Every match holds a decimal digit, an at sign, a key's prefix and letters or a title; texts without any are left alone by a
-#: Spark filter.
-HINT = rf"(?iu)[@{_DECIMALS}]|akia[a-z]{{16}}|sk-[a-z]{{20}}|gh[pousr]_[a-z]{{30}}|(^|[^\p{{L}}])(" + "|".join(map(re.escape, TITLES)) + r")(\.|[ \t])"
+#: What every match holds, for Arrow's linear-time matcher; texts without it are passed on unread.
+HINT = (
+    r"@|\+\p{Nd}|\(\p{Nd}{2,4}\)|\p{Nd}{3}[.-]\p{Nd}{2,3}[.-]\p{Nd}{4}|\p{Nd}\.\p{Nd}{1,3}\.\p{Nd}|[A-Z]{2}\p{Nd}{2} ?[A-Z0-9]{4}"
+    r"|\p{Nd}(?:[ -]?\p{Nd}){12}|[0-9A-Fa-f]{32}|AKIA|sk-|gh[pousr]_|(?:^|[^\p{L}])(?i:" + _TITLE.replace(r"\-", "-") + r")(?:\.|[ \t])"
+)
 
 DIGITS, LOWER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
-#: Vowels and consonants by script, for names.
-SCRIPTS = [
-    ("aeiou", "bcdfghjklmnpqrstvwxyz"), ("áéíóúàèìòùäöüâêîôû", "çñß"),
-    ("аеиоуыэюя", "бвгджзклмнпрстфхцчшщ"), ("αεηιουω", "βγδζθκλμνξπρστφχψ"),
-]
+#: By script: consonants, vowels, and endings that mark a male, a female or no gender.
+SYLLABLES = {
+    "LATIN": ("bcdfghjklmnprstvz", "aeiou", {"m": ("o", "us", "er", "an"), "f": ("a", "ia", "ina", "ette"), "u": ("en", "is", "on", "el")}),
+    "CYRILLIC": ("бвгджзклмнпрст", "аеиоу", {"m": ("ов", "ин", "ий", "ан"), "f": ("а", "ия", "ина", "ова"), "u": ("ко", "их", "ей")}),
+    "GREEK": ("βγδζθκλμνπρστφχ", "αεηιου", {"m": ("ος", "ης", "ας"), "f": ("α", "ια", "η"), "u": ("ου", "ις")}),
+    "HEBREW": ("בגדזחטכלמנספצקרשת", "אוי", {"m": ("אל", "ון"), "f": ("ה", "ית"), "u": ("י",)}),
+    "ARABIC": ("بتجحدرزسشصطعفقكلمن", "اوي", {"m": ("د", "م"), "f": ("ة", "اء"), "u": ("ي",)}),
+    "CJK": ("王李张刘陈杨黄赵吴周徐孙马朱胡郭何高林罗", "文国建华金玉天清海云", {"m": tuple("伟强军磊勇杰涛超刚辉"), "f": tuple("芳娜敏静丽艳娟霞秀玲"), "u": tuple("明晨宁佳安平和新")}),
+    "HANGUL": ("김이박최정강조윤장임", "지민서현수영은성", {"m": tuple("호준훈철석"), "f": tuple("희미숙순경"), "u": tuple("진우원")}),
+    "HIRAGANA": ("かきくけさしたちなに", "あいうえおみゆら", {"m": ("た", "すけ"), "f": ("こ", "みか"), "u": ("る",)}),
+    "KATAKANA": ("カキクケサシタチナニ", "アイウエオミユラ", {"m": ("タ", "スケ"), "f": ("コ", "ミカ"), "u": ("ル",)}),
+}
+#: Endings by which a name without a gendered title passes for a woman's.
+FEMALE = ("a", "а", "я", "α", "η", "ה", "ة")
+#: Country calling codes of one and of two digits; all others have three.
+SHORT_CODES = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+PREFIX = re.compile(r"AKIA|sk-|gh[pousr]_")
+_FOUND = "array<struct<s:int,e:int,kind:string,value:string,gender:string>>"
 
 
-@lru_cache(1 << 12)
 def _neighbours(c: str) -> str:
     """The letters or digits of the script of `c`: its ten decimal digits, or those of its category in its run of 128 code points
     (256 from the CJK ideographs on)."""
@@ -75,44 +87,77 @@ def _neighbours(c: str) -> str:
     return "".join(run) if c in run and len(run) > 1 else c + LOWER
 
 
-def _alphabets(kind: str, value: str) -> list[str]:
-    """For each character, the characters that may stand in its place; one that stays stands for itself alone. What a kind keeps
-    (the end of a given name or an address) gives way if nothing else could change."""
-    out = _shape(kind, value)
-    if all(len(g) == 1 for g in out) and kind.startswith(("given", "email")):
-        out = _shape("surname", value)
-    return out
+def _ascii(text: str) -> str:
+    """The decimal digits of a text, of whatever script, in ASCII."""
+    return "".join(str(unicodedata.decimal(c)) for c in text if c.isdecimal())
 
 
-def _shape(kind: str, value: str) -> list[str]:
-    out = []
-    keep_from = value.rfind(".") if kind == "email" else len(value)
-    for i, c in enumerate(value):
-        low = c.lower()
-        if kind.startswith("given") and i == len(value) - 1 or i >= keep_from or (kind == "iban" and i < 2):
-            group = c
-        elif kind.startswith(("given", "surname")):
-            group = next((g for s in SCRIPTS for g in s if low in g), None)
-        elif kind == "hex" and low in HEX:
-            group = HEX
-        elif c in DIGITS:
-            group = DIGITS
-        elif low in LOWER and len(low) == 1 and not (kind == "key" and i < 4):
-            group = LOWER
-        elif kind == "key" and i < 4:
-            group = c
-        else:
-            group = None
-        if group is None:
-            out.append(_neighbours(c))
-            continue
-        out.append(group.upper() if c != low and group != c and group != HEX else group)
-    return [HEX.upper() if g == HEX and value != value.lower() else g for g in out]
+def _luhn(digits: str) -> int:
+    total = sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(digits)))
+    return -total % 10
+
+
+def _iban_check(country: str, body: str) -> int:
+    return 98 - int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
+
+
+def _code(digits: str) -> int:
+    """How many leading digits of an international number are the country's."""
+    return next((n for n in (1, 2) if digits[:n] in SHORT_CODES), 3)
+
+
+def canonical(kind: str, found: str, country: str = "1") -> str:
+    """What makes two mentions one entity. A phone is `country code|rest`; one without a code has that of `country`."""
+    if kind in ("card", "ssn"):
+        return _ascii(found)
+    if kind == "phone":
+        digits = _ascii(found)
+        if found.startswith("+"):
+            return f"{digits[: (n := _code(digits))]}|{digits[n:]}"
+        return f"{digits[:-10]}|{digits[-10:]}" if len(digits) > 10 else f"{country}|{digits}"
+    if kind == "ip":
+        return ".".join(str(int(x)) for x in found.split("."))
+    if kind == "iban":
+        return found.replace(" ", "")
+    return found if kind == "key" else found.lower()
+
+
+def _body(kind: str, value: str) -> tuple[str, str, str]:
+    """What stays, what changes, and what follows of a canonical value."""
+    if kind == "card":
+        return value[:4], value[4:-1], value[-1]
+    if kind == "phone":
+        at = value.index("|") + 1
+        return value[:at], value[at:], ""
+    if kind == "iban":
+        return value[:4], value[4:], ""
+    if kind == "key":
+        at = PREFIX.match(value).end()
+        return value[:at], value[at:], ""
+    if kind == "email":
+        at = value.rindex(".")
+        return "", value[:at], value[at:]
+    return "", value, ""
+
+
+def _sets(kind: str, body: str) -> list[str]:
+    """For each character those that may stand in its place; separators stay."""
+    if kind == "ip":
+        return []
+    if kind == "hex":
+        return [HEX] * len(body)
+    return [DIGITS if c in DIGITS else LOWER if c in LOWER else LOWER.upper() if c in LOWER.upper() else _neighbours(c) for c in body]
+
+
+def shape(kind: str, value: str) -> str:
+    """Values of one shape have their surrogates among the same strings."""
+    head, body, tail = _body(kind, value)
+    head, tail = (head[:2], "") if kind == "iban" else (head, "" if kind == "card" else tail)
+    return f"{kind}|{head}|{'|'.join(_sets(kind, body))}|{tail}"
 
 
-@lru_cache(1 << 16)
 def _prf(key: bytes, label: str, n: int) -> int:
-    return int.from_bytes(hmac.new(key, f"{label}|{n}".encode(), hashlib.sha256).digest(), "big")
+    return int.from_bytes(hashlib.blake2b(f"{label}|{n}".encode("utf-8", "replace"), key=key[:64], digest_size=32).digest(), "big")
 
 
 def _walk(key: bytes, label: str, x: int, n: int, forward: bool) -> int:
@@ -132,190 +177,248 @@ def _walk(key: bytes, label: str, x: int, n: int, forward: bool) -> int:
             return x
 
 
-def _index(text: str, sets: list[str]) -> int:
-    x = 0
-    for c, s in zip(text, sets, strict=True):
-        x = x * len(s) + s.index(c)
-    return x
-
-
-def _text(x: int, sets: list[str]) -> str:
+def successor(kind: str, value: str, key: bytes, turn: int = 0) -> str:
+    """The next value of the same shape on the cycle of the key and turn; never the value itself."""
+    head, body, tail = _body(kind, value)
+    sets, x, n = _sets(kind, body), 0, 1
+    if kind == "ip":
+        n = 1 << 32
+        for part in value.split("."):
+            x = x * 256 + int(part)
+    for c, s in zip(body, sets):
+        x, n = x * len(s) + s.index(c), n * len(s)
+    if n == 1:  # nothing but separators: letters drawn by the key stand in
+        draw = _prf(key, f"bare|{kind}|{value}", turn)
+        return head + "".join(LOWER[draw >> 8 * i & 15] for i in range(4 + turn)) + ("@mail" if kind == "email" else "") + tail
+    label = f"{turn}|{shape(kind, value)}"
+    x = _walk(key, label, (_walk(key, label, x, n, False) + 1) % n, n, True)
+    if kind == "ip":
+        return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
     out = []
     for s in reversed(sets):
         x, d = divmod(x, len(s))
         out.append(s[d])
-    return "".join(reversed(out))
+    made = "".join(reversed(out))
+    if kind == "card":  # the last digit keeps its relation to the check digit
+        tail = str((_luhn(head + made) + int(value[-1]) - _luhn(value[:-1])) % 10)
+    if kind == "iban":
+        off = int(value[2:4]) - _iban_check(value[:2], body)
+        head = f"{value[:2]}{(_iban_check(value[:2], made) + off - 2) % 97 + 2:02d}"
+    return head + made + tail
 
 
-def _luhn(digits: str) -> int:
-    total = sum(sum(divmod(2 * int(c), 10)) if i % 2 == 0 else int(c) for i, c in enumerate(reversed(digits)))
-    return -total % 10
+def _script(c: str) -> str:
+    return unicodedata.name(c, "?").split()[0]
 
 
-def successor(kind: str, value: str, key: bytes, turn: int = 0) -> str:
-    """The next value of the same shape on the cycle of the key and turn. Never the value itself, if the shape has others."""
-    if kind == "ip":
-        sets, x, n = None, 0, 1 << 32
-        for part in value.split("."):
-            x = x * 256 + int(part)
-    elif kind == "card":  # the last digit keeps its relation to the check digit
-        sets = [DIGITS] * (len(value) - 1)
-        x, n = int(value[:-1]), 10 ** (len(value) - 1)
-    else:
-        sets = _alphabets(kind, value)
-        n = 1
-        for s in sets:
-            n *= len(s)
-        x = _index(value, sets)
-    label = f"{kind}|{turn}|{'|'.join(sets) if sets else ''}"
-    x = _walk(key, label, (_walk(key, label, x, n, False) + 1) % n, n, True)
-    if kind == "ip":
-        return ".".join(str(x >> s & 255) for s in (24, 16, 8, 0))
-    if kind == "card":
-        body = _text(x, sets)
-        return body + str((_luhn(body) + int(value[-1]) - _luhn(value[:-1])) % 10)
-    return _text(x, sets)
+def name_for(value: str, gender: str, key: bytes, turn: int = 0) -> str:
+    """A drawn name in the script of a lower-cased token, with an ending of its gender, as long as the token; from turn 3 on
+    longer, and from turn 2 on of any letters of the script."""
+    pieces = re.findall(r"[^\W\d_]+|[\W\d_]+", value)
+    last = max((i for i, p in enumerate(pieces) if p[0].isalpha()), default=-1)
+    out, n_drawn = [], 0
 
+    def pick(options):
+        nonlocal n_drawn
+        n_drawn += 1
+        return options[_prf(key, f"name|{value}|{turn}", n_drawn) % len(options)]
 
-def canonical(kind: str, found: str) -> str:
-    """What makes two mentions one entity: digits alone for numbers, lower case for addresses and names."""
-    if kind in ("card", "ssn"):
-        return re.sub(r"\D", "", found)
-    if kind == "phone":
-        digits = re.sub(r"\D", "", found)
-        return digits[-10:] if len(digits) > 10 else digits
-    if kind == "ip":
-        return ".".join(str(int(x)) for x in found.split("."))
-    if kind == "iban":
-        return found.replace(" ", "")
-    return found if kind == "key" else found.lower()
+    for i, piece in enumerate(pieces):
+        if not piece[0].isalpha():
+            out.append("".join(pick(_neighbours(c)) for c in piece))
+            continue
+        first, second, endings = SYLLABLES.get(_script(piece[0]), (_neighbours(piece[0]),) * 2 + ({},))
+        if turn >= 2:
+            first = second = "".join(dict.fromkeys(first + second + _neighbours(piece[0])))
+        size = len(piece) + (max(0, turn - 2) if i == last else 0)
+        fit = [e for e in endings.get(gender, ()) if len(e) < size] if i == last else []
+        end = pick(fit) if fit else ""
+        if size == 1:
+            out.append(pick(first + second))
+            continue
+        leads = _script(piece[0]) in ("CJK", "HANGUL")  # a family name's sign comes first
+        body = [first if (j == 0 if leads else j % 2 == 0) else second for j in range(size - len(end))]
+        if end and not leads and end[0] in second and turn < 2:
+            body = [first if (size - len(end) - j) % 2 else second for j in range(size - len(end))]
+        out.append("".join(map(pick, body)) + end)
+    return "".join(out)
 
 
 def render(kind: str, found: str, surrogate: str) -> str:
-    """The surrogate in the format of this mention: its separators, its prefix and its capitals."""
+    """The surrogate in the format of this mention: its separators, its country code and its capitals."""
     if kind in ("card", "ssn", "phone", "iban"):
-        fill = list(surrogate)
-        out = []
+        fill, out = list(surrogate.partition("|")[2] if kind == "phone" else surrogate), []
         for c in reversed(found):
-            out.append(fill.pop() if (c.isdigit() or (kind == "iban" and c.isalpha())) and fill else c)
+            if fill and c.isdecimal():
+                c = fill.pop() if kind == "iban" else chr(ord(c) - unicodedata.decimal(c) + int(fill.pop()))
+            elif fill and kind == "iban" and c.isalpha():
+                c = fill.pop()
+            out.append(c)
         return "".join(reversed(out))
-    if kind in ("email", "hex") or kind.startswith(("given", "surname")):
+    if kind == "name":
+        if len(found) > 1 and found == found.upper() and found != found.lower():
+            return surrogate.upper()
+        return re.sub(r"[^\W\d_]+", lambda m: m.group()[0].upper() + m.group()[1:], surrogate) if found[0] != found[0].lower() else surrogate
+    if kind in ("email", "hex"):
         if found == found.upper() and found != found.lower():
             return surrogate.upper()
-        return "".join(s.upper() if c.isupper() else s for c, s in zip(found, surrogate, strict=True)) if len(found) == len(surrogate) else surrogate
+        return "".join(s.upper() if c.isupper() else s for c, s in zip(found, surrogate)) if len(found) == len(surrogate) else surrogate
     return surrogate
 
 
-def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical value) of the personal data of a text, in order, without overlaps."""
+def is_card(digits: str) -> bool:
+    """13 to 19 digits of a payment card's range with a right check digit."""
+    return digits[0] in "23456" and _luhn(digits[:-1]) == int(digits[-1])
+
+
+def entities(text: str, country: str = "1") -> list[tuple[int, int, str, str, str | None]]:
+    """(start, end, kind, canonical value, gender that a title states) of the personal data of a text, in order, without
+    overlaps."""
     out, names = [], {}
     for m in PATTERN.finditer(text):
-        kind = m.lastgroup
-        if kind == "name" or m.group("name"):
-            gender, at = TITLES[m.group("title").lower()], m.start("name")
-            tokens = [(at + t.start(), t.group()) for t in re.finditer(r"\S+", m.group("name"))]
-            for i, (start, token) in enumerate(tokens):
-                kind = "surname" if i == len(tokens) - 1 else f"given-{gender}"
-                names.setdefault(token, kind)
-                out.append((start, start + len(token), kind, token.lower()))
-        else:
-            out.append((m.start(), m.end(), kind, canonical(kind, m.group())))
+        if m.group("name"):
+            stated = {TITLES[t] for t in re.findall(r"[^\s.]+", m.group("titles").lower())} - {"u"}
+            gender = stated.pop() if len(stated) == 1 else "u"
+            for t in re.finditer(r"\S+", m.group("name")):
+                names.setdefault(t.group(), gender)
+                out.append((m.start("name") + t.start(), m.start("name") + t.end(), "name", t.group().lower(), gender))
+        elif m.lastgroup != "card" or is_card(_ascii(m.group())):
+            out.append((m.start(), m.end(), m.lastgroup, canonical(m.lastgroup, m.group(), country), None))
     if names:  # later mentions without a title
-        taken = [(s, e) for s, e, _, _ in out]
-        for m in re.finditer(r"(?<!\w)(?:" + "|".join(map(re.escape, names)) + r")(?!\w)", text):
+        taken = [(s, e) for s, e, *_ in out]
+        for m in re.finditer(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, names), key=len, reverse=True)) + r")(?!\w)", text):
             if not any(s < m.end() and m.start() < e for s, e in taken):
-                out.append((m.start(), m.end(), names[m.group()], m.group().lower()))
+                out.append((m.start(), m.end(), "name", m.group().lower(), names[m.group()]))
     return sorted(out)
 
 
-def _detect(batches):
+def _detected(column: pa.Array, country: str) -> list[list]:
+    """The entities of each text of a batch; only texts with a hint are searched."""
+    hinted = pc.fill_null(pc.match_substring_regex(column.cast(pa.large_string()), HINT), False).to_pylist()
+    return [entities(column[i].as_py(), country) if h else [] for i, h in enumerate(hinted)]
+
+
+def _split(place: int, country: str, marked: bool, name: str):
+    """Batches to their rows with personal data and its spans, or to their rows without any and a zero."""
+    fields = [("s", pa.int32()), ("e", pa.int32()), ("kind", pa.string()), ("value", pa.string()), ("gender", pa.string())]
+
+    def run(batches):
+        for b in batches:
+            found = _detected(b.column(place), country)
+            keep = pa.array([bool(x) == marked for x in found], pa.bool_())
+            if marked:
+                rows = [[dict(zip("s e kind value gender".split(), x)) for x in xs] for xs in found if xs]
+                last = pa.array(rows, pa.list_(pa.struct(fields)))
+            else:
+                last = pa.array([0] * (len(found) - sum(map(bool, found))), pa.int64())
+            left = b.filter(keep)
+            yield pa.RecordBatch.from_arrays([*left.columns, last], [*b.schema.names, name])
+
+    return run
+
+
+def _shapes(batches):
     for b in batches:
-        found = [[dict(zip(("s", "e", "kind", "value"), x, strict=True)) for x in entities(t or "")] for t in b.column(1).to_pylist()]
-        kind = pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32()), ("kind", pa.string()), ("value", pa.string())]))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], ["hash", "found"])
+        shapes = [None if k == "name" else shape(k, v) for k, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shapes, pa.string())], ["kind", "value", "gender", "shape"])
 
 
 def _step(key: bytes, turn: int):
     def run(batches):
         for b in batches:
-            kinds, values = (c.to_pylist() for c in b.columns)
-            made = [successor(k, v, key, turn) for k, v in zip(kinds, values, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(made, pa.string())], ["kind", "value", "surrogate"])
+            rows = zip(*(b.column(i).to_pylist() for i in range(3)))
+            made = [name_for(v, g, key, turn) if k == "name" else successor(k, v, key, turn) for k, v, g in rows]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.string())], [*b.schema.names, "surrogate"])
 
     return run
 
 
-def surrogates(values: DataFrame, key: bytes, strict_turns: int = 40, turns: int = 80) -> DataFrame:
-    """(kind, value, surrogate) for distinct (kind, value), no surrogate twice within a kind.
+def surrogates(values: DataFrame, key: str, strict_turns: int = 5, most_turns: int = 24) -> DataFrame:
+    """(kind, value, surrogate) for distinct (kind, value, gender: m, f or u), no surrogate twice within a kind and none its own
+    value's.
 
-    Each turn draws by a cycle of its own. A draw that is itself a detected value, or that another value holds or
-    draws too (then the smallest value keeps it), is drawn again in the next turn. Values whose shape leaves no
-    free strings may after `strict_turns` turns take a detected one, but never their own; if `turns` don't suffice, an error is raised."""
-    schema = "kind string, value string, surrogate string"
+    Each turn draws anew for the values left. A draw that is itself a detected value, or that another value holds or draws too
+    (then the smallest value keeps it), is void. Names grow with the turns, so they soon find a free string; if `most_turns` don't
+    suffice, an error is raised. Other values whose shape has no free string left after `strict_turns` are dealt anew together
+    with all values of that shape, each to its successor, which may be a detected one: two rounds at most after the strict ones.
+    """
+    secret = hashlib.sha256(key.encode()).digest()
+    values = materialize(
+        values.select("kind", "value", "gender").mapInArrow(_shapes, "kind string, value string, gender string, shape string"), "values"
+    )
     real = values.select("kind", F.col("value").alias("surrogate"))
+    schema = "kind string, value string, gender string, shape string, surrogate string"
+    names = F.col("kind") == "name"
     open_, done = values, None
-    for turn in range(turns):
-        drawn = open_.mapInArrow(_step(key, turn), schema).where("surrogate <> value")
-        if turn < strict_turns:
-            drawn = drawn.join(real, ["kind", "surrogate"], "left_anti")
+    for turn in range(most_turns):
+        if turn == strict_turns and (tight := materialize(open_.where(~names).select(F.col("shape").alias("_s")).distinct(), "tight")).take(1):
+            again = values.join(tight, F.col("shape") == F.col("_s"), "left_semi").mapInArrow(_step(secret, turn), schema)
+            done = done.join(tight, F.col("shape") == F.col("_s"), "left_anti").unionByName(materialize(again.drop("gender"), "surrogates"))
+            open_ = open_.where(names)
+        drawn = open_.mapInArrow(_step(secret, turn), schema).where("surrogate <> value").join(real, ["kind", "surrogate"], "left_anti")
         if done is not None:
             drawn = drawn.join(done.select("kind", "surrogate"), ["kind", "surrogate"], "left_anti")
-        won = drawn.groupBy("kind", "surrogate").agg(F.min("value").alias("value")).select("kind", "value", "surrogate")
+        won = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("value", "shape")).alias("x")).select("kind", "x.*", "surrogate")
         won = materialize(won, "surrogates")
         done = won if done is None else done.unionByName(won)
         open_ = materialize(open_.join(won.select("kind", "value"), ["kind", "value"], "left_anti"), "open")
         if not open_.take(1):
-            return done
-    raise ValueError("a shape of personal data has too few strings for distinct surrogates")
+            return done.select("kind", "value", "surrogate")
+    raise ValueError("a name found no free surrogate")
 
 
-def replace(docs: DataFrame, key: str = "caseweave", id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(docs with replaced texts and, last, _cw_entities: how many values were replaced; the surrogate table).
+def replace(docs: DataFrame, key: str, text_col: str = "text", country: str = "1") -> tuple[DataFrame, DataFrame]:
+    """(docs with replaced texts and, last, `_cw_entities`: how many values were replaced; the surrogate table).
 
-    Texts without a digit, at sign, key prefix or title pass unread by Python and unshuffled. Equal texts are searched
-    once. Null and empty texts stay as they are. Rows and other columns stay, repeated ones too; columns
-    that begin with _cw_ are reserved. An empty table gives no rows.
+    Equal keys give equal surrogates for an equal corpus; without the key they can't be told from others. Phones without a country
+    code belong to `country`. Names are the capitalised words after a title, and their later mentions in the same text; all other
+    kinds go by their form, cards by their check digit too. A name has the gender that its titles over all texts agree on, else
+    that of its ending, else none. Rows without personal data pass unshuffled. Null and empty texts stay as they are, texts are
+    read whole. Rows and other columns stay, repeated ones too; where docs has a column `_cw_entities` the new one gets an
+    underscore more. An empty table gives no rows.
     """
-    text = F.col(text_col)
-    hinted = F.coalesce(text.rlike(HINT), F.lit(False))
-    marked = docs.where(hinted).withColumn("_cw_hash", F.md5(text))
-    once = marked.select("_cw_hash", text.alias("t")).dropDuplicates(["_cw_hash"])
-    found = materialize(
-        once.mapInArrow(_detect, "hash string, found array<struct<s:int,e:int,kind:string,value:string>>").where(F.size("found") > 0), "found"
-    )
-    spans = found.select("hash", F.explode("found").alias("x")).select("hash", "x.*")
-    values = materialize(spans.select("kind", "value").distinct(), "values")
-    mapped = materialize(surrogates(values, key.encode()), "mapped")
+    n_col, found_col, row_col = free_names(docs.columns, "_cw_entities", "_cw_found", "_cw_row")
+    place = docs.columns.index(text_col)
+    fields = docs.schema.fields
+    clean = docs.mapInArrow(_split(place, country, False, n_col), StructType([*fields, StructField(n_col, LongType())]))
+    with_found = StructType([*fields, StructField(found_col, docs.sparkSession.createDataFrame([], f"x {_FOUND}").schema["x"].dataType)])
+    marked = docs.mapInArrow(_split(place, country, True, found_col), with_found).withColumn(row_col, F.monotonically_increasing_id())
+    marked = materialize(marked, "marked")
+    spans = marked.select(F.col(row_col).alias("row"), F.explode(found_col).alias("x")).select("row", "x.*")
+    said = lambda g: F.max(F.coalesce(F.col("gender") == g, F.lit(False)))
+    ends = F.col("value").rlike("(?:" + "|".join(FEMALE) + ")$")
+    values = spans.groupBy("kind", "value").agg(said("m").alias("m"), said("f").alias("f")).select(
+        "kind", "value", F.when(F.col("m") & ~F.col("f"), "m").when(F.col("f") & ~F.col("m"), "f").when(~F.col("m") & ends, "f").otherwise("u").alias("gender")
+    )
+    mapped = materialize(surrogates(values, key), "mapped")
     named = mapped.select(F.col("kind").alias("_k"), F.col("value").alias("_v"), "surrogate")
     edits = (
         spans.join(named, (F.col("kind") == F.col("_k")) & (F.col("value") == F.col("_v")))
-        .groupBy("hash")
-        .agg(F.array_sort(F.collect_list(F.struct("s", "e", "kind", "surrogate"))).alias("_cw_edits"))
+        .groupBy("row")
+        .agg(F.array_sort(F.collect_list(F.struct("s", "e", "kind", "surrogate"))).alias("edits"))
     )
-    fields = [f for f in docs.schema.fields]
-    place = docs.columns.index(text_col)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", _cw_entities long"
 
     def rewrite(batches):
         for b in batches:
             texts, counts = [], []
-            for t, edits in zip(b.column(place).to_pylist(), b.column(b.num_columns - 1).to_pylist(), strict=True):
+            for t, edits in zip(b.column(place).to_pylist(), b.column(b.num_columns - 1).to_pylist()):
                 out, at = [], 0
-                for x in edits or []:
+                for x in edits:
                     out += [t[at : x["s"]], render(x["kind"], t[x["s"] : x["e"]], x["surrogate"])]
                     at = x["e"]
-                texts.append("".join([*out, t[at:]]) if edits else t)
-                counts.append(len(edits or []))
+                texts.append("".join([*out, t[at:]]))
+                counts.append(len(edits))
             columns = list(b.columns[:-1])
             columns[place] = pa.array(texts, columns[place].type)
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*b.schema.names[:-1], "_cw_entities"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], [*b.schema.names[:-1], n_col])
 
-    joined = marked.join(edits, F.col("_cw_hash") == F.col("hash"), "left").select(*(F.col(f"`{c}`") for c in docs.columns), "_cw_edits")
-    touched = joined.mapInArrow(rewrite, schema)
-    return docs.where(~hinted).withColumn("_cw_entities", F.lit(0).cast("long")).unionByName(touched), mapped
+    same = marked[row_col] == edits["row"]
+    touched = marked.join(edits, same).select(*(marked[f"`{c}`"] for c in docs.columns), edits["edits"])
+    return clean.unionByName(touched.mapInArrow(rewrite, clean.schema)), mapped
 
 
 def op4_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is that of the setting spark.caseweave.pii.key; without one, a key of this run alone."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out, _ = replace(docs)
+    out, _ = replace(docs, spark.conf.get("spark.caseweave.pii.key", None) or secrets.token_hex(32))
     return out.withColumnRenamed("_cw_entities", "n_entities")
