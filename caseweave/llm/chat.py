@@ -15,7 +15,6 @@ order are the rendered conversation, which no task needs to hold whole.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cache
 
 import pyarrow as pa
 import xxhash
@@ -40,7 +39,6 @@ class Costs:
     merge_relabelled: int = 5  # a turn of another role joins the message before it
 
 
-@cache
 def _gap(state: int, goal: int) -> tuple[int, ...] | None:
     """The fewest messages to insert so that `goal` may follow `state`."""
     paths = [((), state)]
@@ -52,7 +50,6 @@ def _gap(state: int, goal: int) -> tuple[int, ...] | None:
     return None
 
 
-@cache
 def moves(role: str | None, costs: Costs) -> tuple:
     """(from, to, cost, merged, inserted messages) of every way to place a turn of this role."""
     said = ROLES.index(role) + 1 if role in ROLES else None
@@ -82,8 +79,9 @@ def solve(turns: list[tuple], costs: Costs) -> tuple[list[list[int]], list[list[
     """For a run of (turn, role, text): cost[entry][exit], and for each turn choice[entry][exit], a move's index."""
     best = [[0 if s == e else INFINITE for s in range(4)] for e in range(4)]
     back: list[list[list[tuple[int, int]]]] = []
+    known = {r: moves(r, costs) for r in (None, *ROLES)}
     for turn, role, text in turns:
-        ways = moves(role, costs)
+        ways = known.get(role, known[None])
         noise = _draws(turn, role, text, len(ways))
         step, now = [], []
         for e in range(4):
@@ -216,11 +214,11 @@ def format_chats(
     chosen = runs.select("runs").mapInArrow(_chain(costs), "c_run long, entry int, exit int, last boolean, total long")
 
     def render(batches):
-        ends = ending(costs)
+        ends, known = ending(costs), {r: moves(r, costs) for r in (None, *ROLES)}
         for b in batches:
             out = []
             for conv, place, turn, role, text, k, final, exit_, cost in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                a, goal, _, merged, gap = moves(role, costs)[k]
+                a, goal, _, merged, gap = known.get(role, known[None])[k]
                 now, piece, first = ROLES[goal - 1], "", a == START
                 for g in gap:
                     piece += _message(ROLES[g - 1], first)

@@ -146,12 +146,11 @@ def train(
     to broadcast by that bound. Without labels every score is 0.5.
     """
     few = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(
-        F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")
-    )
-    few = few.orderBy(F.xxhash64(F.col("_id").cast("string")), "_label").limit(most_rows)
-    rows = docs.join(F.broadcast(few), docs[id_col] == F.col("_id")).select(
-        "_label", F.col(text_col).cast("string").alias("text"), _chars(docs, chars_col, text_col), "_id"
+        F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")
     )
+    few = few.orderBy(F.xxhash64(F.col("id").cast("string")), "label").limit(most_rows)
+    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), _chars(docs, chars_col, text_col))
+    rows = rows.join(F.broadcast(few), F.col("doc") == F.col("id")).select("label", "text", "chars", "id")
 
     def run(batches):
         for b in batches:
@@ -185,10 +184,11 @@ def _chars(docs: DataFrame, chars_col: str, text_col: str):
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """One row for each input row: id, score (0 to 1). Null and empty texts are scored by their statistics alone;
     a null length counts as 0. Repeated rows get equal scores; other columns are ignored; no rows give none."""
-    shipped = docs.sparkSession.sparkContext.broadcast(machine)
+    # as plain arrays, which a task can read without this package
+    shipped = docs.sparkSession.sparkContext.broadcast((machine.bias, machine.linear, machine.factors, machine.mean, machine.scale))
 
     def run(batches):
-        m = shipped.value
+        m = Machine(*shipped.value)
         for b in batches:
             out = np.zeros(b.num_rows)
             for lo, hi, of, bucket, x, stats in features(b.column(1), _rows(b.column(2))):

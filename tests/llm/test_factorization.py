@@ -1,3 +1,6 @@
+import math
+import re
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -31,10 +34,40 @@ def test_held_out_accuracy(spark, sf_dir):
 
 
 def test_held_out_rows_teach_nothing(spark, sf_dir):
+    """Scores stay as they are when all held-out labels are flipped."""
     import zlib
 
     rows = fm.op8_quality_classifier(spark, sf_dir).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    flipped = labels.withColumn("quality", F.when(fm.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    assert flipped.exceptAll(labels).count() > 0
+    m = fm.train(docs, flipped.where(~fm.held_out(F.col("doc_id"))))
+    again = {r.id: r.score for r in fm.score(docs, m).collect()}
+    assert again == pytest.approx({r.doc_id: r.score for r in rows})
+
+
+def test_query_like_brute_force(spark, sf_dir):
+    """Every score by a loop over words and all pairs' sums, from the text alone."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~fm.held_out(F.col("doc_id")))
+    m = fm.train(docs, labels)
+    got = {r.doc_id: r.score for r in fm.op8_quality_classifier(spark, sf_dir).collect()}
+    k = 1 << fm.BITS
+    for r in docs.collect():
+        one = pa.array([r.text])
+        words = re.findall(rb"[^\x20\x09-\x0d]+", (r.text or "").lower().encode() if (r.text or "").isascii() else bytes(fm.tokens.LOWER[np.frombuffer(r.text.encode(), np.uint8)]))
+        buckets = [int(fm.tokens.words(np.frombuffer(w, np.uint8), np.array([0, len(w)]), fm.tokens.PLAIN)[0][0] >> np.uint64(64 - fm.BITS)) for w in words]
+        tf = {}
+        for b in buckets:
+            tf[b] = tf.get(b, 0) + 1
+        norm = math.sqrt(sum(v * v for v in tf.values())) or 1
+        *_, stats = next(fm.features(one, np.array([float(r.n_chars or 0)])), (None, np.zeros((1, fm.STATS))))
+        x = {**{b: v / norm for b, v in tf.items()}, **{k + i: v for i, v in enumerate(fm._scaled(m, stats)[0])}}
+        idx, val = np.array([*x]), np.array([*x.values()])
+        v = m.factors[idx] * val[:, None]
+        pairs = ((v.sum(0) ** 2).sum() - (v**2).sum()) / 2
+        assert got[r.doc_id] == pytest.approx(1 / (1 + math.exp(-(m.bias + m.linear[idx] @ val + pairs))), abs=1e-4)
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
