@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import SPACE, table
+from .shared import SPACE, free_names, table
 
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -20,6 +20,9 @@ DIVIDERS = "|»›·•"
 BOILERPLATE = (
     "all rights reserved|cookie|privacy policy|terms of (use|service)|subscribe|sign (in|up)|log ?in\\b"
     "|click here|javascript|lorem ipsum|share (on|this)|back to top|read more|newsletter"
+    "|tous droits réservés|politique de confidentialité|conditions d'utilisation|s'abonner|se connecter|lire la suite"
+    "|alle rechte vorbehalten|datenschutz|impressum|nutzungsbedingungen|abonnieren|anmelden|weiterlesen|nach oben"
+    "|todos los derechos reservados|política de privacidad|términos de uso|suscríbete|iniciar sesión|leer más"
 )
 
 
@@ -40,28 +43,29 @@ class LineRules:
     repeat_percent: int = 50
 
 
+def _without(col: Column, chars: str) -> Column:
+    """The text without these characters: a byte search for each, which costs little where there are none."""
+    for c in chars:
+        col = F.replace(col, F.lit(c), F.lit(""))
+    return col
+
+
 def _hits(col: Column, chars: str) -> Column:
-    return F.length(col) - F.length(F.translate(col, chars, ""))
+    return F.length(col) - F.length(_without(col, chars))
 
 
-def _line(line: Column, r: LineRules) -> Column:
+def _line(line: Column) -> Column:
+    """A line and its words."""
     bare = F.btrim(line, F.lit(BLANKS))
-    n = F.when(bare == "", 0).otherwise(F.size(F.split(bare, SPACE)))
-    return F.struct(
-        line.alias("line"),
-        n.alias("n"),
-        _hits(line, SYMBOLS).alias("symbols"),
-        _hits(line, "!?").alias("shouts"),
-        _hits(line, MARKS).alias("marks"),
-        _hits(line, DIVIDERS).alias("dividers"),
-    )
+    return F.struct(line.alias("line"), F.when(bare != "", F.split(bare, SPACE)).otherwise(F.array().cast("array<string>")).alias("words"))
 
 
 def _fails(x: Column, r: LineRules) -> Column:
-    n = x["n"]
-    punctuation = (x["symbols"] > r.symbols * n) | (x["shouts"] > r.shouts * n) | ((n >= r.bare_words) & (x["marks"] == 0))
-    navigation = (x["dividers"] >= 2) & (x["dividers"] * r.menu_words >= n)
-    boilerplate = (n <= r.notice_words) & F.lower(x["line"]).rlike(BOILERPLATE)
+    line, n = x["line"], F.size(x["words"])
+    dividers = _hits(line, DIVIDERS)
+    punctuation = (_hits(line, SYMBOLS) > r.symbols * n) | (_hits(line, "!?") > r.shouts * n) | ((n >= r.bare_words) & ~line.rlike(f"[{MARKS}]"))
+    navigation = (dividers >= 2) & (dividers * r.menu_words >= n)
+    boilerplate = (n <= r.notice_words) & F.lower(line).rlike(BOILERPLATE)
     return (n > 0) & (punctuation | navigation | boilerplate)
 
 
@@ -69,69 +73,82 @@ def _sum(xs: Column) -> Column:
     return F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def _windows(n: Column, of) -> Column:
+    """of(i) for the first word i, from 0, of every window of three among n words."""
+    return F.transform(F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>")), of)
+
+
+def _repeated(w: Column) -> Column:
+    """How many of the words w lie in windows of three that occur twice or more.
+
+    Hashes of the windows tell texts without repeats, most of them, which end here; in the others the windows themselves are
+    sorted and compared."""
+    n = F.size(w)
+    hashes = _windows(n, lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    text = lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+    s = F.sort_array(_windows(n, lambda i: F.struct(text(i).alias("t"), i.alias("i"))))
+
+    def places(s: Column) -> Column:
+        same = lambda x, i: F.coalesce(x["t"] == F.get(s, i)["t"], F.lit(False))
+        return F.sort_array(F.transform(F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))
+
+    def covered(at: Column) -> Column:
+        return _sum(F.transform(at, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - x, F.lit(3))).cast("long")))
+
+    # a lambda names an array, so that it is made once
+    named = lambda x, f: F.element_at(F.transform(F.array(x), f), 1)
+    some = named(hashes, lambda h: F.size(F.array_distinct(h)) < F.size(h))
+    return F.when(some, named(s, lambda s: named(places(s), covered))).otherwise(F.lit(0).cast("long"))
+
+
 def measure(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules(), prefix: str = "_cw_") -> DataFrame:
     """docs with, under `prefix`: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     n_left (words of the lines that stay) and clean (the text without its failing lines).
 
     A null text counts as an empty one and is rejected by the word count; its clean text stays null. Long
-    texts are judged whole. Ties and repeated rows are judged each by itself.
+    texts are judged whole. Ties and repeated rows are judged each by itself. docs must have no column under those names.
     """
     p = prefix
-    c = lambda name: F.col(p + name)
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_left", "clean")
+    taken = {x.lower() for x in docs.columns}
+    if clash := [p + n for n in names if (p + n).lower() in taken]:
+        raise ValueError(f"columns {clash} are there already; choose another prefix")
+    lines_, words_, seen_, good_, judged_ = free_names([*docs.columns, *(p + n for n in names)], *(p + x for x in ("lines", "words", "seen", "good", "judged")))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    out = docs.withColumns(
-        {
-            p + "words": F.filter(F.split(text, SPACE), lambda w: w != ""),
-            p + "lines": F.transform(F.split(text, "\n"), lambda x: _line(x, rules)),
-            p + "word_chars": F.length(F.translate(text, BLANKS, "")).cast("long"),
-            p + "n_symbols": _hits(text, SYMBOLS).cast("long"),
-        }
-    )
-    w, n = c("words"), F.size(c("words"))
-    triples = F.transform(
-        F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>")),
-        lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")),
-    )
-    out = out.withColumns(
+    lines, words, seen, good = F.col(lines_), F.col(words_), F.col(seen_), F.col(good_)
+    out = docs.withColumn(lines_, F.transform(F.split(text, "\n"), _line)).withColumns(
         {
-            p + "n_words": n.cast("long"),
-            p + "seen": F.transform(F.filter(c("lines"), lambda x: x["n"] > 0), lambda x: x["line"]),
-            p + "good": F.filter(c("lines"), lambda x: ~_fails(x, rules)),
-            p + "sorted": F.array_sort(triples),
+            words_: F.flatten(F.transform(lines, lambda x: x["words"])),
+            seen_: F.transform(F.filter(lines, lambda x: F.size(x["words"]) > 0), lambda x: x["line"]),
+            good_: F.filter(lines, lambda x: ~_fails(x, rules)),
         }
     )
-    s = c("sorted")
-    same = lambda x, i: F.coalesce(x["h"] == F.get(s, i)["h"], F.lit(False))
-    twice = F.filter(s, lambda x, i: same(x, i - 1) | same(x, i + 1))
-    out = out.withColumns(
-        {
-            p + "n_dup_lines": (F.size(c("seen")) - F.size(F.array_distinct(c("seen")))).cast("long"),
-            p + "n_left": _sum(F.transform(c("good"), lambda x: x["n"].cast("long"))),
-            p + "clean": F.when(
-                F.col(text_col).isNotNull(), F.array_join(F.transform(c("good"), lambda x: x["line"]), "\n")
-            ),
-            p + "twice": F.array_sort(F.transform(twice, lambda x: x["i"])),
-        }
+    judged = F.struct(
+        F.size(words).cast("long").alias("n_words"),
+        F.length(_without(text, BLANKS)).cast("long").alias("word_chars"),
+        _hits(text, SYMBOLS).cast("long").alias("n_symbols"),
+        (F.size(seen) - F.size(F.array_distinct(seen))).cast("long").alias("n_dup_lines"),
+        _repeated(words).alias("n_repeat_words"),
+        _sum(F.transform(good, lambda x: F.size(x["words"]).cast("long"))).alias("n_left"),
+        F.when(F.col(text_col).isNotNull(), F.array_join(F.transform(good, lambda x: x["line"]), "\n")).alias("clean"),
     )
-    at = c("twice")
-    gaps = F.transform(at, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - x, F.lit(3))).cast("long"))
-    out = out.withColumn(p + "n_repeat_words", _sum(gaps))
+    # explode keeps filters on the results above it: pushed below, they would work all of it out once more
+    out = out.select(*(F.col(f"`{c}`") for c in docs.columns), F.explode(F.array(judged)).alias(judged_))
+    c = lambda name: F.col(judged_)[name]
     failed = (c("n_words") < rules.min_words) | (100 * c("n_repeat_words") > rules.repeat_percent * c("n_words"))
-    out = out.withColumn(p + "base_failed", failed)
-    # An id, which is never below 0, keeps filters above this projection: pushed down, they would evaluate the
-    # arrays above anew inside their own lambdas.
-    here = F.monotonically_increasing_id() >= 0
-    out = out.withColumn(p + "kept", here & ~failed & (c("n_left") >= rules.left * c("n_words")))
-    return out.drop(*(p + x for x in ("words", "lines", "seen", "good", "sorted", "twice")))
+    made = {n: c(n) for n in names if n not in ("base_failed", "kept")}
+    made |= {"base_failed": failed, "kept": ~failed & (c("n_left") >= rules.left * c("n_words"))}
+    return out.select(*(F.col(f"`{x}`") for x in docs.columns), *(made[n].alias(p + n) for n in names))
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", rules: LineRules = LineRules()) -> DataFrame:
     """The documents that stay, with their failing lines removed; all columns keep their names and order."""
-    out = measure(docs, text_col, rules).where("_cw_kept")
-    cols = {text_col: F.col("_cw_clean")}
+    (p,) = free_names([c[: len("_cw_")] for c in docs.columns], "_cw_")
+    out = measure(docs, text_col, rules, p).where(F.col(p + "kept"))
+    made = {text_col: F.col(p + "clean")}
     if "n_chars" in docs.columns:
-        cols["n_chars"] = F.length("_cw_clean").cast(docs.schema["n_chars"].dataType)
-    return out.withColumns(cols).select(*docs.columns)
+        made["n_chars"] = F.length(p + "clean").cast(docs.schema["n_chars"].dataType)
+    return out.select(*(made.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns))
 
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -164,7 +181,7 @@ w AS (
     coalesce(sum(n) FILTER (NOT (n > 0 AND (
       {_sql_hits('x', SYMBOLS)} > 0.5 * n OR {_sql_hits('x', '!?')} > n OR (n >= 8 AND {_sql_hits('x', MARKS)} = 0)
       OR ({_sql_hits('x', DIVIDERS)} >= 2 AND {_sql_hits('x', DIVIDERS)} * 4 >= n)
-      OR (n <= 12 AND regexp_matches(lower(x), '{BOILERPLATE}'))))), 0)::BIGINT AS n_left
+      OR (n <= 12 AND regexp_matches(lower(x), '{BOILERPLATE.replace("'", "''")}'))))), 0)::BIGINT AS n_left
   FROM l GROUP BY doc_id
 ), m AS (
   SELECT w.doc_id, len(w.w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w.w, lambda x: length(x))), 0)::BIGINT AS word_chars,

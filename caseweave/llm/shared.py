@@ -62,6 +62,41 @@ def free_names(columns: list[str], *wanted: str) -> list[str]:
     return out
 
 
+def _bit_split(docs: DataFrame, some: DataFrame, key: list, some_key: list[str]):
+    """(rows of docs whose key is certainly not among those of `some`, the other rows with their key, the distinct keys, their
+    join condition). Keys are columns or expressions; nulls equal nulls.
+
+    A bit table of the keys of `some`, 64 bits a row and 2^20 rows at most, which bounds what is broadcast, clears most of docs
+    without moving them. Where `some` is so large that most bits are set, most rows have to be shuffled: slower, and the same rows."""
+    some = materialize(some.select(*some_key).distinct(), "keys")
+    places = min(1 << 20, max(64, 1 << (some.count() // 4).bit_length()))
+    bit, word, bits, *own = free_names([*docs.columns, *some_key], "_cw_bit", "_cw_word", "_cw_bits", *(f"_cw_key{i}" for i in range(len(key))))
+    at = lambda: F.shiftrightunsigned(F.col(bit), 6).bitwiseAND(F.lit(places - 1))
+    place = F.col(bit).bitwiseAND(F.lit(63)).cast("int")
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), place)
+    table_ = some.select(F.xxhash64(*some_key).alias(bit)).groupBy(at().alias(word)).agg(F.bit_or(mask).alias(bits))
+    marked = docs.withColumn(bit, F.xxhash64(*key)).join(F.broadcast(materialize(table_, "bits")), at() == F.col(word), "left")
+    suspect = F.coalesce(F.col(bits), F.lit(0).cast("long")).bitwiseAND(mask) != 0
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = marked.where(suspect).select(*columns, *(k.alias(o) for k, o in zip(key, own)))
+    same = F.lit(True)
+    for k, o in zip(some_key, own):
+        same = same & keyed[o].eqNullSafe(some[k])
+    return marked.where(~suspect).select(*columns), keyed, some, same
+
+
+def without(docs: DataFrame, gone: DataFrame, key: list, gone_key: list[str]) -> DataFrame:
+    """The rows of docs whose key is not among the rows of `gone`; see _bit_split."""
+    clear, keyed, gone, same = _bit_split(docs, gone, key, gone_key)
+    return clear.unionByName(keyed.join(gone, same, "left_anti").select(*clear.columns))
+
+
+def within(docs: DataFrame, some: DataFrame, key: list, some_key: list[str]) -> DataFrame:
+    """The rows of docs whose key is among the rows of `some`; see _bit_split."""
+    clear, keyed, some, same = _bit_split(docs, some, key, some_key)
+    return keyed.join(some, same, "left_semi").select(*clear.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -25,8 +25,10 @@ def odd_docs(spark):
         (8, "one", "src2", 3),
         (9, "Ünïcode ß 漢字 \U0001f600 text.", "src2", 20),
     ]
-    wide = [(*r, i, "x", 0.5, "p", "h", "w") for i, r in enumerate(rows)]
+    wide = [(*r, i, "x", 0.5, "p", "h", "w", *"abcdefghijkl") for i, r in enumerate(rows)]
     names = "doc_id long, text string, source string, n_chars long, size int, id string, fp double, pattern string, row string, label string"
+    # the operators' own names, and those of older forms of them
+    names += "".join(f", {c} string" for c in ("hash", "_id", "_label", "_few", "_cw_words", "_cw_kept", "_cw_entities", "_cw_bit", "m", "t", "digest", "_p"))
     return spark.createDataFrame(wide, names)
 
 

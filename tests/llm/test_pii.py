@@ -128,9 +128,9 @@ def test_corpus_keeps_nothing_private(spark, sf_dir):
 def test_odd_rows(spark, odd_docs, no_docs):
     mail = odd_docs.withColumn("text", F.when(F.col("doc_id") == 6, F.concat("text", F.lit(" a@b.example.com"))).otherwise(F.col("text")))
     out, _ = pii.replace(mail, "k")
-    assert out.columns == [*odd_docs.columns, "_cw_entities"] and out.count() == odd_docs.count()
+    assert out.columns == [*odd_docs.columns, "_cw_entities_"] and out.count() == odd_docs.count()
     rows = {r.size: r for r in out.collect()}
-    assert rows[3].text is None and rows[4].text == "" and "a@b.example.com" not in rows[8].text and rows[8]._cw_entities == 1
+    assert rows[3].text is None and rows[4].text == "" and "a@b.example.com" not in rows[8].text and rows[8]._cw_entities_ == 1
     assert pii.replace(no_docs, "k")[0].count() == 0
 
 

@@ -1,3 +1,5 @@
+import pytest
+
 from caseweave.llm import quality
 
 
@@ -43,10 +45,12 @@ def test_labels_agree(spark, sf_dir):
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
-    rows = {(r.doc_id, r.size): r for r in quality.measure(odd_docs).collect()}
+    rows = {(r.doc_id, r.size): r for r in quality.measure(odd_docs, prefix="_q_").collect()}
     assert len(rows) == odd_docs.count()
-    assert rows[3, 3]._cw_n_words == 0 and rows[3, 3]._cw_base_failed and rows[3, 3]._cw_clean is None
-    assert rows[6, 8]._cw_n_words == 60_000 == rows[6, 8]._cw_n_repeat_words and rows[7, 9]._cw_word_chars == 200_000
+    assert rows[3, 3]._q_n_words == 0 and rows[3, 3]._q_base_failed and rows[3, 3]._q_clean is None
+    assert rows[6, 8]._q_n_words == 60_000 == rows[6, 8]._q_n_repeat_words and rows[7, 9]._q_word_chars == 200_000
+    with pytest.raises(ValueError):
+        quality.measure(odd_docs)  # it has a column _cw_kept
     kept = quality.clean_documents(odd_docs)
     assert kept.columns == odd_docs.columns and {r.doc_id for r in kept.collect()} == {1, 2, None}
-    assert quality.measure(no_docs).count() == 0
+    assert quality.measure(no_docs, prefix="_q_").count() == 0
