@@ -3,8 +3,9 @@
 Word n-grams of known notices and of ordinary paragraphs train a sparse multinomial logistic regression over
 licence families and an unknown class; a temperature fitted on held-out examples calibrates it. Scoring
 explodes the n-grams of those paragraphs that hold a word of the model (any other paragraph scores the
-intercepts alone, which is unknown), joins the few weights and sums them. A predicted family counts as
-confirmed if a template of it shares enough of its n-grams with the paragraph.
+intercepts alone, which is unknown), joins the few weights and sums them. A family counts as confirmed if a
+template of it shares enough of its n-grams with the paragraph. Paragraphs end at blank lines, so notices may
+be wrapped.
 """
 
 from __future__ import annotations
@@ -16,9 +17,10 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, table
+from .shared import free_names, materialize, table
 
 UNKNOWN = "unknown"
+BLANK_LINE = r"\n[ \t\r\x0B\f]*\n"
 # Short notices by family, as licences and their authors word them.
 TEMPLATES = {
     "MIT": [
@@ -28,6 +30,12 @@ TEMPLATES = {
         "SPDX-License-Identifier: MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "The software is provided as is, without warranty of any kind, express or implied",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+        "Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to "
+        "the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions "
+        "of the Software.",
+        "Distributed under the MIT license, see LICENSE.",
     ],
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -35,6 +43,11 @@ TEMPLATES = {
         "SPDX-License-Identifier: Apache-2.0",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "you may not use this file except in compliance with the License",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may "
+        "obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+        "software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or "
+        "implied. See the License for the specific language governing permissions and limitations under the License.",
+        "Apache License 2.0, see the NOTICE file.",
     ],
     "GPL": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -42,6 +55,11 @@ TEMPLATES = {
         "SPDX-License-Identifier: GPL-3.0-or-later",
         "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "You should have received a copy of the GNU General Public License along with this program",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the "
+        "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+        "PURPOSE. See the GNU General Public License for more details.",
+        "GNU GPL v3, see COPYING.",
     ],
     "LGPL": [
         "Licensed under the GNU Lesser General Public License, version 2.1.",
@@ -57,12 +75,21 @@ TEMPLATES = {
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "SPDX-License-Identifier: BSD-2-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions "
+        "in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or "
+        "other materials provided with the distribution.",
+        "Released under a BSD license.",
     ],
     "MPL-2.0": [
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
         "SPDX-License-Identifier: MPL-2.0",
     ],
-    "ISC": ["Released under the ISC License.", "SPDX-License-Identifier: ISC"],
+    "ISC": [
+        "Released under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        "copyright notice and this permission notice appear in all copies.",
+    ],
     "CC-BY": [
         "Licensed under CC BY 4.0.",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
@@ -93,6 +120,17 @@ ORDINARY = [
     "A copy of the letter was made available to the public.",
     "The foundation gave a grant for the common good.",
 ]
+#: Notices of further licences, which are of no family here: unknown ones in training and, the last half, in calibration alone.
+OTHERS = [
+    "Licensed under the European Union Public Licence, version 1.2.",
+    "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from its use.",
+    "Everyone is permitted to copy and distribute verbatim or modified copies of this licence document.",
+    "Distributed under the Boost Software License, Version 1.0.",
+    "This Font Software is licensed under the SIL Open Font License, Version 1.1.",
+    "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0.",
+    "This library is licensed under the terms of the Artistic License 2.0.",
+    "The Original Code is subject to the Common Development and Distribution License.",
+]
 #: Words too common to carry an n-gram alone.
 COMMON = (
     "a an the of to in on at by for from with without and or as is are was were be been it its this that these those any all may can "
@@ -106,22 +144,34 @@ def tokens(col: Column) -> Column:
     return F.filter(F.split(F.lower(col), r"[^\p{L}\p{N}.+-]+|[.]+(?=\s|$)|[.]+(?=[^\p{L}\p{N}])"), lambda w: w != "")
 
 
-def _grams(words: Column, cues: list[str] | None = None, longest: int = 3) -> Column:
-    """Distinct 1- to 3-grams that hold a word which is not common, or one of the cues."""
-    common = F.array(*map(F.lit, sorted(set(COMMON))))
-    marks = F.array(*map(F.lit, cues)) if cues else None
+def _named(value: Column, of) -> Column:
+    """of(value), with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), of), 1)
+
+
+def _grams(words: Column, longest: int = 3) -> Column:
+    """Distinct 1- to 3-grams that hold a word which is not common."""
     n = F.size(words)
 
     def slices(k: int) -> Column:
         at = F.when(n >= k, F.sequence(F.lit(1), n - (k - 1))).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.slice(words, i, k))
 
-    parts = [slices(k) for k in range(1, longest + 1)]
-    if marks is not None:
-        every = F.filter(F.concat(*parts), lambda g: F.arrays_overlap(g, marks))
-    else:
-        every = F.filter(F.concat(*parts), lambda g: F.size(F.array_except(g, common)) > 0)
-    return F.array_distinct(F.transform(every, lambda g: F.array_join(g, " ")))
+    every = F.concat(*(slices(k) for k in range(1, longest + 1)))
+    telling = F.filter(every, lambda g: F.exists(g, lambda w: ~w.isin(COMMON)))
+    return F.array_distinct(F.transform(telling, lambda g: F.array_join(g, " ")))
+
+
+def _grams_at(words: Column, cues: list[str]) -> Column:
+    """The distinct 1- to 3-grams that hold a cue, taken around the cues alone."""
+    n = F.size(words)
+    hits = F.array_compact(F.transform(words, lambda w, i: F.when(w.isin(cues), i)))
+
+    def around(i: Column) -> Column:
+        gram = lambda k, at: F.when((at >= 0) & (at + k <= n), F.array_join(F.slice(words, F.greatest(at, F.lit(0)) + 1, k), " "))
+        return F.array(*(gram(k, i - back) for k in (1, 2, 3) for back in range(k)))
+
+    return F.array_distinct(F.array_compact(F.flatten(F.transform(hits, around))))
 
 
 @dataclass
@@ -135,36 +185,35 @@ class LicenceModel:
 
 
 def _examples(spark: SparkSession, docs: DataFrame | None, id_col: str, text_col: str, most_docs: int) -> DataFrame:
-    rows = [
-        (family, f"{lead}{t}{tail}")
-        for family, ts in TEMPLATES.items()
-        for t in ts
-        for lead in LEADS
-        for tail in TAILS
-    ]
-    rows += [(UNKNOWN, f"{lead}{t}{tail}") for t in ORDINARY for lead in LEADS for tail in TAILS]
-    out = spark.createDataFrame(rows, "family string, text string").select("family", tokens(F.col("text")).alias("words"))
+    """family, grams, and whether the row is held out from training for the calibration: the last notice of families of four or
+    more, half of the other licences, every fourth ordinary text. All forms of a notice are on one side."""
+    notices = [(family, t, len(ts) >= 4 and i == len(ts) - 1) for family, ts in TEMPLATES.items() for i, t in enumerate(ts)]
+    notices += [(UNKNOWN, t, i % 4 == 3) for i, t in enumerate(ORDINARY)] + [(UNKNOWN, t, 2 * i >= len(OTHERS)) for i, t in enumerate(OTHERS)]
+    rows = [(family, f"{lead}{t}{tail}", held) for family, t, held in notices for lead in LEADS for tail in TAILS]
+    out = spark.createDataFrame(rows, "family string, text string, held boolean").select("family", tokens(F.col("text")).alias("words"), "held")
     if docs is not None:
-        named = F.array(*map(F.lit, ("license", "licensed", "licence", "licenced", "rights", "copyright", "cc", "gpl")))
-        few = docs.select(F.col(id_col).alias("_few")).orderBy(F.xxhash64(F.col("_few").cast("string"))).limit(most_docs)
-        some = docs.join(F.broadcast(few), docs[id_col] == F.col("_few"), "left_semi")  # `most_docs` rows at most
-        some = paragraphs(some, id_col, text_col).where(~F.arrays_overlap("words", named) & (F.size("words") > 0))
-        out = out.unionByName(some.select(F.lit(UNKNOWN).alias("family"), F.slice("words", 1, 60).alias("words")))
-    return out.withColumn("grams", _grams(F.col("words"))).withColumn("fold", F.pmod(F.xxhash64("grams"), F.lit(4)))
+        named = ("license", "licensed", "licence", "licenced", "rights", "copyright", "cc", "gpl")
+        (few_id,) = free_names(docs.columns, "_few")
+        few = docs.select(F.col(id_col).alias(few_id)).orderBy(F.xxhash64(F.col(few_id).cast("string"))).limit(most_docs)
+        some = docs.join(F.broadcast(few), docs[id_col] == F.col(few_id), "left_semi")  # `most_docs` rows at most
+        some = some.select(F.explode(F.split(F.col(text_col).cast("string"), BLANK_LINE)).alias("text")).select(tokens(F.col("text")).alias("words"))
+        some = some.where(~F.exists("words", lambda w: w.isin(*named)) & (F.size("words") > 0))
+        out = out.unionByName(some.select(F.lit(UNKNOWN).alias("family"), "words", (F.pmod(F.xxhash64("words"), F.lit(4)) == 0).alias("held")))
+    return out.select("family", _grams(F.col("words")).alias("grams"), "held")
 
 
 def fit(
     spark: SparkSession, docs: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", most_docs: int = 200, vocabulary: int = 6_000
 ) -> LicenceModel:
-    """Train on the notices above and, as the unknown class, on ordinary ones and the paragraphs without a licence word of
-    `most_docs` documents, by a hash of their ids. Those training rows alone are cut to 60 words."""
+    """Train on the notices above and, as the unknown class, on ordinary texts, other licences and the whole paragraphs without a
+    licence word of `most_docs` documents, by a hash of their ids. The temperature is fitted on notices that training never saw."""
     families = [UNKNOWN, *TEMPLATES]
     index = F.element_at(F.create_map(*(x for i, f in enumerate(families) for x in (F.lit(f), F.lit(float(i))))), F.col("family"))
     data = materialize(_examples(spark, docs, id_col, text_col, most_docs).withColumn("label", index), "examples").coalesce(1)
-    known = data.where(F.col("family") != UNKNOWN)
+    known = data.where((F.col("family") != UNKNOWN) & ~F.col("held"))
     vectors = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=vocabulary, minDF=2, binary=True).fit(known)
-    train = vectors.transform(data).select("label", "features", "fold").cache()
-    fitted = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.5, maxIter=60).fit(train.where("fold <> 0"))
+    train = vectors.transform(data).select("label", "features", "held").cache()
+    fitted = LogisticRegression(family="multinomial", regParam=0.002, elasticNetParam=0.5, maxIter=60).fit(train.where(~F.col("held")))
     matrix, classes = fitted.coefficientMatrix.toArray(), fitted.numClasses
     intercepts = [float(x) for x in fitted.interceptVector] + [-50.0] * (len(families) - classes)
     train.unpersist()
@@ -180,7 +229,7 @@ def fit(
     notices = spark.createDataFrame([(t,) for ts in TEMPLATES.values() for t in ts], "t string").select(F.explode(tokens(F.col("t"))).alias("w"))
     cues = sorted({w for g, _ in rows for w in g.split() if w not in COMMON} | {r.w for r in notices.distinct().collect() if r.w not in COMMON})
     model = LicenceModel(families, intercepts, 1.0, weights, forms, cues)
-    held = data.where("fold = 0").select(F.monotonically_increasing_id().alias("p"), "label", "grams")
+    held = data.where("held").select(F.monotonically_increasing_id().alias("p"), "label", "grams")
     logits = materialize(
         held.select("p", "label").join(_sums(held.select("p", "grams"), model), "p", "left").select("label", *_logits(model)), "held"
     )
@@ -210,60 +259,55 @@ def _logits(model: LicenceModel) -> list[Column]:
     return [(F.coalesce(F.col(f"w{f}"), F.lit(0.0)) + F.lit(b)).alias(f"z{f}") for f, b in enumerate(model.intercepts)]
 
 
-def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(p: struct of id, text hash and line number; words) of every line of every text."""
+def paragraphs(docs: DataFrame, id_col: str, text_col: str, cues: list[str]) -> DataFrame:
+    """(p: struct of id, text hash and paragraph number; grams that hold a cue) of the paragraphs that hold one."""
     text = F.col(text_col).cast("string")
-    lines = docs.select(
-        F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), F.posexplode(F.split(text, "\n")).alias("line", "text")
-    )
-    return lines.select(F.struct("id", "digest", "line").alias("p"), tokens(F.col("text")).alias("words"))
-
-
-def scan(docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text", agree: float = 0.6) -> DataFrame:
-    """One row for each paragraph classed as a licence: id, digest (of the text), line, family, probability, template,
-    agreement (share of the template's n-grams found) and confirmed.
-
-    Null, empty and licence-free texts give no rows; rows that repeat both id and text give theirs once. Ties
-    between families go to the first in order, between templates to the first by name. Other columns are ignored.
+    grams = F.transform(F.split(text, BLANK_LINE), lambda part: _named(tokens(part), lambda words: _grams_at(words, cues)))
+    # filters on what explode makes stay above it, so texts are split once
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest"), F.posexplode(grams).alias("paragraph", "grams"))
+    return rows.where(F.size("grams") > 0).select(F.struct("id", "digest", "paragraph").alias("p"), "grams")
+
+
+def scan(
+    docs: DataFrame, model: LicenceModel, id_col: str = "doc_id", text_col: str = "text", agree: float = 0.6, agree_others: float = 0.85
+) -> DataFrame:
+    """One row for each paragraph classed as a licence and its family, and for each further family there: id, digest (of the text),
+    paragraph (from 0), family, probability, template, agreement (share of the template's n-grams found) and confirmed.
+
+    The likeliest family is confirmed by a template that agrees to `agree`. Any other that is likelier than unknown is listed if a
+    template of it agrees to `agree_others`, so a paragraph may name several licences. Null, empty and licence-free texts give
+    no rows; rows that repeat both id and text give theirs once. Ties between families go to the first in order, between templates to
+    the first by name. Other columns are ignored.
     """
-    cues = F.array(*map(F.lit, model.cues))
-    # the id keeps the filter from being evaluated on the text before it is split once
-    found = paragraphs(docs, id_col, text_col).withColumn("n", F.monotonically_increasing_id())
-    found = found.where(F.arrays_overlap("words", cues) & (F.col("n") >= 0))
     # an n-gram without a cue has no weight and stands in no template
-    found = materialize(found.select("p", _grams(F.col("words"), model.cues).alias("grams")).distinct(), "paragraphs")
+    found = materialize(paragraphs(docs, id_col, text_col, model.cues).distinct(), "paragraphs")
     scored = _sums(found, model).select("p", *_logits(model))
     z = F.array(*(F.col(f"z{f}") / model.temperature for f in range(len(model.families))))
     top = F.array_max("z")
-    scored = scored.select("p", z.alias("z")).select(
-        "p",
-        F.element_at(F.array(*map(F.lit, model.families)), F.array_position("z", top).cast("int")).alias("family"),
-        (1 / F.aggregate(F.transform("z", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)).alias("probability"),
+    names = F.array(*map(F.lit, model.families))
+    total = F.aggregate(F.transform("z", lambda x: F.exp(x - top)), F.lit(0.0), lambda a, x: a + x)
+    likely = F.filter(
+        F.transform("z", lambda x, i: F.struct(F.get(names, i).alias("family"), (F.exp(x - top) / total).alias("probability"), (i + 1 == F.array_position("z", top)).alias("top"))),
+        lambda x: (x["family"] != UNKNOWN) & (x["top"] | (x["probability"] > F.exp(F.get("z", F.lit(0)) - top) / total)),
     )
-    scored = scored.where(F.col("family") != UNKNOWN)
+    scored = scored.select("p", z.alias("z")).select("p", F.explode(likely).alias("x")).select("p", "x.*")
+    scored = materialize(scored, "scored")
     forms = model.templates.withColumnRenamed("family", "of")  # as many rows as the templates have n-grams
     shared = (
-        found.join(scored, "p")
-        .select("p", "family", "probability", F.explode("grams").alias("gram"))
+        found.join(scored.select("p").distinct(), "p", "left_semi")
+        .select("p", F.explode("grams").alias("gram"))
         .join(F.broadcast(forms), "gram")
-        .where("family = of")
-        .groupBy("p", "family", "probability", "template", "n_grams")
+        .groupBy("p", F.col("of").alias("family"), "template", "n_grams")
         .count()
         .withColumn("agreement", F.col("count") / F.col("n_grams"))
-        .groupBy("p")
+        .groupBy("p", "family")
         .agg(F.min(F.struct((-F.col("agreement")).alias("less"), "template")).alias("best"))
-        .select("p", F.col("best.template").alias("template"), (-F.col("best.less")).alias("agreement"))
+        .select("p", "family", F.col("best.template").alias("template"), (-F.col("best.less")).alias("agreement"))
     )
-    out = scored.join(shared, "p", "left")
-    return out.select(
-        "p.id",
-        "p.digest",
-        "p.line",
-        "family",
-        "probability",
-        "template",
-        F.coalesce("agreement", F.lit(0.0)).alias("agreement"),
-        (F.coalesce("agreement", F.lit(0.0)) >= agree).alias("confirmed"),
+    out = scored.join(shared, ["p", "family"], "left").withColumn("agreement", F.coalesce("agreement", F.lit(0.0)))
+    confirmed = F.col("agreement") >= F.when(F.col("top"), agree).otherwise(agree_others)
+    return out.withColumn("confirmed", confirmed).where("top OR confirmed").select(
+        "p.id", "p.digest", "p.paragraph", "family", "probability", "template", "agreement", "confirmed"
     )
 
 
@@ -272,7 +316,7 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(spark, docs)
     found = scan(docs, model).withColumn("family", F.when(F.col("confirmed"), F.col("family")))
     by_doc = found.groupBy("id", "digest").agg(
-        F.count("*").alias("n_paragraphs"),
+        F.count_distinct("paragraph").alias("n_paragraphs"),
         F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"),
         F.round(F.max("probability"), 6).alias("probability"),
     )

@@ -10,7 +10,7 @@ def model(spark):
 
 def found(spark, model, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return {(r.id, r.line): (r.family, r.confirmed) for r in licenses.scan(df, model).collect()}
+    return {(r.id, r.paragraph, r.family): r.confirmed for r in licenses.scan(df, model).collect()}
 
 
 def test_families(spark, model):
@@ -25,12 +25,27 @@ def test_families(spark, model):
     ]
     want = ["MIT", "Apache-2.0", "GPL", "LGPL", "CC-BY-NC", "CC-BY", "Proprietary"]
     got = found(spark, model, texts)
-    assert [got[i, 1 if i == 0 else 0] for i in range(len(texts))] == [(f, True) for f in want]
+    assert got == {(i, 0, f): True for i, f in enumerate(want)}
+
+
+def test_wrapped_notices_and_several_families(spark, model):
+    bsd = (
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following\n"
+        "conditions are met:\n\n"
+    )
+    apache = "# Licensed under the Apache License, Version 2.0 (the License);\n# you may not use this file except in compliance with\n# the License."
+    got = found(spark, model, [f"Intro here.\n \t\n{bsd}The end.", f"A tool.\n\n{apache}", "Released under the MIT License. Parts licensed under CC BY-NC 4.0."])
+    assert {k for k, ok in got.items() if ok} == {(0, 1, "BSD"), (1, 1, "Apache-2.0"), (2, 0, "MIT"), (2, 0, "CC-BY-NC")}
+
+
+def test_other_licences_are_unknown(spark, model):
+    """Also those that training never saw."""
+    assert not any(found(spark, model, licenses.OTHERS).values())
 
 
 def test_ordinary_text_is_unknown(spark, model):
     texts = ["The driver showed a license.", "An apache helicopter over the general store.", "All was said by the public.", "MIT won the game under the lights."]
-    assert not any(ok for _, ok in found(spark, model, texts).values())
+    assert not any(found(spark, model, texts).values())
 
 
 def test_probabilities_are_calibrated(model):
