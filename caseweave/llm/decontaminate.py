@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import materialize, table
+from .shared import materialize, table, without
 
 LEAST_BITS, MOST_BITS = 1 << 13, 1 << 27
 _CANDIDATE = "array<struct<p:int,m:int,fp:long,ctx:array<long>>>"
@@ -150,10 +150,11 @@ def contamination(
     n = bench.count()
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (32 * n).bit_length()))
     place = F.col("b_fp").bitwiseAND(F.lit(bits - 1))
-    set_ = bench.groupBy(F.shiftright(place, 3).alias("i")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), place.bitwiseAND(7).cast("int"))).alias("b"))
-    got = set_.toArrow()  # at most MOST_BITS / 8 rows
-    bitmap = np.zeros(bits // 8, np.uint8)
-    bitmap[got.column("i").to_numpy()] = got.column("b").to_numpy().astype(np.uint8)
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(63).cast("int"))
+    set_ = bench.groupBy(F.shiftright(place, 6).alias("i")).agg(F.bit_or(one).alias("b"))
+    got = set_.toArrow()  # at most MOST_BITS / 64 rows of 16 bytes
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[got.column("i").to_numpy()] = got.column("b").to_numpy()
     shipped = spark.sparkContext.broadcast(bitmap.tobytes())
 
     narrow = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("digest")).alias("id"), text.alias("text"))
@@ -204,9 +205,7 @@ CONTAMINATED = "n_hit > 0 AND 20 * n_hit >= n_words"
 def clean_of(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that are not contaminated (a twentieth of their words hit), columns as they were."""
     bad = contamination(docs, benchmark, id_col, text_col, **options).where(CONTAMINATED)
-    bad = bad.select(F.col("id").alias("_cw_id"), F.col("digest").alias("_cw_digest")).distinct()
-    same = docs[id_col].eqNullSafe(F.col("_cw_id")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_cw_digest"))
-    return docs.join(bad, same, "left_anti")
+    return without(docs, bad, [F.col(id_col), F.xxhash64(F.col(text_col).cast("string"))], ["id", "digest"])
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,10 +13,10 @@ import json
 from collections import defaultdict, deque
 from fractions import Fraction
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, table, words
+from .shared import free_names, materialize, table, words
 
 MOST_PASSES = 3
 PART_DIGITS = 3  # hexadecimal digits of the draw that part a pattern: 4,096 parts
@@ -98,44 +98,33 @@ def route(patterns: dict[str, int], quotas: dict[str | None, int], passes: int =
     return {k: v for k, v in flow.items() if v}
 
 
-def mix(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    sources_col: str = "source",
-    weights: dict | None = None,
-    seed: str = "caseweave",
-) -> tuple[DataFrame, DataFrame]:
-    """(documents, flow). documents: id, pattern, size, copies, taken, target (of the pattern's sources).
-    flow: pattern, source, words.
-
-    `sources_col` holds one source or an array of them; null is a source of its own, and an empty array
-    counts as null. Sizes are word counts; null and blank texts have none and are never taken. A document is
-    taken `copies` (0 to 3) whole times; a source misses its target by half its boundary document at most,
-    where its own documents can reach it. Ties of the draw go by id, then size; rows that repeat an id are
-    drawn together and each counts. A source in several patterns gets its words from any of them. An empty
-    table gives no rows. Extra columns are ignored.
-    """
-    spark = docs.sparkSession
+def _keyed(docs: DataFrame, id_col: str, text_col: str, sources_col: str, seed: str, keep: list[str]) -> DataFrame:
+    """docs' columns `keep` with id, pattern, size, draw, part and a checksum of the text in one column `m`."""
     source = F.col(sources_col)
     if docs.schema[sources_col].dataType.typeName() == "array":
         empty = source.isNull() | (F.size(source) == 0)
         listed = F.when(empty, F.array(F.lit(None).cast("string"))).otherwise(F.array_sort(F.array_distinct(source)))
     else:
         listed = F.array(source.cast("string"))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("\\N"))
-    draw = F.md5(F.concat(F.lit(f"{seed}|"), key))
-    rows = materialize(
-        docs.select(
-            F.col(id_col).alias("id"),
-            F.to_json(listed, {"ignoreNullFields": "false"}).alias("pattern"),
-            F.size(words(F.col(text_col).cast("string"))).cast("long").alias("size"),
-            draw.alias("draw"),
-            F.substring(draw, 1, PART_DIGITS).alias("part"),
-        ),
-        "sizes",
+    text = F.col(text_col).cast("string")
+    draw = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("\\N"))))
+    (m,) = free_names(docs.columns, "m")
+    row = F.struct(
+        F.col(id_col).alias("id"),
+        F.to_json(listed, {"ignoreNullFields": "false"}).alias("pattern"),
+        F.size(words(text)).cast("long").alias("size"),
+        draw.alias("draw"),
+        F.substring(draw, 1, PART_DIGITS).alias("part"),
+        F.xxhash64(text).alias("checksum"),
     )
-    parts = materialize(rows.groupBy("pattern", "part").agg(F.sum("size").alias("size")), "parts")
+    # explode keeps filters on the measures above the counting of words
+    return docs.select(*(F.col(f"`{c}`") for c in keep), F.explode(F.array(row)).alias(m))
+
+
+def _plan(spark: SparkSession, parts: DataFrame, weights: dict | None) -> tuple[DataFrame, dict]:
+    """For each pattern: passes, the rest, target, size, and where among the parts the rest ends; and the flow.
+
+    parts: pattern, part, size. Plan and edges have one row a pattern at most: MOST_PATTERNS bounds them."""
     found = parts.groupBy("pattern").agg(F.sum("size").alias("size")).limit(MOST_PATTERNS + 1).collect()
     if len(found) > MOST_PATTERNS:
         raise ValueError(f"over {MOST_PATTERNS} membership patterns; group rare sources before mixing")
@@ -167,42 +156,88 @@ def mix(
     edge = ahead.where("ahead < rest AND ahead + size > rest").select(
         F.col("pattern").alias("_e"), F.col("part").alias("edge"), "ahead"
     )
-    # `plan` and `edge` have one row a pattern at most: MOST_PATTERNS bounds them
-    full = (
-        plan.join(edge, F.col("_p") == F.col("_e"), "left")
-        # with no part astride the rest, parts that start below it are taken whole
-        .join(
-            ahead.where("ahead < rest").groupBy(F.col("pattern").alias("_w")).agg(F.max("part").alias("last")),
-            F.col("_p") == F.col("_w"),
-            "left",
-        )
-        .select("_p", "passes", "rest", "target", "pattern_size", "edge", "ahead", "last")
-    )
-    joined = rows.join(F.broadcast(full), F.col("pattern") == F.col("_p"))
-    astride = F.coalesce(F.col("part") == F.col("edge"), F.lit(False))
-    plain = joined.where(~astride).withColumn(
-        "extra", F.when(F.coalesce(F.col("part") <= F.col("last"), F.lit(False)), 1).otherwise(0)
-    )
-    exact = (
-        joined.where(astride)
-        .withColumn("upto", F.expr("ahead + sum(size) OVER (PARTITION BY pattern ORDER BY draw, id, size ROWS UNBOUNDED PRECEDING)"))
-        .withColumn("extra", F.when(2 * F.col("upto") - F.col("size") <= 2 * F.col("rest"), 1).otherwise(0))
-        .drop("upto")
-    )
-    copies = F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).otherwise(0).cast("int")
-    out = plain.unionByName(exact).select(
-        "id", "pattern", "size", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"), "target", "pattern_size"
-    )
+    # with no part astride the rest, parts that start below it are taken whole
+    last = ahead.where("ahead < rest").groupBy(F.col("pattern").alias("_w")).agg(F.max("part").alias("last"))
+    full = plan.join(edge, F.col("_p") == F.col("_e"), "left").join(last, F.col("_p") == F.col("_w"), "left")
+    return full.select("_p", "passes", "rest", "target", "pattern_size", "edge", "ahead", "last"), flow
+
+
+def _take(keyed: DataFrame, plan: DataFrame, keep: list[str]) -> DataFrame:
+    """Columns `keep` and `t`: the measures with copies, taken, target and pattern_size. Only the rows of one part of each pattern,
+    a 4,096th of it, are moved and ordered."""
+    m = keyed.columns[-1]
+    (t,) = free_names([*keyed.columns, *plan.columns], "t")
+    plan = plan.select(F.col("_p").alias(t + "p"), F.struct("*").alias(t))
+    at, of = lambda name: F.col(m)[name], lambda name: F.col(t)[name]
+    joined = keyed.join(F.broadcast(plan), at("pattern") == F.col(t + "p"))
+    astride = F.coalesce(at("part") == of("edge"), F.lit(False))
+    rows = [F.col(f"`{c}`") for c in keep]
+
+    def done(frame: DataFrame, extra) -> DataFrame:
+        copies = F.when(at("size") > 0, of("passes") + extra).otherwise(0).cast("int")
+        return frame.select(
+            *rows,
+            F.struct(
+                f"{m}.id", f"{m}.pattern", f"{m}.size", copies.alias("copies"), (copies * at("size")).cast("long").alias("taken"),
+                of("target").alias("target"), of("pattern_size").alias("pattern_size"),
+            ).alias(t),
+        )
+
+    whole = F.when(F.coalesce(at("part") <= of("last"), F.lit(False)), 1).otherwise(0)
+    by = Window.partitionBy(at("pattern")).orderBy(at("draw"), at("id"), at("size"), at("checksum")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = of("ahead") + F.sum(at("size")).over(by)
+    exact = joined.where(astride).withColumn(t + "upto", upto)
+    exact = done(exact, F.when(2 * F.col(t + "upto") - at("size") <= 2 * of("rest"), 1).otherwise(0))
+    return done(joined.where(~astride), whole).unionByName(exact)
+
+
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    sources_col: str = "source",
+    weights: dict | None = None,
+    seed: str = "caseweave",
+) -> tuple[DataFrame, DataFrame]:
+    """(documents, flow). documents: id, pattern, size, copies, taken, target (of the pattern's sources), pattern_size.
+    flow: pattern, source, words.
+
+    `sources_col` holds one source or an array of them; null is a source of its own, and an empty array
+    counts as null. Sizes are word counts; null and blank texts have none and are never taken. A document is
+    taken `copies` (0 to 3) whole times; a source misses its target by half its boundary document at most,
+    where its own documents can reach it. Ties of the draw go by id, size and a checksum of the text; rows that repeat an id
+    are drawn together and each counts. A source in several patterns gets its words from any of them. An empty
+    table gives no rows. Extra columns are ignored.
+    """
+    spark = docs.sparkSession
+    rows = materialize(_keyed(docs, id_col, text_col, sources_col, seed, []), "sizes")
+    m = rows.columns[-1]
+    parts = materialize(rows.groupBy(f"{m}.pattern", f"{m}.part").agg(F.sum(f"{m}.size").alias("size")), "parts")
+    plan, flow = _plan(spark, parts, weights)
+    out = _take(rows, materialize(plan, "plan"), [])
     routed = spark.createDataFrame([(p, s, n) for (p, s), n in flow.items()], "pattern string, source string, words long")
-    return out, routed
+    return out.select(f"{out.columns[-1]}.*"), routed
+
 
+def mixed_documents(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    sources_col: str = "source",
+    weights: dict | None = None,
+    seed: str = "caseweave",
+) -> DataFrame:
+    """The documents of the mix, each row as often as it is taken; columns as they were. See mix.
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents of the mix, each as often as it is taken; columns as they were."""
-    chosen, _ = mix(docs, id_col, **options)
-    chosen = chosen.where("copies > 0").groupBy(F.col("id").alias("_cw_id")).agg(F.max("copies").alias("_cw_copies"))
-    out = docs.join(chosen, docs[id_col].eqNullSafe(F.col("_cw_id")))
-    return out.withColumn("_cw_n", F.explode(F.sequence(F.lit(1), "_cw_copies"))).select(*docs.columns)
+    Texts stay where they are read, but for the few rows that `_take` orders: words are counted twice instead."""
+    keyed = _keyed(docs, id_col, text_col, sources_col, seed, docs.columns)
+    m = keyed.columns[-1]
+    parts = materialize(keyed.groupBy(f"{m}.pattern", f"{m}.part").agg(F.sum(f"{m}.size").alias("size")), "parts")
+    plan, _ = _plan(docs.sparkSession, parts, weights)
+    out = _take(keyed, materialize(plan, "plan"), docs.columns)
+    t = out.columns[-1]
+    out = out.where(F.col(t)["copies"] > 0).withColumn(t, F.explode(F.sequence(F.lit(1), F.col(t)["copies"])))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,9 +20,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import materialize, table
+from .shared import free_names, materialize, table, within, without
 
 LEAF, FANOUT, PAIRS = 8, 4, 32_768
+_DIGEST = "concat_ws(':', xxhash64(cast({0} AS string)), hash(cast({0} AS string)))"
 BLOCKS = (16, 12, 9)  # widths of the four blocks at each dealing
 
 
@@ -220,9 +221,11 @@ def links(fps: DataFrame, limit: int = 3, hot_rows: int = 16_384) -> DataFrame:
 
 
 def simhash_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, limit: int = 3, hot_rows: int = 16_384
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, limit: int = 3, hot_rows: int = 16_384,
+    with_digest: bool = False,
 ) -> DataFrame:
-    """One row for each input row: id, fp (long), root (fp of the class), component_id (smallest id of the class).
+    """One row for each input row: id, fp (long), root (fp of the class), component_id (smallest id of the class) and, if asked
+    for, digest (two checksums of the text).
 
     Null and blank texts have fingerprint zero and link like any other. Equal texts share a fingerprint.
     Repeated rows give repeated output rows. A null id takes part in linking but is never a smallest id
@@ -230,39 +233,39 @@ def simhash_components(
     are ignored, whatever their names.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = materialize(narrow.mapInArrow(_fingerprints(width), f"id {kind}, fp long"), "fingerprints")
+    narrow = docs.select(
+        F.struct(F.col(id_col).alias("id"), *([F.expr(_DIGEST.format(f"`{text_col}`")).alias("digest")] if with_digest else [])).alias("id"),
+        F.col(text_col).cast("string").alias("text"),
+    )
+    extra = ",digest:string" if with_digest else ""
+    rows = materialize(narrow.mapInArrow(_fingerprints(width), f"id struct<id:{kind}{extra}>, fp long").select("id.*", "fp"), "fingerprints")
     fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = materialize(connected_components(links(fps, limit, hot_rows)), "roots")
     named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = materialize(named.join(least, "root").select(F.col("fp").alias("_fp"), "root", "component_id"), "classes")
-    return rows.join(classes, rows.fp == classes._fp, "left").select("id", "fp", "root", "component_id")
+    return rows.join(classes, rows.fp == classes._fp, "left").select("id", "fp", "root", "component_id", *(["digest"] if with_digest else []))
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Keep one row of each class of near-duplicates: the one with the smallest id.
-
-    Rows that repeat that id leave one row; a class without any id keeps one of its rows. All columns stay.
-    """
-    found = simhash_components(docs, id_col, text_col, **options)
-    keep = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("_cw_keep")).distinct()
-    kept = docs.join(keep, docs[id_col] == F.col("_cw_keep"), "left_semi").dropDuplicates([id_col])
-    blank = docs.where(docs[id_col].isNull())
-    if not blank.take(1):
+    """Keep one row of each class of near-duplicates: of the rows with the smallest id, null last, the one whose text has the
+    smallest checksums; of rows that repeat both, one. All columns stay. No two texts are taken for one by their id."""
+    found = simhash_components(docs, id_col, text_col, with_digest=True, **options)
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    first = found.groupBy("root").agg(F.min(order).alias("x"), F.count("*").alias("n")).select("root", "x.id", "x.digest", "n")
+    # rows that go: those of classes of several rows that aren't the first; equal rows of the first go but for one
+    several = first.where("n > 1").select(F.col("root").alias("_r"), F.col("id").alias("_i"), F.col("digest").alias("_d"))
+    rows = found.join(several, F.col("root") == F.col("_r"))
+    is_first = F.col("id").eqNullSafe(F.col("_i")) & (F.col("digest") == F.col("_d"))
+    gone = materialize(rows.groupBy("id", "digest").agg(F.max(is_first).alias("first"), F.count("*").alias("n")), "gone")
+    key = [F.col(id_col), F.expr(_DIGEST.format(f"`{text_col}`"))]
+    kept = without(docs, gone.where("NOT first OR n > 1"), key, ["id", "digest"])
+    again = gone.where("first AND n > 1")
+    if not again.take(1):
         return kept
-    lone = found.where(F.col("component_id").isNull()).select(F.lower(F.hex("fp")).alias("_cw_fp"), "root")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    place = docs.columns.index(text_col)
-
-    def tag(batches):
-        for b in batches:
-            hexed = [f"{fingerprint(t):x}" for t in b.column(place).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hexed, pa.string())], [*b.schema.names, "_cw_tag"])
-
-    tagged = blank.mapInArrow(tag, f"{fields}, _cw_tag string")
-    one = tagged.join(lone.distinct(), F.col("_cw_tag") == F.col("_cw_fp")).dropDuplicates(["root"])
-    return kept.unionByName(one.select(*docs.columns))
+    (n,) = free_names(docs.columns, "_cw_n")
+    repeated = within(docs, again, key, ["id", "digest"]).withColumn(n, key[1]).dropDuplicates([id_col, n]).drop(n)
+    return kept.unionByName(repeated)
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

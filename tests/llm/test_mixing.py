@@ -82,3 +82,21 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(odd_docs.repartition(3))[0].collect()))
     assert mixing.mix(no_docs)[0].count() == 0
     assert mixing.mixed_documents(odd_docs).columns == odd_docs.columns
+
+
+def test_rows_that_repeat_an_id_deliver_the_plan(spark):
+    """One id, other sizes and sources: each row is taken as often as the plan says, and the words add up."""
+    rows = [(i % 7, " ".join(["w"] * (1 + i % 23)), f"s{i % 3}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    plan, _ = mixing.mix(df)
+    want = sorted((r.id, r.size) for r in plan.collect() for _ in range(r.copies))
+    got = mixing.mixed_documents(df).collect()
+    assert sorted((r.doc_id, len(r.text.split())) for r in got) == want
+    by = {}
+    for r in got:
+        by[r.source] = by.get(r.source, 0) + len(r.text.split())
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    for s, t in mixing.targets(sizes).items():
+        assert abs(by[s] - t) <= 23

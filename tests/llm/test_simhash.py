@@ -122,3 +122,10 @@ def test_class_without_ids_keeps_one(spark):
     df = spark.createDataFrame([(None, "same words here", 1), (None, "same words here", 2), (5, "other text altogether", 3)], "doc_id long, text string, n int")
     kept = simhash.simhash_dedup(df).collect()
     assert sorted((r.doc_id or 0, r.text) for r in kept) == [(0, "same words here"), (5, "other text altogether")]
+
+
+def test_an_id_with_two_texts_loses_neither(spark):
+    """Id 1 names two unrelated texts, one of which id 0 copies; equal rows leave one."""
+    a, b = "the quick brown fox jumps over the lazy dog", "colourless green ideas sleep furiously at night"
+    df = spark.createDataFrame([(1, a), (1, b), (0, a), (2, b), (2, "quite another text of its own"), (2, "quite another text of its own")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in simhash.simhash_dedup(df).collect()) == [(0, a), (1, b), (2, "quite another text of its own")]
