@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, materialize, table
+from .shared import _bit_split, fresh_path, materialize, table
 
 MAGIC = b"\x1f\x8b\x08"
 BLOCK = 1 << 20
@@ -97,10 +97,14 @@ def write_warc(
     rows = pages.select(
         F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), html.alias("payload"), F.sha1(html).alias("sha")
     )
-    first = rows.groupBy(F.col("sha").alias("_sha")).agg(F.min("id").alias("first"))
-    joined = rows.join(first, F.col("sha") == F.col("_sha"))
+    first = rows.groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = materialize(first.select("sha", "first"), "first")
+    # payloads that stand alone are written where they are read; only those that may repeat move
+    lone, shared, _, _ = _bit_split(rows, first, [F.col("sha")], ["sha"])
+    named = shared.join(first.select(F.col("sha").alias("_sha"), "first"), F.col("sha") == F.col("_sha"), "left")
     revisit = F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")) & (F.octet_length("payload") >= revisit_from)
-    ready = joined.select(F.col("id").cast("string"), "url", "payload", F.when(revisit, F.col("first")).cast("string"))
+    ready = lone.select(F.col("id").cast("string"), "url", "payload", F.lit(None).cast("string").alias("first"))
+    ready = ready.unionByName(named.select(F.col("id").cast("string"), "url", "payload", F.when(revisit, F.col("first")).cast("string").alias("first")))
     return materialize(ready.mapInArrow(_writer(base), "path string, records long, bytes long"), "manifest")
 
 
@@ -108,7 +112,7 @@ class _Window:
     """A file seen through a buffer that slides forward."""
 
     def __init__(self, file, at: int):
-        self.file, self.at, self.data = file, at, b""
+        self.file, self.at, self.data = file, at, bytearray()
         self.size = file.size()
 
     def more(self) -> bool:
@@ -118,7 +122,8 @@ class _Window:
         return bool(got)
 
     def drop(self, to: int) -> None:
-        self.data, self.at = self.data[to - self.at :], to
+        del self.data[: to - self.at]
+        self.at = to
 
     def find(self, needle: bytes, start: int, end: int) -> int:
         """Where the needle next begins in [start, end), or -1; what lies before it is forgotten."""
@@ -140,7 +145,7 @@ def _member(win: _Window, at: int) -> tuple[bytes, int] | None:
         while not z.eof:
             if used >= win.at + len(win.data) and not win.more():
                 break
-            part = win.data[used - win.at : used - win.at + BLOCK]
+            part = bytes(win.data[used - win.at : used - win.at + BLOCK])
             used += len(part)
             got = z.decompress(part)
             if len(seen) < 5:
@@ -218,7 +223,8 @@ def read_warc(spark: SparkSession, path: str, split: int = SPLIT, with_payload:
     """All response and revisit records of the archives under `path`, with their file and offset.
 
     Files are listed by Spark and dealt out in ranges of `split` bytes. A record's payload is decoded in one
-    piece, so memory is bounded by the longest record. Damaged or cut records raise an error.
+    piece, so memory is bounded by the longest record. Damaged or cut records raise an error. A payload that itself holds stored
+    gzip members of WARC records gives records of its own where a range begins inside it: keep such archives in one range (`split`).
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(path).select("path", "length").where("length > 0")
     ranges = files.select(
