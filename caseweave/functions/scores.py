@@ -77,3 +77,36 @@ def redact(text: Column, alias: str, stand_in: str = "Protected person A") -> Co
 
 def money(amount: Column) -> Column:
     return F.format_number(amount, 2)
+
+
+def confidence_phrase(score: Column, basis: Column) -> Column:
+    """How a reading is put to a reader: by its basis where one is recorded, else by its score."""
+    by_score = (
+        F.when(score.isNull(), "basis not recorded").when(score >= 0.85, "stated directly").when(score >= 0.70, "stated, with some reading")
+        .when(score >= 0.50, "inferred from context").otherwise("weakly supported")
+    )
+    return F.when(basis == "direct", "stated directly").when(basis == "direct_visual", "read from an image").when(basis == "inferred", "inferred from context").otherwise(by_score)
+
+
+def source_category(name: Column) -> Column:
+    """A declared category as lower-case words joined by underscores, 64 characters at most."""
+    return F.substring(F.btrim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "_"), F.lit("_")), 1, 64)
+
+
+def clock_time(text: Column) -> Column:
+    """HH:mm in 24 hours of the first clock time in a text (7:05 pm, 19.05, 7 pm), or null."""
+    form = r"(?i)\b(\d{1,2})(?:[:.](\d{2}))?\s*([ap])\.?m\b|\b(\d{1,2})[:.](\d{2})\b"
+    part = lambda i: F.nullif(F.regexp_extract(text, form, i), F.lit(""))
+    hour, half = F.coalesce(part(1), part(4)).try_cast("int"), F.lower(part(3))
+    minute = F.coalesce(part(2), part(5), F.lit("00"))
+    at = F.when(half == "p", hour % 12 + 12).when(half == "a", hour % 12).otherwise(hour)
+    return F.when((at < 24) & (minute.try_cast("int") < 60), F.format_string("%02d:%s", at, minute))
+
+
+def written_forms(clock: Column) -> Column:
+    """The ways in which a clock time HH:mm may be written: 19:05, 7:05 pm, 7:05pm, 7.05 pm, 19.05 and, on the hour, 7 pm."""
+    hour, minute = F.substring(clock, 1, 2).try_cast("int"), F.substring(clock, 4, 2)
+    twelve, half = F.when(hour % 12 == 0, 12).otherwise(hour % 12).cast("string"), F.when(hour < 12, "am").otherwise("pm")
+    forms = [clock, F.concat(hour.cast("string"), F.lit(":"), minute), F.concat(F.substring(clock, 1, 2), F.lit("."), minute)]
+    forms += [F.concat(twelve, F.lit(sep), minute, F.lit(gap), half) for sep in ":." for gap in (" ", "")]
+    return F.array_distinct(F.array_compact(F.array(*forms, F.when(minute == "00", F.concat(twelve, F.lit(" "), half)))))

@@ -2,8 +2,8 @@
 
 Edges are (case_id, u, v, weight, observations, evidence, types) with u < v. Grouped kernels (betweenness, cut
 nodes, communities, paths) take one case at a time. Given a `checkpoint` function (see lineage), cases of over
-`most_nodes` nodes go by rounds of joins instead (see rounds). The ceiling `MOST_NODES` belongs to betweenness
-alone: larger cases fall back to degree, which is plain SQL.
+`most_nodes` nodes or `KERNEL_EDGES` edges go by rounds of joins instead (see rounds), with the same results. The
+ceiling `MOST_NODES` belongs to betweenness alone: larger cases fall back to degree, which is plain SQL.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from . import rounds as by_joins
 
 MOST_NODES, MIN_WEIGHT = 1_500, 0.01
+#: A case of up to so many nodes and edges fits a small part of a task's memory in plain Python.
+KERNEL_NODES, KERNEL_EDGES = 20_000, 400_000
 
 
 def build_edges(relations: DataFrame, min_confidence: float = 0.0, types: list[str] | None = None, verified_only: bool = False) -> DataFrame:
@@ -79,6 +81,74 @@ def bfs_levels(edges: DataFrame, root: str | int, depth: int = 6) -> DataFrame:
     return seen
 
 
+def all_levels(edges: DataFrame, roots: DataFrame | None, checkpoint) -> DataFrame:
+    """Every node of every case with its level from the case's root; those that the root doesn't reach stand one level below the
+    deepest. roots: case_id, node; by default, and in cases without one, the node of most edges, the smallest of equals."""
+    both = checkpoint(ends(edges).select("case_id", "node", "other"))
+    deg = both.groupBy("case_id", "node").agg(F.count("*").alias("d"))
+    busiest = deg.groupBy("case_id").agg(F.min(F.struct((-F.col("d")).alias("less"), "node")).alias("b")).select("case_id", F.col("b.node").alias("node"))
+    if roots is not None:
+        roots = roots.join(deg, ["case_id", "node"], "left_semi")
+        busiest = roots.unionByName(busiest.join(roots.select("case_id"), "case_id", "left_anti"))
+    front = checkpoint(busiest.withColumn("level", F.lit(0)))
+    levels = [front]
+    while True:
+        # a neighbour lies one level off at most
+        seen = front.select("case_id", "node") if len(levels) < 2 else front.select("case_id", "node").unionByName(levels[-2].select("case_id", "node"))
+        step = both.join(front.select("case_id", "node"), ["case_id", "node"]).select("case_id", F.col("other").alias("node")).distinct()
+        front = checkpoint(step.join(seen, ["case_id", "node"], "left_anti").withColumn("level", F.lit(len(levels))))
+        if not front.take(1):
+            break
+        levels.append(front)
+    seen = by_joins._gather(levels, checkpoint)
+    deepest = seen.groupBy("case_id").agg(F.max("level").alias("most"))
+    out = deg.select("case_id", "node").join(seen, ["case_id", "node"], "left").join(deepest, "case_id")
+    return out.select("case_id", "node", F.coalesce("level", F.col("most") + 1).alias("level"))
+
+
+def one_hop(edges: DataFrame, focus: str | int, types: list[str] | None = None) -> DataFrame:
+    """The induced edges of a focus and its neighbours, of the given relation types alone."""
+    rows = edges
+    if types:
+        rows = edges.where(F.arrays_overlap(F.split("relation_types", ","), F.array(*map(F.lit, types))))
+    return ego_subgraph(rows, focus, 1)
+
+
+def connections(edges: DataFrame, source, target, relations: DataFrame, checkpoint) -> DataFrame:
+    """How two parties of each case are joined: their relations where there are any (how: direct), else the shortest path (how:
+    path) or why there is none (how: none). case_id, how, detail, weakest."""
+    ends_ = (F.col("subject") == source) & (F.col("object") == target) | (F.col("subject") == target) & (F.col("object") == source)
+    direct = relations.where(ends_ & (F.coalesce("status", F.lit("")) != "rejected")).groupBy("case_id").agg(
+        F.array_join(F.array_sort(F.collect_set("relation_type")), ",").alias("detail"), F.max("confidence").cast("double").alias("weakest")
+    )
+    found = shortest_path(edges.join(direct.select("case_id"), "case_id", "left_anti"), source, target, checkpoint)
+    how = F.when(F.col("found"), "path").otherwise("none")
+    rest = found.select("case_id", how.alias("how"), F.coalesce("path", "reason").alias("detail"), "weakest")
+    return direct.select("case_id", F.lit("direct").alias("how"), "detail", "weakest").unionByName(rest)
+
+
+def important(edges: DataFrame, checkpoint, metric: str = "degree", kind=None, top: int = 10) -> DataFrame:
+    """The `top` entities of each case by degree, betweenness or eigenvector score, ranked after the filter `kind` (a condition on
+    node): case_id, rank, node, score, connections, n_evidence, communities_linked (of its neighbours), is_bridge (a cut node)."""
+    from .rollups import top_per
+
+    edges = checkpoint(edges)
+    measures = checkpoint(node_measures(edges, checkpoint))
+    home = checkpoint(communities(edges, checkpoint))
+    degree = degree_centrality(edges).select("case_id", "node", F.col("degree").alias("connections"), F.col("centrality").alias("degree_score"))
+    rows = measures.join(degree, ["case_id", "node"])
+    if metric == "eigenvector":
+        rows = rows.join(eigenvector(edges, checkpoint=checkpoint), ["case_id", "node"])
+    else:
+        rows = rows.withColumn("score", F.col("betweenness" if metric == "betweenness" else "degree_score"))
+    best = checkpoint(top_per(rows.where(kind) if kind is not None else rows, ["case_id"], [F.desc("score"), F.asc("node")], top))
+    near = ends(edges).join(best.select("case_id", "node"), ["case_id", "node"])
+    linked = near.join(home.select("case_id", F.col("node").alias("other"), "community"), ["case_id", "other"])
+    reach = linked.groupBy("case_id", "node").agg(F.count_distinct("community").alias("communities_linked"), F.sum("n_evidence").alias("n_evidence"))
+    out = best.join(reach, ["case_id", "node"])
+    return out.select("case_id", "rank", "node", "score", "connections", "n_evidence", "communities_linked", F.col("is_cut").alias("is_bridge"))
+
+
 def node_components(edges: DataFrame, checkpoint) -> DataFrame:
     """case_id, node, component (its smallest node) by label propagation with pointer jumping, until no label changes.
 
@@ -172,9 +242,9 @@ def cuts(adj: dict) -> tuple[set, set]:
 
 
 def _by_size(edges: DataFrame, most_nodes: int) -> tuple[DataFrame, DataFrame]:
-    """Edges of the cases of up to `most_nodes` nodes, and of the larger ones."""
-    sizes = ends(edges).groupBy(F.col("case_id").alias("_c")).agg(F.count_distinct("node").alias("n"))
-    big, same = sizes.where(F.col("n") > most_nodes).select("_c"), F.col("case_id") == F.col("_c")
+    """Edges of the cases of up to `most_nodes` nodes and KERNEL_EDGES edges, and of the larger ones."""
+    sizes = ends(edges).groupBy(F.col("case_id").alias("_c")).agg(F.count_distinct("node").alias("n"), F.count("*").alias("m"))
+    big, same = sizes.where((F.col("n") > most_nodes) | (F.col("m") > 2 * KERNEL_EDGES)).select("_c"), F.col("case_id") == F.col("_c")
     return edges.join(big, same, "left_anti"), edges.join(big, same, "left_semi")
 
 
@@ -185,7 +255,7 @@ def node_measures(edges: DataFrame, checkpoint=None, most_nodes: int = MOST_NODE
     small, large = _by_size(edges, most_nodes)
     kinds = {f.name: f.dataType.simpleString() for f in edges.schema.fields}
 
-    def measured(whole: bool):
+    def measured(rows: DataFrame, whole: bool) -> DataFrame:
         def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
             adj = _adjacency(pdf)
             score, (points, _) = _brandes(adj) if whole else dict.fromkeys(adj), cuts(adj)
@@ -193,20 +263,24 @@ def node_measures(edges: DataFrame, checkpoint=None, most_nodes: int = MOST_NODE
             return pd.DataFrame({"case_id": pdf.case_id.iloc[0], "node": list(adj), "betweenness": worth, "is_cut": [x in points for x in adj]})
 
         schema = f"case_id {kinds['case_id']}, node {kinds['u']}, betweenness double, is_cut boolean"
-        return (small if whole else large).select("case_id", "u", "v", "distance").groupBy("case_id").applyInPandas(kernel, schema)
+        return rows.select("case_id", "u", "v", "distance").groupBy("case_id").applyInPandas(kernel, schema)
 
     degree = degree_centrality(large).select("case_id", "node", F.col("centrality").alias("betweenness"))
     if checkpoint is None:
-        far = degree.join(measured(False).select("case_id", "node", "is_cut"), ["case_id", "node"])
+        cut = measured(large, False).select("case_id", "node", "is_cut")
     elif not large.take(1):
-        return measured(True)
+        return measured(small, True)
     else:
-        points = by_joins.cut_nodes(by_joins.blocks(large, checkpoint)).withColumn("_cut", F.lit(True))
-        far = degree.join(points, ["case_id", "node"], "left").select("case_id", "node", "betweenness", F.coalesce("_cut", F.lit(False)).alias("is_cut"))
-    return measured(True).unionByName(far)
+        middle, largest = _by_size(large, max(most_nodes, KERNEL_NODES) if most_nodes >= MOST_NODES else most_nodes)
+        cut = measured(middle, False).select("case_id", "node", "is_cut")
+        if largest.take(1):
+            points = by_joins.cut_nodes(by_joins.blocks(largest, checkpoint)).select("case_id", "node", F.lit(True).alias("is_cut"))
+            cut = cut.unionByName(points)
+    far = degree.join(cut, ["case_id", "node"], "left").select("case_id", "node", "betweenness", F.coalesce("is_cut", F.lit(False)).alias("is_cut"))
+    return measured(small, True).unionByName(far)
 
 
-def bridge_edges(edges: DataFrame, checkpoint=None, most_nodes: int = MOST_NODES) -> DataFrame:
+def bridge_edges(edges: DataFrame, checkpoint=None, most_nodes: int = KERNEL_NODES) -> DataFrame:
     """Edges whose removal disconnects their case."""
     if checkpoint is not None:
         edges = checkpoint(edges)
@@ -265,7 +339,7 @@ def louvain(weights: dict, seed: int = 7) -> dict:
         graph = {x: dict(ys) for x, ys in merged.items()}
 
 
-def communities(edges: DataFrame, checkpoint=None, most_nodes: int = MOST_NODES) -> DataFrame:
+def communities(edges: DataFrame, checkpoint=None, most_nodes: int = KERNEL_NODES) -> DataFrame:
     """case_id, node, community (its smallest member)."""
     if checkpoint is not None:
         edges = checkpoint(edges)
@@ -317,7 +391,7 @@ def far_path(edges: DataFrame, source, target, checkpoint) -> DataFrame:
     )
 
 
-def shortest_path(edges: DataFrame, source, target, checkpoint=None, most_nodes: int = MOST_NODES) -> DataFrame:
+def shortest_path(edges: DataFrame, source, target, checkpoint=None, most_nodes: int = KERNEL_NODES) -> DataFrame:
     """Per case: found, path (nodes joined by '>'), distance, weakest (least confidence on it), reason where not found.
 
     Cases of up to `most_nodes` nodes are solved one at a time; larger ones, given a `checkpoint` function (see lineage),
@@ -357,7 +431,7 @@ def shortest_path(edges: DataFrame, source, target, checkpoint=None, most_nodes:
     return rows.groupBy("case_id").applyInPandas(kernel, schema)
 
 
-def eigenvector(edges: DataFrame, rounds: int = 500, close: float = 1e-6, checkpoint=None, most_nodes: int = MOST_NODES) -> DataFrame:
+def eigenvector(edges: DataFrame, rounds: int = 500, close: float = 1e-6, checkpoint=None, most_nodes: int = KERNEL_NODES) -> DataFrame:
     """case_id, node, score: weighted power iteration per case, the degree centrality where it does not settle in `rounds`."""
     import numpy as np
 
@@ -371,25 +445,32 @@ def eigenvector(edges: DataFrame, rounds: int = 500, close: float = 1e-6, checkp
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = sorted({*pdf.u, *pdf.v})
         at = {x: i for i, x in enumerate(nodes)}
-        a = np.zeros((len(nodes), len(nodes)))
-        for u, v, w in zip(pdf.u, pdf.v, pdf.weight, strict=True):
-            a[at[u], at[v]] = a[at[v], at[u]] = w
+        i, j, w = pdf.u.map(at).to_numpy(), pdf.v.map(at).to_numpy(), pdf.weight.to_numpy()
         x, settled = np.full(len(nodes), 1 / len(nodes)), False
         for _ in range(rounds):
-            y = x + a @ x
+            y = x + np.bincount(i, w * x[j], len(nodes)) + np.bincount(j, w * x[i], len(nodes))
             y /= np.linalg.norm(y) or 1
             if settled := np.abs(y - x).sum() < len(nodes) * close:
                 x = y
                 break
             x = y
         if not settled:
-            x = (a > 0).sum(axis=1) / max(1, len(nodes) - 1)
+            x = (np.bincount(i, minlength=len(nodes)) + np.bincount(j, minlength=len(nodes))) / max(1, len(nodes) - 1)
         return pd.DataFrame({"case_id": pdf.case_id.iloc[0], "node": nodes, "score": np.round(x, 6)})
 
     rows = edges.select("case_id", "u", "v", F.col("weight").cast("double"))
     return rows.groupBy("case_id").applyInPandas(kernel, f"case_id {kinds['case_id']}, node {kinds['u']}, score double")
 
 
+def whole_overview(edges: DataFrame, checkpoint) -> DataFrame:
+    """overview with communities and bridge relationships."""
+    edges = checkpoint(edges)
+    n = communities(edges, checkpoint).groupBy("case_id").agg(F.count_distinct("community").alias("communities"))
+    b = bridge_edges(edges, checkpoint).groupBy("case_id").agg(F.count("*").alias("bridges"))
+    out = overview(edges).join(n, "case_id", "left").join(b, "case_id", "left")
+    return out.withColumn("bridges", F.coalesce("bridges", F.lit(0).cast("long")))
+
+
 def overview(edges: DataFrame) -> DataFrame:
     """Per case: entities, relationships, observations, and isolated (0: nodes come from edges alone)."""
     nodes = ends(edges).groupBy("case_id").agg(F.count_distinct("node").alias("entities"))

@@ -6,8 +6,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def json_text(text: Column) -> Column:
+    """A JSON string in ASCII, with lower-case escapes; null where the text is null."""
+    named = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
+
+    def escaped(c: Column) -> Column:
+        out = F.when(c.rlike(r'^[ !#-\[\]-~]$'), c)
+        for char, form in named.items():
+            out = out.when(c == char, F.lit(form))
+        units = F.lower(F.hex(F.encode(c, "UTF-16BE")))
+        return out.otherwise(F.concat(F.lit("\\u"), F.substring(units, 1, 4), F.when(F.length(units) > 4, F.concat(F.lit("\\u"), F.substring(units, 5, 4))).otherwise("")))
+
+    chars = F.regexp_extract_all(text, F.lit(r"(?s)."), F.lit(0))
+    return F.when(text.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), F.array_join(F.transform(chars, escaped), ""), F.lit('"')))
+
+
+def canonical_json(fields: dict[str, Column]) -> Column:
+    """One object with its keys in order and no spacing. Values: string columns; any others have to be JSON text already, in a
+    one-element tuple."""
+    parts = []
+    for name in sorted(fields):
+        value = fields[name]
+        parts += [F.lit(("," if parts else "") + f'"{name}":'), F.coalesce(value[0], F.lit("null")) if isinstance(value, tuple) else json_text(value)]
+    return F.concat(F.lit("{"), *parts, F.lit("}"))
+
+
 def entry_hash(payload: Column, previous: Column) -> Column:
-    return F.sha2(F.concat(payload, F.lit("|"), F.coalesce(previous, F.lit(""))), 256)
+    """SHA-256 of the entry's canonical JSON: its payload's digest and the hash before it."""
+    return F.sha2(canonical_json({"payload": payload, "previous_hash": previous}), 256)
 
 
 def verify_chain(entries: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
@@ -31,23 +57,57 @@ def verify_chain(entries: DataFrame, keys: list[str], strict: bool = False) -> D
 
 
 def append_chain(entries: DataFrame, key: str) -> DataFrame:
-    """Seal the entries of each key (id, at, payload) in order: key, id, at, payload, previous_hash, event_hash. A chain is
-    sequential by nature, so one task takes one key."""
+    """Seal the entries of each key (id, at, payload) in order: key, id, at, payload, previous_hash, event_hash.
+
+    A chain is sequential by nature: each hash needs the one before. Rows come sorted and are sealed as they stream by, so a task
+    holds one hash and not a chain, however long."""
     import hashlib
+    import json
 
     import pandas as pd
 
-    def seal(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], None
-        for row in pdf.sort_values(["at", "id"]).itertuples(index=False):
-            h = hashlib.sha256(f"{row.payload}|{last or ''}".encode()).hexdigest()
-            out.append((*row, last, h))
-            last = h
-        return pd.DataFrame(out, columns=[*pdf.columns, "previous_hash", "event_hash"])
-
     rows = entries.select(key, "id", "at", "payload")
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def seal(batches):
+        last_key, last = object(), None
+        for pdf in batches:
+            previous, hashes = [], []
+            for k, payload in zip(pdf[key], pdf["payload"]):
+                if k != last_key:
+                    last_key, last = k, None
+                previous.append(last)
+                text = json.dumps({"payload": payload, "previous_hash": last}, sort_keys=True, separators=(",", ":"))
+                last = hashlib.sha256(text.encode()).hexdigest()
+                hashes.append(last)
+            yield pdf.assign(previous_hash=pd.Series(previous, index=pdf.index, dtype=object), event_hash=hashes)
+
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields) + ", previous_hash string, event_hash string"
-    return rows.groupBy(key).applyInPandas(seal, schema)
+    return rows.repartition(n, key).sortWithinPartitions(key, "at", "id").mapInPandas(seal, schema)
+
+
+def publish(ledger: DataFrame, identities: DataFrame, key: str, contact: str, at) -> DataFrame:
+    """Ledger rows to add: digest, case_reference, contact, published_at for identities (case_reference, entity_type, key) that the
+    case has not published; append_chain seals them with the rows that stand there."""
+    rows = identities.select(
+        hmac_sha256(key, F.concat_ws(":", "entity_type", "key")).alias("digest"), "case_reference", F.lit(contact).alias("contact"), F.lit(at).cast("timestamp_ntz").alias("published_at")
+    ).dropDuplicates(["digest", "case_reference"])
+    return rows.join(ledger.select("digest", "case_reference"), ["digest", "case_reference"], "left_anti")
+
+
+def withdraw(ledger: DataFrame, case_reference) -> DataFrame:
+    """The ledger without a case's rows; the chain breaks there, and verification says so."""
+    return ledger.where(~F.col("case_reference").eqNullSafe(F.lit(case_reference)))
+
+
+def ledger_matches(ledger: DataFrame, identities: DataFrame, key: str) -> DataFrame:
+    """Rows that other cases published for a case's identities: case_reference, entity_type, key, other, contact, published_at.
+    identities: case_reference, entity_type, key."""
+    own = identities.distinct().withColumn("_d", hmac_sha256(key, F.concat_ws(":", "entity_type", "key")))
+    other = ledger.select("digest", F.col("case_reference").alias("other"), "contact", "published_at")
+    return own.join(other, (F.col("_d") == F.col("digest")) & (F.col("case_reference") != F.col("other"))).select(
+        "case_reference", "entity_type", "key", "other", "contact", "published_at"
+    )
 
 
 def ledger_verify(entries: DataFrame, keys: list[str]) -> DataFrame:
@@ -88,6 +148,39 @@ def merkle_proof(leaves: DataFrame, keys: list[str], place: int) -> DataFrame:
     return out
 
 
+def inclusion_proofs(leaves: DataFrame, keys: list[str], wanted: DataFrame) -> DataFrame:
+    """Of each wanted leaf (keys, hash): keys, hash, place, set_size, root and verified, whether its path of siblings leads to the
+    root; place is null where the set does not hold it. leaves: keys, place from 0, hash. The path is walked by one join a level."""
+    first = leaves.groupBy(*keys, "hash").agg(F.min("place").alias("place"))
+    sizes = leaves.groupBy(*keys).agg(F.count("*").alias("set_size"))
+    at = wanted.join(first, [*keys, "hash"], "left").withColumns({"_at": F.col("place"), "_now": F.col("hash")})
+    rows = leaves.select(*keys, F.col("place").cast("long").alias("place"), "hash")
+    depth = leaves.agg(F.max("place")).first()[0]
+    for _ in range(0 if depth is None else int(depth).bit_length()):
+        beside = rows.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("place").alias("_p"), F.col("hash").alias("_h"))
+        on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("_p") == F.col("_at").bitwiseXOR(F.lit(1))]
+        joined = at.join(beside, on, "left")
+        now = F.when(F.col("_h").isNull(), F.col("_now")).when(F.col("_at") % 2 == 1, F.sha2(F.concat("_h", "_now"), 256)).otherwise(F.sha2(F.concat("_now", "_h"), 256))
+        at = joined.withColumns({"_now": now, "_at": F.shiftright("_at", 1)}).drop(*(f"_{k}" for k in keys), "_p", "_h")
+        pair = rows.groupBy(*keys, F.shiftright("place", 1).alias("place")).agg(
+            F.max(F.when(F.col("place") % 2 == 0, F.col("hash"))).alias("l"), F.max(F.when(F.col("place") % 2 == 1, F.col("hash"))).alias("r")
+        )
+        rows = pair.select(*keys, "place", F.when(F.col("r").isNull(), F.col("l")).otherwise(F.sha2(F.concat("l", "r"), 256)).alias("hash"))
+    out = at.join(rows.select(*keys, F.col("hash").alias("root")), keys).join(sizes, keys)
+    return out.select(*keys, "hash", "place", "set_size", "root", (F.col("place").isNotNull() & (F.col("_now") == F.col("root"))).alias("verified"))
+
+
+def snapshot_hash(rows: DataFrame, keys: list[str], order: list[str], digest: Column) -> DataFrame:
+    """Per key a hash over all its rows in order, by levels (a Merkle root), so that no task holds a key's rows. Places come from
+    counts by hash prefix, not from a sort of the whole key."""
+    named = rows.select(*keys, F.sha2(F.concat_ws("\x1f", *(F.col(c).cast("string") for c in order), digest), 256).alias("hash"))
+    named = named.withColumn("part", F.substring("hash", 1, 3))
+    counts = named.groupBy(*keys, "part").agg(F.count("*").alias("n"))
+    before = counts.withColumn("ahead", F.sum("n").over(Window.partitionBy(*keys).orderBy("part")) - F.col("n")).drop("n")
+    within = F.row_number().over(Window.partitionBy(*keys, "part").orderBy("hash")) - 1
+    return merkle_roots(named.withColumn("i", within).join(before, [*keys, "part"]).select(*keys, (F.col("ahead") + F.col("i")).alias("place"), "hash"), keys)
+
+
 def verify_proof(leaf: str, path: list[tuple[str, bool]], root: str) -> bool:
     """Whether a leaf and its path (hash, stands left) lead to the root."""
     import hashlib

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,33 @@ def cross_case(entities: DataFrame, visible: DataFrame | None = None) -> DataFra
     return one.join(other, same).select("case_id", "linked_case", "entity_type", "key")
 
 
+#: Types by which cases are matched.
+MATCHABLE = ("phone", "email", "upi", "account", "ifsc", "reference", "url", "vehicle", "device", "upi_id", "account_number", "utr")
+
+
+def matchable(entities: DataFrame) -> DataFrame:
+    """Unrejected entities of a type by which cases are matched. entities: entity_type, status."""
+    return entities.where(F.col("entity_type").isin(*MATCHABLE) & (F.coalesce("status", F.lit("")) != "rejected"))
+
+
+def prior_records(entities: DataFrame, priors: DataFrame) -> DataFrame:
+    """Each entity's prior records, the newest first (`rank`); an entity without a key is not looked up. entities: entity_id,
+    entity_type, key; priors: identifier_type, identifier_value, record_reference, registered_on."""
+    on = (F.col("entity_type") == F.col("identifier_type")) & (F.col("key") == F.col("identifier_value"))
+    w = Window.partitionBy("entity_id").orderBy(F.desc_nulls_first("registered_on"), "record_reference")
+    return entities.where("key IS NOT NULL").join(priors, on).withColumn("rank", F.row_number().over(w)).select("entity_id", "record_reference", "registered_on", "rank")
+
+
+def correlate(*candidates: DataFrame) -> DataFrame:
+    """Candidates of several rules (case_id, left, right, relation_type, fields, confidence), each key once, with its key: the first
+    48 hexadecimal digits of the SHA-256 of relation type, fields and both records."""
+    every = reduce(DataFrame.unionByName, candidates)
+    text = F.concat_ws("\x1f", "relation_type", "fields", F.col("left").cast("string"), F.col("right").cast("string"))
+    keyed = every.withColumn("key", F.substring(F.sha2(text, 256), 1, 48))
+    best = keyed.groupBy("case_id", "key").agg(F.max(F.struct("confidence", "relation_type", "fields", "left", "right")).alias("b"))
+    return best.select("case_id", "b.*", "key").orderBy(F.desc("confidence"), "relation_type", "key")
+
+
 def rank_links(links: DataFrame, limit: int = 80) -> DataFrame:
     """A case's links, strongest first, `limit` a case: high before medium, then label and linked case."""
     w = Window.partitionBy("case_id").orderBy(F.when(F.col("confidence") == "high", 0).otherwise(1), "label", "linked_case")
@@ -94,10 +123,13 @@ def contradictions(records: DataFrame) -> DataFrame:
     )
 
 
-def semantic_candidates(records: DataFrame, tolerance: float = AMOUNT_TOLERANCE, within_s: int = SEMANTIC_S) -> DataFrame:
+def semantic_candidates(
+    records: DataFrame, values: DataFrame | None = None, tolerance: float = AMOUNT_TOLERANCE, within_s: int = SEMANTIC_S
+) -> DataFrame:
     """Pairs of a case and different evidence with amounts within `tolerance` and times within `within_s`, found in
-    buckets of both: case_id, left, right, confidence. records: case_id, record_id, evidence_id, amount, at."""
-    money = F.floor(F.col("amount") / tolerance)
+    buckets of both, that share no identifier: case_id, left, right, confidence. records: case_id, record_id, evidence_id, amount, at;
+    values: as of shared_values. Only the pairs found meet under their values, not all pairs that share one."""
+    money = F.floor(F.col("amount") / (2 * tolerance))  # wide enough for the division's rounding
     day = F.floor(F.timestamp_diff("SECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("at")) / within_s)
     a = records.select("case_id", F.col("record_id").alias("left"), F.col("evidence_id").alias("_ea"), "amount", "at", money.alias("m"), day.alias("d"))
     steps = F.array(*(F.lit(x) for x in (-1, 0, 1)))
@@ -108,16 +140,30 @@ def semantic_candidates(records: DataFrame, tolerance: float = AMOUNT_TOLERANCE,
     on = (F.col("case_id") == F.col("_c")) & (F.col("m") == F.col("_m0") + F.col("_dm")) & (F.col("d") == F.col("_d0") + F.col("_dd"))
     near = (F.abs(F.col("amount") - F.col("_amount")) <= tolerance) & (F.abs(F.timestamp_diff("SECOND", F.col("at"), F.col("_at"))) <= within_s)
     pairs = a.join(b, on & (F.col("left") < F.col("right")) & (F.col("_ea") != F.col("_eb")) & near)
-    return pairs.select("case_id", "left", "right", F.lit(SEMANTIC_CONFIDENCE).alias("confidence"))
+    pairs = pairs.select("case_id", "left", "right")
+    if values is not None:
+        side = lambda c: values.select(F.col("case_id").alias("_c"), F.col("record_id").alias(f"_{c}"), F.col("field").alias(f"_f{c}"), F.col("value").alias(f"_v{c}"))
+        held = pairs.join(side("l"), (F.col("case_id") == F.col("_c")) & (F.col("left") == F.col("_l"))).drop("_c")
+        both = held.join(
+            side("r"), (F.col("case_id") == F.col("_c")) & (F.col("right") == F.col("_r")) & (F.col("_fl") == F.col("_fr")) & (F.col("_vl") == F.col("_vr"))
+        )
+        pairs = pairs.join(both.select("case_id", "left", "right").distinct(), ["case_id", "left", "right"], "left_anti")
+    return pairs.withColumn("confidence", F.lit(SEMANTIC_CONFIDENCE))
 
 
 def fill_sibling(rows: DataFrame, siblings: DataFrame, fields: list[str]) -> DataFrame:
-    """rows with their null `fields` filled from the sibling of the same evidence and amount (to a cent); the first
-    sibling by id. rows, siblings: evidence_id, amount, id and the fields."""
-    cents = F.round(F.col("amount") * 100).cast("long")
-    best = siblings.groupBy(F.col("evidence_id").alias("_e"), cents.alias("_m")).agg(*(F.min_by(f, F.when(F.col(f).isNotNull(), F.col("id"))).alias(f"_{f}") for f in fields))
-    joined = rows.join(best, (F.col("evidence_id") == F.col("_e")) & (cents == F.col("_m")), "left")
-    return joined.withColumns({f: F.coalesce(f, f"_{f}") for f in fields}).select(*rows.columns)
+    """rows with their null `fields` filled from siblings of the same evidence whose amount lies within the tolerance; each field
+    from the first sibling by id that has it. Reviewed rows stay as they are, rows that repeat an id are told apart by amount. rows: evidence_id, amount, id, reviewed and the
+    fields; siblings: the same without reviewed."""
+    open_ = F.array(*map(F.col, fields))
+    needy = rows.where(~F.col("reviewed") & F.exists(open_, lambda x: x.isNull()))
+    step = F.floor(F.col("amount") / (2 * AMOUNT_TOLERANCE)).cast("long")  # wide enough for the division's rounding
+    a = needy.select(F.col("evidence_id").alias("_e"), F.col("id").alias("_i"), F.col("amount").alias("_a"), F.explode(F.array(step - 1, step, step + 1)).alias("_m"))
+    b = siblings.withColumn("_s", step)
+    near = a.join(b, (F.col("evidence_id") == F.col("_e")) & (F.col("_s") == F.col("_m")) & (F.abs(F.col("amount") - F.col("_a")) <= AMOUNT_TOLERANCE + 1e-9))
+    best = near.groupBy("_e", "_i", "_a").agg(*(F.min_by(f, F.when(F.col(f).isNotNull(), F.col("id"))).alias(f"_{f}") for f in fields))
+    out = rows.join(best, (F.col("evidence_id") == F.col("_e")) & (F.col("id") == F.col("_i")) & (F.col("amount") == F.col("_a")) & ~F.col("reviewed"), "left")
+    return out.withColumns({f: F.coalesce(f, f"_{f}") for f in fields}).select(*rows.columns)
 
 
 def purge_orphans(events: DataFrame, records: DataFrame, transactions: DataFrame) -> tuple[DataFrame, DataFrame]:

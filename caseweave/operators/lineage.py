@@ -12,9 +12,12 @@ _own: dict[str, str] = {}
 
 def shared_checkpoint(spark: SparkSession):
     """A function that writes a frame to the folder named by spark.checkpoint.dir and reads it back; where the setting is
-    unset, as in tests, to a temporary folder of this machine."""
+    unset and all tasks run on this machine, as in tests, to a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         base = _own.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-caseweave-"))
 

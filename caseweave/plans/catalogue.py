@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import evidence_queries, more_queries, record_queries, standins, temporal_queries, view_queries  # noqa: F401
+from . import evidence_queries, fact_queries, more_queries, record_queries, standins, temporal_queries, view_queries  # noqa: F401 isort: skip
+from . import case_queries  # noqa: F401 isort: skip  (restates some of the others)
 
 
 def queries() -> dict:

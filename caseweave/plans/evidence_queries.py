@@ -68,34 +68,9 @@ def list_audit_topk(spark, sf):
     return s.read(spark, sf, "events").select("event_id", "ts", "event_type").orderBy(F.desc("ts"), "event_id").limit(500)
 
 
-@query("account_activity", "SELECT event_id, ts, event_type FROM events WHERE user_id = 5 ORDER BY ts DESC, event_id LIMIT 200")
-def account_activity(spark, sf):
-    return s.read(spark, sf, "events").where("user_id = 5").select("event_id", "ts", "event_type").orderBy(F.desc("ts"), "event_id").limit(200)
-
-
 SEARCH = [("customer", "c_custkey", ["c_name", "c_mktsegment"]), ("supplier", "s_suppkey", ["s_name"]), ("part", "p_partkey", ["p_name", "p_brand", "p_type"])]
 
 
-@query("search_case", """
-WITH h AS (
-  SELECT 0 AS category, c_custkey AS id FROM customer WHERE c_name ILIKE '%00%' OR c_mktsegment ILIKE '%00%'
-  UNION ALL SELECT 1, s_suppkey FROM supplier WHERE s_name ILIKE '%00%'
-  UNION ALL SELECT 2, p_partkey FROM part WHERE p_name ILIKE '%00%' OR p_brand ILIKE '%00%' OR p_type ILIKE '%00%'
-)
-SELECT category, id FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY id DESC) AS n FROM h) WHERE n <= 10 ORDER BY category, n LIMIT 36
-""")
-def search_case(spark, sf):
-    """Categories in fixed order, newest first, ten of each at most, then the first 36."""
-    out = None
-    for i, (name, key, cols) in enumerate(SEARCH):
-        hit = F.lit(False)
-        for c in cols:
-            hit = hit | F.col(c).ilike("%00%")
-        rows = s.read(spark, sf, name).where(hit).orderBy(F.desc(key)).limit(10).select(F.lit(i).alias("category"), F.col(key).alias("id"))
-        out = rows if out is None else out.unionByName(rows)
-    return out.orderBy("category", F.desc("id")).limit(36)
-
-
 @query("visible_timeline", """
 SELECT event_id, ts FROM events e WHERE NOT (event_type = 'error' AND user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase'))
 """)
@@ -142,12 +117,6 @@ def list_cases_left_distinct(spark, sf):
     return n.join(m, n.n_nationkey == m.c_nationkey, "left").where("n_regionkey = 1 OR c_acctbal > 9000").select("n_nationkey", "n_name").distinct()
 
 
-@query("case_acl", f"WITH {CASES_SQL} SELECT case_id FROM cases WHERE owner_id = 2 UNION SELECT c_nationkey FROM customer WHERE c_custkey % 97 = 3")
-def case_acl(spark, sf):
-    members = s.read(spark, sf, "customer").where("c_custkey % 97 = 3").select(F.col("c_nationkey").alias("case_id"), F.lit(2).alias("user_id"))
-    return joins.visible_cases(s.cases(spark, sf), members, 2)
-
-
 @query("cross_case_hash", """
 WITH h AS (SELECT DISTINCT source AS case_id, sha256(text) AS key FROM documents)
 SELECT a.case_id, b.case_id AS linked_case, 'file' AS entity_type, a.key FROM h a JOIN h b ON a.key = b.key AND a.case_id <> b.case_id
@@ -157,14 +126,6 @@ def cross_case_hash(spark, sf):
     return joins.cross_case(d.select(F.col("source").alias("case_id"), F.lit("file").alias("entity_type"), F.sha2("text", 256).alias("key")))
 
 
-@query("cross_case_entities", f"""
-WITH {OCCURRENCES_SQL}, o AS (SELECT DISTINCT case_id, entity_type, key FROM occ)
-SELECT a.case_id, b.case_id AS linked_case, a.entity_type, a.key FROM o a JOIN o b ON a.entity_type = b.entity_type AND a.key = b.key AND a.case_id <> b.case_id
-""")
-def cross_case_entities(spark, sf):
-    return joins.cross_case(s.occurrences(spark, sf))
-
-
 @query("cross_case_reference", """
 WITH r AS (SELECT DISTINCT c_nationkey AS case_id, lower(trim(c_mktsegment)) || '-' || (c_custkey % 1000) AS key FROM customer)
 SELECT a.case_id, b.case_id AS linked_case, 'reference' AS entity_type, a.key FROM r a JOIN r b ON a.key = b.key AND a.case_id <> b.case_id
@@ -175,30 +136,6 @@ def cross_case_reference(spark, sf):
     return joins.cross_case(c.select(F.col("c_nationkey").alias("case_id"), F.lit("reference").alias("entity_type"), key.alias("key")))
 
 
-@query("cross_case_all", f"""
-WITH {OCCURRENCES_SQL}, h AS (
-  SELECT DISTINCT source AS case_id, 'file' AS signal, sha256(text) AS label FROM documents UNION SELECT DISTINCT case_id, entity_type, key FROM occ
-), l AS (
-  SELECT a.case_id, b.case_id AS linked_case, a.signal, a.label, CASE WHEN a.signal = 'file' THEN 'high' ELSE 'medium' END AS confidence
-  FROM h a JOIN h b ON a.signal = b.signal AND a.label = b.label AND a.case_id <> b.case_id
-)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY CASE WHEN confidence = 'high' THEN 0 ELSE 1 END, label, linked_case)::INT AS rank FROM l) WHERE rank <= 80
-""")
-def cross_case_all(spark, sf):
-    links = cross_case_hash(spark, sf).unionByName(cross_case_entities(spark, sf))
-    links = links.select("case_id", "linked_case", F.col("entity_type").alias("signal"), F.col("key").alias("label"))
-    return joins.rank_links(links.withColumn("confidence", F.when(F.col("signal") == "file", "high").otherwise("medium")))
-
-
-@query("prior_record_lookup", """
-SELECT c_custkey, s_suppkey, s_acctbal FROM customer JOIN supplier ON c_nationkey = s_nationkey AND round(c_acctbal, 0) = round(s_acctbal, 0)
-""")
-def prior_record_lookup(spark, sf):
-    c, p = s.read(spark, sf, "customer"), s.read(spark, sf, "supplier")
-    on = (c.c_nationkey == p.s_nationkey) & (F.round("c_acctbal", 0) == F.round("s_acctbal", 0))
-    return c.join(p, on).select("c_custkey", "s_suppkey", "s_acctbal")
-
-
 @query("isolated_evidence", f"""
 WITH {OCCURRENCES_SQL}, b AS (SELECT case_id, entity_type, key FROM occ GROUP BY 1, 2, 3 HAVING count(DISTINCT evidence_id) > 1)
 SELECT doc_id AS evidence_id, source AS case_id FROM documents WHERE doc_id NOT IN (SELECT evidence_id FROM occ JOIN b USING (case_id, entity_type, key))
@@ -228,17 +165,6 @@ def review_queue_relations(spark, sf):
     return c.join(s.read(spark, sf, "labels"), F.col("record_id") == F.col("doc_id")).select("conv_id", "turn", "quality")
 
 
-@query("fill_sibling", """
-WITH r AS (SELECT l_orderkey AS evidence_id, l_extendedprice AS amount, l_linenumber AS id, CASE WHEN l_linenumber % 2 = 0 THEN l_suppkey END AS sender FROM lineitem),
-b AS (SELECT evidence_id, round(amount * 100)::BIGINT AS m, arg_min(sender, id) FILTER (sender IS NOT NULL) AS best FROM r GROUP BY 1, 2)
-SELECT r.evidence_id, r.id, coalesce(sender, best) AS sender FROM r JOIN b ON r.evidence_id = b.evidence_id AND round(r.amount * 100)::BIGINT = b.m
-""")
-def fill_sibling(spark, sf):
-    sender = F.when(F.col("l_linenumber") % 2 == 0, F.col("l_suppkey")).alias("sender")
-    rows = s.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("evidence_id"), F.col("l_extendedprice").alias("amount"), F.col("l_linenumber").alias("id"), sender)
-    return joins.fill_sibling(rows, rows, ["sender"]).select("evidence_id", "id", "sender")
-
-
 @query("corr_exact", f"""
 WITH {OCCURRENCES_SQL}, v AS (SELECT DISTINCT 0 AS case_id, evidence_id AS record_id, entity_type AS field, key AS value FROM occ)
 SELECT a.case_id, a.record_id AS "left", b.record_id AS "right", string_agg(DISTINCT a.field, ',' ORDER BY a.field) AS fields,
@@ -266,16 +192,6 @@ def corr_contradiction(spark, sf):
     return joins.contradictions(r)
 
 
-@query("corr_semantic", f"""
-WITH {TRANSACTIONS_SQL}
-SELECT a.case_id, a.id AS "left", b.id AS "right", 0.45::DOUBLE AS confidence FROM txns a JOIN txns b
-  ON a.case_id = b.case_id AND a.id < b.id AND abs(a.amount - b.amount) <= 500 AND abs(epoch(a.at) - epoch(b.at)) <= 21600
-""")
-def corr_semantic(spark, sf):
-    t = s.transactions(spark, sf).select("case_id", F.col("id").alias("record_id"), F.col("id").alias("evidence_id"), "amount", "at")
-    return joins.semantic_candidates(t, tolerance=500.0)
-
-
 @query("relation_summary", f"""
 WITH {RELATIONS_SQL} SELECT case_id, relation_type, subject, object, count(*) AS observations, count(DISTINCT evidence_id) AS n_evidence, max(confidence) AS confidence,
   min(at) AS first_at, max(at) AS last_at, CASE WHEN bool_or(status = 'human_verified') THEN 'human_verified' WHEN bool_or(status = 'rejected') THEN 'rejected' ELSE 'machine_extracted' END AS status
@@ -322,11 +238,6 @@ def connection_edges(spark, sf):
     return rollups.connection_edges(s.occurrences(spark, sf).withColumn("case_id", F.lit("all")))
 
 
-@query("entity_class_counts", f"WITH {OCCURRENCES_SQL} SELECT entity_type, count(*) AS n FROM (SELECT DISTINCT entity_type, key FROM occ) GROUP BY 1")
-def entity_class_counts(spark, sf):
-    return s.occurrences(spark, sf).select("entity_type", "key").distinct().groupBy("entity_type").agg(F.count("*").alias("n"))
-
-
 @query("across_sources", f"WITH {OCCURRENCES_SQL} SELECT entity_type, key, count(DISTINCT evidence_id) AS n_evidence FROM occ GROUP BY 1, 2 HAVING count(DISTINCT evidence_id) > 1 ORDER BY 3 DESC, key, entity_type LIMIT 10")
 def across_sources(spark, sf):
     return rollups.across_sources(s.occurrences(spark, sf))
@@ -337,11 +248,6 @@ def traceability(spark, sf):
     return rollups.traceability(s.read(spark, sf, "documents").select(F.col("source").alias("case_id"), "n_chars"), F.col("n_chars") > 500)
 
 
-@query("unique_relations", f"WITH {RELATIONS_SQL} SELECT DISTINCT case_id, relation_type, round_even(confidence, 2) AS confidence, status FROM rels")
-def unique_relations(spark, sf):
-    return s.relations(spark, sf).select("case_id", "relation_type", F.bround("confidence", 2).alias("confidence"), "status").distinct()
-
-
 @query("txn_strip", f"""
 WITH {TRANSACTIONS_SQL} SELECT case_id, count(*) AS n, CASE WHEN count(DISTINCT status) <= 1 THEN sum(amount::DECIMAL(18, 2))::DECIMAL(28, 2) END AS total,
   CASE WHEN count(DISTINCT status) > 1 THEN 'Mixed currencies' ELSE min(status) END AS currency, count(DISTINCT sender) AS senders, count(DISTINCT receiver) AS receivers,
@@ -353,25 +259,6 @@ def txn_strip(spark, sf):
     return rollups.transaction_strip(t.withColumn("currency", F.col("status")))
 
 
-@query("case_summary_counts", "SELECT * FROM (SELECT count(*) AS events FROM events), (SELECT count(*) AS documents FROM documents), (SELECT count(*) AS orders FROM orders), (SELECT count(*) AS pages FROM pages)")
-def case_summary_counts(spark, sf):
-    names = ("events", "documents", "orders", "pages")
-    counts = [s.read(spark, sf, t).agg(F.count("*").alias("n")).withColumn("t", F.lit(t)) for t in names]
-    rows = reduce(DataFrame.unionByName, counts)
-    return rows.agg(*(F.max(F.when(F.col("t") == t, F.col("n"))).alias(t) for t in names))
-
-
-@query("whats_new", """
-WITH v AS (SELECT user_id, 0 AS case_id, min(ts) + INTERVAL 15 DAY AS since FROM events GROUP BY 1)
-SELECT case_id, user_id, since, (SELECT count(*) FROM events WHERE ts > since AND event_type = 'purchase') AS new_purchases, (SELECT count(*) FROM events WHERE ts > since AND event_type = 'error') AS new_errors FROM v
-""")
-def whats_new(spark, sf):
-    e = s.read(spark, sf, "events")
-    visits = e.groupBy("user_id").agg(F.min("ts").alias("t")).select(F.lit(0).alias("case_id"), "user_id", (F.col("t") + F.expr("INTERVAL 15 DAYS")).alias("since"))
-    at = lambda kind: e.where(F.col("event_type") == kind).select(F.lit(0).alias("case_id"), F.col("ts").alias("at"))
-    return rollups.whats_new(visits, {"purchases": at("purchase"), "errors": at("error")})
-
-
 @query("provider_timing", """
 SELECT event_type AS provider, (user_id % 3)::BIGINT AS model, count(*) AS calls, median(latency) AS median, max(latency) AS longest, sum(latency)::BIGINT AS total, count(*) FILTER (cached) AS cached
 FROM (SELECT *, (value * 1000)::BIGINT AS latency, event_id % 5 = 0 AS cached FROM events) GROUP BY 1, 2
@@ -425,23 +312,6 @@ def ego_subgraph(spark, sf):
     return graph.ego_subgraph(graph.build_edges(s.relations(spark, sf)), "S3").select("case_id", "u", "v", "weight", "observations")
 
 
-@query("bfs_levels", f"""
-WITH RECURSIVE {EDGES_SQL}, b AS (SELECT case_id, u AS node, v AS other FROM edges UNION ALL SELECT case_id, v, u FROM edges),
-w AS (SELECT DISTINCT case_id, node, 0 AS level FROM b WHERE node = 'S3' UNION SELECT b.case_id, b.other, level + 1 FROM w JOIN b ON w.case_id = b.case_id AND w.node = b.node WHERE level < 3)
-SELECT case_id, node, min(level) AS level FROM w GROUP BY 1, 2
-""")
-def bfs_levels(spark, sf):
-    return graph.bfs_levels(graph.build_edges(s.relations(spark, sf)), "S3", 3)
-
-
-@query("network_overview", f"""
-WITH {EDGES_SQL}, n AS (SELECT case_id, count(DISTINCT node) AS entities FROM (SELECT case_id, u AS node FROM edges UNION ALL SELECT case_id, v FROM edges) GROUP BY 1)
-SELECT case_id, entities, count(*) AS relationships, sum(observations)::BIGINT AS observations, 0 AS isolated FROM edges JOIN n USING (case_id) GROUP BY 1, 2
-""")
-def network_overview(spark, sf):
-    return graph.overview(graph.build_edges(s.relations(spark, sf)))
-
-
 @query("node_measures")
 def node_measures(spark, sf):
     from ..operators.lineage import shared_checkpoint
@@ -470,17 +340,6 @@ def shortest_path(spark, sf):
     return graph.shortest_path(graph.build_edges(s.relations(spark, sf)), "S1", "S2", shared_checkpoint(spark))
 
 
-@query("weakly_connected_components", f"""
-WITH RECURSIVE {EDGES_SQL.replace('confidence >= 0', 'confidence >= 0.98')}, b AS (SELECT case_id, u AS node, v AS other FROM edges UNION SELECT case_id, v, u FROM edges),
-w AS (SELECT case_id, node, node AS seen FROM b UNION SELECT w.case_id, w.node, b.other FROM w JOIN b ON w.case_id = b.case_id AND w.seen = b.node)
-SELECT case_id, node, min(seen) AS component FROM w GROUP BY 1, 2
-""")
-def weakly_connected_components(spark, sf):
-    from ..operators.lineage import shared_checkpoint
-
-    return graph.node_components(graph.build_edges(s.relations(spark, sf), min_confidence=0.98), shared_checkpoint(spark))
-
-
 @query("set_union_visible", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
 def set_union_visible(spark, sf):
     c, p = s.read(spark, sf, "customer"), s.read(spark, sf, "supplier")

@@ -34,24 +34,6 @@ def sniff_mime(spark, sf):
     return s.read(spark, sf, "pages").select("page_id", files.sniff_mime(F.col("html").cast("binary")).alias("mime"))
 
 
-@query("detect_text_type", "SELECT doc_id, 'document' AS kind FROM documents")
-def detect_text_type(spark, sf):
-    return s.read(spark, sf, "documents").select("doc_id", files.text_type(F.col("text")).alias("kind"))
-
-
-@query("grounding_validate", """
-SELECT doc_id AS record_id, 'source' AS field, doc_id % 3 <> 0 AS grounded, CASE WHEN doc_id % 5 = 0 THEN lang WHEN doc_id % 3 <> 0 THEN source END AS value, CASE WHEN doc_id % 5 = 0 THEN lang <> source ELSE false END AS disagrees
-FROM documents
-""")
-def grounding_validate(spark, sf):
-    d = s.read(spark, sf, "documents")
-    quote = F.when(F.col("doc_id") % 3 != 0, F.substring("text", 3, 12)).otherwise("words that stand nowhere in it")
-    claims = d.select(F.col("doc_id").alias("record_id"), F.lit("source").alias("field"), F.col("source").alias("value"), quote.alias("quote"))
-    parsed = F.when(F.col("doc_id") % 5 == 0, F.create_map(F.lit("source"), F.col("lang"))).otherwise(F.create_map().cast("map<string,string>"))
-    out = records.ground(claims, d.select(F.col("doc_id").alias("record_id"), "text", parsed.alias("parsed")))
-    return out.withColumn("disagrees", F.coalesce("disagrees", F.lit(False)))
-
-
 @query("validation_confidence", "SELECT source AS record_id, count(*) AS checked, count(*) FILTER (n_chars > 900) AS grounded, round_even(count(*) FILTER (n_chars > 900) / count(*), 4) AS validation_confidence FROM documents GROUP BY 1")
 def validation_confidence(spark, sf):
     return records.validation(s.read(spark, sf, "documents").select(F.col("source").alias("record_id"), (F.col("n_chars") > 900).alias("grounded")))
@@ -69,34 +51,6 @@ def reconcile_models(spark, sf):
     return records.reconcile(side("l_returnflag", "l_discount").where("l_linenumber <= 3").drop("l_linenumber"), side("l_linestatus", "l_tax").where("l_linenumber >= 2").drop("l_linenumber"))
 
 
-@query("escalation_reasons", "SELECT doc_id, CASE WHEN quality = 0 THEN 'validation below threshold' ELSE '' END AS reasons FROM documents LEFT JOIN labels USING (doc_id)")
-def escalation_reasons(spark, sf):
-    d = s.read(spark, sf, "documents").select("doc_id").join(s.read(spark, sf, "labels"), "doc_id", "left")
-    rows = d.withColumns({"validation_confidence": F.col("quality").cast("double"), "quality_flags": F.array().cast("array<string>"), "conflicts": F.lit(0),
-                          "amount": F.lit(None).cast("double"), "event_time": F.lit(None).cast("timestamp_ntz")})
-    return records.escalation(rows).select("doc_id", F.concat_ws("; ", "escalation_reasons").alias("reasons"))
-
-
-@query("best_timestamp", """
-WITH b AS (SELECT user_id, event_id AS place, ts AS at, CASE event_type WHEN 'view' THEN 'exact' WHEN 'click' THEN 'approximate' WHEN 'error' THEN 'date_only' ELSE 'unknown' END AS precision FROM events),
-r AS (SELECT *, CASE precision WHEN 'exact' THEN 3 WHEN 'approximate' THEN 2 WHEN 'date_only' THEN 1 ELSE 0 END AS k FROM b)
-SELECT user_id, at, precision FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k DESC, place) AS n FROM r) WHERE n = 1
-""")
-def best_timestamp(spark, sf):
-    kind = F.when(F.col("event_type") == "view", "exact").when(F.col("event_type") == "click", "approximate").when(F.col("event_type") == "error", "date_only").otherwise("unknown")
-    e = s.read(spark, sf, "events").select("user_id", F.col("event_id").alias("place"), F.col("ts").alias("at"), kind.alias("precision"))
-    return records.best_timestamp(e, "user_id")
-
-
-@query("stated_role_edges", """
-SELECT DISTINCT 0 AS case_id, user_id AS record_id, event_type AS subject, (event_id % 3)::VARCHAR AS object, CASE WHEN event_type = 'view' THEN 'USED_VEHICLE' ELSE 'LOCATED_AT' END AS relation_type FROM events
-""")
-def stated_role_edges(spark, sf):
-    e = s.read(spark, sf, "events")
-    pairs = F.array(F.struct(F.col("event_type").alias("a"), (F.col("event_id") % 3).cast("string").alias("b")))
-    return records.role_edges(e.select(F.lit(0).alias("case_id"), F.col("user_id").alias("record_id"), pairs.alias("pairs"), F.when(F.col("event_type") == "view", "person_vehicle").alias("kind")))
-
-
 @query("call_log_edges", """
 SELECT event_id AS record_id, least(a, b) AS subject, greatest(a, b) AS object, 'COMMUNICATED_WITH' AS relation_type, 0.75::DOUBLE AS confidence
 FROM (SELECT event_id, right('987650' || lpad((user_id % 10000)::VARCHAR, 4, '0'), 10) AS a, right('987651' || lpad((event_id % 10000)::VARCHAR, 4, '0'), 10) AS b FROM events WHERE event_type = 'click')
@@ -136,15 +90,6 @@ def canonicalize_reference(spark, sf):
     return s.read(spark, sf, "orders").select("o_orderkey", canonical.canonicalize("transaction_reference", raw)["key"].alias("key"))
 
 
-@query("find_amount_and_time")
-def find_amount_and_time(spark, sf):
-    from ..functions.moments import find_amount, find_timestamp
-
-    o = s.read(spark, sf, "orders")
-    text = F.concat(F.lit("Paid INR "), F.format_number("o_totalprice", 2), F.lit(" on "), F.date_format("o_orderdate", "dd/MM/yyyy, HH:mm"))
-    return o.select("o_orderkey", find_amount(text).alias("a"), find_timestamp(text).alias("t")).select("o_orderkey", "a.value", "a.currency", "t.at", "t.precision")
-
-
 @query("is_transactional", "SELECT o_orderkey FROM orders WHERE CASE WHEN o_orderstatus = 'P' THEN 'balance' END IS DISTINCT FROM 'balance'")
 def is_transactional(spark, sf):
     o = s.read(spark, sf, "orders")
@@ -167,17 +112,6 @@ def related_rollup(spark, sf):
     return rollups.top_per(e, ["node"], [F.desc("observations"), F.asc("other")], 9)
 
 
-@query("one_hop_filter", f"WITH {EDGES_SQL} SELECT case_id, u, v FROM edges WHERE (u = 'C2' OR v = 'C2') AND contains(relation_types, 'CALLED')")
-def one_hop_filter(spark, sf):
-    e = graph.build_edges(s.relations(spark, sf))
-    return e.where("u = 'C2' OR v = 'C2'").where(F.col("relation_types").contains("CALLED")).select("case_id", "u", "v")
-
-
-@query("lineage_metrics", f"WITH {EDGES_SQL} SELECT case_id, count(*) AS edge_count, sum(observations)::BIGINT AS observations FROM edges GROUP BY 1")
-def lineage_metrics(spark, sf):
-    return graph.build_edges(s.relations(spark, sf)).groupBy("case_id").agg(F.count("*").alias("edge_count"), F.sum("observations").alias("observations"))
-
-
 @query("profile_other_cases", f"""
 WITH {OCCURRENCES_SQL}, o AS (SELECT DISTINCT case_id, entity_type, key FROM occ)
 SELECT entity_type, key, count(*) AS n_cases, string_agg(case_id, ',' ORDER BY case_id) AS cases FROM o GROUP BY 1, 2 HAVING count(*) > 1
@@ -188,16 +122,6 @@ def profile_other_cases(spark, sf):
     return n.where("n_cases > 1")
 
 
-@query("set_class_difference", f"""
-WITH {OCCURRENCES_SQL}, p AS (SELECT DISTINCT evidence_id FROM occ WHERE entity_type = 'email') SELECT DISTINCT evidence_id FROM occ WHERE entity_type = 'ip' AND evidence_id NOT IN (SELECT evidence_id FROM p)
-""")
-def set_class_difference(spark, sf):
-    """Evidence whose classes hold addresses but no mail."""
-    c = s.occurrences(spark, sf).groupBy("evidence_id").agg(F.collect_set("entity_type").alias("c"))
-    only = F.array_except(F.array_intersect("c", F.array(F.lit("email"), F.lit("ip"))), F.array(F.lit("ip")))
-    return c.where(F.array_contains("c", "ip") & (F.size(only) == 0)).select("evidence_id")
-
-
 @query("set_flags_degraded", "SELECT doc_id, contains(text, '***') AS blurred, contains(text, '!!') AS glare FROM documents WHERE contains(text, '***') OR contains(text, '!!')")
 def set_flags_degraded(spark, sf):
     flags = F.array_compact(F.array(F.when(F.col("text").contains("***"), "blurred"), F.when(F.col("text").contains("!!"), "glare"), F.lit("scanned")))
@@ -213,15 +137,6 @@ def omission_note(spark, sf):
     return n.select("source", shown.alias("shown"), (F.col("n") - shown).alias("further"))
 
 
-@query("network_snapshot", f"""
-WITH {EDGES_SQL}, n AS (SELECT case_id, count(DISTINCT node) AS n FROM (SELECT case_id, u AS node FROM edges UNION ALL SELECT case_id, v FROM edges) GROUP BY 1)
-SELECT case_id, 'entities' AS measure, n AS value FROM n UNION ALL SELECT case_id, 'relationships', count(*) FROM edges GROUP BY 1 UNION ALL SELECT case_id, 'observations', sum(observations)::BIGINT FROM edges GROUP BY 1
-""")
-def network_snapshot(spark, sf):
-    o = graph.overview(graph.build_edges(s.relations(spark, sf)))
-    return o.unpivot(["case_id"], ["entities", "relationships", "observations"], "measure", "value")
-
-
 @query("briefing", f"""
 WITH {TRANSACTIONS_SQL} SELECT case_id, id, amount, rank FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY amount DESC, id)::INT AS rank FROM txns WHERE status <> 'P') WHERE rank <= 3
 """)
@@ -230,11 +145,6 @@ def briefing(spark, sf):
     return rollups.top_per(t, ["case_id"], [F.desc("amount"), F.asc("id")], 3)
 
 
-@query("assistant_connection", f"WITH {RELATIONS_SQL} SELECT id, relation_type, confidence FROM rels WHERE (subject = 'C1' AND object LIKE 'S%') AND confidence >= 0.9")
-def assistant_connection(spark, sf):
-    return s.relations(spark, sf).where("subject = 'C1' AND object LIKE 'S%' AND confidence >= 0.9").select("id", "relation_type", "confidence")
-
-
 @query("rule_pre_incident_communication", """
 WITH c AS (SELECT user_id AS a, CAST(json_extract_string(props, '$.k') AS BIGINT) AS b, ts FROM events WHERE event_type <> 'error')
 SELECT 0 AS case_id, 'PRE_INCIDENT_COMMUNICATION' AS rule, 'HIGH' AS severity, least(a, b) || ':' || greatest(a, b) AS key

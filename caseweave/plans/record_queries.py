@@ -67,14 +67,6 @@ def rule_recurring_vehicle(spark, sf):
     return rules.recurring_vehicle(t.select("case_id", F.col("id").alias("record_id"), F.array("sender").alias("vehicles"), F.array("receiver").alias("places")))
 
 
-@query("rule_shared_device", f"""
-WITH {TRANSACTIONS_SQL} SELECT case_id, 'SHARED_DEVICE' AS rule, 'HIGH' AS severity, lower(receiver) AS key FROM txns GROUP BY case_id, lower(receiver) HAVING count(DISTINCT sender) >= 2
-""")
-def rule_shared_device(spark, sf):
-    t = s.transactions(spark, sf)
-    return rules.shared_device(t.select("case_id", F.col("receiver").alias("device"), F.col("sender").cast("string").alias("sender"), F.array(F.col("sender").cast("string")).alias("phones")))
-
-
 @query("rule_bridge_entity")
 def rule_bridge_entity(spark, sf):
     from ..operators.lineage import shared_checkpoint
@@ -84,19 +76,6 @@ def rule_bridge_entity(spark, sf):
     return rules.bridge_entity(graph.node_measures(e, shared_checkpoint(spark)), evidence)
 
 
-@query("evaluate_alerts", f"""
-WITH {TRANSACTIONS_SQL}, a AS (
-  SELECT case_id, 'HIGH_VALUE_TRANSFER' AS rule, 'HIGH' AS severity, id::VARCHAR AS key FROM txns WHERE amount >= 50000
-  UNION SELECT case_id, 'REPEATED_RECIPIENT', 'CRITICAL', lower(receiver) FROM txns GROUP BY case_id, lower(receiver) HAVING count(*) >= 2
-)
-SELECT * FROM a WHERE (case_id, rule, key) NOT IN (SELECT (case_id, 'HIGH_VALUE_TRANSFER', id::VARCHAR) FROM txns WHERE status = 'F')
-""")
-def evaluate_alerts(spark, sf):
-    t = s.transactions(spark, sf)
-    raised = rules.high_value(t.where("status = 'F'"), 0)
-    return rules.evaluate(rules.high_value(t), rules.repeated_recipient(t), raised=raised)
-
-
 @query("rule_relay_contact", f"""
 WITH {CONTACTS_SQL}, e AS (SELECT id, at, subject AS m, object AS o FROM contacts WHERE status <> 'rejected' UNION ALL SELECT id, at, object, subject FROM contacts WHERE status <> 'rejected')
 SELECT DISTINCT 0 AS case_id, 'RELAY_CONTACT' AS rule, 'MEDIUM' AS severity, concat_ws(':', x.o, x.m, y.o) AS key
@@ -106,44 +85,6 @@ def rule_relay_contact(spark, sf):
     return rules.pair_rule(temporal.relays(_live(spark, sf)), "RELAY_CONTACT", "MEDIUM", "a", "middle", "b")
 
 
-@query("statements", f"""
-WITH {RELATIONS_SQL} SELECT id, concat_ws(' ', subject, CASE relation_type WHEN 'CALLED' THEN 'called' WHEN 'MESSAGED' THEN 'messaged' ELSE 'transferred money to' END, object) AS statement FROM rels
-""")
-def statements(spark, sf):
-    return rules.statements(s.relations(spark, sf).withColumn("directed", F.lit(True))).select("id", "statement")
-
-
-def _chain(spark, sf):
-    """A chain over the documents of each source whose stored hashes are those of unlinked entries."""
-    d = s.read(spark, sf, "documents")
-    payload = F.sha2("text", 256)
-    broken = F.when(F.col("doc_id") % 97 == 5, F.lit("0")).otherwise(integrity.entry_hash(payload, F.lit(None).cast("string")))
-    return d.select("source", F.col("doc_id").alias("id"), F.col("doc_id").alias("at"), payload.alias("payload"), F.lit(None).cast("string").alias("previous_hash"), broken.alias("event_hash"))
-
-
-CHAIN_SQL = """c AS (
-  SELECT source, doc_id AS id, sha256(text) AS payload, CASE WHEN doc_id % 97 = 5 THEN '0' ELSE sha256(sha256(text) || '|') END AS h FROM documents
-), b AS (
-  SELECT *, row_number() OVER w AS n, CASE WHEN h <> sha256(payload || '|') THEN 'content_altered' WHEN lag(h) OVER w IS NOT NULL THEN 'link_broken' END AS bad
-  FROM c WINDOW w AS (PARTITION BY source ORDER BY id)
-)"""
-
-
-@query("chain_verify", f"""
-WITH {CHAIN_SQL} SELECT source, count(*) AS entries, count(h) AS hashed, CASE WHEN count(bad) > 0 THEN 'broken' ELSE 'intact' END AS status,
-  arg_min(id, n) FILTER (bad IS NOT NULL) AS first_break, arg_min(bad, n) FILTER (bad IS NOT NULL) AS reason FROM b GROUP BY source
-""")
-def chain_verify(spark, sf):
-    return integrity.verify_chain(_chain(spark, sf), ["source"])
-
-
-@query("ledger_verify", f"""
-WITH {CHAIN_SQL} SELECT source, count(*) AS entries, coalesce(min(n) FILTER (bad IS NOT NULL) - 1, count(*)) AS verified, CASE WHEN count(bad) > 0 THEN 'broken' ELSE 'intact' END AS status FROM b GROUP BY source
-""")
-def ledger_verify(spark, sf):
-    return integrity.ledger_verify(_chain(spark, sf), ["source"])
-
-
 def _leaves(spark, sf):
     d = s.read(spark, sf, "documents").select("source", F.sha2("text", 256).alias("hash"), "doc_id")
     return d.selectExpr("source", "row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place", "hash")
@@ -165,21 +106,6 @@ def merkle_proof(spark, sf):
     return integrity.merkle_proof(_leaves(spark, sf), ["source"], 5)
 
 
-@query("hmac_digest")
-def hmac_digest(spark, sf):
-    return s.read(spark, sf, "customer").select("c_custkey", integrity.hmac_sha256("shared secret", F.concat(F.lit("phone:"), "c_name")).alias("digest"))
-
-
-@query("ledger_match", f"""
-WITH {OCCURRENCES_SQL}, o AS (SELECT DISTINCT case_id, sha256(entity_type || ':' || key) AS digest FROM occ)
-SELECT a.case_id, b.case_id AS other, a.digest FROM o a JOIN o b ON a.digest = b.digest AND a.case_id <> b.case_id
-""")
-def ledger_match(spark, sf):
-    o = s.occurrences(spark, sf).select("case_id", F.sha2(F.concat_ws(":", "entity_type", "key"), 256).alias("digest")).distinct()
-    b = o.select(F.col("case_id").alias("other"), F.col("digest").alias("_d"))
-    return o.join(b, (F.col("digest") == F.col("_d")) & (F.col("case_id") != F.col("other"))).select("case_id", "other", "digest")
-
-
 @query("find_email", f"WITH {OCCURRENCES_SQL} SELECT evidence_id AS doc_id, string_agg(key, ',' ORDER BY key) AS emails FROM occ WHERE entity_type = 'email' GROUP BY 1")
 def find_email(spark, sf):
     d = s.read(spark, sf, "documents").select("doc_id", F.array_join(identifiers.find_email_addresses(F.col("text")), ",").alias("emails"))
@@ -199,24 +125,6 @@ def find_url(spark, sf):
     return s.read(spark, sf, "pages").select("page_id", F.array_join(identifiers.find_urls(F.concat_ws(" ", "url", "html")), " ").alias("urls"))
 
 
-@query("find_identifiers")
-def find_identifiers(spark, sf):
-    """All extractors over all documents; most kinds occur in none of them."""
-    t = F.col("text")
-    return s.read(spark, sf, "documents").select(
-        "doc_id",
-        identifiers.find_phone_numbers(t).alias("phones"), identifiers.find_account_identifiers(t).alias("accounts"),
-        identifiers.find_vehicle_identifiers(t).alias("vehicles"), identifiers.find_organisations(t).alias("organisations"),
-        identifiers.find_transaction_reference(t).alias("reference"), identifiers.find_device_identifier(t).alias("device"),
-    )
-
-
-@query("extract_indicators")
-def extract_indicators(spark, sf):
-    d = s.read(spark, sf, "documents").select("doc_id", F.explode(identifiers.indicators(F.col("text"))).alias("x"))
-    return d.select("doc_id", "x.entity_type", "x.value", "x.normalized", "x.confidence")
-
-
 @query("sentences", r"""
 SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), '\n+'), lambda x: trim(x)), lambda x: x <> ''))::INT AS n FROM documents
 """)
@@ -233,11 +141,6 @@ def canonicalize_party(spark, sf):
     return c.select("c_custkey", "x.entity_type", "x.key")
 
 
-@query("normalize_organisation", r"SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS key FROM part")
-def normalize_organisation(spark, sf):
-    return s.read(spark, sf, "part").select("p_partkey", canonical.normalize_organisation(F.col("p_name")).alias("key"))
-
-
 @query("merge_key_sha", "SELECT o_orderkey, substr(sha256(concat_ws(chr(31), 'exact', o_custkey, o_orderkey)), 1, 48) AS key FROM orders")
 def merge_key_sha(spark, sf):
     o = s.read(spark, sf, "orders")
@@ -337,23 +240,6 @@ def entity_profile_connections(spark, sf):
     return rollups.top_per(a, ["node"], [F.desc("confidence"), F.desc("observations"), F.asc("other")], 9)
 
 
-@query("entity_summary", f"""
-WITH {RELATIONS_SQL}, e AS (SELECT subject AS node, relation_type, confidence, evidence_id FROM rels UNION ALL SELECT object, relation_type, confidence, evidence_id FROM rels),
-k AS (SELECT node, relation_type, count(*) AS n FROM e GROUP BY 1, 2)
-SELECT node, count(*) AS relations, count(DISTINCT evidence_id) AS sources, max(confidence) AS strongest,
-  (SELECT string_agg(relation_type, ',' ORDER BY n DESC, relation_type) FROM k WHERE k.node = e.node) AS kinds FROM e GROUP BY node
-""")
-def entity_summary(spark, sf):
-    """All statuses, rejected ones too, as the summary reads them."""
-    r = s.relations(spark, sf)
-    e = r.select(F.explode(F.array("subject", "object")).alias("node"), "relation_type", "confidence", "evidence_id")
-    k = e.groupBy("node", "relation_type").count().groupBy("node").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "relation_type"))), lambda x: x["relation_type"]), ",").alias("kinds")
-    )
-    a = e.groupBy("node").agg(F.count("*").alias("relations"), F.count_distinct("evidence_id").alias("sources"), F.max("confidence").alias("strongest"))
-    return a.join(k, "node")
-
-
 @query("requisition_draft", f"""
 WITH {RELATIONS_SQL}, e AS (SELECT case_id, subject AS node, at, evidence_id FROM rels UNION ALL SELECT case_id, object, at, evidence_id FROM rels),
 a AS (SELECT case_id, node, count(*) AS observations, count(DISTINCT evidence_id) AS n_evidence, (min(at) - INTERVAL 2 DAY)::DATE AS from_day, (max(at) + INTERVAL 2 DAY)::DATE AS to_day FROM e GROUP BY 1, 2)
@@ -384,28 +270,6 @@ def evidence_stages(spark, sf):
     return n.select("user_id", rows.alias("r")).select("user_id", "r.place", "r.stage", (F.col("r.runs") > 0).alias("reached"), "r.runs")
 
 
-@query("lineage_graph", """
-SELECT 'evidence' AS kind, doc_id::VARCHAR AS id, source AS parent FROM documents UNION ALL SELECT 'transaction', o_orderkey::VARCHAR, o_custkey::VARCHAR FROM orders
-UNION ALL SELECT 'event', event_id::VARCHAR, user_id::VARCHAR FROM events UNION ALL SELECT 'entity', c_custkey::VARCHAR, c_nationkey::VARCHAR FROM customer
-""")
-def lineage_graph(spark, sf):
-    parts = [("documents", "evidence", "doc_id", "source"), ("orders", "transaction", "o_orderkey", "o_custkey"), ("events", "event", "event_id", "user_id"), ("customer", "entity", "c_custkey", "c_nationkey")]
-    out = None
-    for t, kind, key, parent in parts:
-        rows = s.read(spark, sf, t).select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), F.col(parent).cast("string").alias("parent"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
-
-
-@query("assistant_at_time", """
-SELECT event_id, ts FROM events WHERE contains(strftime(ts, '%H:%M %-H:%M'), '05:30') OR contains(strftime(ts, '%H:%M %-H:%M'), '5:30')
-""")
-def assistant_at_time(spark, sf):
-    """Events whose text holds any written form of a clock time."""
-    e = s.read(spark, sf, "events").withColumn("text", F.date_format("ts", "HH:mm H:mm"))
-    return e.where(F.col("text").contains("05:30") | F.col("text").contains("5:30")).select("event_id", "ts")
-
-
 @query("export_entities", """
 SELECT p_partkey, p_name, coalesce(min(l_orderkey)::VARCHAR, 'not in this case') AS file FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2
 """)

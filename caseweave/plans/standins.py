@@ -148,3 +148,45 @@ OCCURRENCES_SQL = """occ AS (
     SELECT source, doc_id, 'ip', unnest(regexp_extract_all(text, '\\b(?:\\d{1,3}\\.){3}\\d{1,3}\\b')) FROM documents
   )
 )"""
+
+
+FIRST_NAMES, LAST_NAMES = ("Asha", "Ravi", "Meera", "Yash", "Priya"), ("Rao", "Kumar", "Sharma", "Gupta")
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A police report on each order, its facts drawn from the order: k, text (eight lines), amount, at."""
+    o = read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    pick = lambda names, i: F.get(F.array(*map(F.lit, names)), (i % len(names)).cast("int"))
+    name = lambda i, j: F.concat_ws(" ", pick(FIRST_NAMES, i), pick(LAST_NAMES, j))
+    accused, witness = name(k, k), name(k + 2, k + 1)
+    plate = F.concat(F.lit("MH"), F.lpad((k % 90 + 10).cast("string"), 2, "0"), F.lit("AB"), F.lpad((k % 10000).cast("string"), 4, "0"))
+    number = lambda c: c.cast("string")
+    lines = [
+        F.concat(F.lit("FIR No: "), number(k % 99999), F.lit(" / 2024")),
+        F.lit("Police Station: Andheri East"),
+        F.concat(F.lit("under section "), number(k % 200 + 300), F.lit(" IPC")),
+        F.concat(F.lit("Accused: "), accused, F.lit(".")),
+        F.concat(F.lit("Witness "), witness, F.lit(" was driving "), plate, F.lit(".")),
+        F.concat(F.lit("Vehicle "), plate, F.lit(" was observed parked near Linking Road.")),
+        F.concat(F.lit("Paid INR "), F.format_number("o_totalprice", 2), F.lit(" on "), F.date_format("o_orderdate", "dd-MM-yyyy"), F.lit(" at "), F.date_format("o_orderdate", "HH:mm"),
+                 F.lit(", UTR: REF"), F.lpad(number(k), 9, "0"), F.lit(", call 98765 "), F.lpad(number(k % 100000), 5, "0")),
+        F.concat(F.lit("Accused "), accused, F.lit(" was seen near Crawford Market.")),
+    ]
+    return o.select(k.alias("k"), F.concat_ws("\n", *lines).alias("text"), F.col("o_totalprice").alias("amount"), F.col("o_orderdate").alias("at"))
+
+
+_NAME = "['Asha', 'Ravi', 'Meera', 'Yash', 'Priya'][({i}) % 5 + 1] || ' ' || ['Rao', 'Kumar', 'Sharma', 'Gupta'][({j}) % 4 + 1]"
+REPORTS_SQL = f"""reps AS (
+  SELECT o_orderkey AS k, {_NAME.format(i="o_orderkey", j="o_orderkey")} AS accused, {_NAME.format(i="o_orderkey + 2", j="o_orderkey + 1")} AS witness,
+    'MH' || lpad((o_orderkey % 90 + 10)::VARCHAR, 2, '0') || 'AB' || lpad((o_orderkey % 10000)::VARCHAR, 4, '0') AS plate, o_totalprice AS amount, o_orderdate AS moment,
+    'REF' || lpad(o_orderkey::VARCHAR, 9, '0') AS reference, '+9198765' || lpad((o_orderkey % 100000)::VARCHAR, 5, '0') AS phone,
+    (o_orderkey % 99999) || '/2024' AS fir, (o_orderkey % 200 + 300) || ' IPC' AS sections
+  FROM orders
+)"""
+
+
+def report_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the reports: evidence_id, unit_id (ten an order), place, text."""
+    r = reports(spark, sf_dir).select(F.col("k").alias("evidence_id"), F.posexplode(F.split("text", "\n")).alias("place", "text"))
+    return r.withColumn("unit_id", F.col("evidence_id") * 10 + F.col("place"))

@@ -26,13 +26,6 @@ def page_entity_relations(spark, sf):
     return rollups.page(r, [F.desc("confidence"), F.asc("at"), F.asc("id")], 100, most=500)
 
 
-@query("list_notes", "SELECT conv_id, turn, coalesce(quality::VARCHAR, 'unknown author') AS author FROM conversations LEFT JOIN labels ON conv_id = doc_id WHERE role = 'user'")
-def list_notes(spark, sf):
-    notes = s.read(spark, sf, "conversations").where("role = 'user'")
-    people = s.read(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("author"))
-    return joins.lookup_label(notes, "conv_id", people, "doc_id", "author", "unknown author").select("conv_id", "turn", "author")
-
-
 @query("join_occurrence_entity", f"WITH {OCCURRENCES_SQL}, e AS (SELECT entity_type, key, min(evidence_id) AS entity_id FROM occ GROUP BY 1, 2) SELECT evidence_id, entity_id FROM occ JOIN e USING (entity_type, key)")
 def join_occurrence_entity(spark, sf):
     o = s.occurrences(spark, sf)
@@ -59,20 +52,6 @@ def findings_openable(spark, sf):
     return li.join(o, li.l_orderkey == o.o_orderkey, "left").select("l_orderkey", "l_linenumber", F.col("o_orderkey").isNotNull().alias("openable"))
 
 
-@query("correlate", f"""
-WITH {OCCURRENCES_SQL}, v AS (SELECT DISTINCT evidence_id AS r, entity_type AS f, key FROM occ),
-p AS (SELECT a.r AS "left", b.r AS "right", string_agg(DISTINCT a.f, ',' ORDER BY a.f) AS fields, max(CASE WHEN a.f = 'email' THEN 0.8::DOUBLE ELSE 0::DOUBLE END) AS confidence
-  FROM v a JOIN v b ON a.f = b.f AND a.key = b.key AND a.r < b.r GROUP BY 1, 2)
-SELECT 0 AS case_id, *, sha256('exact' || chr(31) || fields || chr(31) || "left" || chr(31) || "right")[1:48] AS key FROM p
-""")
-def correlate(spark, sf):
-    """Candidates with their idempotency key, each once."""
-    v = s.occurrences(spark, sf).select(F.lit(0).alias("case_id"), "evidence_id", F.col("evidence_id").alias("record_id"), F.col("entity_type").alias("field"), F.col("key").alias("value")).distinct()
-    rows = joins.exact_matches(v)
-    key = F.sha2(F.concat_ws("\x1f", F.lit("exact"), "fields", F.col("left").cast("string"), F.col("right").cast("string")), 256)
-    return rows.withColumn("key", F.substring(key, 1, 48)).dropDuplicates(["key"])
-
-
 @query("cross_case_confidence", f"""
 WITH {OCCURRENCES_SQL}, o AS (SELECT case_id, entity_type, key, min(quality) = 1 AS ok FROM occ JOIN labels ON doc_id = evidence_id GROUP BY 1, 2, 3)
 SELECT a.case_id, b.case_id AS linked_case, a.key, CASE WHEN a.ok AND b.ok THEN 'high' ELSE 'medium' END AS confidence
@@ -108,12 +87,6 @@ def alerts_summary(spark, sf):
     return a.groupBy("case_id").agg(F.count("*").alias("total"), n("status = 'F'", "reviewed"), n("status = 'P'", "dismissed"), n("status = 'O'", "open"), n("amount >= 450000", "high"), n("amount < 450000", "medium"))
 
 
-@query("timeline_partition", "SELECT event_type, count(*) FILTER (hour(ts) > 0) AS dated, count(*) FILTER (hour(ts) = 0) AS clock_only, count(*) FILTER (ts IS NULL) AS no_time FROM events GROUP BY 1")
-def timeline_partition(spark, sf):
-    e = s.read(spark, sf, "events")
-    return e.groupBy("event_type").agg(F.count_if(F.hour("ts") > 0).alias("dated"), F.count_if(F.hour("ts") == 0).alias("clock_only"), F.count_if(F.col("ts").isNull()).alias("no_time"))
-
-
 @query("balances_list", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '5-LOW' AND o_totalprice IS NOT NULL")
 def balances_list(spark, sf):
     return s.read(spark, sf, "orders").where("o_orderpriority = '5-LOW' AND o_totalprice IS NOT NULL").select("o_orderkey", "o_totalprice")
@@ -125,19 +98,6 @@ def prior_statement_counts(spark, sf):
     return s.read(spark, sf, "orders").groupBy("o_custkey").agg(n("O", "open"), n("F", "convicted"), n("P", "closed"))
 
 
-@query("benchmark_prf", f"""
-WITH {OCCURRENCES_SQL}, f AS (SELECT DISTINCT evidence_id, entity_type FROM occ), t AS (SELECT doc_id, 'email' AS entity_type FROM documents WHERE contains(text, '@')),
-n AS (SELECT count(*) FILTER (f.evidence_id IS NOT NULL AND t.doc_id IS NOT NULL) AS hit, count(t.doc_id) AS want, count(f.evidence_id) AS got
-  FROM (SELECT * FROM f WHERE entity_type = 'email') f FULL JOIN t ON f.evidence_id = t.doc_id)
-SELECT hit, want, got, round(hit / want, 4) AS recall, round(hit / got, 4) AS precision FROM n
-""")
-def benchmark_prf(spark, sf):
-    found = s.occurrences(spark, sf).where("entity_type = 'email'").select("evidence_id").distinct().withColumn("f", F.lit(1))
-    truth = s.read(spark, sf, "documents").where(F.col("text").contains("@")).select("doc_id", F.lit(1).alias("t"))
-    n = found.join(truth, F.col("evidence_id") == F.col("doc_id"), "full_outer").agg(F.count_if(F.expr("f = 1 AND t = 1")).alias("hit"), F.count("t").alias("want"), F.count("f").alias("got"))
-    return n.select("*", F.round(F.col("hit") / F.col("want"), 4).alias("recall"), F.round(F.col("hit") / F.col("got"), 4).alias("precision"))
-
-
 @query("trustify_summary", "SELECT source, count(*) AS evidence, count(text) AS hashes, max(doc_id) AS latest, arg_max(sha256(text), doc_id) AS head FROM documents GROUP BY 1")
 def trustify_summary(spark, sf):
     d = s.read(spark, sf, "documents").select("source", "doc_id", F.sha2("text", 256).alias("h"))
@@ -153,18 +113,6 @@ def case_health(spark, sf):
     return s.transactions(spark, sf).groupBy("case_id").agg(n("status = 'F'", "completed"), n("status = 'P'", "failed"), n("amount >= 450000 AND status = 'O'", "open_alerts"), n("at IS NULL", "untimed"))
 
 
-@query("important_entities", f"""
-WITH {EDGES_SQL}, e AS (SELECT case_id, u AS node, n_evidence, weight FROM edges UNION ALL SELECT case_id, v, n_evidence, weight FROM edges),
-d AS (SELECT case_id, node, count(*) AS connections, sum(n_evidence)::BIGINT AS evidence, max(weight) AS best FROM e WHERE node LIKE 'S%' GROUP BY 1, 2)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY connections DESC, node)::INT AS rank FROM d) WHERE rank <= 10
-""")
-def important_entities(spark, sf):
-    """Filtered by type before ranks are given."""
-    e = graph.ends(graph.build_edges(s.relations(spark, sf))).where(F.col("node").startswith("S"))
-    d = e.groupBy("case_id", "node").agg(F.count("*").alias("connections"), F.sum("n_evidence").alias("evidence"), F.max("weight").alias("best"))
-    return rollups.top_per(d, ["case_id"], [F.desc("connections"), F.asc("node")], 10)
-
-
 @query("focus_graph", f"""
 WITH {EDGES_SQL}, e AS (SELECT case_id, u AS node FROM edges UNION ALL SELECT case_id, v FROM edges), d AS (SELECT case_id, node[1] AS kind, node, count(*) AS degree FROM e GROUP BY 1, 2, 3)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, kind ORDER BY degree DESC, node)::INT AS rank FROM d) WHERE rank <= CASE WHEN kind = 'C' THEN 4 ELSE 6 END
@@ -207,30 +155,6 @@ def export_findings(spark, sf):
     return e.join(last, (F.col("user_id") == F.col("_u")) & (F.col("version") == F.col("_v"))).select("user_id", "event_id")
 
 
-@query("snapshot_hash", "SELECT source, sha256(string_agg(doc_id || ':' || sha256(text), ',' ORDER BY doc_id)) AS hash FROM documents WHERE doc_id % 10 = doc_id % 10 GROUP BY 1")
-def snapshot_hash(spark, sf):
-    d = s.read(spark, sf, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.sha2("text", 256).alias("h")))).alias("x"))
-    return d.select("source", F.sha2(F.array_join(F.transform("x", lambda r: F.concat_ws(":", r["doc_id"].cast("string"), r["h"])), ","), 256).alias("hash"))
-
-
-@query("receipt_inclusion", "SELECT source, max(doc_id) AS latest, sha256(source || '|' || max(doc_id)) AS manifest FROM documents GROUP BY 1")
-def receipt_inclusion(spark, sf):
-    d = s.read(spark, sf, "documents").groupBy("source").agg(F.max("doc_id").alias("latest"))
-    return d.withColumn("manifest", F.sha2(F.concat_ws("|", "source", F.col("latest").cast("string")), 256))
-
-
-@query("chain_append")
-def chain_append(spark, sf):
-    """A chain over each customer's orders, sealed in order; sequential by nature, one short chain a key."""
-    o = s.read(spark, sf, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"), F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), "o_orderstatus"), 256).alias("payload"))
-    return integrity.append_chain(o, "o_custkey")
-
-
-@query("ledger_identities", f"WITH {OCCURRENCES_SQL} SELECT entity_type, key, min(evidence_id) AS first FROM occ WHERE entity_type IN ('email', 'phone') GROUP BY 1, 2")
-def ledger_identities(spark, sf):
-    return s.occurrences(spark, sf).where("entity_type IN ('email', 'phone')").groupBy("entity_type", "key").agg(F.min("evidence_id").alias("first"))
-
-
 @query("review_decisions", """
 SELECT 'alert' AS subject_type, user_id AS subject_id, arg_max(d, (ts, event_id)) AS decision, CASE WHEN arg_max(d, (ts, event_id)) = 'rejected' THEN 'dismissed' ELSE 'reviewed' END AS status
 FROM (SELECT *, CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'confirmed' END AS d FROM events) GROUP BY 2
@@ -242,19 +166,6 @@ def review_decisions(spark, sf):
     return records.latest_decision(e)
 
 
-@query("classify_review", """
-SELECT doc_id, concat_ws('; ', CASE WHEN c < 0.6 THEN 'low confidence' END, CASE WHEN quality IS NULL THEN 'not validated' END, CASE WHEN length(trim(text)) < 3 THEN 'no readable text' END) AS reasons
-FROM (SELECT doc_id, text, quality, CASE WHEN quality IS NULL THEN round_even(0.9 * 0.75, 4) ELSE round_even(0.4 * 0.9 + 0.6 * quality, 4) END AS c
-  FROM documents LEFT JOIN labels USING (doc_id)) WHERE NOT regexp_matches(lower(text), 'minor|juvenile|victim|sexual|medical|caste|religion')
-""")
-def classify_review(spark, sf):
-    d = s.read(spark, sf, "documents").select("doc_id", "text").join(s.read(spark, sf, "labels"), "doc_id", "left")
-    none = lambda kind: F.lit(None).cast(kind)
-    rows = d.withColumns({"model_confidence": F.lit(0.9), "validation_confidence": F.col("quality").cast("double"), "amount": none("double"), "currency": none("string"),
-                          "event_time": none("timestamp_ntz"), "sender": none("string"), "receiver": none("string"), "quality_flags": F.array().cast("array<string>")})
-    return records.classify_review(rows).where(~F.col("reasons").contains("sensitive")).select("doc_id", "reasons")
-
-
 @query("project_events", """
 SELECT o_orderkey AS record_id, CASE WHEN o_orderstatus = 'P' THEN 'observed_balance' WHEN o_orderstatus = 'F' THEN o_orderpriority ELSE 'financial_transaction' END AS event_type FROM orders
 """)
@@ -265,14 +176,6 @@ def project_events(spark, sf):
     return records.project_events(o).select("record_id", "event_type")
 
 
-@query("build_records")
-def build_records(spark, sf):
-    """All extractors over the lines of every document."""
-    d = s.read(spark, sf, "documents").select(F.col("source").alias("case_id"), F.col("doc_id").alias("evidence_id"), F.posexplode(F.split("text", "\n")).alias("unit_id", "text"))
-    r = records.build_records(d.withColumn("source_type", F.lit("document")))
-    return r.select("evidence_id", "unit_id", F.size("email_addresses").alias("emails"), F.size("phone_numbers").alias("phones"), "person_names", "amount.value", "moment.precision", "amount_role")
-
-
 @query("assistant_entity", f"WITH {OCCURRENCES_SQL} SELECT doc_id FROM documents WHERE contains(lower(text), (SELECT min(key) FROM occ WHERE entity_type = 'email'))")
 def assistant_entity(spark, sf):
     """Documents that contain the first e-mail address, as a scalar subquery."""

@@ -169,5 +169,40 @@ def text_type(text: Column) -> Column:
     messages; or one of the first 20 starts with a mail header."""
     head = F.slice(F.filter(F.split(F.substring(text, 1, 8192), "\n"), lambda x: F.trim(x) != ""), 1, 40)
     chats = F.size(F.filter(head, lambda x: x.rlike(CHAT_LINE)))
-    mails = F.exists(F.slice(head, 1, 20), lambda x: x.rlike("^(" + "|".join(HEADERS) + "):"))
-    return F.when(chats >= F.greatest(F.lit(2), F.ceil(F.size(head) * 0.25)), "chat_export").when(mails, "email").otherwise("document")
+    mails = F.exists(F.slice(head, 1, 20), lambda x: F.lower(F.trim(x)).rlike("^(from|to|subject|message-id):"))
+    return F.when(chats >= F.greatest(F.lit(2), F.floor(F.size(head) / 4)), "chat_export").when(mails, "email").otherwise("document")
+
+
+# Source types that a declared category hints at, and those that are narrative reports.
+CATEGORY_HINTS = {
+    "whatsapp_screenshot": "screenshot", "screenshot": "screenshot", "chat_screenshot": "screenshot", "chat_export": "chat_export",
+    "whatsapp_export": "chat_export", "bank_statement": "bank_record", "bank_record": "bank_record", "call_log": "call_log",
+    "phishing_email": "email", "email": "email", "complaint_fir": "fir", "fir": "fir", "police_report": "police_report",
+    "surveillance": "surveillance", "surveillance_report": "surveillance", "cdr": "cdr",
+}
+REPORT_TYPES = ("fir", "police_report", "surveillance")
+PARSERS = {"txt": "text", "eml": "text", "csv": "csv", "xlsx": "spreadsheet", "pdf": "pdf", "png": "image", "jpg": "image", "jpeg": "image"}
+
+
+def detect_type(extension: Column, category: Column, header: Column, text: Column) -> Column:
+    """struct<source_type, basis> of a file by extension, declared category, folded header names (of tables) and text: content and
+    category together, as far as each says something."""
+    hints = F.create_map(*(F.lit(x) for kv in CATEGORY_HINTS.items() for x in kv))
+    hint = F.try_element_at(hints, category)
+    kind = lambda t, basis: F.struct(t.alias("source_type"), (F.lit(basis) if isinstance(basis, str) else basis).alias("basis"))
+    both = F.when(hint.isNotNull(), "content+category").otherwise("content")
+    return (
+        F.when(extension.isin("png", "jpg", "jpeg"), kind(F.when(hint == "screenshot", hint).otherwise("image"), both))
+        .when(extension == "pdf", F.when(hint.isin(*REPORT_TYPES), kind(hint, "content+category")).otherwise(kind(F.lit("pdf"), "content")))
+        .when(extension == "eml", kind(F.lit("email"), "content"))
+        .when(extension == "csv", kind(F.when(hint.isin("bank_record", "call_log", "cdr"), hint).otherwise(table_type(header)), "content+headers"))
+        .when(extension == "xlsx", kind(F.coalesce(hint, F.lit("spreadsheet")), both))
+        .when((extension == "txt") & hint.isin(*REPORT_TYPES, "chat_export", "email"), kind(hint, "category"))
+        .when(extension == "txt", kind(text_type(text), "content"))
+        .otherwise(kind(F.coalesce(hint, F.lit("unknown")), "fallback"))
+    )
+
+
+def parser_of(extension: Column) -> Column:
+    """The reader of a file by its extension; null where there is none."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in PARSERS.items() for x in kv)), F.lower(extension))
