@@ -102,26 +102,6 @@ def combined_confidence(spark, sf):
     return d.select("doc_id", scores.combined_confidence(F.lit(0.8), F.col("quality").cast("double")).alias("confidence"))
 
 
-@query("related_rollup", f"""
-WITH {EDGES_SQL}, e AS (SELECT u AS node, v AS other, relation_types, observations FROM edges UNION ALL SELECT v, u, relation_types, observations FROM edges),
-a AS (SELECT node, other, sum(observations)::BIGINT AS observations FROM e GROUP BY 1, 2)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY observations DESC, other)::INT AS rank FROM a) WHERE rank <= 9
-""")
-def related_rollup(spark, sf):
-    e = graph.ends(graph.build_edges(s.relations(spark, sf))).groupBy("node", "other").agg(F.sum("observations").alias("observations"))
-    return rollups.top_per(e, ["node"], [F.desc("observations"), F.asc("other")], 9)
-
-
-@query("profile_other_cases", f"""
-WITH {OCCURRENCES_SQL}, o AS (SELECT DISTINCT case_id, entity_type, key FROM occ)
-SELECT entity_type, key, count(*) AS n_cases, string_agg(case_id, ',' ORDER BY case_id) AS cases FROM o GROUP BY 1, 2 HAVING count(*) > 1
-""")
-def profile_other_cases(spark, sf):
-    o = s.occurrences(spark, sf).select("case_id", "entity_type", "key").distinct()
-    n = o.groupBy("entity_type", "key").agg(F.count("*").alias("n_cases"), F.array_join(F.array_sort(F.collect_set("case_id")), ",").alias("cases"))
-    return n.where("n_cases > 1")
-
-
 @query("set_flags_degraded", "SELECT doc_id, contains(text, '***') AS blurred, contains(text, '!!') AS glare FROM documents WHERE contains(text, '***') OR contains(text, '!!')")
 def set_flags_degraded(spark, sf):
     flags = F.array_compact(F.array(F.when(F.col("text").contains("***"), "blurred"), F.when(F.col("text").contains("!!"), "glare"), F.lit("scanned")))

@@ -240,36 +240,6 @@ def entity_profile_connections(spark, sf):
     return rollups.top_per(a, ["node"], [F.desc("confidence"), F.desc("observations"), F.asc("other")], 9)
 
 
-@query("requisition_draft", f"""
-WITH {RELATIONS_SQL}, e AS (SELECT case_id, subject AS node, at, evidence_id FROM rels UNION ALL SELECT case_id, object, at, evidence_id FROM rels),
-a AS (SELECT case_id, node, count(*) AS observations, count(DISTINCT evidence_id) AS n_evidence, (min(at) - INTERVAL 2 DAY)::DATE AS from_day, (max(at) + INTERVAL 2 DAY)::DATE AS to_day FROM e GROUP BY 1, 2)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY n_evidence DESC, node)::INT AS rank FROM a) WHERE rank <= 12
-""")
-def requisition_draft(spark, sf):
-    e = s.relations(spark, sf).select("case_id", F.explode(F.array("subject", "object")).alias("node"), "at", "evidence_id")
-    a = e.groupBy("case_id", "node").agg(
-        F.count("*").alias("observations"), F.count_distinct("evidence_id").alias("n_evidence"),
-        F.date_sub(F.min("at").cast("date"), 2).alias("from_day"), F.date_add(F.max("at").cast("date"), 2).alias("to_day"),
-    )
-    return rollups.top_per(a, ["case_id"], [F.desc("n_evidence"), F.asc("node")], 12)
-
-
-STAGES = ["view", "click", "signup", "purchase", "error"]
-
-
-@query("evidence_stages", """
-WITH st AS (SELECT unnest(['view', 'click', 'signup', 'purchase', 'error']) AS stage, unnest(range(5))::INT AS place)
-SELECT u.user_id, st.place, st.stage, coalesce(max(e.ts)::VARCHAR IS NOT NULL, false) AS reached, count(e.event_id) AS runs
-FROM (SELECT DISTINCT user_id FROM events) u, st LEFT JOIN events e ON e.user_id = u.user_id AND e.event_type = st.stage GROUP BY 1, 2, 3
-""")
-def evidence_stages(spark, sf):
-    """Runs put on the fixed order of stages; a stage without a run is pending."""
-    e = s.read(spark, sf, "events")
-    n = e.groupBy("user_id").agg(*(F.count_if(F.col("event_type") == x).alias(x) for x in STAGES))
-    rows = F.explode(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(x).alias("stage"), F.col(x).alias("runs")) for i, x in enumerate(STAGES))))
-    return n.select("user_id", rows.alias("r")).select("user_id", "r.place", "r.stage", (F.col("r.runs") > 0).alias("reached"), "r.runs")
-
-
 @query("export_entities", """
 SELECT p_partkey, p_name, coalesce(min(l_orderkey)::VARCHAR, 'not in this case') AS file FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1, 2
 """)

@@ -67,16 +67,6 @@ def cross_case_confidence(spark, sf):
     return both.select("case_id", "linked_case", "key", F.when(F.col("x") & F.col("y"), "high").otherwise("medium").alias("confidence"))
 
 
-@query("describe_connections", f"""
-WITH {OCCURRENCES_SQL}, b AS (SELECT entity_type, key, count(DISTINCT evidence_id) AS n FROM occ GROUP BY 1, 2 HAVING count(DISTINCT evidence_id) > 1)
-SELECT entity_type || ' ' || key || ' appears in ' || n || ' evidence files' AS sentence FROM b ORDER BY n DESC, key LIMIT 8
-""")
-def describe_connections(spark, sf):
-    b = rollups.bridges(s.occurrences(spark, sf).withColumn("case_id", F.lit(0)))
-    text = F.concat_ws(" ", "entity_type", "key", F.lit("appears in"), F.col("n_evidence").cast("string"), F.lit("evidence files"))
-    return b.orderBy(F.desc("n_evidence"), "key").limit(8).select(text.alias("sentence"))
-
-
 @query("alerts_summary", f"""
 WITH {TRANSACTIONS_SQL} SELECT case_id, count(*) AS total, count(*) FILTER (status = 'F') AS reviewed, count(*) FILTER (status = 'P') AS dismissed, count(*) FILTER (status = 'O') AS open,
   count(*) FILTER (amount >= 450000) AS high, count(*) FILTER (amount < 450000) AS medium FROM txns WHERE amount >= 50000 GROUP BY 1
@@ -98,21 +88,6 @@ def prior_statement_counts(spark, sf):
     return s.read(spark, sf, "orders").groupBy("o_custkey").agg(n("O", "open"), n("F", "convicted"), n("P", "closed"))
 
 
-@query("trustify_summary", "SELECT source, count(*) AS evidence, count(text) AS hashes, max(doc_id) AS latest, arg_max(sha256(text), doc_id) AS head FROM documents GROUP BY 1")
-def trustify_summary(spark, sf):
-    d = s.read(spark, sf, "documents").select("source", "doc_id", F.sha2("text", 256).alias("h"))
-    return d.groupBy("source").agg(F.count("*").alias("evidence"), F.count("h").alias("hashes"), F.max("doc_id").alias("latest"), F.max_by("h", "doc_id").alias("head"))
-
-
-@query("case_health", f"""
-WITH {TRANSACTIONS_SQL} SELECT case_id, count(*) FILTER (status = 'F') AS completed, count(*) FILTER (status = 'P') AS failed, count(*) FILTER (amount >= 450000 AND status = 'O') AS open_alerts,
-  count(*) FILTER (at IS NULL) AS untimed FROM txns GROUP BY 1
-""")
-def case_health(spark, sf):
-    n = lambda cond, name: F.count_if(F.expr(cond)).alias(name)
-    return s.transactions(spark, sf).groupBy("case_id").agg(n("status = 'F'", "completed"), n("status = 'P'", "failed"), n("amount >= 450000 AND status = 'O'", "open_alerts"), n("at IS NULL", "untimed"))
-
-
 @query("focus_graph", f"""
 WITH {EDGES_SQL}, e AS (SELECT case_id, u AS node FROM edges UNION ALL SELECT case_id, v FROM edges), d AS (SELECT case_id, node[1] AS kind, node, count(*) AS degree FROM e GROUP BY 1, 2, 3)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY case_id, kind ORDER BY degree DESC, node)::INT AS rank FROM d) WHERE rank <= CASE WHEN kind = 'C' THEN 4 ELSE 6 END
@@ -147,14 +122,6 @@ def export_relationships(spark, sf):
     return joins.lookup_label(r, "object", p, "k", "right_label", "unresolved").select("id", "left_label", "right_label")
 
 
-@query("export_findings", "SELECT user_id, event_id FROM events e WHERE event_type = 'view' AND ts::DATE = (SELECT max(ts)::DATE FROM events x WHERE x.user_id = e.user_id AND event_type = 'view')")
-def export_findings(spark, sf):
-    """The findings of each subject's latest version (here: day)."""
-    e = s.read(spark, sf, "events").where("event_type = 'view'").withColumn("version", F.col("ts").cast("date"))
-    last = e.groupBy(F.col("user_id").alias("_u")).agg(F.max("version").alias("_v"))
-    return e.join(last, (F.col("user_id") == F.col("_u")) & (F.col("version") == F.col("_v"))).select("user_id", "event_id")
-
-
 @query("review_decisions", """
 SELECT 'alert' AS subject_type, user_id AS subject_id, arg_max(d, (ts, event_id)) AS decision, CASE WHEN arg_max(d, (ts, event_id)) = 'rejected' THEN 'dismissed' ELSE 'reviewed' END AS status
 FROM (SELECT *, CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'confirmed' END AS d FROM events) GROUP BY 2
@@ -174,22 +141,3 @@ def project_events(spark, sf):
         F.lit(0).alias("case_id"), F.col("o_orderkey").alias("record_id"), F.when(F.col("o_orderstatus") == "P", "balance").otherwise("payment").alias("amount_role"),
         F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority")).alias("stated_type"), F.col("o_totalprice").alias("amount"), F.col("o_orderpriority").alias("text"), F.col("o_orderdate").alias("at"))
     return records.project_events(o).select("record_id", "event_type")
-
-
-@query("assistant_entity", f"WITH {OCCURRENCES_SQL} SELECT doc_id FROM documents WHERE contains(lower(text), (SELECT min(key) FROM occ WHERE entity_type = 'email'))")
-def assistant_entity(spark, sf):
-    """Documents that contain the first e-mail address, as a scalar subquery."""
-    key = s.occurrences(spark, sf).where("entity_type = 'email'").agg(F.min("key"))
-    return s.read(spark, sf, "documents").where(F.lower("text").contains(key.scalar())).select("doc_id")
-
-
-@query("assistant_match", "SELECT arg_min(p_name, (length(p_name), p_name)) AS p_name, count(*) AS candidates FROM part WHERE contains(lower(regexp_replace(p_name, '[^A-Za-z0-9]', '', 'g')), '7')")
-def assistant_match(spark, sf):
-    p = s.read(spark, sf, "part").where(F.lower(F.regexp_replace("p_name", "[^A-Za-z0-9]", "")).contains("7"))
-    return p.agg(F.min_by("p_name", F.struct(F.length("p_name"), "p_name")).alias("p_name"), F.count("*").alias("candidates"))
-
-
-@query("source_view", "SELECT doc_id, i + 1 AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l, unnest(range(len(string_split(text, chr(10)))))::INT AS i FROM documents) WHERE contains(l, '@')")
-def source_view(spark, sf):
-    d = s.read(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "l"))
-    return d.where(F.col("l").contains("@")).select("doc_id", (F.col("i") + 1).alias("line"))

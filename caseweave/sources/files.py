@@ -62,11 +62,18 @@ def sniff_mime(content: Column) -> Column:
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """One record for each non-blank line of valid UTF-8 files: path, line (from 1), text (stripped)."""
+    """One record for each non-blank line of valid UTF-8 files: path, line (from 1), text (without white space around it). Other
+    files fail as a whole: see unreadable."""
     text = F.decode("content", "UTF-8")
     valid = files.where(F.is_valid_utf8(F.col("content").cast("string")))
     rows = valid.select("path", F.posexplode(F.split(text, "\r?\n")).alias("i", "raw"))
-    return rows.select("path", (F.col("i") + 1).alias("line"), F.trim("raw").alias("text")).where("text <> ''")
+    return rows.select("path", (F.col("i") + 1).alias("line"), F.regexp_replace("raw", r"(?U)^\s+|\s+$", "").alias("text")).where("text <> ''")
+
+
+def unreadable(files: DataFrame) -> DataFrame:
+    """path and error of the files whose text can't be read, so that a run fails for them and not silently."""
+    bad = files.where("content IS NOT NULL").where(~F.is_valid_utf8(F.col("content").cast("string")))
+    return bad.select("path", F.lit("not valid UTF-8").alias("error"))
 
 
 def paragraphs(files: DataFrame, least: int = 3) -> DataFrame:
@@ -113,9 +120,10 @@ def _table(text: str) -> tuple[list[str], list[list[str]]]:
     return (rows[0], rows[1:]) if rows else ([], [])
 
 
-def table_rows(files: DataFrame) -> DataFrame:
+def table_rows(files: DataFrame, keep_case: bool = True) -> DataFrame:
     """Rows of delimited files: path, row (from 2, the header being 1), cells (map of header to value), fields (map of
-    canonical field to value), error (why a file gives no rows)."""
+    canonical field to value), refs (map of canonical field to its cell, `row:N column:header`), error (why a file gives no rows).
+    Without `keep_case` headers are trimmed and in lower case."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -125,15 +133,18 @@ def table_rows(files: DataFrame) -> DataFrame:
                     header, rows = _table(bytes(content).decode("utf-8-sig"))
                     if len(header) < 2:
                         raise ValueError("fewer than two columns")
+                    header = header if keep_case else [h.strip().lower() for h in header]
                     fields = map_columns(header)
                     for i, row in enumerate(rows):
                         cells = dict(zip(header, row, strict=False))
-                        out.append((path, i + 2, cells, {f: cells[c] for f, c in fields.items() if cells.get(c)}, None))
+                        found = {f: c for f, c in fields.items() if cells.get(c)}
+                        refs = {f: f"row:{i + 2} column:{c}" for f, c in found.items()}
+                        out.append((path, i + 2, cells, {f: cells[c] for f, c in found.items()}, refs, None))
                 except (UnicodeDecodeError, ValueError, csv.Error) as e:
-                    out.append((path, None, None, None, str(e)))
-            yield pd.DataFrame(out, columns=["path", "row", "cells", "fields", "error"])
+                    out.append((path, None, None, None, None, str(e)))
+            yield pd.DataFrame(out, columns=["path", "row", "cells", "fields", "refs", "error"])
 
-    schema = "path string, row int, cells map<string,string>, fields map<string,string>, error string"
+    schema = "path string, row int, cells map<string,string>, fields map<string,string>, refs map<string,string>, error string"
     return files.select("path", "content").where("content IS NOT NULL").mapInPandas(parse, schema)
 
 
@@ -158,6 +169,21 @@ def emails(files: DataFrame) -> DataFrame:
     )
 
 
+def email_facts(mails: DataFrame) -> DataFrame:
+    """path, sender, receiver, at and email_addresses of mails (see emails): what the headers state goes before what the text reads
+    like, and the Message-ID, which looks like an address, is not searched."""
+    from ..functions.identifiers import find_email_addresses
+    from ..functions.moments import find_person_roles, find_timestamp
+
+    head = lambda h: F.nullif(F.trim(F.try_element_at("headers", F.lit(h))), F.lit(""))
+    said = lambda role: F.get(F.filter(find_person_roles(F.col("body")), lambda x: x["role"] == role), F.lit(0))["name"]
+    searched = F.concat_ws("\n", *(head(h) for h in HEADERS if h != "Message-ID"), "body")
+    return mails.select(
+        "path", F.coalesce(head("From"), said("sender")).alias("sender"), F.coalesce(head("To"), said("receiver")).alias("receiver"),
+        F.coalesce(find_timestamp(head("Date"))["at"], find_timestamp(F.col("body"))["at"]).alias("at"), find_email_addresses(searched).alias("email_addresses"),
+    )
+
+
 def table_type(header: Column) -> Column:
     """Source type by folded header names: call data before call logs (unless money is named) before bank records."""
     has = lambda marks: F.arrays_overlap(header, F.array(*map(F.lit, marks)))

@@ -16,31 +16,36 @@ BURST_SCHEMA = "key string, start timestamp, end timestamp, first_id long, third
 _STATE = "ids array<long>, times array<double>, fired boolean"
 
 
-def _bursts(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    ids, times, fired = state.get if state.exists else ([], [], False)
-    rows = sorted([*zip(times, ids, strict=True), *((t.timestamp(), i) for b in batches for t, i in zip(b["at"], b["id"], strict=True))])
-    out, keep = [], rows
-    if not fired:
-        for i in range(len(rows) - BURST_N + 1):
+def _bursts(forget_ms: int):
+    def run(key: Any, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        ids, times, fired = state.get if state.exists else ([], [], False)
+        rows = sorted([*zip(times, ids, strict=True), *((t.timestamp(), i) for b in batches for t, i in zip(b["at"], b["id"], strict=True))])
+        out, keep = [], rows[-(BURST_N - 1) :]
+        for i in range(len(rows) - BURST_N + 1 if not fired else 0):
             (t0, first), (t2, third) = rows[i], rows[i + BURST_N - 1]
             if t2 - t0 <= BURST_S:
                 out.append((key[0], pd.Timestamp(t0, unit="s"), pd.Timestamp(t2, unit="s"), first, third))
-                fired, keep = True, []
+                fired = True
                 break
-        else:
-            keep = rows[-(BURST_N - 1) :]
-    else:
-        keep = []
-    state.update(([i for _, i in keep], [t for t, _ in keep], fired))
-    if out:
-        yield pd.DataFrame(out, columns=["key", "start", "end", "first_id", "third_id"])
-
-
-def live_bursts(contacts: DataFrame, delay: str = "1 hour") -> DataFrame:
-    """The first burst of each key over a stream of (key string, id long, at timestamp). The state of a key is its last two
-    contacts and whether it has fired."""
+        state.update(([i for _, i in keep], [t for t, _ in keep], fired))
+        state.setTimeoutTimestamp(max(int(rows[-1][0] * 1000) + forget_ms, state.getCurrentWatermarkMs() + 1))
+        if out:
+            yield pd.DataFrame(out, columns=["key", "start", "end", "first_id", "third_id"])
+
+    return run
+
+
+def live_bursts(contacts: DataFrame, delay: str = "1 hour", forget_s: int = 7 * 86_400) -> DataFrame:
+    """The first burst of each key over a stream of (key string, id long, at timestamp). Contacts later than the watermark are
+    dropped. The state of a key is its last two contacts and whether it has fired; it goes once the watermark has passed the last
+    contact by `forget_s` seconds, a burst's width at least. A key that then bursts again is told again: the sink keeps alerts once
+    (see new_alerts and rules.evaluate)."""
     marked = contacts.withWatermark("at", delay)
-    return marked.groupBy("key").applyInPandasWithState(_bursts, BURST_SCHEMA, _STATE, "append", GroupStateTimeout.NoTimeout)
+    run = _bursts(max(forget_s, BURST_S) * 1000)
+    return marked.groupBy("key").applyInPandasWithState(run, BURST_SCHEMA, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def new_alerts(alerts: DataFrame, at: str = "at", delay: str = "1 hour") -> DataFrame:

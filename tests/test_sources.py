@@ -74,3 +74,38 @@ def test_live_bursts(spark, tmp_path):
     q.awaitTermination()
     got = spark.table("bursts").collect()
     assert BURST_N == 3 and [(r.key, r.first_id, r.third_id) for r in got] == [("a", 0, 2)]
+
+
+def test_unreadable_files_and_white_space(spark, tmp_path):
+    put(tmp_path, "a.txt", "\t\u2003one \x0b\n")
+    put(tmp_path, "c.txt", b"\xff\xfe bad")
+    got = files.ingest(spark, str(tmp_path))
+    assert [r.text for r in files.lines(got).collect()] == ["one"]
+    assert [r.path[-5:] for r in files.unreadable(got).collect()] == ["c.txt"]
+
+
+def test_cells_have_references(spark, tmp_path):
+    put(tmp_path, "a.csv", " Date ;Amount\n2024-01-01;5\n")
+    got = files.ingest(spark, str(tmp_path))
+    row = files.table_rows(got, keep_case=False).first()
+    assert set(row.cells) == {"date", "amount"} and row.refs == {"event_time": "row:2 column:date", "amount": "row:2 column:amount"}
+
+
+def test_headers_go_before_the_text(spark, tmp_path):
+    put(tmp_path, "m.eml", "From: a@x.io\nMessage-ID: <1@host.example.com>\nDate: Tue, 12 Mar 2024 21:15:00 +0530\n\nFrom: Asha Rao.\nTo: Ravi Kumar.\nwrite to c@y.io on 1 Jan 2020\n")
+    r = files.email_facts(files.emails(files.ingest(spark, str(tmp_path)))).first()
+    assert (r.sender, r.receiver, r.email_addresses) == ("a@x.io", "Ravi Kumar", ["a@x.io", "c@y.io"]) and r.at == dt.datetime(2024, 3, 12, 15, 45)
+
+
+def test_live_state_goes_and_late_rows_are_dropped(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1)
+    schema = "key string, id long, at timestamp"
+    days = [[("a", 1, t), ("a", 2, t)], [("b", 3, t + dt.timedelta(days=30))], [("b", 4, t + dt.timedelta(days=31))], [("a", 5, t + dt.timedelta(minutes=1)), ("b", 6, t + dt.timedelta(days=32))]]
+    q = None
+    for i, rows in enumerate(days):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        q = live.live_bursts(stream, forget_s=86_400).writeStream.format("noop").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.awaitTermination()
+    kept = spark.read.format("statestore").load(str(tmp_path / "cp")).selectExpr("key.key AS k").collect()
+    assert {r.k for r in kept} == {"b"}  # neither the old state of a nor its late third contact is there
