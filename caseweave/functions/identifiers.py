@@ -36,8 +36,18 @@ ORGANISATION = (
 FIR = r"(?i)\bFIR\s*(?:No\.?|Number)?\s*[:#-]?\s*(\d{1,6}\s*/\s*\d{2,4})"
 
 
+# What every match of a costly pattern holds; texts without it are not searched for it.
+HINTS = {
+    PHONE: r"[6-9]\d{9}", PHONE_GROUPED: r"\d[\s-]\d{3}", UPI: "@", EMAIL: "@", IFSC: "[A-Z]{4}0", ACCOUNT: r"(?i)A/C|ACCOUNT", URL: "(?i)https?://",
+    PLATE: r"[A-Za-z][\s-]?\d{4}", PLATE_BHARAT: r"(?i)BH[\s-]?\d{4}", IP: r"\d\.\d",
+    ORGANISATION: r"(?:Pvt|Private|Public|Ltd|Limited|LLP|Corp|Inc|Bank|Enterprise|Trader|Trading|Industries|Techno|Solutions|Services|Associates|Agenc|Motors"
+    r"|Logistics|Transport|Builders|Construction|Infra|Finance|Capital|Foundation|Trust|Society|Sons)",
+}
+
+
 def _all(text: Column, pattern: str, group: int = 0) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(group))
+    return F.when(text.rlike(HINTS[pattern]), found).otherwise(F.array().cast("array<string>")) if pattern in HINTS else found
 
 
 def _set(*parts: Column) -> Column:

@@ -37,23 +37,27 @@ def entry_hash(payload: Column, previous: Column) -> Column:
 
 
 def verify_chain(entries: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
-    """Per key: entries, hashed, status (empty is absent, broken, unchained or intact), first_break and reason.
+    """Per key: entries, hashed, status (empty is absent, broken, unchained or intact), first_break, reason and broken_at.
 
     entries: keys, id, at, payload, previous_hash, event_hash. Each row is recomputed by itself and compared with its
     predecessor's hash; altered content comes before a broken link, and a row without a hash starts a new stretch.
     The first hashed entry's predecessor is checked only with `strict`, so a cut-off beginning passes otherwise."""
-    w = Window.partitionBy(*keys).orderBy("at", "id")
-    rows = entries.withColumns({"_prev": F.lag("event_hash").over(w), "_n": F.row_number().over(w)})
+    from .temporal import previous
+
+    rows = previous(entries, keys, ["event_hash"])
     altered = F.col("event_hash").isNotNull() & (F.col("event_hash") != entry_hash(F.col("payload"), F.col("previous_hash")))
-    known = F.col("_prev").isNotNull() | (F.lit(strict) & (F.col("_n") == 1))
-    link = F.col("event_hash").isNotNull() & known & ~F.col("_prev").eqNullSafe(F.col("previous_hash"))
+    before = F.col("prev.event_hash")
+    known = before.isNotNull() | (F.lit(strict) & F.col("prev").isNull())
+    link = F.col("event_hash").isNotNull() & known & ~before.eqNullSafe(F.col("previous_hash"))
     rows = rows.withColumn("_bad", F.when(altered, "content_altered").when(link, "link_broken"))
     out = rows.groupBy(*keys).agg(
         F.count("*").alias("entries"), F.count("event_hash").alias("hashed"),
-        F.min(F.when(F.col("_bad").isNotNull(), F.struct("_n", "id", "_bad"))).alias("_f"),
+        F.min(F.when(F.col("_bad").isNotNull(), F.struct("at", "id", "_bad"))).alias("_f"),
     )
     status = F.when(F.col("_f").isNotNull(), "broken").when(F.col("hashed") == 0, "unchained").otherwise("intact")
-    return out.select(*keys, "entries", "hashed", status.alias("status"), F.col("_f.id").alias("first_break"), F.col("_f._bad").alias("reason"))
+    return out.select(
+        *keys, "entries", "hashed", status.alias("status"), F.col("_f.id").alias("first_break"), F.col("_f._bad").alias("reason"), F.col("_f.at").alias("broken_at")
+    )
 
 
 def append_chain(entries: DataFrame, key: str) -> DataFrame:
@@ -113,11 +117,10 @@ def ledger_matches(ledger: DataFrame, identities: DataFrame, key: str) -> DataFr
 def ledger_verify(entries: DataFrame, keys: list[str]) -> DataFrame:
     """Per key the entries verified before the first failure; the first entry must have no predecessor."""
     found = verify_chain(entries, keys, strict=True)
-    w = Window.partitionBy(*keys).orderBy("at", "id")
-    place = entries.withColumn("_p", F.row_number().over(w)).select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("id").alias("_id"), "_p")
-    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("first_break") == F.col("_id")]
-    verified = F.when(F.col("first_break").isNull(), F.col("entries")).otherwise(F.col("_p") - 1)
-    return found.join(place, on, "left").select(*keys, "entries", verified.cast("long").alias("verified"), "status")
+    at = found.select(*(F.col(k).alias(f"_{k}") for k in keys), "broken_at", "first_break", "entries", "status")
+    j = entries.join(at, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    before = F.col("first_break").isNull() | (F.struct(F.col("at").alias("a"), F.col("id").alias("i")) < F.struct(F.col("broken_at").alias("a"), F.col("first_break").alias("i")))
+    return j.groupBy(*keys, "entries", "status").agg(F.count_if(before).alias("verified")).select(*keys, "entries", "verified", "status")
 
 
 def merkle_roots(leaves: DataFrame, keys: list[str], levels: int = 40) -> DataFrame:
@@ -170,6 +173,17 @@ def inclusion_proofs(leaves: DataFrame, keys: list[str], wanted: DataFrame) -> D
     return out.select(*keys, "hash", "place", "set_size", "root", (F.col("place").isNotNull() & (F.col("_now") == F.col("root"))).alias("verified"))
 
 
+def placed(rows: DataFrame, keys: list[str], order: str, width: int = 1_000) -> DataFrame:
+    """rows with `place`, from 0 in each key by the whole number `order`, numbered in spans of `width` with counts handed on, so that
+    no task orders a whole key."""
+    spans = rows.withColumn("_s", F.floor(F.col(order) / width))
+    n = spans.groupBy(*keys, "_s").agg(F.count("*").alias("n"))
+    ahead = n.select(*(F.col(k).alias(f"_{k}") for k in keys), F.col("_s").alias("_t"), (F.sum("n").over(Window.partitionBy(*keys).orderBy("_s")) - F.col("n")).alias("_ahead"))
+    inner = spans.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(order)) - 1)
+    out = inner.join(ahead, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_s") == F.col("_t")])
+    return out.select(*rows.columns, (F.col("_ahead") + F.col("_i")).alias("place"))
+
+
 def snapshot_hash(rows: DataFrame, keys: list[str], order: list[str], digest: Column) -> DataFrame:
     """Per key a hash over all its rows in order, by levels (a Merkle root), so that no task holds a key's rows. Places come from
     counts by hash prefix, not from a sort of the whole key."""

@@ -47,6 +47,21 @@ def in_buckets(df: DataFrame, width: int, at: str = "at") -> DataFrame:
     return df.withColumn("_b", F.explode(places)).select("*", "_b.bucket", "_b.own").drop("_b")
 
 
+def previous(df: DataFrame, keys: list[str], columns: list[str], width: int = 30 * 86_400) -> DataFrame:
+    """df with `prev`: a struct of `columns` of the row before in its key, by (at, id); null for the first. Rows without a time come
+    first. A key is worked through in spans of `width` seconds, each handing its last row on, so that a busy key spreads over tasks."""
+    span = F.coalesce(F.floor(seconds(F.col("at")) / width), F.lit(-(1 << 40)))
+    rows = df.withColumn("_span", span)
+    own = F.struct(*columns)
+    last = rows.groupBy(*keys, "_span").agg(F.max(F.struct("at", "id", own.alias("row"))).alias("l"))
+    before = F.lag(F.col("l.row")).over(Window.partitionBy(*keys).orderBy("_span"))
+    handed = last.select(*(F.col(k).alias(f"_h_{k}") for k in keys), F.col("_span").alias("_h"), before.alias("_handed"))
+    within = rows.withColumns({"prev": F.lag(own).over(Window.partitionBy(*keys, "_span").orderBy("at", "id")), "_first": F.row_number().over(Window.partitionBy(*keys, "_span").orderBy("at", "id")) == 1})
+    on = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys] + [F.col("_span") == F.col("_h")]
+    out = within.join(handed, on).withColumn("prev", F.when(F.col("_first"), F.col("_handed")).otherwise(F.col("prev")))
+    return out.select(*df.columns, "prev")
+
+
 def bursts(df: DataFrame, keys: list[str], id_col: str = "id", at: str = "at", width: int = BURST_S) -> DataFrame:
     """Per key the first contact that ends three within `width` seconds (inclusive): keys, contacts (3), start, end,
     minutes, first_id, second_id, third_id. Ties of time go by id."""
@@ -131,7 +146,7 @@ def relays(df: DataFrame, width: int = RELAY_S) -> DataFrame:
 def silences(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys (with case_id first) whose last contact lies four usual gaps or more before the case's last: keys, contacts,
     last_at, usual_s, silent_s. The usual gap is the upper median of the gaps between consecutive contacts."""
-    gaps = df.withColumn("gap", elapsed(F.lag("at").over(Window.partitionBy(*keys).orderBy("at", "id")), F.col("at")))
+    gaps = previous(df, keys, ["at"]).withColumn("gap", elapsed(F.col("prev.at"), F.col("at")))
     ranked = gaps.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last("gap"), "at", "id")))
     counted = df.groupBy(*keys).agg(F.count("*").alias("contacts"), F.max("at").alias("last_at")).where(F.col("contacts") >= SILENCE_N)
     case_last = df.groupBy(F.col(keys[0]).alias("_c")).agg(F.max("at").alias("case_last"))
@@ -161,9 +176,7 @@ def rapid_sequence(df: DataFrame, keys: list[str], width: int = RAPID_S) -> Data
 
 def gap_steps(df: DataFrame, keys: list[str], width: int = GAP_S) -> DataFrame:
     """Timed steps with a gap row before each that comes `width` seconds or more after its predecessor."""
-    w = Window.partitionBy(*keys).orderBy("at", "id")
-    gap = elapsed(F.lag("at").over(w), F.col("at"))
-    steps = df.withColumn("gap_s", gap)
+    steps = previous(df, keys, ["at"]).withColumn("gap_s", elapsed(F.col("prev.at"), F.col("at")))
     rows = F.array_compact(
         F.array(
             F.when(F.col("gap_s") >= width, F.struct(F.lit("gap").alias("kind"), F.col("gap_s").alias("s"))),

@@ -333,7 +333,20 @@ def bridge_edges(spark, sf):
     return graph.bridge_edges(graph.build_edges(s.relations(spark, sf)), shared_checkpoint(spark)).select("case_id", "u", "v", "weight", "n_evidence")
 
 
-@query("shortest_path")
+_PATHS = ", ".join(
+    f"f{i + 1} AS (SELECT case_id, node, min(b) AS b FROM (SELECT * FROM f{i} UNION ALL SELECT b.case_id, b.other, {{'d': f.b.d + b.distance, 'path': list_append(f.b.path, b.other), 'w': least(f.b.w, b.weight)}} FROM f{i} f JOIN b ON f.case_id = b.case_id AND f.node = b.node WHERE NOT list_contains(f.b.path, b.other)) GROUP BY 1, 2)"
+    for i in range(10)
+)
+
+
+@query("shortest_path", f"""
+WITH {EDGES_SQL}, x AS (SELECT *, 1 / greatest(weight, 0.01) AS distance FROM edges), b AS (SELECT case_id, u AS node, v AS other, distance, weight FROM x UNION ALL SELECT case_id, v, u, distance, weight FROM x),
+f0 AS (SELECT DISTINCT case_id, node, {{'d': 0.0::DOUBLE, 'path': [node], 'w': 1.0::DOUBLE}} AS b FROM b WHERE node = 'S1'), {_PATHS},
+n AS (SELECT case_id, count(DISTINCT node) AS n FROM b WHERE node IN ('S1', 'S2') GROUP BY 1), e AS (SELECT case_id, b FROM f10 WHERE node = 'S2')
+SELECT c.case_id, e.b IS NOT NULL AS found, array_to_string(e.b.path, '>') AS path, round(e.b.d, 6) AS distance, e.b.w AS weakest,
+  CASE WHEN coalesce(n, 0) < 2 THEN 'an end has no relations here' WHEN e.b IS NULL THEN 'no chain of relations joins them' END AS reason
+FROM (SELECT DISTINCT case_id FROM edges) c LEFT JOIN n USING (case_id) LEFT JOIN e USING (case_id)
+""")
 def shortest_path(spark, sf):
     from ..operators.lineage import shared_checkpoint
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import canonical
-from ..operators import graph, ocr, reads, resolve, rollups
+from ..operators import graph, integrity, ocr, reads, resolve, rollups
 from ..operators.lineage import shared_checkpoint
 from . import standins as s
 from .case_queries import LABELS_SQL, _EDGE_ENDS
@@ -214,14 +214,10 @@ SELECT source AS case_id, row_number() OVER (PARTITION BY source ORDER BY doc_id
 FROM documents LEFT JOIN labels USING (doc_id)
 """)
 def court_annexure(spark, sf):
-    """The register of evidence: what exists, what it hashes to, how far it was handled; no reading of it. Places are numbered by
-    counts of id ranges, so no task orders a whole case."""
+    """The register of evidence: what exists, what it hashes to, how far it was handled; no reading of it."""
     d = s.read(spark, sf, "documents").select("doc_id", F.col("source").alias("case_id"), F.sha2("text", 256).alias("sha256"), "n_chars").join(s.read(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
-    d = d.withColumn("_part", F.floor(F.col("doc_id") / 1_000))
-    n = d.groupBy("case_id", "_part").agg(F.count("*").alias("n"))
-    ahead = n.selectExpr("case_id AS _c", "_part AS _p", "sum(n) OVER (PARTITION BY case_id ORDER BY _part) - n AS ahead")
-    rows = d.selectExpr("*", "row_number() OVER (PARTITION BY case_id, _part ORDER BY doc_id) AS _i").join(ahead, (F.col("case_id") == F.col("_c")) & (F.col("_part") == F.col("_p")))
-    return rows.select("case_id", (F.col("ahead") + F.col("_i")).cast("int").alias("place"), F.col("doc_id").alias("evidence_id"), "sha256", "n_chars", F.when(F.col("quality").isNull(), "received").otherwise("processed").alias("state"))
+    rows = integrity.placed(d, ["case_id"], "doc_id")
+    return rows.select("case_id", (F.col("place") + 1).cast("int").alias("place"), F.col("doc_id").alias("evidence_id"), "sha256", "n_chars", F.when(F.col("quality").isNull(), "received").otherwise("processed").alias("state"))
 
 
 @query("handover", f"""

@@ -87,7 +87,7 @@ def rule_relay_contact(spark, sf):
 
 def _leaves(spark, sf):
     d = s.read(spark, sf, "documents").select("source", F.sha2("text", 256).alias("hash"), "doc_id")
-    return d.selectExpr("source", "row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place", "hash")
+    return integrity.placed(d, ["source"], "doc_id").select("source", "place", "hash")
 
 
 MERKLE = "SELECT source, p, CASE WHEN r IS NULL THEN l ELSE sha256(l || r) END AS h FROM (SELECT source, p // 2 AS p, max(h) FILTER (p % 2 = 0) AS l, max(h) FILTER (p % 2 = 1) AS r FROM {of} GROUP BY 1, 2)"
