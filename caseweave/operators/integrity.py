@@ -32,20 +32,25 @@ def canonical_json(fields: dict[str, Column]) -> Column:
 
 
 def entry_hash(payload: Column, previous: Column) -> Column:
-    """SHA-256 of the entry's canonical JSON: its payload's digest and the hash before it."""
+    """The plain format: SHA-256 of payload, bar and the hash before it."""
+    return F.sha2(F.concat(payload, F.lit("|"), F.coalesce(previous, F.lit(""))), 256)
+
+
+def chain_hash(payload: Column, previous: Column) -> Column:
+    """The format that append_chain seals by: SHA-256 of the entry's canonical JSON, its payload and the hash before it."""
     return F.sha2(canonical_json({"payload": payload, "previous_hash": previous}), 256)
 
 
-def verify_chain(entries: DataFrame, keys: list[str], strict: bool = False) -> DataFrame:
+def verify_chain(entries: DataFrame, keys: list[str], strict: bool = False, hashing=entry_hash) -> DataFrame:
     """Per key: entries, hashed, status (empty is absent, broken, unchained or intact), first_break, reason and broken_at.
 
-    entries: keys, id, at, payload, previous_hash, event_hash. Each row is recomputed by itself and compared with its
+    entries: keys, id, at, payload, previous_hash, event_hash, sealed by `hashing`. Each row is recomputed by itself and compared with its
     predecessor's hash; altered content comes before a broken link, and a row without a hash starts a new stretch.
     The first hashed entry's predecessor is checked only with `strict`, so a cut-off beginning passes otherwise."""
     from .temporal import previous
 
     rows = previous(entries, keys, ["event_hash"])
-    altered = F.col("event_hash").isNotNull() & (F.col("event_hash") != entry_hash(F.col("payload"), F.col("previous_hash")))
+    altered = F.col("event_hash").isNotNull() & (F.col("event_hash") != hashing(F.col("payload"), F.col("previous_hash")))
     before = F.col("prev.event_hash")
     known = before.isNotNull() | (F.lit(strict) & F.col("prev").isNull())
     link = F.col("event_hash").isNotNull() & known & ~before.eqNullSafe(F.col("previous_hash"))
@@ -114,9 +119,9 @@ def ledger_matches(ledger: DataFrame, identities: DataFrame, key: str) -> DataFr
     )
 
 
-def ledger_verify(entries: DataFrame, keys: list[str]) -> DataFrame:
+def ledger_verify(entries: DataFrame, keys: list[str], hashing=entry_hash) -> DataFrame:
     """Per key the entries verified before the first failure; the first entry must have no predecessor."""
-    found = verify_chain(entries, keys, strict=True)
+    found = verify_chain(entries, keys, strict=True, hashing=hashing)
     at = found.select(*(F.col(k).alias(f"_{k}") for k in keys), "broken_at", "first_break", "entries", "status")
     j = entries.join(at, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
     before = F.col("first_break").isNull() | (F.struct(F.col("at").alias("a"), F.col("id").alias("i")) < F.struct(F.col("broken_at").alias("a"), F.col("first_break").alias("i")))

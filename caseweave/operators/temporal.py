@@ -49,8 +49,9 @@ def in_buckets(df: DataFrame, width: int, at: str = "at") -> DataFrame:
 
 def previous(df: DataFrame, keys: list[str], columns: list[str], width: int = 30 * 86_400) -> DataFrame:
     """df with `prev`: a struct of `columns` of the row before in its key, by (at, id); null for the first. Rows without a time come
-    first. A key is worked through in spans of `width` seconds, each handing its last row on, so that a busy key spreads over tasks."""
-    span = F.coalesce(F.floor(seconds(F.col("at")) / width), F.lit(-(1 << 40)))
+    first. A key is worked through in spans of `width` seconds (of units, where `at` is a number), each handing its last row on, so that a busy key spreads over tasks."""
+    timed = df.schema["at"].dataType.typeName().startswith("timestamp")
+    span = F.coalesce(F.floor((seconds(F.col("at")) if timed else F.col("at").cast("double")) / width), F.lit(-(1 << 40)))
     rows = df.withColumn("_span", span)
     own = F.struct(*columns)
     last = rows.groupBy(*keys, "_span").agg(F.max(F.struct("at", "id", own.alias("row"))).alias("l"))

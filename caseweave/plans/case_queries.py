@@ -289,14 +289,14 @@ SELECT o_custkey, count(*) AS entries, count(h) AS hashed, CASE WHEN count(bad)
   arg_min(id, n) FILTER (bad IS NOT NULL) AS first_break, arg_min(bad, n) FILTER (bad IS NOT NULL) AS reason FROM b GROUP BY 1
 """)
 def chain_verify(spark, sf):
-    return integrity.verify_chain(_tampered(spark, sf), ["o_custkey"]).drop("broken_at")
+    return integrity.verify_chain(_tampered(spark, sf), ["o_custkey"], hashing=integrity.chain_hash).drop("broken_at")
 
 
 @query("ledger_verify", TAMPERED_SQL.replace("STRICT", "true") + """
 SELECT o_custkey, count(*) AS entries, coalesce(min(n) FILTER (bad IS NOT NULL) - 1, count(*)) AS verified, CASE WHEN count(bad) > 0 THEN 'broken' WHEN count(h) = 0 THEN 'unchained' ELSE 'intact' END AS status FROM b GROUP BY 1
 """)
 def ledger_verify(spark, sf):
-    return integrity.ledger_verify(_tampered(spark, sf), ["o_custkey"])
+    return integrity.ledger_verify(_tampered(spark, sf), ["o_custkey"], integrity.chain_hash)
 
 
 LEDGER_KEY = "shared secret"
