@@ -188,7 +188,8 @@ def format_chats(
 
     Rows of a conversation are ordered by turn, null turns last, ties by role and text; repeated rows are turns
     of their own. A role that is null or unknown is relabelled. A null text renders as an empty one. Rows with
-    a null conversation form one conversation. Among repairs of equal cost a draw keyed by the turns decides.
+    a null conversation form one conversation. Among repairs of equal cost a draw keyed by the turns decides: draws are below 2^-24
+    of a unit of cost each and add up, so in a conversation of over 16 million turns the cheapest repair may be missed by a unit.
     An empty table gives no rows; other columns are ignored. One row gathers 16 numbers for every `longest`
     turns of a conversation; no row or task holds a long conversation's turns.
     """
