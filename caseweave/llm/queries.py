@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, codes, decontaminate, factorization, licenses, mixing, pii, quality, sharding, warc
+from . import alignment, chat, codes, decontaminate, factorization, licenses, mixing, pii, quality, sharding, warc
 from .simhash import op1_simhash_near_dedup
 
 
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op8_quality_classifier": factorization.op8_quality_classifier,
         "op9_warc": warc.op9_warc,
         "op10_quality_rules": quality.op10_quality_rules,
+        "op11_token_alignment": alignment.op11_token_alignment,
         "op13_vector_codes": codes.op13_vector_codes,
     }
 
