@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import alignment, chat, codes, decontaminate, factorization, licenses, mixing, pii, quality, sharding, warc
+from . import alignment, chat, codes, decontaminate, epsilon, factorization, licenses, mixing, pii, quality, sharding, warc
 from .simhash import op1_simhash_near_dedup
 
 
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op9_warc": warc.op9_warc,
         "op10_quality_rules": quality.op10_quality_rules,
         "op11_token_alignment": alignment.op11_token_alignment,
+        "op12_embedding_near_dedup": epsilon.op12_embedding_near_dedup,
         "op13_vector_codes": codes.op13_vector_codes,
     }
 
@@ -30,5 +31,6 @@ def oracle_sql() -> dict:
         "op7_decontamination": decontaminate.SQL,
         "op9_warc": warc.SQL,
         "op10_quality_rules": quality.SQL,
+        "op12_embedding_near_dedup": epsilon.SQL,
         "op13_vector_codes": codes.SQL,
     }
