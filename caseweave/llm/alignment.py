@@ -6,7 +6,7 @@ offsets where tokens of both sides end cut the text into groups; the products of
 links. Both products have runs of consecutive columns in each row, so a row is stored as its first and last column: a group
 of many tokens costs its tokens and not its pairs.
 
-The corpus-wide count of an id pair takes three steps. Tasks tokenize once and write, for each chunk of a few megabytes of
+The corpus-wide count of an id pair takes three steps. Tasks tokenize once and write, for each chunk of about a megabyte of
 text, its documents with their links as places in the chunk's list of distinct pairs, and that list with its document counts.
 The lists are summed by pair. The sums go back to the chunks that asked, so a task holds one chunk's pairs and never the
 corpus's.
@@ -21,14 +21,15 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import discard, materialize, table
 
-CHUNK = 4 << 20  # bytes of text
-BLOCK = 1 << 20  # products of a block of rows
+CHUNK = 1 << 20  # bytes of text
+BLOCK = 1 << 18  # products of a block of rows
 PATHS = ("/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model")
 #: How a byte-level tokenizer of this kind cuts a text before merging (fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -97,6 +98,7 @@ def group_rows(a_group: np.ndarray, b_group: np.ndarray, n: int) -> tuple[np.nda
 
 # --- tokenizers
 
+NONE = np.zeros(0, np.uint32)
 
 class Vocabulary:
     """Both tokenizers, built from the bytes of their files, and the bytes of their entries."""
@@ -123,15 +125,15 @@ class Vocabulary:
         self.bytes_b = [bytes([int(piece(i)[3:5], 16)]) if self._b.is_byte(i) else piece(i).replace("▁", " ").encode() for i in range(self._b.get_piece_size())]
         self.len_a, self.len_b = (np.array([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
 
-    def tokens(self, text: str | None) -> tuple[list[int], list[int]]:
+    def tokens(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of both sides; none if the text is null or empty, or either side's bytes aren't those of space and text."""
         if not text:
-            return [], []
+            return NONE, NONE
         whole = f" {text}"
-        a, b, raw = self._a.encode_ordinary(whole), self._b.encode(text), whole.encode()
-        if b"".join([self.bytes_b[i] for i in b]) != raw or b"".join([self.bytes_a[i] for i in a]) != raw:
-            return [], []
-        return a, b
+        a, b, raw = self._a.encode_to_numpy(whole, disallowed_special=()), self._b.encode(text), whole.encode()
+        if b"".join(map(self.bytes_b.__getitem__, b)) != raw or b"".join(map(self.bytes_a.__getitem__, a.tolist())) != raw:
+            return NONE, NONE
+        return a, np.array(b, np.uint32)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -169,25 +171,21 @@ class Chunk:
 
 def chunk_of(texts: list[str | None], v: Vocabulary) -> Chunk:
     pairs = [v.tokens(t) for t in texts]
-    flat = lambda s: np.fromiter((i for p in pairs for i in p[s]), np.int64, sum(len(p[s]) for p in pairs))
-    a, b = flat(0), flat(1)
+    a, b = (np.concatenate([p[s] for p in pairs]).astype(np.int64) for s in (0, 1))
     a_of, b_of = (np.r_[0, np.cumsum([len(p[s]) for p in pairs])].astype(np.int64) for s in (0, 1))
     a_ends, b_ends = np.cumsum(v.len_a[a]), np.cumsum(v.len_b[b])
     ga, gb, n = groups_of(a_ends, b_ends)
     return Chunk(a, b, a_of, b_of, ga, gb, n, product(incidence(a_ends), transposed(incidence(b_ends))))
 
 
-def _chunks(texts: list[str | None], v: Vocabulary):
+def _chunks(texts: pa.Array, v: Vocabulary):
     """(from, to, chunk) over texts of about CHUNK bytes, one text at least."""
-    at, held = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t or "")
-        if held and held + n > CHUNK:
-            yield at, i, chunk_of(texts[at:i], v)
-            at, held = i, 0
-        held += n
-    if at < len(texts):
-        yield at, len(texts), chunk_of(texts[at:], v)
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy()
+    upto, at = np.r_[0, np.cumsum(sizes, dtype=np.int64)], 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + CHUNK, side="right")) - 1)
+        yield at, to, chunk_of(texts.slice(at, to - at).to_pylist(), v)
+        at = to
 
 
 def _decimals(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -227,8 +225,7 @@ def _first_pass(shipped):
         v, seq, task = Vocabulary(*shipped.value), 0, TaskContext.get().partitionId()
         digits = _decimals(max(len(v.bytes_a), len(v.bytes_b)))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for lo, hi, c in _chunks(texts, v):
+            for lo, hi, c in _chunks(batch.column(1), v):
                 n = hi - lo
                 chunk = (task << 32) | seq
                 seq += 1
