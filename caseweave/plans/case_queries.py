@@ -693,15 +693,6 @@ def case_snapshot(spark, sf):
     return out.select("case_id", "case_number", F.col("incident_start").isNotNull().alias("window_declared"), zero("transactions"), zero("alerts"), zero("entities"), "first_at", "last_at")
 
 
-@query("detect_text_type", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'chat_export' WHEN 1 THEN 'email' ELSE 'document' END AS kind FROM documents")
-def detect_text_type(spark, sf):
-    """Chats of three lines, mails, one chat line in a text, and plain texts."""
-    n = F.col("doc_id") % 4
-    line = "12/03/2024, 21:16 - Asha: hello\n"
-    text = F.when(n == 0, line * 3).when(n == 1, F.concat(F.lit("x\nsubject: hello\n"), "text")).when(n == 2, F.concat(F.lit(line), "text")).otherwise(F.col("text"))
-    return s.read(spark, sf, "documents").select("doc_id", files.text_type(text).alias("kind"))
-
-
 @query("detect_type", """
 SELECT o_orderkey, CASE o_orderkey % 8 WHEN 0 THEN 'screenshot' WHEN 1 THEN 'pdf' WHEN 2 THEN 'email' WHEN 3 THEN 'cdr' WHEN 4 THEN 'bank_record' WHEN 5 THEN 'fir' WHEN 6 THEN 'email' ELSE 'unknown' END AS source_type,
   CASE o_orderkey % 8 WHEN 0 THEN 'content+category' WHEN 3 THEN 'content+headers' WHEN 4 THEN 'content+headers' WHEN 5 THEN 'category' WHEN 7 THEN 'fallback' ELSE 'content' END AS basis,
@@ -714,7 +705,7 @@ def detect_type(spark, sf):
     names = lambda *xs: F.array(*map(F.lit, xs))
     extension = pick("png", "pdf", "eml", "csv", "csv", "txt", "txt", "bin")
     category = pick("whatsapp_screenshot", "email", None, "other", "bank_statement", "complaint_fir", None, None)
-    header = F.when(n == 3, names("aparty", "amount")).otherwise(names("date"))
+    header = F.when(n == 3, names("a_number", "amount")).otherwise(names("date"))
     o = s.read(spark, sf, "orders").select("o_orderkey", files.detect_type(extension, category, header, F.lit("From: a\nbody")).alias("x"), files.parser_of(extension).alias("parser"))
     return o.select("o_orderkey", "x.source_type", "x.basis", "parser")
 

@@ -6,38 +6,23 @@ row while it is parsed, and the size limit of ingest keeps that row small.
 
 from __future__ import annotations
 
-import csv
-import email
-import email.policy
 import io
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import units
+from . import vocabulary as v
+
 MOST_BYTES = 10 * 1024 * 1024
-# Column aliases by canonical field, and header markers by source type.
-ALIASES = {
-    "event_time": ["date", "event_time", "timestamp", "call_date", "datetime", "time"],
-    "sender": ["a_party", "sender", "from", "caller", "payer", "calling_number"],
-    "receiver": ["b_party", "receiver", "to", "callee", "payee", "beneficiary", "called_number"],
-    "amount": ["amount", "value", "debit", "credit"],
-    "reference": ["reference", "reference_id", "utr", "transaction_id"],
-    "device": ["imei", "device", "device_id"],
-    "duration": ["duration_seconds", "duration"],
-    "narration": ["narration", "note", "description"],
-}
-CDR_MARKERS = ("aparty", "bparty", "callingnumber", "callednumber", "cellid", "imei")
-CALL_MARKERS = ("calltype", "duration", "durationseconds", "direction")
-BANK_MARKERS = ("narration", "debit", "credit", "balance", "beneficiary", "utr", "ifsc")
-MONEY_MARKERS = ("amount", "debit", "credit", "balance")
-CHAT_LINE = r"^\[?(\d{1,2}/\d{1,2}/\d{2,4}),?\s+(\d{1,2}:\d{2}(?::\d{2})?(?:\s?[AaPp]\.?[Mm]\.?)?)\]?\s*[-–]?\s*(?:([^:]{1,80}):\s)?(.*)$"
 
 
 def ingest(spark: SparkSession, path: str, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Files under `path`: path, name, extension, length, sha256, mime and content; oversized ones have status rejected and
-    no content. Equal contents are kept: `duplicate_of` names the first path with the same hash."""
+    no content; Spark passes over empty ones. Equal contents are kept: `duplicate_of` names the first path with the same hash."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     fits = F.col("length") <= most_bytes
     out = raw.select(
@@ -80,93 +65,67 @@ def paragraphs(files: DataFrame, least: int = 3) -> DataFrame:
     return lines(files).where(F.length("text") >= least)
 
 
-def chat_messages(files: DataFrame) -> DataFrame:
-    """Messages of chat exports: path, line, stamp, sender (null for notices), body, media. A line that opens no message
-    continues the one before it."""
-    rows = lines(files).withColumn("opens", F.col("text").rlike(CHAT_LINE))
-    island = F.sum(F.col("opens").cast("int")).over(Window.partitionBy("path").orderBy("line"))
-    rows = rows.withColumn("island", island).where("island > 0")
-    part = lambda g: F.nullif(F.regexp_extract("text", CHAT_LINE, g), F.lit(""))
-    rows = rows.withColumns({
-        "stamp": F.when(F.col("opens"), F.concat_ws(" ", part(1), part(2))), "sender": F.when(F.col("opens"), part(3)),
-        "body": F.when(F.col("opens"), F.regexp_extract("text", CHAT_LINE, 4)).otherwise(F.col("text")),
-    })
-    out = rows.groupBy("path", "island").agg(
-        F.min("line").alias("line"), F.max("stamp").alias("stamp"), F.max("sender").alias("sender"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "body"))), lambda x: x["body"]), "\n").alias("body"),
-    )
-    return out.withColumn("media", F.col("body").contains("<Media omitted>")).drop("island")
-
-
-def fold_header(name: str) -> str:
-    return "".join(c for c in name.lower() if c.isascii() and c.isalnum())
+def _each(files: DataFrame, read, schema: str, columns: list[str]) -> DataFrame:
+    """read(content) for each file, its rows behind the path; a file that fails gives a row with its error."""
 
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for path, content in zip(pdf.path, pdf.content, strict=True):
+                try:
+                    out += [(path, *r, None) for r in read(bytes(content))]
+                except Exception as e:  # a bad file is a row and not the job's end
+                    out.append((path, *(None for _ in columns), f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(out, columns=["path", *columns, "error"])
 
-def map_columns(header: list[str], aliases: dict[str, list[str]] = ALIASES) -> dict[str, str]:
-    """Canonical field -> header cell: the first alias that occurs, compared without case and punctuation; the first column
-    of equal names. No partial matches."""
-    folded: dict[str, str] = {}
-    for cell in header:
-        folded.setdefault(fold_header(cell), cell)
-    return {f: folded[fold_header(a)] for f, names in aliases.items() for a in [next((n for n in names if fold_header(n) in folded), None)] if a}
+    return files.select("path", "content").where("content IS NOT NULL").mapInPandas(parse, f"path string, {schema}, error string")
 
 
-def _table(text: str) -> tuple[list[str], list[list[str]]]:
-    try:
-        dialect = csv.Sniffer().sniff(text[:4096], ",;\t|")
-    except csv.Error:
-        dialect = csv.excel
-    rows = [r for r in csv.reader(io.StringIO(text), dialect) if r]
-    return (rows[0], rows[1:]) if rows else ([], [])
+def chat_messages(files: DataFrame) -> DataFrame:
+    """Messages of chat exports: path, line, stamp, sender (null for notices), body, media, error. A line that opens no message
+    continues the one before it. Files over many tasks: see splits."""
 
+    def read(content: bytes):
+        for x in units.chat_units(units.lines_of(io.BytesIO(content))):
+            yield x["line"], x["fields"]["event_time"], x["fields"].get("sender"), x["text"], bool(re.search(v.MEDIA_OMITTED, x["text"]))
 
-def table_rows(files: DataFrame, keep_case: bool = True) -> DataFrame:
-    """Rows of delimited files: path, row (from 2, the header being 1), cells (map of header to value), fields (map of
-    canonical field to value), refs (map of canonical field to its cell, `row:N column:header`), error (why a file gives no rows).
-    Without `keep_case` headers are trimmed and in lower case."""
+    return _each(files, read, "line int, stamp string, sender string, body string, media boolean", ["line", "stamp", "sender", "body", "media"])
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for path, content in zip(pdf.path, pdf.content, strict=True):
-                try:
-                    header, rows = _table(bytes(content).decode("utf-8-sig"))
-                    if len(header) < 2:
-                        raise ValueError("fewer than two columns")
-                    header = header if keep_case else [h.strip().lower() for h in header]
-                    fields = map_columns(header)
-                    for i, row in enumerate(rows):
-                        cells = dict(zip(header, row, strict=False))
-                        found = {f: c for f, c in fields.items() if cells.get(c)}
-                        refs = {f: f"row:{i + 2} column:{c}" for f, c in found.items()}
-                        out.append((path, i + 2, cells, {f: cells[c] for f, c in found.items()}, refs, None))
-                except (UnicodeDecodeError, ValueError, csv.Error) as e:
-                    out.append((path, None, None, None, None, str(e)))
-            yield pd.DataFrame(out, columns=["path", "row", "cells", "fields", "refs", "error"])
 
-    schema = "path string, row int, cells map<string,string>, fields map<string,string>, refs map<string,string>, error string"
-    return files.select("path", "content").where("content IS NOT NULL").mapInPandas(parse, schema)
+map_columns = v.map_columns
 
 
-HEADERS = ("From", "To", "Cc", "Bcc", "Date", "Subject", "Message-ID", "Reply-To")
+def table_rows(files: DataFrame, keep_case: bool = True, source_type: str = "csv") -> DataFrame:
+    """Rows of delimited files: path, row (from 2, the header being 1), cells (map of header to value), fields (map of
+    canonical field to value), refs (map of canonical field to its cell, `row:N column:header`), error (why a file gives no rows).
+    Without `keep_case` headers are trimmed and in lower case. Files over many tasks: see splits."""
+
+    def read(content: bytes):
+        rows = list(units.csv_rows(io.BytesIO(content)))
+        header = next((r for r in rows if r), [])
+        if len(header) < 2:
+            raise ValueError("fewer than two columns")
+        named = header if keep_case else [h.strip().lower() for h in header]
+        fields = map_columns(named, source_type)
+        number = 1
+        for row in rows[rows.index(header) + 1 :]:
+            number += bool(row)
+            cells = dict(zip(named, row, strict=False))
+            found = {f: c for f, c in fields.items() if cells.get(c)}
+            if row:
+                yield number, cells, {f: cells[c] for f, c in found.items()}, {f: f"row:{number} column:{c}" for f, c in found.items()}
+
+    schema = "row int, cells map<string,string>, fields map<string,string>, refs map<string,string>"
+    return _each(files, read, schema, ["row", "cells", "fields", "refs"])
 
 
 def emails(files: DataFrame) -> DataFrame:
-    """path, headers (map), body (text/plain parts) and attachments (names, not read) of RFC 822 messages."""
+    """path, headers (map), body (text/plain parts), attachments (names, not read) and error of RFC 822 messages."""
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for path, content in zip(pdf.path, pdf.content, strict=True):
-                m = email.message_from_bytes(bytes(content), policy=email.policy.default)
-                parts = [p for p in m.walk() if not p.is_multipart()]
-                body = "\n".join(p.get_content() for p in parts if p.get_content_type() == "text/plain" and not p.get_filename())
-                out.append((path, {h: str(m[h]) for h in HEADERS if m[h]}, body, [p.get_filename() for p in parts if p.get_filename()]))
-            yield pd.DataFrame(out, columns=["path", "headers", "body", "attachments"])
-
-    return files.select("path", "content").where("content IS NOT NULL").mapInPandas(
-        parse, "path string, headers map<string,string>, body string, attachments array<string>"
-    )
+    def read(content: bytes):
+        yield units.mail(content)
+
+    return _each(files, read, "headers map<string,string>, body string, attachments array<string>", ["headers", "body", "attachments"])
 
 
 def email_facts(mails: DataFrame) -> DataFrame:
@@ -177,7 +136,7 @@ def email_facts(mails: DataFrame) -> DataFrame:
 
     head = lambda h: F.nullif(F.trim(F.try_element_at("headers", F.lit(h))), F.lit(""))
     said = lambda role: F.get(F.filter(find_person_roles(F.col("body")), lambda x: x["role"] == role), F.lit(0))["name"]
-    searched = F.concat_ws("\n", *(head(h) for h in HEADERS if h != "Message-ID"), "body")
+    searched = F.concat_ws("\n", *(head(h) for h in v.MAIL_HEADERS if h != "Message-ID"), "body")
     return mails.select(
         "path", F.coalesce(head("From"), said("sender")).alias("sender"), F.coalesce(head("To"), said("receiver")).alias("receiver"),
         F.coalesce(find_timestamp(head("Date"))["at"], find_timestamp(F.col("body"))["at"]).alias("at"), find_email_addresses(searched).alias("email_addresses"),
@@ -185,45 +144,37 @@ def email_facts(mails: DataFrame) -> DataFrame:
 
 
 def table_type(header: Column) -> Column:
-    """Source type by folded header names: call data before call logs (unless money is named) before bank records."""
+    """Source type by header names, trimmed and in lower case: call data before call logs (unless money is named) before bank
+    records."""
     has = lambda marks: F.arrays_overlap(header, F.array(*map(F.lit, marks)))
-    return F.when(has(CDR_MARKERS), "cdr").when(has(CALL_MARKERS) & ~has(MONEY_MARKERS), "call_log").when(has(BANK_MARKERS), "bank_record").otherwise("csv")
+    call = has(v.CALL_MARKERS) & ~has(v.MONEY_MARKERS)
+    return F.when(has(v.CDR_MARKERS), "cdr").when(call, "call_log").when(has(v.BANK_MARKERS), "bank_record").otherwise("csv")
 
 
 def text_type(text: Column) -> Column:
     """chat_export, email or document by the first 8192 characters: a quarter of the first 40 lines (two at least) open chat
     messages; or one of the first 20 starts with a mail header."""
-    head = F.slice(F.filter(F.split(F.substring(text, 1, 8192), "\n"), lambda x: F.trim(x) != ""), 1, 40)
-    chats = F.size(F.filter(head, lambda x: x.rlike(CHAT_LINE)))
-    mails = F.exists(F.slice(head, 1, 20), lambda x: F.lower(F.trim(x)).rlike("^(from|to|subject|message-id):"))
+    bare = F.transform(F.split(F.substring(text, 1, 8192), "\r?\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))
+    head = F.slice(F.filter(bare, lambda x: x != ""), 1, 40)
+    chats = F.size(F.filter(head, lambda x: x.rlike(v.CHAT_OPENS)))
+    mails = F.exists(F.slice(head, 1, 20), lambda x: F.lower(x).rlike("^(?:" + "|".join(v.MAIL_OPENS) + ")"))
     return F.when(chats >= F.greatest(F.lit(2), F.floor(F.size(head) / 4)), "chat_export").when(mails, "email").otherwise("document")
 
 
-# Source types that a declared category hints at, and those that are narrative reports.
-CATEGORY_HINTS = {
-    "whatsapp_screenshot": "screenshot", "screenshot": "screenshot", "chat_screenshot": "screenshot", "chat_export": "chat_export",
-    "whatsapp_export": "chat_export", "bank_statement": "bank_record", "bank_record": "bank_record", "call_log": "call_log",
-    "phishing_email": "email", "email": "email", "complaint_fir": "fir", "fir": "fir", "police_report": "police_report",
-    "surveillance": "surveillance", "surveillance_report": "surveillance", "cdr": "cdr",
-}
-REPORT_TYPES = ("fir", "police_report", "surveillance")
-PARSERS = {"txt": "text", "eml": "text", "csv": "csv", "xlsx": "spreadsheet", "pdf": "pdf", "png": "image", "jpg": "image", "jpeg": "image"}
-
-
 def detect_type(extension: Column, category: Column, header: Column, text: Column) -> Column:
-    """struct<source_type, basis> of a file by extension, declared category, folded header names (of tables) and text: content and
+    """struct<source_type, basis> of a file by extension, declared category, header names (of tables, trimmed and in lower case) and text: content and
     category together, as far as each says something."""
-    hints = F.create_map(*(F.lit(x) for kv in CATEGORY_HINTS.items() for x in kv))
+    hints = F.create_map(*(F.lit(x) for kv in v.CATEGORY_HINTS.items() for x in kv))
     hint = F.try_element_at(hints, category)
     kind = lambda t, basis: F.struct(t.alias("source_type"), (F.lit(basis) if isinstance(basis, str) else basis).alias("basis"))
     both = F.when(hint.isNotNull(), "content+category").otherwise("content")
     return (
         F.when(extension.isin("png", "jpg", "jpeg"), kind(F.when(hint == "screenshot", hint).otherwise("image"), both))
-        .when(extension == "pdf", F.when(hint.isin(*REPORT_TYPES), kind(hint, "content+category")).otherwise(kind(F.lit("pdf"), "content")))
+        .when(extension == "pdf", F.when(hint.isin(*v.REPORT_TYPES), kind(hint, "content+category")).otherwise(kind(F.lit("pdf"), "content")))
         .when(extension == "eml", kind(F.lit("email"), "content"))
         .when(extension == "csv", kind(F.when(hint.isin("bank_record", "call_log", "cdr"), hint).otherwise(table_type(header)), "content+headers"))
         .when(extension == "xlsx", kind(F.coalesce(hint, F.lit("spreadsheet")), both))
-        .when((extension == "txt") & hint.isin(*REPORT_TYPES, "chat_export", "email"), kind(hint, "category"))
+        .when((extension == "txt") & hint.isin(*v.REPORT_TYPES, "chat_export", "email"), kind(hint, "category"))
         .when(extension == "txt", kind(text_type(text), "content"))
         .otherwise(kind(F.coalesce(hint, F.lit("unknown")), "fallback"))
     )
@@ -231,4 +182,4 @@ def detect_type(extension: Column, category: Column, header: Column, text: Colum
 
 def parser_of(extension: Column) -> Column:
     """The reader of a file by its extension; null where there is none."""
-    return F.try_element_at(F.create_map(*(F.lit(x) for kv in PARSERS.items() for x in kv)), F.lower(extension))
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in v.PARSERS.items() for x in kv)), F.lower(extension))

@@ -42,20 +42,6 @@ def test_table_and_mail(spark, tmp_path):
     assert mail.headers["From"] == "a@x.io" and mail.body.strip() == "Body here"
 
 
-def test_map_columns():
-    assert files.map_columns(["A-Party", "a party", "B_Party", "IMEI", "amounts"]) == {"sender": "A-Party", "receiver": "B_Party", "device": "IMEI"}
-
-
-def test_types(spark):
-    from pyspark.sql import functions as F
-
-    row = spark.range(1).select(
-        files.table_type(F.array(F.lit("aparty"), F.lit("amount"))).alias("a"), files.table_type(F.array(F.lit("calltype"))).alias("b"),
-        files.table_type(F.array(F.lit("date"), F.lit("narration"))).alias("c"), files.text_type(F.lit("From: a\nTo: b")).alias("d"), files.text_type(F.lit("plain")).alias("e"),
-    ).first()
-    assert tuple(row) == ("cdr", "call_log", "bank_record", "email", "document")
-
-
 def test_export(spark, tmp_path):
     df = spark.createDataFrame([("met Ann", ["ann", "bo"])], "t string, xs array<string>")
     sinks.export(df, str(tmp_path / "out"), alias="Ann")
