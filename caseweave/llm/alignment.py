@@ -6,7 +6,7 @@ offsets where tokens of both sides end cut the text into groups; the products of
 links. Both products have runs of consecutive columns in each row, so a row is stored as its first and last column: a group
 of many tokens costs its tokens and not its pairs.
 
-The corpus-wide count of an id pair takes three steps. Tasks tokenize once and write, for each chunk of about a megabyte of
+The corpus-wide count of an id pair takes three steps. Tasks tokenize once and write, for each chunk of half a megabyte of
 text, its documents with their links as places in the chunk's list of distinct pairs, and that list with its document counts.
 The lists are summed by pair. The sums go back to the chunks that asked, so a task holds one chunk's pairs and never the
 corpus's.
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from .shared import discard, materialize, table
 
-CHUNK = 1 << 20  # bytes of text
-BLOCK = 1 << 18  # products of a block of rows
+CHUNK = 1 << 19  # bytes of text
+BLOCK = 1 << 17  # products of a block of rows
 PATHS = ("/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model")
 #: How a byte-level tokenizer of this kind cuts a text before merging (fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
