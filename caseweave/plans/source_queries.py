@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
@@ -11,9 +12,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import facts
+from ..operators import facts, upkeep
 from ..operators.lineage import shared_path
-from ..sources import evidence, files, splits
+from ..sources import evidence, files, splits, store
 from ..sources import vocabulary as v
 from . import standins as s
 from .standins import query
@@ -245,3 +246,49 @@ def src_lines_split(spark, sf):
     s.read(spark, sf, "documents").select(F.array_join(F.transform(lines, lambda x: F.concat(x, mark)), "\n").alias("value")).where("value <> ''").write.text(path)
     got = splits.lines(spark, path, 3).select(F.regexp_extract("text", r"^@@(\d+)@@$", 1).alias("d")).where("d <> ''")
     return got.groupBy(F.col("d").cast("long").alias("doc_id")).agg(F.count("*").alias("n"))
+
+
+# --- tables kept by case
+
+
+def _laid_out(spark, rows: DataFrame, name: str, key: str, buckets: int = 4) -> DataFrame:
+    table = f"cw_{name}_{uuid.uuid4().hex}"
+    store.create(spark, table, rows, shared_path(spark, name), key, buckets=buckets)
+    store.replace(table, rows, key, buckets=buckets)
+    return spark.table(table)
+
+
+@query("table_scan", f"""
+WITH {s.RELATIONS_SQL} SELECT id, case_id, relation_type, 'Subject ' || subject AS subject_name FROM rels WHERE case_id IN (3, 7)
+""")
+def table_scan(spark, sf):
+    """Two cases' relations with their subjects' names, from tables partitioned by case and bucketed by the subject."""
+    r = s.relations(spark, sf).withColumn("subject_node", store.node(F.col("case_id"), F.col("subject"))).select("id", "case_id", "relation_type", "subject", "subject_node")
+    e = r.select("case_id", F.col("subject_node").alias("node"), F.concat(F.lit("Subject "), "subject").alias("display")).distinct()
+    two = F.col("case_id").isin(3, 7)
+    got = store.relation_ends(_laid_out(spark, r, "relations", "subject_node").where(two), _laid_out(spark, e, "entities", "node").where(two))
+    return got.select("id", "case_id", "relation_type", "subject_name")
+
+
+@query("upkeep_alerts", f"""
+WITH {s.TRANSACTIONS_SQL}, g AS (SELECT case_id, epoch_us(at) - epoch_us(lag(at) OVER (PARTITION BY case_id ORDER BY at)) AS gap FROM (SELECT case_id, date_trunc('minute', at) AS at FROM txns))
+SELECT case_id::VARCHAR AS case_id, 'HIGH_VALUE_TRANSFER' AS rule, count(*) AS n FROM txns WHERE round(amount, 2) >= 50000 GROUP BY 1
+UNION ALL SELECT case_id::VARCHAR, 'REPEATED_RECIPIENT', count(*) FROM (SELECT case_id, receiver FROM txns WHERE round(amount, 2) >= 100 GROUP BY 1, 2 HAVING count(*) >= 2) GROUP BY 1
+UNION ALL SELECT DISTINCT case_id::VARCHAR, 'RAPID_TRANSACTION_SEQUENCE', 1 FROM g WHERE gap <= 5400000000
+""")
+def upkeep_alerts(spark, sf):
+    """The alerts of transactions that come as units in three batches, of which one comes twice."""
+    t = s.transactions(spark, sf)
+    file_ = F.floor(F.col("id") / 512)
+    fields = F.create_map(
+        F.lit("event_time"), F.date_format("at", "yyyy-MM-dd HH:mm"), F.lit("amount"), F.format_string("%.2f", "amount"), F.lit("sender"), F.concat(F.lit("C"), F.col("sender").cast("string")),
+        F.lit("receiver"), F.col("receiver"),
+    )
+    units = t.select(
+        F.concat_ws("/", F.lit("x"), F.col("case_id").cast("string"), file_.cast("string")).alias("path"), F.concat(F.lit("row:"), F.col("id").cast("string")).alias("unit_key"),
+        F.lit("bank_record").alias("source_type"), F.lit("").alias("text"), fields.alias("fields"), F.lit(None).cast("string").alias("error"), (file_ % 3).alias("b"),
+    )
+    kept = upkeep.Upkeep(spark, shared_path(spark, "upkeep"), buckets=2)
+    for b in (0, 1, 1, 2):
+        kept.apply(units.where(F.col("b") == b), f"b{b}")
+    return kept.table("alerts").groupBy("case_id", "rule").agg(F.count("*").alias("n"))
