@@ -45,20 +45,30 @@ def plain(number: Column) -> Column:
     return F.when(number.isNotNull(), F.format_string("%.2f", number))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows of a plain scan, dealt out where it gives fewer tasks than there are cores (a file of one row group)."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def identifier_facts(units: DataFrame) -> DataFrame:
-    """unit_id, kind, value, confidence of what a unit's text states; several values of a kind are joined by comma and blank."""
+    """unit_id, kind, value, confidence of what a unit's text states; several values of a kind are joined by comma and blank.
+
+    Patterns are tried on texts that hold what every match holds, and each reading is a column of its own, made once."""
     t = F.col("text")
     listed = lambda c: F.array_join(c, ", ")
     sure = lambda k: F.lit(CONFIDENCE[k])
-    roles = F.array_join(F.transform(moments.find_person_roles(t), lambda x: F.concat_ws(": ", x["name"], x["role"])), ", ")
-    found = units.withColumn("_a", moments.find_amount_detail(t))
+    digit = lambda c: F.when(t.rlike(r"\d"), c)
+    found = units.withColumns({"_a": moments.find_amount_detail(t), "_p": moments.people(t)})
+    readings = {
+        "phone_numbers": digit(listed(ids.find_phone_numbers(t))), "email_addresses": listed(ids.find_email_addresses(t)), "account_identifiers": listed(ids.find_account_identifiers(t)),
+        "transaction_reference": ids.find_transaction_reference(t), "device_identifier": ids.find_device_identifier(t), "vehicle_identifiers": digit(listed(ids.find_vehicle_identifiers(t))),
+        "organisation_names": listed(ids.find_organisations(t)), "person_names": listed(moments.find_person_names(t, F.col("_p"))),
+        "person_roles": F.array_join(F.transform(moments.find_person_roles(t, F.col("_p")), lambda x: F.concat_ws(": ", x["name"], x["role"])), ", "), "location_names": listed(moments.find_locations(t)),
+    }
+    found = found.withColumns({f"_{k}": v for k, v in readings.items()})
     facts = _facts([
-        ("phone_numbers", listed(ids.find_phone_numbers(t)), sure("phone_numbers")), ("email_addresses", listed(ids.find_email_addresses(t)), sure("email_addresses")),
-        ("account_identifiers", listed(ids.find_account_identifiers(t)), sure("account_identifiers")),
-        ("transaction_reference", ids.find_transaction_reference(t), sure("transaction_reference")), ("device_identifier", ids.find_device_identifier(t), sure("device_identifier")),
-        ("vehicle_identifiers", listed(ids.find_vehicle_identifiers(t)), sure("vehicle_identifiers")), ("organisation_names", listed(ids.find_organisations(t)), sure("organisation_names")),
-        ("person_names", listed(moments.find_person_names(t)), sure("person_names")), ("person_roles", roles, sure("person_roles")),
-        ("location_names", listed(moments.find_locations(t)), sure("location_names")),
+        *((k, F.col(f"_{k}"), sure(k)) for k in readings),
         ("amount", plain(F.col("_a.value")), F.when(F.col("_a.currency").isNull(), BARE_AMOUNT).otherwise(CONFIDENCE["amount"])),
     ])
     return found.select("unit_id", F.explode(facts).alias("x")).select("unit_id", "x.*")

@@ -144,16 +144,36 @@ def relays(df: DataFrame, width: int = RELAY_S) -> DataFrame:
     )
 
 
+DIGIT, DIGITS = 13, 4  # bits of a digit and digits of a gap in microseconds, up to 142 years
+
+
+def order_statistic(values: DataFrame, keys: list[str], ranks: DataFrame) -> DataFrame:
+    """keys, value: of each key the value (not negative, below 2^52) that stands at `rank` (from 1) in order. values: keys, value;
+    ranks: keys, rank.
+
+    Selection by digits: equal values are counted, counts add up to counts of their leading digits, and from the leading digit on
+    the one in which the rank falls is followed. What meets in a task are the children of one digit, 2^13 at most; no key's values
+    are sorted."""
+    levels = [values.groupBy(*keys, F.col("value").alias("prefix")).agg(F.count("*").alias("n"))]
+    for _ in range(DIGITS - 1):
+        levels.append(levels[-1].groupBy(*keys, F.shiftright("prefix", DIGIT).alias("prefix")).agg(F.sum("n").alias("n")))
+    at = ranks.select(*keys, F.lit(0).cast("long").alias("above"), F.col("rank").cast("long").alias("rank"))
+    running = Window.partitionBy(*keys).orderBy("prefix")
+    for level in reversed(levels):
+        children = level.withColumn("above", F.shiftright("prefix", DIGIT)).join(at, [*keys, "above"])
+        children = children.withColumn("upto", F.sum("n").over(running)).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("n") < F.col("rank")))
+        at = children.select(*keys, F.col("prefix").alias("above"), (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"))
+    return at.select(*keys, F.col("above").alias("value"))
+
+
 def silences(df: DataFrame, keys: list[str]) -> DataFrame:
     """Keys (with case_id first) whose last contact lies four usual gaps or more before the case's last: keys, contacts,
     last_at, usual_s, silent_s. The usual gap is the upper median of the gaps between consecutive contacts."""
-    gaps = previous(df, keys, ["at"]).withColumn("gap", elapsed(F.col("prev.at"), F.col("at")))
-    ranked = gaps.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last("gap"), "at", "id")))
+    gaps = previous(df, keys, ["at"]).where("prev IS NOT NULL").select(*keys, F.timestamp_diff("MICROSECOND", F.col("prev.at"), F.col("at")).alias("value"))
     counted = df.groupBy(*keys).agg(F.count("*").alias("contacts"), F.max("at").alias("last_at")).where(F.col("contacts") >= SILENCE_N)
     case_last = df.groupBy(F.col(keys[0]).alias("_c")).agg(F.max("at").alias("case_last"))
-    usual = ranked.where("gap IS NOT NULL").select(*(F.col(k).alias(f"_{k}") for k in keys), "gap", "r")
-    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("r") == F.floor((F.col("contacts") - 1) / 2) + 1]
-    out = counted.join(usual, on).join(case_last, F.col(keys[0]) == F.col("_c"))
+    usual = order_statistic(gaps, keys, counted.select(*keys, (F.floor((F.col("contacts") - 1) / 2) + 1).alias("rank")))
+    out = counted.join(usual, keys).join(case_last, F.col(keys[0]) == F.col("_c")).withColumn("gap", F.col("value") / F.lit(1e6))
     silent = elapsed(F.col("last_at"), F.col("case_last"))
     return out.where((F.col("gap") > 0) & (silent >= SILENCE_TIMES * F.col("gap"))).select(
         *keys, "contacts", "last_at", F.col("gap").alias("usual_s"), silent.alias("silent_s")
@@ -189,14 +209,24 @@ def gap_steps(df: DataFrame, keys: list[str], width: int = GAP_S) -> DataFrame:
 
 def convergences(df: DataFrame, width: int = 6 * 3_600, least: int = 3) -> DataFrame:
     """Per (case_id, place) the first row from which `least` different parties appear within `width` seconds:
-    case_id, place, at, id, n_parties. df: case_id, place, id, at, party. Rows also serve as the future of the
-    bucket before theirs."""
-    here = F.floor(seconds(F.col("at")) / width)
-    rows = df.withColumn("_b", F.explode(F.array(F.struct(here.alias("bucket"), F.lit(True).alias("own")),
-                                                 F.struct((here - 1).alias("bucket"), F.lit(False).alias("own")))))
-    rows = rows.select("case_id", "place", "id", "at", "party", "_b.bucket", "_b.own", seconds(F.col("at")).alias("s"))
-    w = Window.partitionBy("case_id", "place", "bucket").orderBy("s").rangeBetween(0, width)
-    seen = rows.withColumn("n", F.size(F.collect_set("party").over(w))).where(F.col("own") & (F.col("n") >= least))
+    case_id, place, at, id, n_parties. df: case_id, place, id, at, party.
+
+    A row is its party's first in the windows that begin after the party's row before it, and no earlier than `width` before
+    itself: one more party from there on, one less behind the row. The parties of a window are the sum of these differences up to
+    its beginning, so no row gathers its window. Windows that begin in a bucket of time end in it or the next."""
+    us = lambda c: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c)
+    micro = width * 1_000_000
+    rows = previous(df, ["case_id", "place", "party"], ["at"], width).withColumn("t", us(F.col("at")))
+    here = F.floor(F.col("t") / micro)
+    rows = rows.withColumn("_b", F.explode(F.array(F.struct(here.alias("bucket"), F.lit(True).alias("own")), F.struct((here - 1).alias("bucket"), F.lit(False).alias("own")))))
+    begins = F.greatest(us(F.col("prev.at")) + 1, F.col("t") - micro)
+    one = lambda t, d, ask: F.struct(t.alias("t"), F.lit(d).cast("long").alias("d"), ask.alias("ask"))
+    no = F.lit(False)
+    known = F.col("party").isNotNull()
+    steps = F.array_compact(F.array(F.when(known, one(begins, 1, no)), F.when(known, one(F.col("t") + 1, -1, no)), F.when(F.col("_b.own"), one(F.col("t"), 0, F.lit(True)))))
+    events = rows.select("case_id", "place", "_b.bucket", "id", "at", F.explode(steps).alias("x")).select("case_id", "place", "bucket", "id", "at", "x.*")
+    w = Window.partitionBy("case_id", "place", "bucket").orderBy("t").rangeBetween(Window.unboundedPreceding, 0)
+    seen = events.withColumn("n", F.sum("d").over(w)).where(F.col("ask") & (F.col("n") >= least))
     best = seen.groupBy("case_id", "place").agg(F.min(F.struct("at", "id", "n")).alias("f"))
     return best.select("case_id", "place", F.col("f.at").alias("at"), F.col("f.id").alias("id"), F.col("f.n").cast("long").alias("n_parties"))
 

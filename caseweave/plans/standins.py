@@ -155,7 +155,9 @@ FIRST_NAMES, LAST_NAMES = ("Asha", "Ravi", "Meera", "Yash", "Priya"), ("Rao", "K
 
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A police report on each order, its facts drawn from the order: k, text (eight lines), amount, at."""
-    o = read(spark, sf_dir, "orders")
+    from ..operators.facts import spread
+
+    o = spread(read(spark, sf_dir, "orders"))
     k = F.col("o_orderkey")
     pick = lambda names, i: F.get(F.array(*map(F.lit, names)), (i % len(names)).cast("int"))
     name = lambda i, j: F.concat_ws(" ", pick(FIRST_NAMES, i), pick(LAST_NAMES, j))
