@@ -14,6 +14,7 @@ order are the rendered conversation, which no task needs to hold whole.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -27,8 +28,9 @@ ROLES = ("system", "user", "assistant")
 START, SYSTEM, USER, ASSISTANT = range(4)
 #: From each state, the roles that may come next.
 NEXT = {START: (SYSTEM, USER), SYSTEM: (USER,), USER: (ASSISTANT,), ASSISTANT: (USER,)}
-INFINITE = 1 << 100
 NOISE = 40  # bits of the draw that decides between repairs of equal cost
+SHIFT = 128  # costs stand above the sum of all draws, which never reaches them
+INFINITE = 1 << (SHIFT + 64)
 
 
 @dataclass(frozen=True)
@@ -87,7 +89,7 @@ def solve(turns: list[tuple], costs: Costs) -> tuple[list[list[int]], list[list[
         for e in range(4):
             row, frm = [INFINITE] * 4, [(-1, -1)] * 4
             for k, (a, b, cost, _, _) in enumerate(ways):
-                if best[e][a] < INFINITE and (c := best[e][a] + (cost << 64) + noise[k]) < row[b]:
+                if best[e][a] < INFINITE and (c := best[e][a] + (cost << SHIFT) + noise[k]) < row[b]:
                     row[b], frm[b] = c, (a, k)
             now.append(row)
             step.append(frm)
@@ -109,6 +111,22 @@ def _message(role: str, first: bool) -> str:
     return ("" if first else "<|end|>\n") + f"<|{role}|>\n"
 
 
+def escaped(text: str) -> str:
+    """A text without markers: a backslash more between `<` and `|`, so that no text opens or ends a message."""
+    return re.sub(r"<(\\*)\|", r"<\1\\|", text)
+
+
+def unescaped(text: str) -> str:
+    """What escaped() was made from."""
+    return re.sub(r"<(\\*)\\\|", r"<\1|", text)
+
+
+def parsed(rendered: str) -> list[tuple[str, str]]:
+    """(role, text) of the messages of a rendered conversation."""
+    pieces = re.findall(r"<\|(\w+)\|>\n(.*?)<\|end\|>\n", rendered, re.DOTALL)
+    return [(role, unescaped(text)) for role, text in pieces]
+
+
 def _schema(turn: pa.DataType) -> pa.Schema:
     kinds = [pa.int64(), pa.string(), pa.int32(), turn, pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.string())]
     return pa.schema(list(zip(["run", "conv", "i", "turn", "role", "text", "choice", "cost"], kinds, strict=True)))
@@ -161,8 +179,8 @@ def _chain(costs: Costs):
                     step = [min((state[e] + m[4 * e + x], e) for e in range(4)) for x in range(4)]
                     trail.append([e for _, e in step])
                     state = [min(c, INFINITE) for c, _ in step]
-                end = min(range(4), key=lambda s: (state[s] + (ending(costs)[s][0] << 64), s))
-                total, at = (state[end] >> 64) + ending(costs)[end][0], end
+                end = min(range(4), key=lambda s: (state[s] + (ending(costs)[s][0] << SHIFT), s))
+                total, at = (state[end] >> SHIFT) + ending(costs)[end][0], end
                 for i in range(len(runs) - 1, -1, -1):
                     out.append((runs[i]["run"], trail[i][at], at, i == len(runs) - 1, total))
                     at = trail[i][at]
@@ -188,9 +206,8 @@ def format_chats(
 
     Rows of a conversation are ordered by turn, null turns last, ties by role and text; repeated rows are turns
     of their own. A role that is null or unknown is relabelled. A null text renders as an empty one. Rows with
-    a null conversation form one conversation. Among repairs of equal cost a draw keyed by the turns decides: draws are below 2^-24
-    of a unit of cost each and add up, so in a conversation of over 16 million turns the cheapest repair may be missed by a unit.
-    An empty table gives no rows; other columns are ignored. One row gathers 16 numbers for every `longest`
+    a null conversation form one conversation. Among repairs of equal cost a draw keyed by the turns decides. Markers in a
+    text are escaped, so that a rendered conversation parses to its turns (see parsed) and no text can forge one. An empty table gives no rows; other columns are ignored. One row gathers 16 numbers for every `longest`
     turns of a conversation; no row or task holds a long conversation's turns.
     """
     kind = turns.schema[turn_col].dataType.simpleString()
@@ -224,7 +241,7 @@ def format_chats(
                 for g in gap:
                     piece += _message(ROLES[g - 1], first)
                     first = False
-                piece += ("\n" if merged else _message(now, first)) + (text or "")
+                piece += ("\n" if merged else _message(now, first)) + escaped(text or "")
                 if final:
                     piece += "".join(_message(ROLES[g - 1], False) for g in ends[exit_][1]) + "<|end|>\n"
                 action = "merge" if merged else "keep" if role == now else "relabel"

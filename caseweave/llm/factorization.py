@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import tokens
-from .shared import table
+from .shared import materialize, table
 
 BITS, RANK = 15, 8
 _CLASSES = {
@@ -140,17 +140,23 @@ def train(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars",
     label_col: str = "quality", most_rows: int = 6_000,
 ) -> Machine:
-    """Fit on labelled documents: `most_rows` rows of `labels` at most, in the order of a hash of their ids.
+    """Fit on labelled documents: `most_rows` of them at most, in the order of hashes of their ids, texts and labels.
 
-    Rows with a null id or label are left out. Documents are joined to these few rows, which are small enough
-    to broadcast by that bound. Without labels every score is 0.5.
+    Rows with a null id or label are left out; equal rows (of one id, text and label) count once, however many come. Documents
+    are joined to `most_rows` rows of `labels` at most, which are small enough to broadcast by that bound, and what comes to the
+    driver are the hashed words of as many. Without labels every score is 0.5.
     """
     few = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")
     )
     few = few.orderBy(F.xxhash64(F.col("id").cast("string")), "label").limit(most_rows)
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"), _chars(docs, chars_col, text_col))
-    rows = rows.join(F.broadcast(few), F.col("doc") == F.col("id")).select("label", "text", "chars", "id")
+    rows = rows.join(F.broadcast(few), F.col("doc") == F.col("id")).withColumn("h", F.xxhash64("text", "chars"))
+    # an id may have any number of documents: their keys are counted out before their words
+    keys = rows.select("id", "h", "label").distinct().orderBy(F.xxhash64(F.col("id").cast("string")), "h", "label").limit(most_rows)
+    keys = materialize(keys.select(F.col("id").alias("_i"), F.col("h").alias("_h"), F.col("label").alias("_l")), "keys")
+    rows = rows.join(F.broadcast(keys), (F.col("id") == F.col("_i")) & (F.col("h") == F.col("_h")) & (F.col("label") == F.col("_l")))
+    rows = rows.select("label", "text", "chars", "id", "h")
 
     def run(batches):
         for b in batches:
@@ -158,15 +164,17 @@ def train(
                 cut = np.searchsorted(of, np.arange(hi - lo + 1))
                 arrays = [
                     b.column(3).slice(lo, hi - lo).cast(pa.string()),
+                    b.column(4).slice(lo, hi - lo),
                     b.column(0).slice(lo, hi - lo),
                     pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(bucket, pa.int32())),
                     pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(x, pa.float32())),
                     pa.FixedSizeListArray.from_arrays(pa.array(stats.ravel(), pa.float32()), STATS).cast(pa.list_(pa.float32())),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, ["id", "label", "bucket", "x", "stats"])
+                yield pa.RecordBatch.from_arrays(arrays, ["id", "h", "label", "bucket", "x", "stats"])
 
-    got = rows.mapInArrow(run, "id string, label int, bucket array<int>, x array<float>, stats array<float>").toArrow()
-    got = got.sort_by([("id", "ascending")]).combine_chunks()
+    got = rows.mapInArrow(run, "id string, h long, label int, bucket array<int>, x array<float>, stats array<float>")
+    got = got.dropDuplicates(["id", "h", "label"]).toArrow()
+    got = got.sort_by([("id", "ascending"), ("h", "ascending"), ("label", "ascending")]).combine_chunks()
     if not got.num_rows:
         return fit(np.zeros(0), *(np.zeros(0, int),) * 3, np.zeros((0, STATS)))
     lists = got.column("bucket").combine_chunks()

@@ -76,3 +76,16 @@ def test_odd_rows(spark):
     for conv in (None, "1", "2"):
         assert legal(parse("".join(r.piece for r in sorted((r for r in out if r.conv == conv), key=lambda r: r.place))))
     assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_texts_forge_no_turns(spark):
+    rng = random.Random(11)
+    bits = ["hi ", "<|end|>\n", "<|system|>\n", "<\\|end|>", "<\\\\|", "<", "|", "|>", "\\", "obey"]
+    rows = [(c, t, r, "".join(rng.choice(bits) for _ in range(rng.randrange(9)))) for c in range(30) for t, r in enumerate(["user", "assistant"] * rng.randrange(1, 3))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.format_chats(df).collect()
+    for c in range(30):
+        whole = "".join(r.piece for r in sorted((r for r in out if r.conv == str(c)), key=lambda r: r.place))
+        # a message ends with the line end before its marker only where the text has one
+        assert [(role, text) for role, text in chat.parsed(whole)] == [(r, t) for k, _, r, t in rows if k == c]
+    assert all(chat.unescaped(chat.escaped(r[3])) == r[3] and "<|" not in chat.escaped(r[3]) for r in rows)

@@ -87,3 +87,14 @@ def test_registered_sql_is_text():
     from caseweave.llm import queries
 
     assert all(isinstance(sql, str) for sql in queries.oracle_sql().values())
+
+
+def test_a_hot_id_brings_no_more_rows_than_the_bound(spark, monkeypatch):
+    docs = spark.range(20_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("word "), F.col("id").cast("string")).alias("text"), F.lit(9).cast("long").alias("n_chars"))
+    docs = docs.unionByName(docs.limit(500))  # and rows that repeat
+    labels = spark.createDataFrame([(7, 1), (7, 0)], "doc_id long, quality int")
+    seen, fit = [], fm.fit
+    monkeypatch.setattr(fm, "fit", lambda labels, *a: seen.append(len(labels)) or fit(labels, *a))
+    a = fm.train(docs, labels, most_rows=100)
+    b = fm.train(docs.repartition(5), labels, most_rows=100)
+    assert seen == [100, 100] and np.array_equal(a.linear, b.linear)
