@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
+from . import textindex
 
 # Names of identifier kinds, what a match does not show, keywords of questions, requestable kinds.
 KIND_LABELS = {
@@ -80,15 +81,15 @@ def route(question: Column, matched: Column, out_of_scope: list[str]) -> Column:
 
 def match(names: DataFrame, terms: DataFrame) -> DataFrame:
     """Of each term the entity it means: an exact match without case and punctuation, else the shortest that contains it; null if
-    none. names: id, label; terms: term, the words of a question, 1,000 at most (an error beyond: ask in batches)."""
-    if terms.limit(1_001).count() > 1_000:
-        raise ValueError("over 1,000 terms at once")
+    none. names: id, label; terms: term, any number of them."""
     fold = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
-    n = names.select("id", "label", fold(F.col("label")).alias("_l"))
+    n = names.select("id", "label", fold(F.col("label")).alias("t"))
     t = terms.select("term", fold(F.col("term")).alias("_t")).where("_t <> ''")
-    exact = t.join(n, F.col("_t") == F.col("_l")).groupBy("term").agg(F.min(F.struct("label", "id")).alias("e"))
-    part = n.join(F.broadcast(t), F.col("_l").contains(F.col("_t"))).groupBy("term").agg(F.min(F.struct(F.length("label").alias("n"), "label", "id")).alias("p"))
-    out = terms.select("term").distinct().join(exact, "term", "left").join(part, "term", "left")
+    exact = t.join(n, F.col("_t") == F.col("t")).groupBy("term").agg(F.min(F.struct("label", "id")).alias("e"))
+    found = textindex.containing(n, t.select(F.col("_t").alias("term")).distinct()).select(F.col("term").alias("_f"), "label", "id")
+    part = found.groupBy("_f").agg(F.min(F.struct(F.length("label").alias("n"), "label", "id")).alias("p"))
+    part = t.join(part, F.col("_t") == F.col("_f")).select("term", "p")
+    out = terms.select("term").distinct().join(exact, "term", "left").join(part.dropDuplicates(["term"]), "term", "left")
     return out.select("term", F.coalesce("e.id", "p.id").alias("id"), F.coalesce("e.label", "p.label").alias("label"), F.col("e").isNotNull().alias("exact"))
 
 

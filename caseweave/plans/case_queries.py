@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import facts, graph, integrity, joins, rollups, rules, temporal
+from ..operators import facts, graph, integrity, joins, rollups, rules, temporal, textindex
 from ..operators.lineage import shared_checkpoint
 from ..sources import files
+from . import evidence_queries, fact_queries, more_queries, view_queries  # noqa: F401  their SQL is restated
 from . import standins as s
 from .standins import CASES_SQL, CONTACTS_SQL, EDGES_SQL, OCCURRENCES_SQL, ORACLES, QUERIES, RELATIONS_SQL, TRANSACTIONS_SQL, query
 from .record_queries import MERKLE
@@ -539,12 +540,30 @@ _HITS = " UNION ALL ".join(f"SELECT {i} AS category, {k} AS id FROM {t} WHERE {'
 @query("search_case", f"WITH h AS ({_HITS}) SELECT category, id FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY id DESC) AS n FROM h) WHERE n <= 10 ORDER BY category, n LIMIT 60")
 def search_case(spark, sf):
     """Six categories in fixed order, newest first, ten of each at most, then the first 60; wildcards of the question stay active."""
-    out = None
-    for i, (name, key, cols) in enumerate(SEARCH):
-        hit = reduce(lambda a, b: a | b, (F.col(c).ilike("%r_%") for c in cols))
-        rows = s.read(spark, sf, name).where(hit).orderBy(F.desc(key)).limit(10).select(F.lit(i).alias("category"), F.col(key).cast("long").alias("id"))
-        out = rows if out is None else out.unionByName(rows)
-    return out.orderBy("category", F.desc("id")).limit(60)
+    return textindex.search_case([(name, s.read(spark, sf, name), key, cols) for name, key, cols in SEARCH], "r_")
+
+
+_FOUND = " UNION ALL ".join(f"SELECT {i} AS category, {k} AS id FROM {t} WHERE {' OR '.join(f'{c} ILIKE {chr(39)}%er#00%7%{chr(39)}' for c in cs)}" for i, (t, k, cs) in enumerate(SEARCH))
+
+
+@query("search_case_indexed", f"WITH h AS ({_FOUND}) SELECT category, id FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY id DESC) AS n FROM h) WHERE n <= 10 ORDER BY category, n LIMIT 60")
+def search_case_indexed(spark, sf):
+    """The same with an index of each table's grams, written once: rows without the question's grams aren't compared."""
+    tables = [(name, s.read(spark, sf, name), key, cols) for name, key, cols in SEARCH]
+    cut = shared_checkpoint(spark)
+    return textindex.search_case(tables, "er#00%7", {name: cut(textindex.build(rows, key, cols)) for name, rows, key, cols in tables})
+
+
+@query("contained_terms", """
+WITH n AS (SELECT c_custkey AS id, lower(c_name) AS t FROM customer), q AS (SELECT DISTINCT term FROM (SELECT right(lower(c_name), 4) AS term FROM customer UNION ALL SELECT substr(lower(c_name), 7, 2) FROM customer UNION ALL SELECT 'zz' UNION ALL SELECT 'nobody'))
+SELECT term, count(*) AS n, min(id) AS least FROM n JOIN q ON contains(t, term) GROUP BY 1
+""")
+def contained_terms(spark, sf):
+    """As many terms as there are customers' endings, each with the names that contain it."""
+    c = s.read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.lower("c_name").alias("t"))
+    odd = spark.createDataFrame([("zz",), ("nobody",)], "term string")
+    terms = c.select(F.right("t", F.lit(4)).alias("term")).unionByName(c.select(F.substring("t", 7, 2).alias("term"))).unionByName(odd).distinct()
+    return textindex.containing(c, terms).groupBy("term").agg(F.count("*").alias("n"), F.min("id").alias("least"))
 
 
 @query("account_activity", "SELECT event_id, ts, event_type FROM events WHERE user_id = 5 AND event_type = 'view' ORDER BY ts DESC, event_id LIMIT 200")
