@@ -18,7 +18,8 @@ def json_text(text: Column) -> Column:
         return out.otherwise(F.concat(F.lit("\\u"), F.substring(units, 1, 4), F.when(F.length(units) > 4, F.concat(F.lit("\\u"), F.substring(units, 5, 4))).otherwise("")))
 
     chars = F.regexp_extract_all(text, F.lit(r"(?s)."), F.lit(0))
-    return F.when(text.isNull(), F.lit("null")).otherwise(F.concat(F.lit('"'), F.array_join(F.transform(chars, escaped), ""), F.lit('"')))
+    plain = F.when(text.rlike(r"\A[ !#-\[\]-~]*\z"), F.concat(F.lit('"'), text, F.lit('"')))  # nothing to escape
+    return F.when(text.isNull(), F.lit("null")).otherwise(F.coalesce(plain, F.concat(F.lit('"'), F.array_join(F.transform(chars, escaped), ""), F.lit('"'))))
 
 
 def canonical_json(fields: dict[str, Column]) -> Column:

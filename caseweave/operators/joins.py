@@ -13,6 +13,10 @@ AMOUNT_TOLERANCE, CONTRADICTION_S, CONTRADICTION_CONFIDENCE = 0.01, 86_400, 0.8
 SEMANTIC_S, SEMANTIC_CONFIDENCE = 6 * 3_600, 0.45
 
 
+#: Rows of a block of a busy value's holders: two blocks meet in a task.
+BLOCK_ROWS = 1_024
+
+
 def lookup_label(rows: DataFrame, key: str, names: DataFrame, name_key: str, label: str, default: str) -> DataFrame:
     """rows with `label` looked up, or the default. A key that names repeats takes its smallest label."""
     one = names.groupBy(F.col(name_key).alias("_k")).agg(F.min(label).alias("_label"))
@@ -84,41 +88,59 @@ def shared_values(records: DataFrame, fields: dict[str, str]) -> DataFrame:
     return out.withColumn("value", value).where("value <> ''").distinct()
 
 
+def pairs_within(rows: DataFrame, keys: list[str], id_col: str, most: int = BLOCK_ROWS) -> DataFrame:
+    """keys, a, b: each pair of rows (as structs, a's id the smaller) that share all keys, once. Rows with equal ids are no pair.
+
+    The holders of a key are dealt to blocks of about `most` rows, and each pair of blocks meets under a key of its own: a value
+    that very many rows share spreads over as many tasks as it has pairs of blocks, and no task sees more than two blocks of it."""
+    n = rows.groupBy(*keys).agg(F.ceil(F.count("*") / most).cast("int").alias("_g"))
+    dealt = rows.join(n, keys).withColumn("_k", F.pmod(F.xxhash64(id_col), F.col("_g")).cast("int"))
+    row = F.struct(*(F.col(c) for c in rows.columns))
+    a = dealt.select(*keys, row.alias("a"), F.col("_k").alias("_i"), F.explode(F.sequence(F.col("_k"), F.col("_g") - 1)).alias("_j"))
+    b = dealt.select(*keys, row.alias("b"), F.explode(F.sequence(F.lit(0), F.col("_k"))).alias("_i"), F.col("_k").alias("_j"))
+    ia, ib = F.col(f"a.{id_col}"), F.col(f"b.{id_col}")
+    both = a.join(b, [*keys, "_i", "_j"]).where(((F.col("_i") < F.col("_j")) & (ia != ib)) | (ia < ib))
+    return both.select(*keys, F.when(ia < ib, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(ia < ib, F.col("b")).otherwise(F.col("a")).alias("b"))
+
+
 def exact_matches(values: DataFrame) -> DataFrame:
     """Pairs of records of one case and different evidence that share a value: case_id, left, right, fields, confidence.
 
-    An inverted-index join: records meet under a shared value alone. The pairs are the result, one row each."""
+    An inverted-index join: records meet under a shared value alone, those of a busy value block by block. The pairs are the
+    result, one row each; where a value's holders are too many for that, see value_classes."""
     weight = F.coalesce(*(F.when(F.col("field") == k, F.lit(w)) for k, w in MATCH_WEIGHT.items()), F.lit(0.0))
-    a = values.select("case_id", "field", "value", F.col("record_id").alias("left"), F.col("evidence_id").alias("_ea"))
-    b = values.select(
-        F.col("case_id").alias("_c"), F.col("field").alias("_f"), F.col("value").alias("_v"),
-        F.col("record_id").alias("right"), F.col("evidence_id").alias("_eb"),
-    )
-    on = (F.col("case_id") == F.col("_c")) & (F.col("field") == F.col("_f")) & (F.col("value") == F.col("_v"))
-    pairs = a.join(b, on & (F.col("left") < F.col("right")) & (F.col("_ea") != F.col("_eb")))
-    return pairs.groupBy("case_id", "left", "right").agg(
+    pairs = pairs_within(values.select("case_id", "field", "value", "record_id", "evidence_id"), ["case_id", "field", "value"], "record_id")
+    pairs = pairs.where(F.col("a.evidence_id") != F.col("b.evidence_id"))
+    return pairs.groupBy("case_id", F.col("a.record_id").alias("left"), F.col("b.record_id").alias("right")).agg(
         F.array_join(F.array_sort(F.collect_set("field")), ",").alias("fields"), F.max(weight).alias("confidence")
     )
 
 
+def value_classes(values: DataFrame, least: int = 2) -> DataFrame:
+    """The matches of a value with `least` records or more as a class: case_id, field, value, records, evidence, pairs (of records
+    with different evidence) and confidence. Who belongs to it are the value's rows; the pairs are counted and not made."""
+    per = values.groupBy("case_id", "field", "value", "evidence_id").agg(F.count_distinct("record_id").alias("n"))
+    total = per.groupBy("case_id", "field", "value").agg(F.sum("n").alias("records"), F.count("*").alias("evidence"), F.sum(F.col("n") * F.col("n")).alias("same"))
+    weight = F.coalesce(*(F.when(F.col("field") == k, F.lit(w)) for k, w in MATCH_WEIGHT.items()), F.lit(0.0))
+    pairs = ((F.col("records") * F.col("records") - F.col("same")) / 2).cast("long").alias("pairs")
+    return total.where(F.col("records") >= least).select("case_id", "field", "value", "records", "evidence", pairs, weight.alias("confidence"))
+
+
 def contradictions(records: DataFrame) -> DataFrame:
     """Pairs with one reference and different evidence whose amount, currency or time disagree: case_id, left, right,
     fields, confidence. records: case_id, record_id, evidence_id, reference, amount, currency, at."""
-    ref = F.lower(F.trim("reference"))
-    a = records.withColumn("ref", ref).where("ref <> ''")
-    b = a.select(*(F.col(c).alias(f"_{c}") for c in ("case_id", "record_id", "evidence_id", "ref", "amount", "currency", "at")))
-    on = (F.col("case_id") == F.col("_case_id")) & (F.col("ref") == F.col("_ref"))
-    pairs = a.join(b, on & (F.col("record_id") < F.col("_record_id")) & (F.col("evidence_id") != F.col("_evidence_id")))
-    gap = F.abs(F.timestamp_diff("SECOND", F.col("at"), F.col("_at")))
+    held = records.select("case_id", F.lower(F.trim("reference")).alias("ref"), "record_id", "evidence_id", "amount", "currency", "at").where("ref <> ''")
+    pairs = pairs_within(held, ["case_id", "ref"], "record_id").where(F.col("a.evidence_id") != F.col("b.evidence_id"))
+    gap = F.abs(F.timestamp_diff("SECOND", F.col("a.at"), F.col("b.at")))
     fields = F.array_compact(
         F.array(
-            F.when(F.abs(F.col("amount") - F.col("_amount")) > AMOUNT_TOLERANCE, "amount"),
-            F.when(F.col("currency") != F.col("_currency"), "currency"),
+            F.when(F.abs(F.col("a.amount") - F.col("b.amount")) > AMOUNT_TOLERANCE, "amount"),
+            F.when(F.col("a.currency") != F.col("b.currency"), "currency"),
             F.when(gap > CONTRADICTION_S, "event_time"),
         )
     )
     return pairs.withColumn("f", fields).where(F.size("f") > 0).select(
-        "case_id", F.col("record_id").alias("left"), F.col("_record_id").alias("right"), F.array_join("f", ",").alias("fields"),
+        "case_id", F.col("a.record_id").alias("left"), F.col("b.record_id").alias("right"), F.array_join("f", ",").alias("fields"),
         F.lit(CONTRADICTION_CONFIDENCE).alias("confidence"),
     )
 

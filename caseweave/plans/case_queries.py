@@ -34,6 +34,16 @@ SEMANTIC_SQL = """SELECT a.case_id, a.id AS "left", b.id AS "right", 0.45::DOUBL
   ON a.case_id = b.case_id AND a.id < b.id AND abs(a.amount - b.amount) <= 500 AND abs(epoch(a.at) - epoch(b.at)) <= 21600 WHERE a.sender <> b.sender"""
 
 
+@query("corr_classes", f"""
+WITH {TRANSACTIONS_SQL} SELECT case_id, 'account' AS field, sender::VARCHAR AS value, count(*) AS records, count(DISTINCT id // 4) AS evidence,
+  (count(*) * count(*) - (SELECT sum(n * n) FROM (SELECT count(*) AS n FROM txns u WHERE u.case_id = t.case_id AND u.sender = t.sender GROUP BY id // 4))::BIGINT) // 2 AS pairs, 0.85::DOUBLE AS confidence
+FROM txns t GROUP BY case_id, sender HAVING count(*) >= 2
+""")
+def corr_classes(spark, sf):
+    """Each shared account as a class with the number of its pairs; four orders are one evidence file."""
+    return joins.value_classes(_txn_values(spark, sf).withColumn("evidence_id", F.floor(F.col("record_id") / 4)))
+
+
 @query("corr_semantic", f"WITH {TRANSACTIONS_SQL} {SEMANTIC_SQL}")
 def corr_semantic(spark, sf):
     return joins.semantic_candidates(_txn_records(spark, sf), _txn_values(spark, sf), tolerance=500.0)
