@@ -101,7 +101,7 @@ def prior_record_lookup(spark, sf):
     return joins.prior_records(e, p)
 
 
-CROSS_SQL = f"{OCCURRENCES_SQL}, o AS (SELECT DISTINCT case_id, entity_type, key FROM occ WHERE entity_type = 'email' AND evidence_id % 7 <> 0)"
+CROSS_SQL = f"{s.SHARED_SQL}, o AS (SELECT DISTINCT case_id, entity_type, key FROM occ WHERE entity_type = 'email' AND evidence_id % 7 <> 0)"
 
 
 @query("cross_case_entities", f"""
@@ -109,7 +109,7 @@ WITH {CROSS_SQL} SELECT a.case_id, b.case_id AS linked_case, a.entity_type, a.ke
 """)
 def cross_case_entities(spark, sf):
     """Unrejected entities of matchable types; network addresses are none."""
-    o = s.occurrences(spark, sf).withColumn("status", F.when(F.col("evidence_id") % 7 == 0, "rejected"))
+    o = s.shared_occurrences(spark, sf).withColumn("status", F.when(F.col("evidence_id") % 7 == 0, "rejected"))
     return joins.cross_case(joins.matchable(o))
 
 
@@ -148,12 +148,13 @@ def rule_shared_device(spark, sf):
 
 
 @query("rule_communication_burst", f"""
-WITH {CONTACTS_SQL}, p AS (SELECT case_id, least(subject, object) AS a, greatest(subject, object) AS b, id, at FROM contacts WHERE status <> 'rejected'),
+WITH {CONTACTS_SQL}, p AS (SELECT case_id, least(subject % 10, object % 5) AS a, greatest(subject % 10, object % 5) AS b, id, at FROM contacts WHERE status <> 'rejected'),
 w AS (SELECT *, lag(at, 2) OVER (PARTITION BY case_id, a, b ORDER BY at, id) AS s FROM p)
 SELECT DISTINCT case_id, 'COMMUNICATION_BURST' AS rule, 'MEDIUM' AS severity, a || ':' || b AS key FROM w WHERE epoch_us(at) - epoch_us(s) <= 7200000000
 """)
 def rule_communication_burst(spark, sf):
-    rows = _live(spark, sf).withColumns({"left": F.least("subject", "object"), "right": F.greatest("subject", "object")})
+    a, b = F.col("subject") % 10, F.col("object") % 5
+    rows = _live(spark, sf).withColumns({"left": F.least(a, b), "right": F.greatest(a, b)})
     return rules.pair_rule(temporal.bursts(rows, ["case_id", "left", "right"]), "COMMUNICATION_BURST", "MEDIUM", "left", "right")
 
 
@@ -326,11 +327,11 @@ def hmac_digest(spark, sf):
 
 def _identities(spark, sf):
     """A case's matchable identities in normal form, each once."""
-    o = s.occurrences(spark, sf).select("case_id", facts.canonicalize_indicator(F.col("entity_type"), F.col("key")).alias("x"), "evidence_id").where("x IS NOT NULL")
+    o = s.shared_occurrences(spark, sf).select("case_id", facts.canonicalize_indicator(F.col("entity_type"), F.col("key")).alias("x"), "evidence_id").where("x IS NOT NULL")
     return o.groupBy(F.col("case_id").alias("case_reference"), "x.entity_type", "x.key").agg(F.min("evidence_id").alias("first"))
 
 
-IDENTITIES_SQL = f"{OCCURRENCES_SQL}, i AS (SELECT case_id AS case_reference, entity_type, key, min(evidence_id) AS first FROM occ WHERE entity_type = 'email' GROUP BY 1, 2, 3)"
+IDENTITIES_SQL = f"{s.SHARED_SQL}, i AS (SELECT case_id AS case_reference, entity_type, key, min(evidence_id) AS first FROM occ WHERE entity_type = 'email' GROUP BY 1, 2, 3)"
 DIGEST_SQL = _hmac_sql("entity_type || ':' || key")
 
 

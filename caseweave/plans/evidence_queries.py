@@ -359,9 +359,9 @@ def set_union_visible(spark, sf):
     return c.select(F.col("c_nationkey").alias("k")).union(p.select("s_nationkey")).distinct()
 
 
-@query("set_difference_case", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("set_difference_case", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def set_difference_case(spark, sf):
-    return s.read(spark, sf, "customer").select(F.col("c_custkey").alias("k")).subtract(s.read(spark, sf, "orders").select("o_custkey"))
+    return s.read(spark, sf, "customer").select(F.col("c_custkey").alias("k")).subtract(s.read(spark, sf, "orders").where("o_orderstatus = 'P'").select("o_custkey"))
 
 
 @query("set_intersect_values", "SELECT c_custkey AS k FROM customer INTERSECT SELECT s_suppkey FROM supplier")

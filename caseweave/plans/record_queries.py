@@ -27,17 +27,17 @@ def rule_repeated_recipient(spark, sf):
 
 
 @query("rule_recurring_identifier", f"""
-WITH {OCCURRENCES_SQL} SELECT 0 AS case_id, 'RECURRING_IDENTIFIER' AS rule, 'HIGH' AS severity, 'email:' || key AS key FROM occ WHERE entity_type = 'email' GROUP BY key HAVING count(*) >= 3
+WITH {s.SHARED_SQL} SELECT 0 AS case_id, 'RECURRING_IDENTIFIER' AS rule, 'HIGH' AS severity, 'email:' || key AS key FROM occ WHERE entity_type = 'email' GROUP BY key HAVING count(*) >= 3
 """)
 def rule_recurring_identifier(spark, sf):
-    return rules.recurring_identifier(s.occurrences(spark, sf).withColumn("case_id", F.lit(0)))
+    return rules.recurring_identifier(s.shared_occurrences(spark, sf).withColumn("case_id", F.lit(0)))
 
 
 @query("rule_recurring_identifier_occurrences", f"""
-WITH {OCCURRENCES_SQL} SELECT 0 AS case_id, 'RECURRING_IDENTIFIER_OCCURRENCES' AS rule, 'HIGH' AS severity, 'email:' || key AS key FROM occ WHERE entity_type = 'email' GROUP BY key HAVING count(DISTINCT evidence_id) >= 3
+WITH {s.SHARED_SQL} SELECT 0 AS case_id, 'RECURRING_IDENTIFIER_OCCURRENCES' AS rule, 'HIGH' AS severity, 'email:' || key AS key FROM occ WHERE entity_type = 'email' GROUP BY key HAVING count(DISTINCT evidence_id) >= 3
 """)
 def rule_recurring_identifier_occurrences(spark, sf):
-    return rules.recurring_identifier_occurrences(s.occurrences(spark, sf).withColumn("case_id", F.lit(0)))
+    return rules.recurring_identifier_occurrences(s.shared_occurrences(spark, sf).withColumn("case_id", F.lit(0)))
 
 
 @query("rule_phishing_link", """
@@ -210,9 +210,9 @@ def sink_upsert(spark, sf):
     return resolve.upsert(old, new, "c_custkey", F.col("c_mktsegment") == "BUILDING").select("c_custkey", "c_acctbal")
 
 
-@query("sink_idempotent_insert", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("sink_idempotent_insert", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0)")
 def sink_idempotent_insert(spark, sf):
-    c, o = s.read(spark, sf, "customer").select("c_custkey"), s.read(spark, sf, "orders")
+    c, o = s.read(spark, sf, "customer").select("c_custkey"), s.read(spark, sf, "orders").where("o_orderkey % 3 = 0")
     return resolve.insert_new(o.select(F.col("o_custkey").alias("c_custkey")), c.unionByName(c), "c_custkey")
 
 

@@ -150,6 +150,17 @@ OCCURRENCES_SQL = """occ AS (
 )"""
 
 
+def shared_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """occurrences whose addresses are those of a host's desk, so that documents and cases share them."""
+    desk = F.concat(F.lit("desk@"), F.substring_index("key", "@", -1))
+    return occurrences(spark, sf_dir).withColumn("key", F.when(F.col("entity_type") == "email", desk).otherwise(F.col("key"))).distinct()
+
+
+SHARED_SQL = OCCURRENCES_SQL.replace("occ AS (", "every AS (", 1) + """, occ AS (
+  SELECT DISTINCT case_id, evidence_id, entity_type, CASE WHEN entity_type = 'email' THEN 'desk@' || split_part(key, '@', 2) ELSE key END AS key, confidence FROM every
+)"""
+
+
 FIRST_NAMES, LAST_NAMES = ("Asha", "Ravi", "Meera", "Yash", "Priya"), ("Rao", "Kumar", "Sharma", "Gupta")
 
 

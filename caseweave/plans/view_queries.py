@@ -53,13 +53,13 @@ def findings_openable(spark, sf):
 
 
 @query("cross_case_confidence", f"""
-WITH {OCCURRENCES_SQL}, o AS (SELECT case_id, entity_type, key, min(quality) = 1 AS ok FROM occ JOIN labels ON doc_id = evidence_id GROUP BY 1, 2, 3)
+WITH {s.SHARED_SQL}, o AS (SELECT case_id, entity_type, key, min(quality) = 1 AS ok FROM occ JOIN labels ON doc_id = evidence_id GROUP BY 1, 2, 3)
 SELECT a.case_id, b.case_id AS linked_case, a.key, CASE WHEN a.ok AND b.ok THEN 'high' ELSE 'medium' END AS confidence
 FROM o a JOIN o b ON a.entity_type = b.entity_type AND a.key = b.key AND a.case_id <> b.case_id
 """)
 def cross_case_confidence(spark, sf):
     """High where both sides are reviewed."""
-    o = s.occurrences(spark, sf).join(s.read(spark, sf, "labels"), F.col("evidence_id") == F.col("doc_id"))
+    o = s.shared_occurrences(spark, sf).join(s.read(spark, sf, "labels"), F.col("evidence_id") == F.col("doc_id"))
     o = o.groupBy("case_id", "entity_type", "key").agg((F.min("quality") == 1).alias("ok"))
     links = joins.cross_case(o)
     side = lambda c, name: o.select(F.col("case_id").alias(c), "entity_type", "key", F.col("ok").alias(name))
