@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores
-from ..operators import facts, graph, integrity, joins, rollups, rules, temporal, textindex
+from ..operators import casereads, facts, graph, integrity, joins, rollups, rules, temporal, textindex
 from ..operators.lineage import shared_checkpoint
 from ..sources import files
 from . import evidence_queries, fact_queries, more_queries, view_queries  # noqa: F401  their SQL is restated
@@ -530,13 +530,15 @@ UNION ALL SELECT 'edge', 'documents', doc_id::VARCHAR, o_orderkey::VARCHAR FROM
 def lineage_graph(spark, sf):
     """Nodes with their owner, and the four kinds of edges between evidence, entities, events and transactions."""
     d, o, e, c = (s.read(spark, sf, t) for t in ("documents", "orders", "events", "customer"))
-    row = lambda df, part, kind, a, b: df.select(F.lit(part).alias("part"), F.lit(kind).alias("kind"), F.col(a).cast("string").alias("id"), F.col(b).cast("string").alias("other"))
-    parts = [
-        row(d, "node", "evidence", "doc_id", "source"), row(o, "node", "transaction", "o_orderkey", "o_custkey"), row(e, "node", "event", "event_id", "user_id"), row(c, "node", "entity", "c_custkey", "c_nationkey"),
-        row(e.join(d.select("doc_id"), F.col("user_id") == F.col("doc_id")), "edge", "produced", "doc_id", "event_id"), row(e.join(c, F.col("user_id") == F.col("c_custkey")), "edge", "mentioned_in", "c_custkey", "event_id"),
-        row(o.join(d.select("doc_id"), F.col("o_custkey") == F.col("doc_id")), "edge", "documents", "doc_id", "o_orderkey"), row(e.join(o, F.col("event_id") == F.col("o_orderkey")), "edge", "records", "event_id", "o_orderkey"),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    node = lambda df, i, owner: df.select(F.col(i).alias("id"), F.col(owner).cast("string").alias("owner"))
+    edge = lambda df, a, b: df.select(F.col(a).alias("source"), F.col(b).alias("target"))
+    nodes = {"evidence": node(d, "doc_id", "source"), "transaction": node(o, "o_orderkey", "o_custkey"), "event": node(e, "event_id", "user_id"), "entity": node(c, "c_custkey", "c_nationkey")}
+    ids = d.select("doc_id")
+    edges = {
+        "produced": edge(e.join(ids, F.col("user_id") == F.col("doc_id")), "doc_id", "event_id"), "mentioned_in": edge(e.join(c, F.col("user_id") == F.col("c_custkey")), "c_custkey", "event_id"),
+        "documents": edge(o.join(ids, F.col("o_custkey") == F.col("doc_id")), "doc_id", "o_orderkey"), "records": edge(e.join(o, F.col("event_id") == F.col("o_orderkey")), "event_id", "o_orderkey"),
+    }
+    return casereads.lineage_graph(nodes, edges)
 
 
 # Case reads
@@ -672,13 +674,12 @@ SELECT *, round(hit / want, 4) AS recall, CASE WHEN entity_type = 'email' THEN r
 """)
 def benchmark_prf(spark, sf):
     """Recall by type; precision and F1 only for types whose truth is exhaustive (here: e-mail)."""
+    key = lambda kind: [F.col("evidence_id"), kind.alias("entity_type"), F.lit("").alias("key")]
     occ = s.occurrences(spark, sf)
-    found = occ.where("evidence_id % 10 <> 0 OR entity_type = 'ip'").select(F.col("evidence_id").alias("d"), F.col("entity_type").alias("t"), F.lit(1).alias("f")).distinct()
-    truth = s.read(spark, sf, "documents").where(F.col("text").contains("@")).select(F.col("doc_id").alias("d"), F.lit("email").alias("t"), F.lit(1).alias("g"))
-    truth = truth.unionByName(occ.where("entity_type = 'ip' AND evidence_id % 4 <> 0").select(F.col("evidence_id").alias("d"), F.lit("ip").alias("t"), F.lit(1).alias("g")).distinct())
-    n = found.join(truth, ["d", "t"], "full_outer").groupBy(F.col("t").alias("entity_type")).agg(F.count_if(F.expr("f = 1 AND g = 1")).alias("hit"), F.count("g").alias("want"), F.count("f").alias("got"))
-    whole = F.col("entity_type") == "email"
-    return n.select("*", F.round(F.col("hit") / F.col("want"), 4).alias("recall"), F.when(whole, F.round(F.col("hit") / F.col("got"), 4)).alias("precision"), F.when(whole, F.round(2 * F.col("hit") / (F.col("want") + F.col("got")), 4)).alias("f1"))
+    found = occ.where("evidence_id % 10 <> 0 OR entity_type = 'ip'").select(*key(F.col("entity_type")))
+    mails = s.read(spark, sf, "documents").where(F.col("text").contains("@")).withColumnRenamed("doc_id", "evidence_id")
+    truth = mails.select(*key(F.lit("email"))).unionByName(occ.where("entity_type = 'ip' AND evidence_id % 4 <> 0").select(*key(F.lit("ip"))))
+    return casereads.benchmark_prf(found, truth, ("email",))
 
 
 @query("set_class_difference", f"""
@@ -692,9 +693,8 @@ def set_class_difference(spark, sf):
     called = s.relations(spark, sf).where("status <> 'rejected' AND relation_type = 'CALLED'").select(F.col("subject").alias("_s")).distinct()
     c = s.read(spark, sf, "customer").join(called, F.concat(F.lit("C"), k.cast("string")) == F.col("_s"), "left")
     present = F.array_compact(F.array(F.lit("person"), F.lit("phone"), F.when(k % 2 == 0, "vehicle"), F.when(k % 3 == 0, "location")))
-    connected = F.when(F.col("_s").isNotNull(), F.array(F.lit("person"))).otherwise(F.array().cast("array<string>"))
-    four = F.array(*map(F.lit, ("person", "vehicle", "location", "organisation")))
-    return c.select(k.alias("k"), F.array_join(F.array_sort(F.array_except(F.array_intersect(present, four), connected)), ",").alias("unreached"))
+    subjects = c.select(k.alias("k"), present.alias("present"), F.when(F.col("_s").isNotNull(), F.array(F.lit("person"))).alias("connected"))
+    return casereads.unreached_classes(subjects).select("k", "unreached")
 
 
 @query("network_snapshot", f"""
@@ -716,11 +716,8 @@ SELECT case_id, case_number, incident_start IS NOT NULL AS window_declared, coal
 """)
 def case_snapshot(spark, sf):
     """One row a case: what a report of it starts from."""
-    t = s.transactions(spark, sf).groupBy("case_id").agg(F.count("*").alias("transactions"), F.count_if(F.col("amount") >= 50000).alias("alerts"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
-    e = s.read(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("case_id")).agg(F.count("*").alias("entities"))
-    out = s.cases(spark, sf).join(t, "case_id", "left").join(e, "case_id", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
-    return out.select("case_id", "case_number", F.col("incident_start").isNotNull().alias("window_declared"), zero("transactions"), zero("alerts"), zero("entities"), "first_at", "last_at")
+    e = s.read(spark, sf, "supplier").select(F.col("s_nationkey").alias("case_id"))
+    return casereads.case_snapshot(s.cases(spark, sf), s.transactions(spark, sf), e)
 
 
 @query("detect_type", """
@@ -759,28 +756,16 @@ SELECT node, any_value(role) AS roles, count(*) AS relations, count(DISTINCT evi
   (SELECT string_agg(relation_type, ',' ORDER BY n DESC, relation_type) FROM k WHERE k.node = e.node AND r <= 3) AS kinds FROM e GROUP BY node
 """)
 def entity_summary(spark, sf):
-    """All statuses, rejected ones too, as the summary reads them: roles, sources, the three commonest kinds, the first strongest
-    relation."""
-    r = s.relations(spark, sf)
-    sides = F.array(F.struct(F.col("subject").alias("node"), F.lit("subject").alias("role")), F.struct(F.col("object").alias("node"), F.lit("object").alias("role")))
-    e = r.select(F.explode(sides).alias("x"), "id", "relation_type", "confidence", "evidence_id").select("x.*", "id", "relation_type", "confidence", "evidence_id")
-    k = e.groupBy("node", "relation_type").count().groupBy("node").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("n"), "relation_type"))), 1, 3).alias("k"))
-    k = k.select(F.col("node").alias("_n"), F.array_join(F.transform("k", lambda x: x["relation_type"]), ",").alias("kinds"))
-    a = e.groupBy("node").agg(
-        F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), F.count("*").alias("relations"), F.count_distinct("evidence_id").alias("sources"),
-        F.min(F.struct((-F.col("confidence")).alias("less"), "id"))["id"].alias("strongest"),
-    )
-    return a.join(k, F.col("node") == F.col("_n")).drop("_n")
+    """All statuses, rejected ones too, as the summary reads them."""
+    return casereads.entity_summary(s.relations(spark, sf))
 
 
 @query("claims", """
 SELECT p_partkey AS claim_id, count(l_orderkey) AS sources, count(DISTINCT l_suppkey) AS parties, CASE WHEN count(l_orderkey) = 0 THEN 'unsupported' WHEN bool_or(l_returnflag = 'R') AND bool_or(l_returnflag = 'A') THEN 'contradicted' ELSE 'supported' END AS status
-FROM part LEFT JOIN lineitem ON l_partkey = p_partkey AND l_linenumber = 1 GROUP BY 1
+FROM part LEFT JOIN lineitem ON l_partkey = p_partkey GROUP BY 1
 """)
 def claims(spark, sf):
     """Claims with their source links; sources that say opposite things contradict."""
-    links = s.read(spark, sf, "lineitem").where("l_linenumber = 1")
-    said = lambda f: F.coalesce(F.bool_or(F.col("l_returnflag") == f), F.lit(False))
-    n = s.read(spark, sf, "part").join(links, F.col("p_partkey") == F.col("l_partkey"), "left").groupBy(F.col("p_partkey").alias("claim_id"))
-    status = F.when(F.count("l_orderkey") == 0, "unsupported").when(said("R") & said("A"), "contradicted").otherwise("supported")
-    return n.agg(F.count("l_orderkey").alias("sources"), F.count_distinct("l_suppkey").alias("parties"), status.alias("status"))
+    stance = F.when(F.col("l_returnflag") == "R", "supports").when(F.col("l_returnflag") == "A", "opposes")
+    links = s.read(spark, sf, "lineitem").select(F.col("l_partkey").alias("claim_id"), F.col("l_orderkey").alias("source_id"), F.col("l_suppkey").alias("party"), stance.alias("stance"))
+    return casereads.claims(s.read(spark, sf, "part").select(F.col("p_partkey").alias("claim_id")), links)

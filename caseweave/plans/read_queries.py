@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import canonical
-from ..operators import graph, integrity, ocr, reads, resolve, rollups
+from ..operators import casereads, graph, integrity, ocr, reads, resolve, rollups
 from ..operators.lineage import shared_checkpoint
 from . import standins as s
 from .case_queries import LABELS_SQL, _EDGE_ENDS
@@ -200,10 +200,7 @@ SELECT entity_type, key, count(*) AS n_cases, string_agg(case_id, ',' ORDER BY c
 def profile_other_cases(spark, sf):
     """Among the cases that the reader may see; src1 is closed to them."""
     o = s.occurrences(spark, sf)
-    seen = o.select("case_id").distinct().where("case_id <> 'src1'")
-    o = o.join(seen, "case_id", "left_semi").select("case_id", "entity_type", "key").distinct()
-    n = o.groupBy("entity_type", "key").agg(F.count("*").alias("n_cases"), F.array_join(F.array_sort(F.collect_set("case_id")), ",").alias("cases"))
-    return n.where("n_cases > 1")
+    return casereads.profile_other_cases(o, o.select("case_id").distinct().where("case_id <> 'src1'"))
 
 
 # Reports
@@ -252,10 +249,8 @@ def export_findings(spark, sf):
     """The findings in the JSON of each case's latest report version, one row each."""
     o = s.read(spark, sf, "orders").where("o_orderstatus <> 'P'")
     one = F.struct(F.col("o_orderkey").alias("finding"), F.concat(F.lit("statement "), F.col("o_orderkey").cast("string")).alias("statement"))
-    versions = o.groupBy(F.col("o_custkey").alias("case_id"), (F.col("o_orderkey") % 3).alias("version")).agg(F.to_json(F.collect_list(one)).alias("findings"))
-    best = versions.groupBy("case_id").agg(F.max_by(F.struct("version", "findings"), "version").alias("b"))
-    rows = F.explode(F.from_json("b.findings", "array<struct<finding:long,statement:string>>"))
-    return best.select("case_id", F.col("b.version").alias("version"), rows.alias("x")).select("case_id", "version", "x.*")
+    reports = o.groupBy(F.col("o_custkey").alias("case_id"), (F.col("o_orderkey") % 3).alias("version")).agg(F.to_json(F.collect_list(one)).alias("findings"))
+    return casereads.export_findings(reports, "struct<finding:long,statement:string>")
 
 
 @query("redact_nested", """
@@ -284,13 +279,10 @@ WITH a AS (SELECT 'src' || (user_id % 10) AS source, count(*) AS audit, max(even
 SELECT source, count(*) AS evidence, count(text) AS hashes, max(doc_id) AS latest, arg_max(sha256(text), doc_id) AS head, coalesce(any_value(audit), 0) AS audit, coalesce(any_value(receipts), 0) AS receipts, any_value(receipt) AS latest_receipt FROM documents LEFT JOIN a USING (source) GROUP BY 1
 """)
 def trustify_summary(spark, sf):
-    e = s.read(spark, sf, "events").groupBy(F.concat(F.lit("src"), (F.col("user_id") % 10).cast("string")).alias("source")).agg(
-        F.count("*").alias("audit"), F.count_if(F.col("event_type") == "purchase").alias("receipts"), F.max(F.when(F.col("event_type") == "purchase", F.col("event_id"))).alias("latest_receipt")
-    )
-    d = s.read(spark, sf, "documents").select("source", "doc_id", F.sha2("text", 256).alias("h"))
-    n = d.groupBy("source").agg(F.count("*").alias("evidence"), F.count("h").alias("hashes"), F.max("doc_id").alias("latest"), F.max_by("h", "doc_id").alias("head"))
-    zero = F.lit(0).cast("long")
-    return n.join(e, "source", "left").withColumns({"audit": F.coalesce("audit", zero), "receipts": F.coalesce("receipts", zero)})
+    case_of = F.concat(F.lit("src"), (F.col("user_id") % 10).cast("string"))
+    audit = s.read(spark, sf, "events").select(case_of.alias("case_id"), F.col("event_id").alias("audit_id"), (F.col("event_type") == "purchase").alias("is_receipt"))
+    evidence = s.read(spark, sf, "documents").select(F.col("source").alias("case_id"), F.col("doc_id").alias("evidence_id"), F.sha2("text", 256).alias("sha256"))
+    return casereads.trustify_summary(evidence, audit).withColumnRenamed("case_id", "source")
 
 
 @query("case_health", f"""
@@ -299,11 +291,7 @@ SELECT case_id, count(*) FILTER (status = 'F') AS completed, count(*) FILTER (st
   count(*) FILTER (at IS NULL) AS untimed, coalesce(any_value(contradictions), 0) AS contradictions FROM txns LEFT JOIN x USING (case_id) GROUP BY 1
 """)
 def case_health(spark, sf):
-    t = s.transactions(spark, sf)
-    n = lambda cond, name: F.count_if(F.expr(cond)).alias(name)
-    against = t.groupBy("case_id", "sender", "receiver").agg(F.count_distinct("status").alias("n")).where("n > 1").groupBy("case_id").agg(F.count("*").alias("contradictions"))
-    out = t.groupBy("case_id").agg(n("status = 'F'", "completed"), n("status = 'P'", "failed"), n("amount >= 450000 AND status = 'O'", "open_alerts"), n("at IS NULL", "untimed"))
-    return out.join(against, "case_id", "left").withColumn("contradictions", F.coalesce("contradictions", F.lit(0).cast("long")))
+    return casereads.case_health(s.transactions(spark, sf), 450_000)
 
 
 # Questions
@@ -379,14 +367,9 @@ FROM (SELECT DISTINCT user_id FROM events WHERE event_id % 4 <> 1) u, st LEFT JO
 """)
 def evidence_stages(spark, sf):
     """Runs put on the nine stages in order; a stage without a run is pending, the last one reached is current."""
-    e = s.read(spark, sf, "events").where("event_id % 4 <> 1").select("user_id", (F.col("event_id") % 9).cast("int").alias("p"), "event_type", "ts", "event_id")
-    n = e.groupBy("user_id", "p").agg(F.count("*").alias("runs"), F.max_by("event_type", F.struct("ts", "event_id")).alias("state"))
-    byuser = n.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("p", F.struct("runs", "state")))).alias("m"), F.max("p").alias("last"))
-    rows = F.explode(F.array(*(F.struct(F.lit(i).alias("place"), F.lit(x).alias("stage")) for i, x in enumerate(STAGES))))
-    at = F.try_element_at("m", F.col("x.place"))
-    return byuser.select("user_id", "m", "last", rows.alias("x")).select(
-        "user_id", "x.place", "x.stage", F.coalesce(at["state"], F.lit("pending")).alias("state"), F.coalesce(at["runs"], F.lit(0).cast("long")).alias("attempts"), (F.col("x.place") == F.col("last")).alias("current")
-    )
+    e = s.read(spark, sf, "events").where("event_id % 4 <> 1")
+    runs = e.select("user_id", (F.col("event_id") % 9).cast("int").alias("place"), F.col("event_type").alias("state"), F.col("ts").alias("at"), F.col("event_id").alias("run_id"))
+    return casereads.evidence_stages(runs, "user_id", STAGES)
 
 
 # Identities
