@@ -14,6 +14,7 @@ import hashlib
 import re
 import secrets
 import unicodedata
+from bisect import bisect_left
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -34,7 +35,10 @@ _TITLE = "|".join(sorted(map(re.escape, TITLES), key=len, reverse=True))
 PATTERN = re.compile(
     rf"""(?P<email>(?<![\w.%+-])[\w][\w.%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{{2,}})
     |(?P<hex>(?<![A-Za-z0-9])(?=[0-9A-Fa-f]*\d)(?=[0-9A-Fa-f]*[A-Fa-f])[0-9A-Fa-f]{{32,}}(?![A-Za-z0-9]))
-    |(?P<key>(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{{16}}|sk-[A-Za-z0-9]{{20,}}|gh[pousr]_[A-Za-z0-9]{{30,}})(?![A-Za-z0-9]))
+    |(?P<key>(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{{16}}|sk-[A-Za-z0-9]{{20,}}|gh[pousr]_[A-Za-z0-9]{{30,}}|AIza[A-Za-z0-9_-]{{35}}
+        |xox[abprs]-[A-Za-z0-9-]{{10,}}|eyJ[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}}\.[A-Za-z0-9_-]{{10,}})(?![A-Za-z0-9]))
+    |(?<![A-Za-z0-9])(?i:password|passwd|pwd|secret|(?:api|access|secret)[_-]?key|(?:auth|access)[_-]?token)[ \t]*[:=][ \t]*["']?(?P<secret>(?=[^\s"'<>,;]*\d)[^\s"'<>,;]{{6,}})
+    |(?<![A-Za-z0-9])(?i:passport)(?i:[ \t]+(?:no|number))?\.?[ \t]*[:\#]?[ \t]*(?P<passport>[A-Z]{{1,2}}\d{{6,8}})(?![A-Za-z0-9])
     |(?P<iban>(?<![A-Za-z0-9])[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?![A-Za-z0-9]))
     |(?P<ip>(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d))
     |(?P<phone>(?<![\d+])(?:\+?\d{{1,3}}[ .-]?)?\(\d{{2,4}}\)[ .-]?\d{{3,4}}[ .-]?\d{{4}}(?!\d)
@@ -47,7 +51,8 @@ PATTERN = re.compile(
 #: What every match holds, for Arrow's linear-time matcher; texts without it are passed on unread.
 HINT = (
     r"@|\+\p{Nd}|\(\p{Nd}{2,4}\)|\p{Nd}{3}[.-]\p{Nd}{2,3}[.-]\p{Nd}{4}|\p{Nd}\.\p{Nd}{1,3}\.\p{Nd}|[A-Z]{2}\p{Nd}{2} ?[A-Z0-9]{4}"
-    r"|\p{Nd}(?:[ -]?\p{Nd}){12}|[0-9A-Fa-f]{32}|AKIA|sk-|gh[pousr]_|(?:^|[^\p{L}])(?i:" + _TITLE.replace(r"\-", "-") + r")(?:\.|[ \t])"
+    r"|\p{Nd}(?:[ -]?\p{Nd}){12}|[0-9A-Fa-f]{32}|AKIA|sk-|gh[pousr]_|AIza|xox[abprs]-|eyJ"
+    r"|(?i:password|passwd|pwd|secret|api[_-]?key|access[_-]?key|token|passport)|(?:^|[^\p{L}])(?i:" + _TITLE.replace(r"\-", "-") + r")(?:\.|[ \t])"
 )
 
 DIGITS, LOWER, HEX = "0123456789", "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef"
@@ -67,7 +72,7 @@ SYLLABLES = {
 FEMALE = ("a", "а", "я", "α", "η", "ה", "ة")
 #: Country calling codes of one and of two digits; all others have three.
 SHORT_CODES = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
-PREFIX = re.compile(r"AKIA|sk-|gh[pousr]_")
+PREFIX = re.compile(r"AKIA|sk-|gh[pousr]_|AIza|xox[abprs]-|eyJ|")
 _FOUND = "array<struct<s:int,e:int,kind:string,value:string,gender:string>>"
 
 
@@ -282,12 +287,16 @@ def entities(text: str, country: str = "1") -> list[tuple[int, int, str, str, st
             for t in re.finditer(r"\S+", m.group("name")):
                 names.setdefault(t.group(), gender)
                 out.append((m.start("name") + t.start(), m.start("name") + t.end(), "name", t.group().lower(), gender))
+        elif m.lastgroup in ("secret", "passport"):  # what a label says; the label stays
+            out.append((*m.span(m.lastgroup), "key", canonical("key", m.group(m.lastgroup)), None))
         elif m.lastgroup != "card" or is_card(_ascii(m.group())):
             out.append((m.start(), m.end(), m.lastgroup, canonical(m.lastgroup, m.group(), country), None))
     if names:  # later mentions without a title
-        taken = [(s, e) for s, e, *_ in out]
+        taken = sorted((s, e) for s, e, *_ in out)
+        begins = [s for s, _ in taken]
         for m in re.finditer(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, names), key=len, reverse=True)) + r")(?!\w)", text):
-            if not any(s < m.end() and m.start() < e for s, e in taken):
+            at = bisect_left(begins, m.end())  # spans don't overlap, so the one before the end decides
+            if not at or taken[at - 1][1] <= m.start():
                 out.append((m.start(), m.end(), "name", m.group().lower(), names[m.group()]))
     return sorted(out)
 

@@ -148,3 +148,24 @@ def test_keys_without_digits_and_other_scripts_are_replaced(spark):
         assert len(found) > 1 or got[i].text[found[0][0] :] != text[found[0][0] :]
     assert "王" not in got[3].text and "小明" not in got[8].text
     assert all(r.surrogate != r.value for r in table.collect())
+
+
+def test_tokens_labelled_secrets_and_passports():
+    jwt, slack = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTYifQ.abcDEF_ghi-jklMNO12", "xoxb-1234567890-abcdefghij"
+    text = f"password: hunter2x and api_key='A1b2C3d4E5' jwt {jwt} slack {slack} Passport No: K1234567, the secret: nobody knows. token 5"
+    found = pii.entities(text)
+    assert [(text[s:e], k) for s, e, k, *_ in found] == [(x, "key") for x in ("hunter2x", "A1b2C3d4E5", jwt, slack, "K1234567")]
+    for _, _, kind, value, _ in found:
+        other = pii.successor(kind, value, b"k" * 32)
+        assert other != value and len(other) == len(value) and [c.isdigit() for c in other] == [c.isdigit() for c in value]
+        assert [c for c in other if not c.isalnum()] == [c for c in value if not c.isalnum()]
+    assert pii.successor("key", jwt, b"k" * 32).startswith("eyJ") and hinted([text, "plain words"]) == [True, False]
+
+
+def test_later_mentions_take_linear_time():
+    import time
+
+    text = "Mr Ann Bo " + "Ann met Bo on 10.1.2.3. " * 20_000
+    began = time.process_time()
+    found = pii.entities(text)
+    assert len(found) == 2 + 60_000 and time.process_time() - began < 20
