@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..operators import facts, upkeep
 from ..operators.lineage import shared_path
-from ..sources import evidence, files, splits, store
+from ..sources import evidence, files, sinks, splits, store
 from ..sources import vocabulary as v
 from . import standins as s
 from .standins import query
@@ -292,3 +292,78 @@ def upkeep_alerts(spark, sf):
     for b in (0, 1, 1, 2):
         kept.apply(units.where(F.col("b") == b), f"b{b}")
     return kept.table("alerts").groupBy("case_id", "rule").agg(F.count("*").alias("n"))
+
+
+# --- single readers and exports
+
+
+@query("src_xlsx", f"""
+WITH {CUSTOMER_FILES_SQL} SELECT 'f' || f || '.xlsx' AS path, (n + 1)::BIGINT AS row, day AS event_time, c_acctbal AS amount, c_name AS sender, 'S' || c_custkey AS receiver, said AS narration FROM c WHERE kind = 4
+""")
+def src_xlsx(spark, sf):
+    """The rows of workbooks: numbers, shared and inline texts."""
+    u = evidence.of_files(mixed_files(spark, sf)).where("source_type = 'spreadsheet'")
+    x = lambda f: F.col("fields")[f]
+    return u.select("path", "row", x("event_time").alias("event_time"), x("amount").cast("double").alias("amount"), x("sender").alias("sender"), x("receiver").alias("receiver"), x("narration").alias("narration"))
+
+
+@query("src_tabular", f"""
+WITH {CUSTOMER_FILES_SQL} SELECT 'f' || f || '.csv' AS path, 'bank_record' AS source_type, n + 1 AS row, 'Payee' AS receiver_column, 'S' || c_custkey AS receiver, 6 AS cells FROM c WHERE kind = 0
+UNION ALL SELECT 'f' || f || '.csv', 'cdr', n + 1, 'Terminating number', 'B' || c_custkey, 5 FROM c WHERE kind = 1
+""")
+def src_tabular(spark, sf):
+    """Bank tables and call data, each by its own aliases: the column that holds the receiver, and how many cells a row has."""
+    u = evidence.of_files(mixed_files(spark, sf)).where("source_type IN ('bank_record', 'cdr')")
+    held = F.get(F.filter(F.map_entries("cells"), lambda c: c["value"] == F.col("fields")["receiver"]), F.lit(0))["key"]
+    return u.select("path", "source_type", "row", held.alias("receiver_column"), F.col("fields")["receiver"].alias("receiver"), F.size("cells").alias("cells"))
+
+
+@query("src_text", f"WITH {CUSTOMER_FILES_SQL} SELECT 'f' || f || '.txt' AS path, n AS line, c_name || ' wrote' AS text FROM c WHERE kind = 5")
+def src_text(spark, sf):
+    """The lines of notes, read whole."""
+    return files.lines(mixed_files(spark, sf).where("path LIKE '%.txt' AND NOT contains(CAST(content AS STRING), 'sent ')")).select("path", F.col("line").cast("long").alias("line"), "text")
+
+
+@query("src_eml", f"""
+WITH {CUSTOMER_FILES_SQL} SELECT 'f' || f || '.eml' AS path, 'a@x.io' AS sender, 'Hi' AS subject, string_agg(c_name || ' wrote' || chr(10), '' ORDER BY c_custkey) AS body, 0 AS attachments, NULL AS error FROM c WHERE kind = 3 GROUP BY f
+""")
+def src_eml(spark, sf):
+    """Mails in a character set that nobody knows: read as UTF-8, and no error."""
+    m = files.emails(mixed_files(spark, sf).where("path LIKE '%.eml'"))
+    return m.select("path", F.col("headers")["From"].alias("sender"), F.col("headers")["Subject"].alias("subject"), "body", F.size("attachments").alias("attachments"), "error")
+
+
+@query("src_eml_grounded", f"""
+WITH {CUSTOMER_FILES_SQL} SELECT DISTINCT 'f' || f || '.eml' AS path, 'a@x.io' AS sender, 'b@x.io' AS receiver, TIMESTAMP '2024-03-12 15:45:00' AS at, 'a@x.io,b@x.io' AS addresses FROM c WHERE kind = 3
+""")
+def src_eml_grounded(spark, sf):
+    """What the headers state goes before what the text reads like."""
+    e = files.email_facts(files.emails(mixed_files(spark, sf).where("path LIKE '%.eml'")))
+    return e.select("path", "sender", "receiver", "at", F.array_join("email_addresses", ",").alias("addresses"))
+
+
+@query("dispatch_ext", f"""
+WITH {CUSTOMER_FILES_SQL} SELECT DISTINCT 'f' || f AS name, ['csv', 'csv', 'text', 'text', 'spreadsheet', 'text', NULL][kind + 1] AS parser, kind = 4 AS zipped FROM c
+""")
+def dispatch_ext(spark, sf):
+    """The reader that a file's extension names, and whether its first bytes are an archive's."""
+    m = mixed_files(spark, sf)
+    return m.select(
+        F.substring_index("path", ".", 1).alias("name"), files.parser_of(F.substring_index("path", ".", -1)).alias("parser"), (files.sniff_mime(F.col("content")) == "application/zip").alias("zipped")
+    )
+
+
+@query("sink_export", """
+SELECT form, o_orderkey, replace(o_orderpriority, 'URGENT', 'Protected person A') || ', "x"' AS said, '["' || o_orderstatus || '","y"]' AS marks FROM orders, (SELECT unnest(['csv', 'json']) AS form)
+""")
+def sink_export(spark, sf):
+    """Orders exported as CSV and as JSON, the alias redacted, arrays encoded; read again."""
+    o = s.read(spark, sf, "orders").select("o_orderkey", F.concat("o_orderpriority", F.lit(', "x"')).alias("said"), F.array("o_orderstatus", F.lit("y")).alias("marks"))
+    out = None
+    for form in ("csv", "json"):
+        path = shared_path(spark, form)
+        sinks.export(o, path, form, alias="URGENT")
+        back = spark.read.option("header", "true").option("escape", '"').csv(path) if form == "csv" else spark.read.json(path).withColumn("marks", F.to_json("marks"))
+        back = back.select(F.lit(form).alias("form"), F.col("o_orderkey").cast("long").alias("o_orderkey"), "said", "marks")
+        out = back if out is None else out.unionByName(back)
+    return out

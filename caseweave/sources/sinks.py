@@ -29,11 +29,11 @@ def flat(rows: DataFrame) -> DataFrame:
 
 
 def export(rows: DataFrame, path: str, form: str = "csv", alias: str | None = None) -> None:
-    """Write rows as CSV with a header or as JSON lines."""
+    """Write rows as CSV with a header and doubled quotes, or as JSON lines."""
     out = redacted(rows, alias)
     if form == "json":
         out.write.mode("overwrite").json(path)
     elif form == "csv":
-        flat(out).write.mode("overwrite").option("header", "true").csv(path)
+        flat(out).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
     else:
         raise ValueError(f"unknown form {form!r}")
