@@ -144,7 +144,7 @@ def relays(df: DataFrame, width: int = RELAY_S) -> DataFrame:
     )
 
 
-DIGIT, DIGITS = 13, 4  # bits of a digit and digits of a gap in microseconds, up to 142 years
+DIGIT, DIGITS = 18, 3  # bits of a digit and digits of a gap in microseconds, up to 142 years
 
 
 def order_statistic(values: DataFrame, keys: list[str], ranks: DataFrame) -> DataFrame:
@@ -152,7 +152,7 @@ def order_statistic(values: DataFrame, keys: list[str], ranks: DataFrame) -> Dat
     ranks: keys, rank.
 
     Selection by digits: equal values are counted, counts add up to counts of their leading digits, and from the leading digit on
-    the one in which the rank falls is followed. What meets in a task are the children of one digit, 2^13 at most; no key's values
+    the one in which the rank falls is followed. What meets in a task are the children of one digit, 2^18 at most; no key's values
     are sorted."""
     levels = [values.groupBy(*keys, F.col("value").alias("prefix")).agg(F.count("*").alias("n"))]
     for _ in range(DIGITS - 1):
