@@ -25,15 +25,16 @@ def _grams_up_to(text: Column) -> Column:
 
 
 def containing(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """Rows of texts (t, ...) with the `term` that they contain; terms: term (not empty, distinct). Equi-joins alone: the grams that
-    terms ask for select the texts' grams, the rarest of each term selects its candidates."""
+    """Rows of texts (t, ...) with the `term` that they contain; terms: term (not empty, distinct). Equi-joins alone: the texts' grams
+    are counted, the rarest of each term selects its candidates. The joins sort both sides: by the size of their files the texts'
+    grams, some forty times as many rows, would pass for small enough to broadcast."""
     own = F.when(F.length("term") >= GRAM, grams(F.col("term"))).otherwise(F.array(F.col("term")))
     asked = terms.select("term", F.explode(own).alias("gram"))
-    seen = texts.select(F.explode(_grams_up_to(F.col("t"))).alias("gram")).join(asked.select("gram").distinct(), "gram", "left_semi").groupBy("gram").count()
+    seen = texts.select(F.explode(_grams_up_to(F.col("t"))).alias("gram")).groupBy("gram").count()
     # a term with a gram that no text holds is contained in none
-    known = asked.join(seen, "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "gram")).alias("g"))
+    known = asked.join(seen.hint("merge"), "gram", "left").groupBy("term").agg(F.min(F.struct(F.coalesce("count", F.lit(0)).alias("n"), "gram")).alias("g"))
     rare = known.where("g.n > 0").select("term", F.col("g.gram").alias("gram"))
-    out = texts.withColumn("gram", F.explode(_grams_up_to(F.col("t")))).join(rare, "gram")
+    out = texts.withColumn("gram", F.explode(_grams_up_to(F.col("t")))).hint("merge").join(rare, "gram")
     return out.where(F.col("t").contains(F.col("term"))).drop("gram")
 
 

@@ -48,6 +48,12 @@ def test_terms_in_names(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+def test_the_grams_of_texts_are_not_broadcast(spark, sf_dir):
+    names = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", F.lower("c_name").alias("t"))
+    found = textindex.containing(names, names.select(F.right("t", F.lit(4)).alias("term")).distinct())
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_patterns_with_and_without_an_index(spark):
     rng = random.Random(6)
     rows = [(i, "".join(rng.choice("aBc_%d") for _ in range(rng.randrange(12))), rng.choice([None, "xyz abc", "Q"])) for i in range(200)]
