@@ -175,7 +175,7 @@ def semantic_candidates(
 
 def fill_sibling(rows: DataFrame, siblings: DataFrame, fields: list[str]) -> DataFrame:
     """rows with their null `fields` filled from siblings of the same evidence whose amount lies within the tolerance; each field
-    from the first sibling by id that has it. Reviewed rows stay as they are, rows that repeat an id are told apart by amount. rows: evidence_id, amount, id, reviewed and the
+    from the first sibling by id that has it, of siblings with one id the smallest value. Reviewed rows stay as they are, rows that repeat an id are told apart by amount. rows: evidence_id, amount, id, reviewed and the
     fields; siblings: the same without reviewed."""
     open_ = F.array(*map(F.col, fields))
     needy = rows.where(~F.col("reviewed") & F.exists(open_, lambda x: x.isNull()))
@@ -183,7 +183,7 @@ def fill_sibling(rows: DataFrame, siblings: DataFrame, fields: list[str]) -> Dat
     a = needy.select(F.col("evidence_id").alias("_e"), F.col("id").alias("_i"), F.col("amount").alias("_a"), F.explode(F.array(step - 1, step, step + 1)).alias("_m"))
     b = siblings.withColumn("_s", step)
     near = a.join(b, (F.col("evidence_id") == F.col("_e")) & (F.col("_s") == F.col("_m")) & (F.abs(F.col("amount") - F.col("_a")) <= AMOUNT_TOLERANCE + 1e-9))
-    best = near.groupBy("_e", "_i", "_a").agg(*(F.min_by(f, F.when(F.col(f).isNotNull(), F.col("id"))).alias(f"_{f}") for f in fields))
+    best = near.groupBy("_e", "_i", "_a").agg(*(F.min(F.when(F.col(f).isNotNull(), F.struct("id", f))).getField(f).alias(f"_{f}") for f in fields))
     out = rows.join(best, (F.col("evidence_id") == F.col("_e")) & (F.col("id") == F.col("_i")) & (F.col("amount") == F.col("_a")) & ~F.col("reviewed"), "left")
     return out.withColumns({f: F.coalesce(f, f"_{f}") for f in fields}).select(*rows.columns)
 

@@ -54,6 +54,14 @@ def test_the_grams_of_texts_are_not_broadcast(spark, sf_dir):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_siblings_of_one_id_fill_in_any_order(spark):
+    rows = spark.createDataFrame([(1, 5.0, 1, False, None)], "evidence_id int, amount double, id int, reviewed boolean, sender int")
+    two = [(1, 5.0, 7, 30), (1, 5.01, 7, 20), (1, 5.0, 7, None), (1, 5.0, 8, 10)]
+    for order in (two, two[::-1]):
+        siblings = spark.createDataFrame(order, "evidence_id int, amount double, id int, sender int").coalesce(1)
+        assert [r.sender for r in joins.fill_sibling(rows, siblings, ["sender"]).collect()] == [20]
+
+
 def test_patterns_with_and_without_an_index(spark):
     rng = random.Random(6)
     rows = [(i, "".join(rng.choice("aBc_%d") for _ in range(rng.randrange(12))), rng.choice([None, "xyz abc", "Q"])) for i in range(200)]
