@@ -177,6 +177,29 @@ def test_contradictions_and_shared_values(spark):
     assert {(r.left, r.right, r.confidence) for r in joins.exact_matches(v).collect()} == {(1, 2, 0.9), (1, 3, 0.9), (1, 4, 0.9), (2, 3, 0.9), (2, 4, 0.9)}
 
 
+@pytest.mark.parametrize(("most", "hits"), [(65_536, 2_000_000), (40, 2_000_000), (40, 7)])
+def test_relays_of_a_busy_middle_in_blocks(spark, monkeypatch, most, hits):
+    monkeypatch.setattr(temporal, "RELAY_HITS", hits)
+    rng = random.Random(most + hits)
+    rows = [(0, i, f"u{rng.randrange(25)}", f"k{rng.randrange(2)}", T0 + dt.timedelta(minutes=30 * rng.randrange(60))) for i in range(300)]
+    rows += [(0, None, "u1", "k1", T0), (1, 900, "u2", "k1", T0), (0, 901, "u1", "u1", T0), (0, 902, "u3", "k0", None)]
+    df = spark.createDataFrame(rows, "case_id int, id int, subject string, object string, at timestamp_ntz")
+    paths = {}
+    for c, i, a, b, t in sorted((r for r in rows if r[4]), key=lambda r: (r[4], r[1] is not None, r[1])):
+        for c2, j, p, q, u in sorted((r for r in rows if r[4]), key=lambda r: (r[4], r[1] is not None, r[1])):
+            later = u > t or u == t and i is not None and j is not None and j > i
+            if c == c2 and later and (u - t).total_seconds() <= 7200 and a != b and p != q:
+                for mid, other in ((a, b), (b, a)):
+                    for mid2, other2 in ((p, q), (q, p)):
+                        if mid == mid2 and other != other2:
+                            paths.setdefault((c, other, mid, other2), (i, j, int((u - t).total_seconds() // 60)))
+    found = temporal.relays(df, most=most)
+    assert sorted((r.case_id, r.a, r.middle, r.b) for r in found.collect()) == sorted(paths)
+    assert {(r.case_id, r.a, r.middle, r.b): (r.first_id, r.second_id, r.minutes) for r in found.collect()} == paths
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert "FlatMapGroupsInArrow" in plan[0]  # hits aren't shuffled
+
+
 def test_alerts_are_idempotent(spark):
     t = spark.createDataFrame([(0, 1, 60000.0, "Bo"), (0, 2, 10.0, "bo"), (0, 3, None, None)], "case_id int, id int, amount double, receiver string")
     first = rules.evaluate(rules.high_value(t), rules.repeated_recipient(t), rules.high_value(t))
