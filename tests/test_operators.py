@@ -200,6 +200,16 @@ def test_relays_of_a_busy_middle_in_blocks(spark, monkeypatch, most, hits):
     assert "FlatMapGroupsInArrow" in plan[0]  # hits aren't shuffled
 
 
+def test_unique_alerts_meet_what_is_raised_of_their_rule(spark):
+    t = spark.createDataFrame([(0, 1, 60000.0), (0, 2, 70000.0)], "case_id int, id int, amount double")
+    high = rules.high_value(t)
+    other = rules.alert(t, "RELAY_CONTACT", "MEDIUM", F.col("id"))
+    got = rules.evaluate(high, raised=high.where("key = '1'"), unique={"RELAY_CONTACT": other})
+    assert sorted((r.rule, r.key) for r in got.collect()) == [("HIGH_VALUE_TRANSFER", "2"), ("RELAY_CONTACT", "1"), ("RELAY_CONTACT", "2")]
+    raised = other.unionByName(high)
+    assert rules.evaluate(high, raised=raised.where("key = '1'"), unique={"RELAY_CONTACT": other}).count() == 2
+
+
 def test_alerts_are_idempotent(spark):
     t = spark.createDataFrame([(0, 1, 60000.0, "Bo"), (0, 2, 10.0, "bo"), (0, 3, None, None)], "case_id int, id int, amount double, receiver string")
     first = rules.evaluate(rules.high_value(t), rules.repeated_recipient(t), rules.high_value(t))
