@@ -57,6 +57,59 @@ def test_eigenvector_by_joins_matches_the_kernel(spark, odd_edges):
     assert got == pytest.approx(want, abs=2e-6)
 
 
+@pytest.fixture(scope="module")
+def parted_edges(spark):
+    """Two cases of six random parts and a chain each."""
+    rng = random.Random(8)
+    rows = []
+    for c in (0, 1):
+        for k in range(6):
+            pairs = {tuple(sorted(rng.sample(range(100 * k, 100 * k + 9), 2))) for _ in range(14)}
+            rows += [(c, f"n{u}", f"n{v}") for u, v in sorted(pairs)]
+        rows += [(c, f"n{u}", f"n{u + 1}") for u in range(700, 708)]
+    rows = [(c, u, v, w, 1, 1, "X", 1 / w) for c, u, v in rows for w in [rng.randint(2, 10) / 10]]
+    return spark.createDataFrame(rows, "case_id int, u string, v string, weight double, observations long, n_evidence long, relation_types string, distance double").cache()
+
+
+def no_rounds(*_, **__):
+    raise AssertionError("parts that fit a kernel went by rounds")
+
+
+def test_parts_of_large_cases_go_to_kernels(spark, parted_edges, monkeypatch):
+    for name in ("blocks", "communities", "eigenvector"):
+        monkeypatch.setattr(graph.by_joins, name, no_rounds)
+    monkeypatch.setattr(graph, "far_path", no_rounds)
+    monkeypatch.setattr(graph, "BIN_EDGES", 20)
+    e, cut = parted_edges, shared_checkpoint(spark)
+    pick = lambda df: sorted((r.case_id, r.node) for r in df.where("is_cut").collect())
+    assert pick(graph.node_measures(e, cut, most_nodes=12)) == pick(graph.node_measures(e)) != []
+    pairs = lambda df: sorted((r.case_id, r.u, r.v) for r in df.collect())
+    assert pairs(graph.bridge_edges(e, cut, most_nodes=12)) == pairs(graph.bridge_edges(e)) != []
+    score = lambda df: {(r.case_id, r.node): r.score for r in df.collect()}
+    for rounds, close in ((100, 1e-5), (500, 1e-4), (3, 1e-9)):
+        assert score(graph.eigenvector(e, rounds, close, cut, 12)) == pytest.approx(score(graph.eigenvector(e, rounds, close)), abs=2e-6)
+    for a, b in (("n1", "n4"), ("n1", "n104"), ("n1", "gone"), ("gone", "lost"), ("n700", "n708")):
+        assert sorted(graph.shortest_path(e, a, b, cut, 40).collect()) == sorted(graph.shortest_path(e, a, b).collect())
+    got, kernel = graph.communities(e, cut, 12).toPandas(), graph.communities(e).toPandas()
+    for case, pdf in e.toPandas().groupby("case_id"):
+        a, b = (dict(x[x.case_id == case][["node", "community"]].values.tolist()) for x in (got, kernel))
+        assert a.keys() == b.keys() and modularity(pdf, a) > 0.95 * modularity(pdf, b)
+        assert all(a[c] == c <= x for x, c in a.items())
+
+
+def test_components_by_contraction(spark):
+    rng = random.Random(4)
+    rows = [(c, u, v) for c in (0, 1) for u, v in (rng.sample(range(60), 2) for _ in range(45))] + [(2, i, i + 1) for i in range(90, 40, -1)]
+    want = {}
+    for c, u, v in rows:
+        want.setdefault((c, u), {u}), want.setdefault((c, v), {v})
+        both = want[c, u] | want[c, v]
+        for x in both:
+            want[c, x] = both
+    got = graph.node_components(spark.createDataFrame(rows, "case_id int, u int, v int"), shared_checkpoint(spark)).collect()
+    assert sorted((r.case_id, r.node, r.component) for r in got) == sorted((c, x, min(s)) for (c, x), s in want.items())
+
+
 def modularity(pdf, label):
     total, inner, tot = 2 * pdf.weight.sum(), 0.0, {}
     for u, v, w in zip(pdf.u, pdf.v, pdf.weight):
