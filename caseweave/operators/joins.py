@@ -52,10 +52,20 @@ def matchable(entities: DataFrame) -> DataFrame:
 
 def prior_records(entities: DataFrame, priors: DataFrame) -> DataFrame:
     """Each entity's prior records, the newest first (`rank`); an entity without a key is not looked up. entities: entity_id,
-    entity_type, key; priors: identifier_type, identifier_value, record_reference, registered_on."""
+    entity_type, key; priors: identifier_type, identifier_value, record_reference, registered_on.
+
+    The records of a value are ranked once, before they meet its entities: pairs, which are the result, are neither shuffled nor
+    sorted. Only the pairs of an entity that has several rows are ranked as pairs."""
     on = (F.col("entity_type") == F.col("identifier_type")) & (F.col("key") == F.col("identifier_value"))
-    w = Window.partitionBy("entity_id").orderBy(F.desc_nulls_first("registered_on"), "record_reference")
-    return entities.where("key IS NOT NULL").join(priors, on).withColumn("rank", F.row_number().over(w)).select("entity_id", "record_reference", "registered_on", "rank")
+    order = (F.desc_nulls_first("registered_on"), F.asc("record_reference"))
+    out = ("entity_id", "record_reference", "registered_on", "rank")
+    # few bytes of entities can have very many pairs: they are dealt out by number, not by size
+    dealt = entities.where("key IS NOT NULL").repartition(4 * entities.sparkSession.sparkContext.defaultParallelism, "entity_id")
+    held = dealt.withColumn("_n", F.count("*").over(Window.partitionBy("entity_id")))
+    ranked = priors.withColumn("rank", F.row_number().over(Window.partitionBy("identifier_type", "identifier_value").orderBy(*order)))
+    one = held.where("_n = 1").join(ranked, on).select(*out)
+    several = held.where("_n > 1").join(priors, on).withColumn("rank", F.row_number().over(Window.partitionBy("entity_id").orderBy(*order)))
+    return one.unionByName(several.select(*out))
 
 
 def correlate(*candidates: DataFrame) -> DataFrame:

@@ -85,3 +85,18 @@ def test_json_texts(spark):
     texts = ["", "plain ASCII ~", 'quote " and \\', "line\n", "end\n", "tab\t\r\b\f", "é漢\U0001f600", "\x00\x1f\x7f", None]
     got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", integrity.json_text(F.col("t")).alias("j")).collect()
     assert [r.j for r in sorted(got, key=lambda r: r.i)] == [json.dumps(t) for t in texts]
+
+
+def test_prior_records_are_ranked_before_they_meet_entities(spark):
+    """Ranks of one and of several rows of an entity, and no sort over the pairs."""
+    from caseweave.operators import joins
+
+    e = spark.createDataFrame([(1, "phone", "a"), (2, "phone", "a"), (3, "phone", "a"), (3, "email", "b"), (4, "phone", None)], "entity_id int, entity_type string, key string")
+    rows = [("phone", "a", "x", "2020-01-02"), ("phone", "a", "y", None), ("phone", "a", "w", "2020-01-02"), ("email", "b", "z", "2021-01-01")]
+    p = spark.createDataFrame(rows, "identifier_type string, identifier_value string, record_reference string, registered_on string")
+    out = joins.prior_records(e, p)
+    got = sorted((r.entity_id, r["rank"], r.record_reference) for r in out.collect())
+    assert got == [(1, 1, "y"), (1, 2, "w"), (1, 3, "x"), (2, 1, "y"), (2, 2, "w"), (2, 3, "x"), (3, 1, "y"), (3, 2, "z"), (3, 3, "w"), (3, 4, "x")]
+    # the records' own ranks are among the windows: by their value, not by the entity
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number() windowspecdefinition(identifier_type" in plan
