@@ -106,7 +106,7 @@ SELECT case_id, u, v, m > 40 AS truncated FROM x WHERE r <= 40
 """)
 def ego_subgraph_cut(spark, sf):
     """At most 40 edges a case, the surest first, and whether there were more."""
-    e = graph.ego_subgraph(graph.build_edges(s.relations(spark, sf)), "S3")
+    e = graph.ego_subgraph(s.edges(spark, sf), "S3")
     n = e.groupBy(F.col("case_id").alias("_c")).agg((F.count("*") > 40).alias("truncated"))
     top = rollups.top_per(e, ["case_id"], [F.desc("weight"), F.asc("u"), F.asc("v")], 40)
     return top.join(n, F.col("case_id") == F.col("_c")).select("case_id", "u", "v", "truncated")
@@ -132,7 +132,7 @@ def focus_graph_parts(spark, sf):
 def requisition_draft(spark, sf):
     """With the load-bearing ends first; which edges those are, SQL can't restate (see requisition_draft_plain)."""
     r = s.relations(spark, sf)
-    return reads.requisitions(r, graph.bridge_edges(graph.build_edges(r), shared_checkpoint(spark)))
+    return reads.requisitions(r, graph.bridge_edges(graph.build_edges(r, parts=s.parts(spark, sf, "lineitem")), shared_checkpoint(spark)))
 
 
 @query("requisition_draft_plain", f"""
@@ -154,7 +154,7 @@ a AS (SELECT node, other, sum(observations)::BIGINT AS observations, list_sort(l
 SELECT node, other, observations, array_to_string(k, ',') AS kinds, rank FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY observations DESC, other)::INT AS rank FROM a) WHERE rank <= 9
 """)
 def related_rollup(spark, sf):
-    e = graph.ends(graph.build_edges(s.relations(spark, sf)))
+    e = graph.ends(s.edges(spark, sf))
     a = e.groupBy("node", "other").agg(F.sum("observations").alias("observations"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.split("relation_types", ","))))), ",").alias("kinds"))
     return rollups.top_per(a, ["node"], [F.desc("observations"), F.asc("other")], 9)
 
