@@ -100,3 +100,16 @@ def test_prior_records_are_ranked_before_they_meet_entities(spark):
     # the records' own ranks are among the windows: by their value, not by the entity
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert "row_number() windowspecdefinition(identifier_type" in plan
+
+
+def test_connections_and_edges_are_summed_in_given_parts(spark):
+    """Both ends, relations to oneself and to none, repeated and missing evidence; the number of tasks is the caller's."""
+    from caseweave.operators import graph
+
+    rows = [(1, "a", "b", "e1", 0.5, "X", "ok"), (1, "b", "a", "e1", 0.9, "Y", "ok"), (1, "a", "b", "e2", 0.1, "X", "ok"), (1, "a", "b", None, 0.2, "X", "ok"), (1, "c", "c", "e3", 0.4, "X", "ok"), (1, "a", None, "e4", 0.3, "X", "ok")]
+    r = spark.createDataFrame(rows, "case_id int, subject string, object string, evidence_id string, confidence double, relation_type string, status string")
+    for n in (None, 3):
+        got = sorted(((r.node or "", r.other or "", r.confidence, r.observations, r.n_evidence) for r in graph.profile_connections(r, n).collect()))
+        assert got == [("", "a", 0.3, 1, 1), ("a", "", 0.3, 1, 1), ("a", "b", 0.9, 4, 2), ("b", "a", 0.9, 4, 2), ("c", "c", 0.4, 2, 1)]
+        assert [tuple(x)[:7] for x in graph.build_edges(r, parts=n).collect()] == [(1, "a", "b", 0.9, 4, 2, "X,Y")]
+    assert graph.build_edges(r, parts=7).rdd.getNumPartitions() == graph.profile_connections(r, 7).rdd.getNumPartitions() == 7
