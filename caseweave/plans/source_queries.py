@@ -92,7 +92,7 @@ def map_columns(spark, sf):
     k, n = F.col("c_custkey"), len(_ALIASES)
     pick = lambda i: F.get(F.array(*(F.lit(a[i]) for a in _ALIASES)), (k % n).cast("int"))
     header = F.regexp_replace(F.upper(pick(2)), "[ _/-]", F.when(k % 2 == 0, ".").otherwise(" "))
-    made = s.read(spark, sf, "customer").select(
+    made = facts.spread(s.read(spark, sf, "customer")).select(
         F.concat(k.cast("string"), F.lit(".csv")).alias("path"), F.concat(F.lit("Unheard,"), header, F.lit("\n1,v"), k.cast("string"), F.lit("\n")).cast("binary").alias("content"), pick(0).alias("category")
     )
     kind = F.when(F.col("category") == "cdr", "cdr").otherwise("bank_statement")

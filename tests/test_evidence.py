@@ -120,3 +120,9 @@ def test_one_bad_mail_spares_the_others(spark, tmp_path):
     put(tmp_path, "b.eml", "From: b@x.io\n\nBody\n")
     got = {r.path[-5:]: r for r in files.emails(files.ingest(spark, str(tmp_path))).collect()}
     assert got["a.eml"].body.strip() == "Bé" and got["b.eml"].headers["From"] == "b@x.io" and not got["b.eml"].error
+
+
+def test_files_of_a_small_table_are_read_by_all_cores(spark, sf_dir):
+    from caseweave.plans import catalogue
+
+    assert catalogue.queries()["map_columns"](spark, sf_dir).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
