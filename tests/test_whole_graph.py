@@ -148,3 +148,56 @@ def test_far_paths_have_no_round_limit_and_break_ties_like_the_kernel(spark):
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert far == sorted(graph.shortest_path(e, 1, 67).collect())
     assert far[0].found and far[0].distance == 66 and far[1].path == "1>2>3>67"
+
+
+@pytest.fixture(scope="module")
+def dense_edges(spark):
+    """Two connected cases of eight dense clumps in a row, of which neighbours share a node, with a pendant node each."""
+    rng = random.Random(5)
+    rows = set()
+    for c in (0, 1):
+        for k in range(8):
+            clump = range(20 * k, 20 * k + 21)
+            rows |= {(c, *sorted(rng.sample(clump, 2))) for _ in range(400)} | {(c, clump[0], clump[1]), (c, clump[-2], clump[-1]), (c, clump[7], 900 + k)}
+    return spark.createDataFrame([(c, f"n{u}", f"n{v}", 1.0) for c, u, v in sorted(rows)], "case_id int, u string, v string, distance double").cache()
+
+
+@pytest.mark.parametrize("most_edges", [10_000, 800])
+def test_connected_large_cases_are_thinned_and_not_sent_by_rounds(spark, dense_edges, monkeypatch, most_edges):
+    monkeypatch.setattr(graph.by_joins, "blocks", no_rounds)
+    monkeypatch.setattr(graph, "KERNEL_NODES", 100)
+    monkeypatch.setattr(graph, "MOST_NODES", 50)
+    monkeypatch.setattr(graph, "CHUNK_EDGES", most_edges)
+    cut = shared_checkpoint(spark)
+    got = graph.node_measures(dense_edges, cut, 50).where("is_cut").collect()
+    want = [(c, n) for c, part in dense_edges.toPandas().groupby("case_id") for n in graph.cuts(graph._adjacency(part))[0]]
+    assert sorted((r.case_id, r.node) for r in got) == sorted(want) != []
+
+
+def test_thinned_edges_connect_what_all_edges_connect_without_any_one_node():
+    import numpy as np
+
+    def parts(n, edges, gone):
+        adj = {x: [] for x in range(n)}
+        for a, b in edges:
+            if gone not in (a, b):
+                adj[a].append(b), adj[b].append(a)
+        label = {}
+        for root in adj:
+            todo = [root]
+            while todo:
+                if (x := todo.pop()) not in label:
+                    label[x] = root
+                    todo += adj[x]
+        return label
+
+    rng = random.Random(11)
+    for _ in range(150):
+        shared = rng.randint(0, 1)  # two clumps, with a node in common or without
+        edges = sorted({tuple(sorted(rng.sample(range(c * (9 - shared), c * (9 - shared) + 9), 2))) for c in (0, 1) for _ in range(60)})
+        n = 18 - shared
+        a, b = np.array(edges).T
+        few = graph._deciding(n, a, b)
+        assert len(few) < len(edges) and len(few) <= 2 * n
+        for gone in range(-1, n):
+            assert parts(n, edges, gone) == parts(n, [edges[i] for i in few], gone)
