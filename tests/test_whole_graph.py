@@ -201,3 +201,62 @@ def test_thinned_edges_connect_what_all_edges_connect_without_any_one_node():
         assert len(few) < len(edges) and len(few) <= 2 * n
         for gone in range(-1, n):
             assert parts(n, edges, gone) == parts(n, [edges[i] for i in few], gone)
+
+
+def test_parts_from_forests_of_shares_are_the_components(spark):
+    rng = random.Random(6)
+    rows = sorted({(c, *sorted(rng.sample(range(20 * k, 20 * k + 20), 2))) for c in (0, 1) for k in range(6) for _ in range(60)})
+    e, cut = spark.createDataFrame([(c, f"n{u}", f"n{v}") for c, u, v in rows], "case_id int, u string, v string"), shared_checkpoint(spark)
+
+    def groups(df):
+        out = {}
+        for r in df.collect():
+            out.setdefault((r.case_id, r.component), set()).add(r.node)
+        return sorted(map(sorted, out.values()))
+
+    assert groups(graph.connected_parts(e, cut, 150)) == groups(graph.connected_parts(e, cut)) == groups(graph.node_components(e, cut))
+
+
+def test_bridges_of_large_cases_come_from_thinned_shares(spark, dense_edges, monkeypatch):
+    for name in ("node_components", "connected_parts"):
+        monkeypatch.setattr(graph, name, no_rounds)
+    monkeypatch.setattr(graph.by_joins, "blocks", no_rounds)
+    monkeypatch.setattr(graph, "CHUNK_EDGES", 800)
+    got = graph.bridge_edges(dense_edges, shared_checkpoint(spark)).collect()
+    want = [(c, *e) for c, part in dense_edges.toPandas().groupby("case_id") for e in graph.cuts(graph._adjacency(part))[1]]
+    assert sorted((r.case_id, r.u, r.v) for r in got) == sorted(want) != []
+
+
+def test_connected_cases_of_many_nodes_go_to_kernels(spark, monkeypatch):
+    for name in ("communities", "eigenvector"):
+        monkeypatch.setattr(graph.by_joins, name, no_rounds)
+    monkeypatch.setattr(graph, "far_path", no_rounds)
+    monkeypatch.setattr(graph, "node_components", no_rounds)
+    n, cut = 21_000, shared_checkpoint(spark)
+    e = spark.range(1, n).selectExpr("0 AS case_id", "int(id) AS u", "int(id) + 1 AS v", "1.0D AS weight", "1.0D AS distance")
+    assert graph.communities(e, cut).count() == graph.eigenvector(e, 3, checkpoint=cut).count() == n
+    assert graph.shortest_path(e, 5, 300, cut).first().distance == 295
+
+
+def test_edges_dealt_by_evidence_are_summed_up_where_they_lie(spark, sf_dir):
+    r = standins.relations(spark, sf_dir).repartition(3, "evidence_id")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    dealt, again = graph.build_edges(r, parts=3, dealt=True), graph.build_edges(r, parts=3)
+    exchanges = lambda df: df._jdf.queryExecution().sparkPlan().toString().count("Exchange hashpartitioning") + df._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression")
+    assert rows(dealt) == rows(again) and exchanges(dealt) < exchanges(again)
+
+
+def test_betweenness_of_few_nodes_is_exact_whatever_their_edges(spark, odd_edges, monkeypatch):
+    want = sorted(map(tuple, graph.node_measures(odd_edges).collect()))
+    monkeypatch.setattr(graph, "KERNEL_EDGES", 3)
+    assert sorted(map(tuple, graph.node_measures(odd_edges).collect())) == want
+    assert sorted(map(tuple, graph.node_measures(odd_edges, shared_checkpoint(spark)).collect())) == want
+
+
+def test_betweenness_by_rows_of_the_matrix():
+    rng = random.Random(9)
+    for n, m in ((1, 0), (12, 14), (40, 500), (40, 780)):
+        adj = {x: {} for x in range(n)}
+        for u, v in rng.sample([(u, v) for u in range(n) for v in range(u)], m):
+            adj[u][v] = adj[v][u] = 1 / rng.choice([0.5, 0.75, 1.0])
+        assert graph._dense_brandes(adj) == pytest.approx(graph._brandes(adj), abs=1e-9)
