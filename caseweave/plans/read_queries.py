@@ -132,7 +132,7 @@ def focus_graph_parts(spark, sf):
 def requisition_draft(spark, sf):
     """With the load-bearing ends first; which edges those are, SQL can't restate (see requisition_draft_plain)."""
     r = s.relations(spark, sf)
-    return reads.requisitions(r, graph.bridge_edges(graph.build_edges(r, parts=s.parts(spark, sf, "lineitem")), shared_checkpoint(spark)))
+    return reads.requisitions(r, graph.bridge_edges(s.edges(spark, sf).select("case_id", "u", "v"), shared_checkpoint(spark)))
 
 
 @query("requisition_draft_plain", f"""
