@@ -201,11 +201,12 @@ def _stated(kind: str):
 
 def sentence_links(units: DataFrame, left, right, verbs: str) -> DataFrame:
     """Pairs of two extractions that stand in one sentence with a verb: unit_id, a, b, sentence (the first). left and right take the
-    sentence's column."""
-    s = units.select("unit_id", F.posexplode(ids.sentences(F.col("text"))).alias("i", "text")).where(F.col("text").rlike(verbs))
-    found = s.select("unit_id", "i", F.col("text").alias("sentence"), left(F.col("text")).alias("ls"), right(F.col("text")).alias("rs"))
-    found = found.where((F.size("ls") > 0) & (F.size("rs") > 0))
-    pairs = found.select("unit_id", "i", "sentence", F.explode("ls").alias("a"), "rs").select("unit_id", "i", "sentence", "a", F.explode("rs").alias("b"))
+    sentence's column. Both are made once a sentence, the right where there is a left: a filter on them would make them anew."""
+    once = lambda value, of: F.get(F.transform(F.array(value), of), F.lit(0))
+    pair = lambda ls, rs: F.flatten(F.transform(ls, lambda a: F.transform(rs, lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    s = units.select("unit_id", F.posexplode(ids.sentences(F.col("text"))).alias("i", "sentence")).where(F.col("sentence").rlike(verbs))
+    both = once(left(F.col("sentence")), lambda ls: F.when(F.size(ls) > 0, once(right(F.col("sentence")), lambda rs: pair(ls, rs))))
+    pairs = s.select("unit_id", "i", "sentence", F.explode(both).alias("p")).select("unit_id", "i", "sentence", "p.a", "p.b")
     return pairs.groupBy("unit_id", "a", "b").agg(F.min_by("sentence", "i").alias("sentence"))
 
 

@@ -113,3 +113,15 @@ def test_connections_and_edges_are_summed_in_given_parts(spark):
         assert got == [("", "a", 0.3, 1, 1), ("a", "", 0.3, 1, 1), ("a", "b", 0.9, 4, 2), ("b", "a", 0.9, 4, 2), ("c", "c", 0.4, 2, 1)]
         assert [tuple(x)[:7] for x in graph.build_edges(r, parts=n).collect()] == [(1, "a", "b", 0.9, 4, 2, "X,Y")]
     assert graph.build_edges(r, parts=7).rdd.getNumPartitions() == graph.profile_connections(r, 7).rdd.getNumPartitions() == 7
+
+
+def test_extractions_of_a_sentence_are_made_once(spark):
+    from caseweave.operators import facts, records
+
+    text = "Accused Ravi Rao was seen near Linking Road. Nobody was seen.\nWitness Asha Kumar was driving MH12AB1234."
+    units = spark.createDataFrame([(1, 10, text), (1, 11, None), (2, 12, "Accused Ravi Rao was seen near Linking Road.")], "evidence_id int, unit_id int, text string")
+    links = records.person_location_links(units)
+    assert sorted((r.unit_id, r.a, r.b) for r in links.collect()) == [(10, "Ravi Rao", "Linking Road"), (12, "Ravi Rao", "Linking Road")]
+    plans = [links, facts.report_enrichment(units.select("evidence_id", "text"), units)]
+    for plan in (df._jdf.queryExecution().optimizedPlan().toString() for df in plans):
+        assert not [x for x in plan.split("\n") if "Filter " in x and "regexp_extract" in x]
